@@ -43,3 +43,249 @@ select entity, month_start, cases, lag_1, lag_12,
   cast(time_index as bigint) as time_index, {r6('month_sin')} as month_sin
 from f where lag_12 is not null and temperature_c is not null and std_3 is not null
 """
+
+ORDER_ROWS = """r as (
+  select n.n_name as entity, cast(o.o_orderdate as date) as order_date, o.o_orderkey, o.o_totalprice
+  from orders o join customer cu on o.o_custkey = cu.c_custkey
+  join nation n on cu.c_nationkey = n.n_nationkey)"""
+
+# Dense calendar per entity from its first to its last month; empty months get 0.
+DENSE = """b as (select entity, min(month_start) as lo, max(month_start) as hi from c group by 1),
+d as (select entity, cast(unnest(generate_series(cast(lo as timestamp), cast(hi as timestamp),
+        interval 1 month)) as date) as month_start from b),
+dd as (select d.entity, d.month_start, coalesce(c.cases, 0) as cases
+       from d left join c on d.entity = c.entity and d.month_start = c.month_start)"""
+
+G = "window g as (partition by entity order by month_start)"
+EXOG = ("temperature_c", "precipitation_mm")
+LI = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+LI_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+           "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def dbl(x: str) -> str:
+    return f"cast({x} as double)"
+
+
+def roll(fn: str, col: str, lo: int, hi: str = "1 preceding", order: str = "month_start") -> str:
+    return f"{fn}({col}) over (partition by entity order by {order} rows between {lo} preceding and {hi})"
+
+
+def unpivot_long(cols, table: str) -> str:
+    sel = ", ".join(f"cast({c} as double) as {c}" for c in cols)
+    return f"""long as (unpivot (select {sel} from {table}) on {", ".join(cols)}
+  into name "column" value value)"""
+
+
+SQL["p1_drop_columns"] = "select * exclude (o_orderpriority, o_orderstatus) from orders"
+
+SQL["p4_year_filter"] = f"""with {CASES}, {WEATHER}, {JOINED}
+select * from j where cast(year(month_start) as int) >= 1997"""
+
+SQL["p5_entity_filter"] = f"with {CASES} select * from c where entity = 'NATION_7'"
+
+SQL["p6_complete_rows"] = f"""with {CASES}, {WEATHER}, {JOINED}
+select * from j where entity is not null and month_start is not null and cases is not null
+  and temperature_c is not null and not isnan(temperature_c)
+  and precipitation_mm is not null and not isnan(precipitation_mm)"""
+
+SQL["p7_completeness_counts"] = f"""with {CASES}, {WEATHER}, {JOINED}
+select count(*) as initial_rows,
+  sum(case when temperature_c is null or precipitation_mm is null or cases is null then 0 else 1 end) as kept_rows,
+  sum(case when temperature_c is null or precipitation_mm is null or cases is null then 1 else 0 end) as dropped_rows
+from j"""
+
+SQL["p8_entities_without_weather"] = f"""with {CASES}, {WEATHER}
+select distinct c.entity from c where not exists (select 1 from w where w.entity = c.entity)"""
+
+SQL["p11_fill_absent_features"] = """select l_orderkey, l_linenumber, cast(l_tax as double) as l_tax,
+  cast(l_quantity as double) as l_quantity, cast(0 as double) as l_extendedprice_x,
+  cast(0 as double) as l_rank from lineitem"""
+
+SQL["p12_target_if_absent"] = f"""with {CASES}, {DENSE}
+select *, coalesce(cast(cases > 0 as int), 0) as outbreak_flag from dd"""
+
+SQL["p14_map_to_vector"] = """select l_orderkey, l_linenumber,
+  [coalesce(cast(l_tax as double), 0), coalesce(cast(l_quantity as double), 0), cast(0 as double),
+   coalesce(cast(l_discount as double), 0)] as vector from lineitem"""
+
+SQL["j1_weather_join"] = f"""with {CASES}, {WEATHER}, {JOINED}
+select entity, cast(year(month_start) as int) as year, cast(month(month_start) as int) as month,
+  month_start, cases, {r6('temperature_c')} as temperature_c, {r6('precipitation_mm')} as precipitation_mm
+from j"""
+
+SQL["j2_missing_weather_cells"] = f"""with {CASES}, {WEATHER}, {JOINED}
+select coalesce(sum(cast(temperature_c is null as bigint) + cast(precipitation_mm is null as bigint)), 0)
+  as missing_cells from j"""
+
+SQL["j3_region_lookup"] = f"""with {CASES}
+select c.*, x.r_name from c left join (select n_name, r_name from nation join region
+  on n_regionkey = r_regionkey) x on c.entity = x.n_name"""
+
+SQL["u1_union_weather"] = f"""with {WEATHER}
+select entity, year, month, {r6('temperature_c')} as temperature_c,
+  {r6('precipitation_mm')} as precipitation_mm from w"""
+
+SQL["w1_target_lags"] = f"""with {CASES}
+select *, {", ".join(f"lag(cases, {k}) over g as cases_lag_{k}" for k in (1, 2, 3, 6, 12))}
+from c {G}"""
+
+SQL["w2_exog_lags"] = f"""with {CASES}, {WEATHER}, {JOINED}
+select entity, month_start, {r6('temperature_c')} as temperature_c, {r6('precipitation_mm')} as precipitation_mm,
+  {", ".join(f"{r6(f'lag({c}, {k}) over g')} as {c}_lag_{k}" for c in EXOG for k in (1, 2, 3, 6, 12))}
+from j {G}"""
+
+SQL["w3_rolling_mean"] = f"""with {CASES}
+select *, {", ".join(f"{r6(roll('avg', 'cases', k))} as cases_ma_{k}" for k in (3, 6, 12))} from c"""
+
+SQL["w4_rolling_std"] = f"""with {CASES}
+select *, {", ".join(f"{r6(roll('stddev_samp', 'cases', k))} as cases_std_{k}" for k in (3, 6, 12))} from c"""
+
+SQL["w5_exog_rolling"] = f"""with {CASES}, {WEATHER}, {JOINED}
+select entity, month_start, {r6('temperature_c')} as temperature_c, {r6('precipitation_mm')} as precipitation_mm,
+  {", ".join(f"{r6(roll(fn, c, k))} as {c}_{nm}_{k}" for c in EXOG for k in (3, 6)
+             for fn, nm in (("avg", "ma"), ("stddev_samp", "std")))}
+from j"""
+
+SQL["w6_ordered_row_lags"] = f"""with {ORDER_ROWS}
+select entity, order_date, o_orderkey, {r6('o_totalprice')} as o_totalprice,
+  {", ".join(f"{r6(f'lag(o_totalprice, {k}) over g')} as price_lag_{k}" for k in (1, 2, 3))}
+from r window g as (partition by entity order by order_date, o_orderkey)"""
+
+SQL["w7_inclusive_rolling"] = f"""with {CASES}, {WEATHER}, {JOINED}
+select entity, month_start, {r6('temperature_c')} as temperature_c, {r6('precipitation_mm')} as precipitation_mm,
+  {r6(roll('avg', 'temperature_c', 2, 'current row'))} as temperature_c_roll_mean_3,
+  {r6(roll('stddev_samp', 'precipitation_mm', 2, 'current row'))} as precipitation_mm_roll_std_3
+from j"""
+
+SQL["w8_time_index"] = f"""with {CASES}
+select *, cast(row_number() over g as bigint) as time_index from c {G}"""
+
+SQL["w9_surge_flag"] = f"""with {CASES}
+select *, coalesce(cast(cases > 8 and cases > cast(1.5 as double) * lag(cases, 1) over g as int), 0)
+  as surge_flag from c {G}"""
+
+SQL["w10_lookback_sequences"] = f"""with {CASES}, {WEATHER}, {JOINED},
+s as (select entity, month_start,
+  list([cast(cases as double), {r6('temperature_c')}]) over (partition by entity order by month_start
+       rows between 12 preceding and 1 preceding) as seq,
+  cast(cases > 8 as int) as target, row_number() over g as rn
+  from j {G})
+select entity, month_start, seq, target from s where rn > 12"""
+
+SQL["w11_entity_standardize"] = f"""with {CASES}
+select entity, month_start, cases,
+  {r6("(cases - avg(cases) over e) / case when stddev_pop(cases) over e is null or stddev_pop(cases) over e = 0 then 1 else stddev_pop(cases) over e end")} as cases_z
+from c window e as (partition by entity)"""
+
+SQL["t1_sorted_panel"] = f"with {CASES} select * from c order by entity, month_start"
+
+SQL["t2_top_entities"] = f"""with {CASES}
+select entity, coalesce(sum(cases), 0) as total from c group by 1 order by total desc, entity limit 10"""
+
+SQL["t5_latest_history"] = """select * from (select event_id, ts, user_id, value,
+  row_number() over (partition by user_id order by ts desc, event_id desc) as rank from events)
+where rank <= 10"""
+
+SQL["a1_total_cases"] = f"with {CASES} select coalesce(sum(cases), 0) as total_cases from c"
+
+SQL["a2_total_by_entity"] = f"""with {CASES}
+select entity, coalesce(sum(cases), 0) as total from c where entity is not null group by 1"""
+
+SQL["a3_share_by_entity"] = f"""with {CASES}
+select entity, coalesce(sum(cases), 0) as total,
+  {r6("cast(sum(cases) as double) * cast(100 as double) / (select cast(sum(cases) as double) from c)")} as share_pct
+from c group by 1"""
+
+SQL["a4_series_by_entity_date"] = f"""with {ORDER_ROWS}
+select entity, order_date, count(*) as orders, {r6('sum(o_totalprice)')} as total_price from r group by 1, 2"""
+
+SQL["a5_distinct_values"] = "select distinct event_type from events where event_type is not null"
+
+SQL["a6_year_range"] = """select min(cast(year(o_orderdate) as int)) as min_year,
+  max(cast(year(o_orderdate) as int)) as max_year from orders"""
+
+SQL["a7_describe"] = f"""with {unpivot_long(LI, 'lineitem')}
+select "column", count(value) as count, {r6('avg(value)')} as mean, {r6('stddev_samp(value)')} as std,
+  {r6('min(value)')} as min, {r6('max(value)')} as max,
+  {r6('quantile_cont(value, 0.25)')} as p25, {r6('quantile_cont(value, 0.5)')} as p50,
+  {r6('quantile_cont(value, 0.75)')} as p75
+from long where value is not null and not isnan(value) group by 1"""
+
+SQL["a8_describe_categorical"] = """with long as (unpivot (select cast(o_orderstatus as varchar) as o_orderstatus,
+    cast(o_orderpriority as varchar) as o_orderpriority from orders)
+  on o_orderstatus, o_orderpriority into name "column" value value),
+f as (select "column", value, count(*) as n from long where value is not null group by 1, 2),
+r as (select "column", value, n, row_number() over (partition by "column" order by n desc, value) as rk,
+  sum(n) over (partition by "column") as cnt, count(*) over (partition by "column") as uniq from f)
+select "column", cnt as "count", uniq as "unique", value as top, n as freq from r where rk = 1"""
+
+SQL["a9_percentiles"] = f"with {CASES} " + " union all ".join(
+    f"select 'cases' as \"column\", cast({p} as double) as prob, "
+    f"{r6(f'quantile_cont(cast(cases as double), {p})')} as quantile from c"
+    for p in (0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
+
+SQL["a10_table_info"] = "select * from (" + " union all ".join(
+    f"select (select count(*) from lineitem) as rows, {i} as position, '{c}' as \"column\", "
+    f"(select count({c}) from lineitem) as non_null" for i, c in enumerate(LI_COLS)) + ")"
+
+SQL["a11_missing_per_column"] = f"with {CASES}, {WEATHER}, {JOINED} " + " union all ".join(
+    f"select '{c}' as \"column\", count(*) - count({c})"
+    + (f" + count(*) filter (where isnan({c}))" if c in EXOG else "") + " as missing from j"
+    for c in ("entity", "month_start", "cases", *EXOG))
+
+SQL["a12_value_counts"] = f"""select quality, count(*) as count,
+  {r6("count(*) * cast(100 as double) / (select count(*) from labels)")} as share_pct
+from labels where quality is not null group by 1"""
+
+FLAGS = f"""with {CASES}, {DENSE}, fl as (select *, coalesce(cast(cases > 0 as int), 0) as flag from dd)"""
+
+SQL["a13_class_by_entity"] = f"""{FLAGS}
+select entity, n_0, n_1, n_0 + n_1 as total, {r6('cast(n_1 as double) * 100 / (n_0 + n_1)')} as pct_1
+from (select entity, sum(cast(flag = 0 as bigint)) as n_0, sum(cast(flag = 1 as bigint)) as n_1
+      from fl group by 1)"""
+
+SQL["a14_positive_rate"] = f"""{FLAGS}
+select entity, {r6('avg(flag)')} as positive_rate from fl group by 1"""
+
+SQL["a15_seasonal_mean"] = f"""with {CASES}
+select cast(month(month_start) as int) as month, {r6('avg(cases)')} as mean_cases from c group by 1"""
+
+SQL["a16_iqr_outliers"] = f"""with {unpivot_long(LI, 'lineitem')},
+q as (select "column", quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3
+      from long where value is not null and not isnan(value) group by 1),
+b as (select *, q3 - q1 as iqr, q1 - cast(1.5 as double) * (q3 - q1) as lower,
+      q3 + cast(1.5 as double) * (q3 - q1) as upper from q),
+k as (select l."column", count(*) as rows, sum(cast(l.value < b.lower or l.value > b.upper as bigint)) as outliers
+      from long l join b on l."column" = b."column" group by 1)
+select b."column", {r6('q1')} as q1, {r6('q3')} as q3, {r6('iqr')} as iqr, {r6('lower')} as lower,
+  {r6('upper')} as upper, k.rows, k.outliers, {r6('k.outliers * cast(100 as double) / k.rows')} as outlier_pct
+from b join k on b."column" = k."column\""""
+
+SQL["a17_correlation_matrix"] = " union all ".join(
+    [f"select '{a}' as a, '{b}' as b, {r6(f'corr({a}, {b})')} as corr from lineitem"
+     for a in LI for b in LI if a != b]
+    + [f"select '{a}' as a, '{a}' as b, cast(1 as double) as corr" for a in LI])
+
+SQL["a19_histogram"] = f"""with m as (select min(l_extendedprice) as lo, max(l_extendedprice) as hi from lineitem),
+wd as (select lo, case when hi = lo then cast(1 as double) else (hi - lo) / 50 end as width from m),
+h as (select cast(least(floor((l_extendedprice - lo) / width), 49) as int) as bin, count(*) as count
+      from lineitem, wd where l_extendedprice is not null group by 1)
+select bin, {r6('lo + bin * width')} as lower, {r6('lo + (bin + 1) * width')} as upper, count from h, wd"""
+
+SQL["a20_box_stats"] = f"""with {CASES},
+v as (select cast(month(month_start) as int) as month, cast(cases as double) as value from c),
+q as (select month, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.5) as median,
+      quantile_cont(value, 0.75) as q3 from v group by 1),
+s as (select v.month, min(case when value >= q1 - cast(1.5 as double) * (q3 - q1)
+        and value <= q3 + cast(1.5 as double) * (q3 - q1) then value end) as whisker_lo,
+      max(case when value >= q1 - cast(1.5 as double) * (q3 - q1)
+        and value <= q3 + cast(1.5 as double) * (q3 - q1) then value end) as whisker_hi,
+      sum(case when value >= q1 - cast(1.5 as double) * (q3 - q1)
+        and value <= q3 + cast(1.5 as double) * (q3 - q1) then 0 else 1 end) as n_outliers
+      from v join q on v.month = q.month group by 1)
+select q.month, {r6('q1')} as q1, {r6('median')} as median, {r6('q3')} as q3, {r6('q3 - q1')} as iqr,
+  {r6('whisker_lo')} as whisker_lo, {r6('whisker_hi')} as whisker_hi, n_outliers
+from q join s on q.month = s.month"""
+
+SQL["a21_class_counts"] = "select toxic, count(*) as count from labels group by 1"

@@ -51,3 +51,346 @@ def slice_panel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                     round6("ma_3").alias("ma_3"), round6("std_3").alias("std_3"),
                     round6("t_ma_6").alias("t_ma_6"), F.col("time_index").cast("long").alias("time_index"),
                     round6(m_sin).alias("month_sin"))
+
+
+# ---------------------------------------------------------------- shared bits
+from panelwarn.operators import panel as P  # noqa: E402
+from panelwarn.operators import profile as A  # noqa: E402
+from panelwarn.operators.features import (  # noqa: E402
+    inclusive_rolling, surge_flag,
+)
+from panelwarn.sources.tables import read_table  # noqa: E402
+
+EXOG = ("temperature_c", "precipitation_mm")
+LI_MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+
+
+def _r6_all(df: DataFrame, cols) -> DataFrame:
+    return df.withColumns({c: round6(c) for c in cols})
+
+
+def _window_query(df: DataFrame, spec: PanelSpec, build, lookback: int) -> DataFrame:
+    return apply_panel_window(df, spec, build, lookback=lookback)
+
+
+# ------------------------------------------------------------ P: projections
+@register("p1_drop_columns")
+def p1_drop_columns(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    return P.drop_if_present(o, ["o_orderpriority", "o_orderstatus", "o_comment", "not_a_column"])
+
+
+@register("p4_year_filter")
+def p4_year_filter(spark, sf_dir):
+    return P.filter_min_year(proxy.joined_panel(spark, sf_dir), "year", 1997) \
+            .select("entity", "month_start", "cases", "temperature_c", "precipitation_mm")
+
+
+@register("p5_entity_filter")
+def p5_entity_filter(spark, sf_dir):
+    return proxy.case_panel(spark, sf_dir).filter(F.col("entity") == "NATION_7")
+
+
+@register("p6_complete_rows")
+def p6_complete_rows(spark, sf_dir):
+    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", "cases", *EXOG)
+    return P.complete_rows(j)
+
+
+@register("p7_completeness_counts")
+def p7_completeness_counts(spark, sf_dir):
+    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", "cases", *EXOG)
+    return P.completeness_counts(j)
+
+
+@register("p8_entities_without_weather")
+def p8_entities_without_weather(spark, sf_dir):
+    cases = proxy.case_panel(spark, sf_dir)
+    _, skipped = P.split_by_dimension(cases, proxy.weather_panel(spark, sf_dir), "entity")
+    return skipped
+
+
+@register("p11_fill_absent_features")
+def p11_fill_absent_features(spark, sf_dir):
+    from panelwarn.operators.scoring import align_features
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    return align_features(li, ["l_tax", "l_quantity", "l_extendedprice_x", "l_rank"],
+                          keep=["l_orderkey", "l_linenumber"])
+
+
+@register("p12_target_if_absent")
+def p12_target_if_absent(spark, sf_dir):
+    from panelwarn.functions.nulls import positive_flag
+    d = P.densify_panel(proxy.case_panel(spark, sf_dir), "entity", "month_start", "cases")
+    return d if "outbreak_flag" in d.columns else d.withColumn("outbreak_flag", positive_flag("cases"))
+
+
+@register("p14_map_to_vector")
+def p14_map_to_vector(spark, sf_dir):
+    from panelwarn.operators.scoring import map_to_vector
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    m = li.select("l_orderkey", "l_linenumber",
+                  F.create_map(F.lit("qty"), F.col("l_quantity"), F.lit("disc"), F.col("l_discount"),
+                               F.lit("tax"), F.col("l_tax")).alias("features"))
+    return m.select("l_orderkey", "l_linenumber",
+                    map_to_vector("features", ["tax", "qty", "price", "disc"]).alias("vector"))
+
+
+# ---------------------------------------------------------------- J/U: joins
+@register("j1_weather_join")
+def j1_weather_join(spark, sf_dir):
+    return _r6_all(proxy.joined_panel(spark, sf_dir), EXOG)
+
+
+@register("j2_missing_weather_cells")
+def j2_missing_weather_cells(spark, sf_dir):
+    return P.missing_cell_count(proxy.joined_panel(spark, sf_dir), EXOG)
+
+
+@register("j3_region_lookup")
+def j3_region_lookup(spark, sf_dir):
+    n = read_table(spark, sf_dir, "nation", "n_name", "n_regionkey")
+    r = read_table(spark, sf_dir, "region", "r_regionkey", "r_name")
+    dim = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("entity"), "r_name")
+    return proxy.case_panel(spark, sf_dir).join(dim, "entity", "left")
+
+
+@register("u1_union_weather")
+def u1_union_weather(spark, sf_dir):
+    w = proxy.weather_panel(spark, sf_dir)
+    early = w.filter(F.col("year") <= 1997)
+    late = w.filter(F.col("year") > 1997)
+    return _r6_all(P.union_frames([early, late]), EXOG)
+
+
+# --------------------------------------------------------------- W: windows
+@register("w1_target_lags")
+def w1_target_lags(spark, sf_dir):
+    c = proxy.case_panel(spark, sf_dir)
+    return _window_query(c, CASE_SPEC, lambda w, _i: lag_columns("cases", (1, 2, 3, 6, 12), w), 12)
+
+
+@register("w2_exog_lags")
+def w2_exog_lags(spark, sf_dir):
+    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", *EXOG)
+
+    def build(w, _i):
+        out = {}
+        for c in EXOG:
+            out.update(lag_columns(c, (1, 2, 3, 6, 12), w))
+        return out
+    f = _window_query(j, CASE_SPEC, build, 12)
+    return _r6_all(f, [c for c in f.columns if c not in ("entity", "month_start")])
+
+
+@register("w3_rolling_mean")
+def w3_rolling_mean(spark, sf_dir):
+    c = proxy.case_panel(spark, sf_dir)
+    f = _window_query(c, CASE_SPEC, lambda w, _i: past_rolling("cases", (3, 6, 12), w, stats=("ma",)), 12)
+    return _r6_all(f, ["cases_ma_3", "cases_ma_6", "cases_ma_12"])
+
+
+@register("w4_rolling_std")
+def w4_rolling_std(spark, sf_dir):
+    c = proxy.case_panel(spark, sf_dir)
+    f = _window_query(c, CASE_SPEC, lambda w, _i: past_rolling("cases", (3, 6, 12), w, stats=("std",)), 12)
+    return _r6_all(f, ["cases_std_3", "cases_std_6", "cases_std_12"])
+
+
+@register("w5_exog_rolling")
+def w5_exog_rolling(spark, sf_dir):
+    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", *EXOG)
+
+    def build(w, _i):
+        out = {}
+        for c in EXOG:
+            out.update(past_rolling(c, (3, 6), w))
+        return out
+    f = _window_query(j, CASE_SPEC, build, 6)
+    return _r6_all(f, [c for c in f.columns if c not in ("entity", "month_start")])
+
+
+@register("w6_ordered_row_lags")
+def w6_ordered_row_lags(spark, sf_dir):
+    rows = proxy.order_rows(spark, sf_dir)
+    spec = PanelSpec(entity="entity", time="order_date", tiebreak=("o_orderkey",), target="o_totalprice")
+    f = _window_query(rows, spec, lambda w, _i: lag_columns("o_totalprice", (1, 2, 3), w, prefix="price"), 3)
+    return _r6_all(f, ["o_totalprice", "price_lag_1", "price_lag_2", "price_lag_3"])
+
+
+@register("w7_inclusive_rolling")
+def w7_inclusive_rolling(spark, sf_dir):
+    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", *EXOG)
+    f = _window_query(j, CASE_SPEC, lambda w, _i: {
+        "temperature_c_roll_mean_3": inclusive_rolling("temperature_c", 3, w, "mean"),
+        "precipitation_mm_roll_std_3": inclusive_rolling("precipitation_mm", 3, w, "std")}, 2)
+    return _r6_all(f, [*EXOG, "temperature_c_roll_mean_3", "precipitation_mm_roll_std_3"])
+
+
+@register("w8_time_index")
+def w8_time_index(spark, sf_dir):
+    return _window_query(proxy.case_panel(spark, sf_dir), CASE_SPEC, lambda _w, i: {"time_index": i}, 0)
+
+
+@register("w9_surge_flag")
+def w9_surge_flag(spark, sf_dir):
+    c = proxy.case_panel(spark, sf_dir)
+    return _window_query(c, CASE_SPEC, lambda w, _i: {"surge_flag": surge_flag("cases", w, min_count=8)}, 1)
+
+
+@register("w10_lookback_sequences")
+def w10_lookback_sequences(spark, sf_dir):
+    from panelwarn.operators.sampling import lookback_sequences
+    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", "cases", *EXOG)
+    j = j.withColumns({"cases_d": F.col("cases").cast("double"), "temperature_c": round6("temperature_c")})
+    j = j.withColumn("target", (F.col("cases") > 8).cast("int"))
+    return lookback_sequences(j, CASE_SPEC, ["cases_d", "temperature_c"], "target", lookback=12)
+
+
+@register("w11_entity_standardize")
+def w11_entity_standardize(spark, sf_dir):
+    from panelwarn.operators.sampling import standardize_within
+    c = proxy.case_panel(spark, sf_dir)
+    out = standardize_within(c, ["entity"], ["cases"], suffix="_z")
+    return _r6_all(out, ["cases_z"])
+
+
+# ------------------------------------------------------------ T: sort/limit
+@register("t1_sorted_panel")
+def t1_sorted_panel(spark, sf_dir):
+    return proxy.case_panel(spark, sf_dir).orderBy("entity", "month_start")
+
+
+@register("t2_top_entities")
+def t2_top_entities(spark, sf_dir):
+    totals = A.total_by(proxy.case_panel(spark, sf_dir), ["entity"], "cases")
+    return A.top_k(totals, "total", 10, tiebreak=["entity"])
+
+
+@register("t5_latest_history")
+def t5_latest_history(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
+    return A.top_k_per_group(e, ["user_id"], [F.desc("ts"), F.desc("event_id")], 10, salt_col="event_id")
+
+
+# ------------------------------------------------------------ A: profiling
+@register("a1_total_cases")
+def a1_total_cases(spark, sf_dir):
+    return A.total(proxy.case_panel(spark, sf_dir), "cases", "total_cases")
+
+
+@register("a2_total_by_entity")
+def a2_total_by_entity(spark, sf_dir):
+    return A.total_by(proxy.case_panel(spark, sf_dir), ["entity"], "cases")
+
+
+@register("a3_share_by_entity")
+def a3_share_by_entity(spark, sf_dir):
+    s = A.share_by(proxy.case_panel(spark, sf_dir), ["entity"], "cases")
+    return _r6_all(s, ["share_pct"])
+
+
+@register("a4_series_by_entity_date")
+def a4_series_by_entity_date(spark, sf_dir):
+    rows = proxy.order_rows(spark, sf_dir)
+    g = rows.groupBy("entity", "order_date").agg(F.count(F.lit(1)).alias("orders"),
+                                                  F.sum("o_totalprice").alias("total_price"))
+    return _r6_all(g, ["total_price"])
+
+
+@register("a5_distinct_values")
+def a5_distinct_values(spark, sf_dir):
+    return A.distinct_values(read_table(spark, sf_dir, "events", "event_type"), "event_type")
+
+
+@register("a6_year_range")
+def a6_year_range(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", "o_orderdate").select(F.year("o_orderdate").cast("int").alias("year"))
+    return A.min_max(o, "year")
+
+
+@register("a7_describe")
+def a7_describe(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem", *LI_MEASURES)
+    d = A.describe(li, LI_MEASURES)
+    return _r6_all(d, ["mean", "std", "min", "max", "p25", "p50", "p75"])
+
+
+@register("a8_describe_categorical")
+def a8_describe_categorical(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", "o_orderstatus", "o_orderpriority")
+    return A.describe_categorical(o, ["o_orderstatus", "o_orderpriority"])
+
+
+@register("a9_percentiles")
+def a9_percentiles(spark, sf_dir):
+    c = proxy.case_panel(spark, sf_dir)
+    return _r6_all(A.percentiles(c, ["cases"]), ["quantile"])
+
+
+@register("a10_table_info")
+def a10_table_info(spark, sf_dir):
+    return A.table_info(read_table(spark, sf_dir, "lineitem")).drop("dtype")
+
+
+@register("a11_missing_per_column")
+def a11_missing_per_column(spark, sf_dir):
+    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", "cases", *EXOG)
+    return A.missing_per_column(j)
+
+
+@register("a12_value_counts")
+def a12_value_counts(spark, sf_dir):
+    v = A.value_counts(read_table(spark, sf_dir, "labels", "quality"), "quality")
+    return _r6_all(v, ["share_pct"])
+
+
+def _dense_flags(spark, sf_dir):
+    from panelwarn.functions.nulls import positive_flag
+    d = P.densify_panel(proxy.case_panel(spark, sf_dir), "entity", "month_start", "cases")
+    return d.withColumn("flag", positive_flag("cases"))
+
+
+@register("a13_class_by_entity")
+def a13_class_by_entity(spark, sf_dir):
+    return _r6_all(A.class_by_entity(_dense_flags(spark, sf_dir), "entity", "flag", digits=None), ["pct_1"])
+
+
+@register("a14_positive_rate")
+def a14_positive_rate(spark, sf_dir):
+    return _r6_all(A.positive_rate(_dense_flags(spark, sf_dir), "entity", "flag"), ["positive_rate"])
+
+
+@register("a15_seasonal_mean")
+def a15_seasonal_mean(spark, sf_dir):
+    c = proxy.case_panel(spark, sf_dir).withColumn("month", F.month("month_start").cast("int"))
+    return _r6_all(A.seasonal_mean(c, "month", "cases"), ["mean_cases"])
+
+
+@register("a16_iqr_outliers")
+def a16_iqr_outliers(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem", *LI_MEASURES)
+    return _r6_all(A.iqr_outliers(li, LI_MEASURES), ["q1", "q3", "iqr", "lower", "upper", "outlier_pct"])
+
+
+@register("a17_correlation_matrix")
+def a17_correlation_matrix(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem", *LI_MEASURES)
+    return _r6_all(A.correlation_long(li, LI_MEASURES), ["corr"])
+
+
+@register("a19_histogram")
+def a19_histogram(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem", "l_extendedprice")
+    return _r6_all(A.histogram(li, "l_extendedprice", 50), ["lower", "upper"])
+
+
+@register("a20_box_stats")
+def a20_box_stats(spark, sf_dir):
+    c = proxy.case_panel(spark, sf_dir).withColumn("month", F.month("month_start").cast("int"))
+    return _r6_all(A.box_stats(c, "month", "cases"), ["q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi"])
+
+
+@register("a21_class_counts")
+def a21_class_counts(spark, sf_dir):
+    return A.class_counts(read_table(spark, sf_dir, "labels", "toxic"), "toxic")

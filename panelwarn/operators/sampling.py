@@ -55,3 +55,82 @@ def reshape_sequences(flat_col: str, steps: int, width: int) -> F.Column:
     """M5: ARRAY<DOUBLE> [L*F] -> ARRAY<ARRAY<DOUBLE>> [L, F]."""
     return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)),
                        lambda i: F.slice(F.col(flat_col), i * width + 1, width))
+
+
+# ------------------------------------------------------------------- splits
+SPLIT_SEED = 42
+TEST_SIZE = 0.2
+VAL_SIZE = 0.2
+
+
+def hash_order_key(id_col: str, seed: int = SPLIT_SEED):
+    """Deterministic pseudo-random sort key md5('<id>-<seed>') (same text in DuckDB)."""
+    return F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}")))
+
+
+def uniform_from_hash(id_col: str, seed: int = SPLIT_SEED, salt: str = ""):
+    """A number in [0, 1) from the first 8 hex digits of md5('<id>-<seed><salt>')."""
+    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f"-{seed}{salt}")))
+    return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def stratified_quotas(counts: dict, fraction: float) -> dict:
+    """Per-class sample sizes summing to ceil(fraction * n), by largest remainder.
+
+    Ties of the remainder go to the smaller class label (deterministic).
+    """
+    import math
+    n = sum(counts.values())
+    total = math.ceil(fraction * n)
+    base = {c: (total * k) // n for c, k in counts.items()}
+    rem = {c: (total * k) % n for c, k in counts.items()}
+    left = total - sum(base.values())
+    for c in sorted(counts, key=lambda c: (-rem[c], c))[:left]:
+        base[c] += 1
+    return base
+
+
+def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float = TEST_SIZE,
+                     val_size: float = VAL_SIZE, seed: int = SPLIT_SEED, out: str = "split") -> DataFrame:
+    """M1: exact stratified test / val / train assignment (test first, val from the rest).
+
+    Rows are ranked inside their class by md5(id, seed) with an exact
+    distributed row number; the first quota rows go to test, the next to val.
+    """
+    from panelwarn.operators.ordering import exact_row_number
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    q_test = stratified_quotas(counts, test_size)
+    rest = {c: counts[c] - q_test[c] for c in counts}
+    q_val = stratified_quotas(rest, val_size) if val_size else {c: 0 for c in counts}
+    ranked = exact_row_number(df.withColumn("_pw_h", hash_order_key(id_col, seed)), [label],
+                              ["_pw_h", id_col], out="_pw_rank")
+    tq = F.lit(None).cast("long")
+    vq = F.lit(None).cast("long")
+    for c in counts:
+        tq = F.when(F.col(label) == F.lit(c), F.lit(q_test[c])).otherwise(tq)
+        vq = F.when(F.col(label) == F.lit(c), F.lit(q_test[c] + q_val[c])).otherwise(vq)
+    split = (F.when(F.col("_pw_rank") <= tq, F.lit("test"))
+              .when(F.col("_pw_rank") <= vq, F.lit("val")).otherwise(F.lit("train")))
+    return ranked.withColumn(out, split).drop("_pw_h", "_pw_rank")
+
+
+def positional_split(df: DataFrame, order: Sequence[str], train: float = 0.8, val: float = 0.9,
+                     out: str = "split") -> DataFrame:
+    """M2 'positional': global 0-based position in ``order``; cut at int(0.8n), int(0.9n)."""
+    from panelwarn.operators.ordering import exact_row_number
+    n = df.count()
+    a, b = int(train * n), int(val * n)
+    pos = exact_row_number(df, [], list(order), out="_pw_pos")
+    p0 = F.col("_pw_pos") - 1
+    return pos.withColumn(out, F.when(p0 < a, "train").when(p0 < b, "val").otherwise("test")).drop("_pw_pos")
+
+
+def temporal_split(df: DataFrame, time_col: str, train: float = 0.8, val: float = 0.9,
+                   out: str = "split") -> DataFrame:
+    """M2 'temporal': cut on time quantiles so every entity contributes to each part."""
+    from panelwarn.operators.ordering import exact_quantiles
+    q = exact_quantiles(df.select(F.col(time_col).cast("timestamp").cast("double").alias("_t")),
+                        [], "_t", [train, val]).orderBy("prob").collect()
+    t1, t2 = q[0]["quantile"], q[1]["quantile"]
+    t = F.col(time_col).cast("timestamp").cast("double")
+    return df.withColumn(out, F.when(t < t1, "train").when(t < t2, "val").otherwise("test"))

@@ -35,3 +35,38 @@ def map_to_vector(map_col, names: Sequence[str], default: float = 0.0) -> Column
     m = F.col(map_col) if isinstance(map_col, str) else map_col
     return F.array(*[F.coalesce(F.try_element_at(m, F.lit(n)).cast("double"), F.lit(float(default)))
                      for n in names])
+
+
+def linear_probability(vector_col: str, coefficients, intercept: float) -> Column:
+    """Logistic score of a fixed linear model over an ARRAY<DOUBLE> (used for checks)."""
+    z = F.lit(float(intercept))
+    for i, w in enumerate(coefficients):
+        z = z + F.lit(float(w)) * F.element_at(F.col(vector_col), i + 1)
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
+
+
+def missing_keys_error(map_col, names) -> Column:
+    """Text naming the required keys absent (or non-finite) in a feature map; NULL if valid."""
+    m = F.col(map_col) if isinstance(map_col, str) else map_col
+    bad = [F.when(F.try_element_at(m, F.lit(n)).isNull() | F.isnan(F.try_element_at(m, F.lit(n))),
+                  F.lit(n)) for n in names]
+    missing = F.array_compact(F.array(*bad))
+    return F.when(F.size(missing) > 0, F.concat(F.lit("missing features: "), F.array_join(missing, ", ")))
+
+
+def score_with_errors(df: DataFrame, map_col: str, names, score, threshold: float,
+                      keep=()) -> DataFrame:
+    """Per-row error capture for batch scoring of feature maps.
+
+    Valid rows (every required key present and finite) are scored by
+    ``score(df_with_vector) -> df with 'probability'``; invalid rows keep their
+    input and get an ``error`` text.  Both kinds stay in the output.
+    """
+    checked = df.withColumn("error", missing_keys_error(map_col, names))
+    good = checked.filter(F.col("error").isNull()).withColumn("_pw_vec", map_to_vector(map_col, names))
+    scored = score(good).withColumn("prediction", (F.col("probability") >= F.lit(threshold)).cast("int"))
+    bad = (checked.filter(F.col("error").isNotNull())
+                  .withColumn("probability", F.lit(None).cast("double"))
+                  .withColumn("prediction", F.lit(None).cast("int")))
+    cols = [*keep, map_col, "probability", "prediction", "error"]
+    return scored.select(*cols).unionByName(bad.select(*cols))

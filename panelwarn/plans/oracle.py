@@ -289,3 +289,324 @@ select q.month, {r6('q1')} as q1, {r6('median')} as median, {r6('q3')} as q3, {r
 from q join s on q.month = s.month"""
 
 SQL["a21_class_counts"] = "select toxic, count(*) as count from labels group by 1"
+
+# ------------------------------------------------------------------ F: scalars
+OD = "o_orderdate"
+SQL["f1_parse_date"] = f"select o_orderkey, cast({OD} as date) as order_date from orders"
+SQL["f2_calendar_parts"] = f"""select o_orderkey, cast(year({OD}) as int) as year, cast(month({OD}) as int) as month,
+  cast(dayofyear({OD}) as int) as dayofyear from orders"""
+SQL["f3_iso_week"] = f"select o_orderkey, cast(weekofyear({OD}) as int) as weekofyear from orders"
+SQL["f4_quarter"] = f"select o_orderkey, cast(floor((month({OD}) - 1) / 3) + 1 as int) as quarter from orders"
+SQL["f5_season_flag"] = f"""select o_orderkey, coalesce(cast(month({OD}) in (6, 7, 8, 9, 10) as int), 0)
+  as is_rainy_season from orders"""
+SQL["f6_month_cyclical"] = f"""select o_orderkey, {r6(f'sin(2 * pi() * month({OD}) / cast(12 as double))')} as month_sin,
+  {r6(f'cos(2 * pi() * month({OD}) / cast(12 as double))')} as month_cos from orders"""
+SQL["f7_dayofyear_cyclical"] = f"""select o_orderkey,
+  {r6(f'sin(2 * pi() * dayofyear({OD}) / cast(365 as double))')} as dayofyear_sin,
+  {r6(f'cos(2 * pi() * dayofyear({OD}) / cast(365 as double))')} as dayofyear_cos from orders"""
+SQL["f8_interaction"] = f"""with {CASES}, {WEATHER}, {JOINED}
+select entity, month_start, {r6('temperature_c * precipitation_mm')} as temp_precip_interaction from j"""
+SQL["f9_year_normalized"] = f"""with {CASES},
+y as (select *, cast(year(month_start) as int) as year from c),
+mm as (select min(year) as lo, max(year) as hi from y)
+select y.*, {r6('cast(year - lo as double) / cast(hi - lo + 1 as double)')} as year_normalized from y, mm"""
+SQL["f10_label_encoding"] = f"""with {CASES}
+select entity, cast(row_number() over (order by entity) - 1 as int) as entity_encoded
+from (select distinct entity from c where entity is not null)"""
+SQL["f11_target_flag"] = f"""with {CASES}, {WEATHER}, {JOINED}
+select entity, month_start, coalesce(cast(temperature_c > 25 as int), 0) as warm_flag from j"""
+SQL["f12_split_yyyymm"] = """with k as (select o_orderkey, cast(o_orderkey as varchar) as s from orders)
+select o_orderkey,
+  length(s) = 6 and try_cast(substr(s, 1, 4) as int) is not null and try_cast(substr(s, 5, 2) as int) is not null
+    as valid,
+  case when length(s) = 6 then try_cast(substr(s, 1, 4) as int) end as year,
+  case when length(s) = 6 then try_cast(substr(s, 5, 2) as int) end as month
+from k"""
+SQL["f15_year_clamp"] = f"select o_orderkey, greatest(1996, cast(year({OD}) as int)) as year from orders"
+SQL["f16_round_abs"] = f"""select event_id, {r6('abs(value - cast(10 as double))')} as abs_dev,
+  round(value / cast(3 as double), 2) as third_2dp from events"""
+
+SCORED = """s as (select l.doc_id, l.quality, l.toxic, d.n_chars,
+  least(cast(1 as double), d.n_chars / cast(5000 as double)) as p
+  from labels l join documents d on l.doc_id = d.doc_id)"""
+
+SQL["f17_threshold_class"] = f"""with {SCORED}
+select doc_id, {r6('p')} as p, cast(p >= cast(0.5 as double) as int) as prediction from s"""
+SQL["f18_alert_text"] = f"""with {SCORED}
+select doc_id, case when p >= cast(0.5 as double) then 'Outbreak Likely' else 'No Outbreak' end as alert,
+  printf('%.2f', p * cast(100 as double)) || '%' as probability_text from s"""
+SQL["f20_scenario_week"] = f"""select o_orderkey,
+  cast(ceil(datediff('day', make_date(cast(year({OD}) as int), 1, 1),
+    make_date(cast(year({OD}) as int), cast(month({OD}) as int), 1)) / cast(7 as double)) + 1 as int)
+  as weekofyear from orders"""
+
+
+def _scenario_sql() -> str:
+    d = "cast({} as double)".format
+    l1, l2, l3 = "cases_lag_1", "cases_lag_2", "cases_lag_3"
+    l6 = f"cast(floor({l3} * {d(0.8)} + {d(0.5)}) as double)"
+    l12 = f"cast(floor({l3} * {d(0.6)} + {d(0.5)}) as double)"
+    ma3 = f"(({l1} + {l2} + {l3}) / {d(3)})"
+    ma6 = f"(({ma3} + {l6}) / {d(2)})"
+    ma12 = f"(({ma6} + {l12}) / {d(2)})"
+
+    def sq(x):
+        return f"(({x}) * ({x}))"
+    cols = {
+        "year": "year", "month": "month", "dayofyear": "1",
+        "weekofyear": "cast(ceil(datediff('day', make_date(year, 1, 1), make_date(year, month, 1)) "
+                      f"/ {d(7)}) + 1 as int)",
+        "quarter": "cast(floor((month - 1) / 3) + 1 as int)",
+        "is_rainy_season": "cast(month >= 6 and month <= 10 as int)",
+        "month_sin": f"sin(2 * pi() * month / {d(12)})", "month_cos": f"cos(2 * pi() * month / {d(12)})",
+        "dayofyear_sin": f"sin(2 * pi() * 1 / {d(365)})", "dayofyear_cos": f"cos(2 * pi() * 1 / {d(365)})",
+        "temperature_c": "temperature_c", "precipitation_mm": "precipitation_mm",
+        "temp_precip_interaction": "temperature_c * precipitation_mm",
+        "dengue_lag_1": l1, "dengue_lag_2": l2, "dengue_lag_3": l3, "dengue_lag_6": l6, "dengue_lag_12": l12,
+        "dengue_ma_3": ma3, "dengue_std_3": f"sqrt(({sq(f'{l1} - {ma3}')} + {sq(f'{l2} - {ma3}')} + {sq(f'{l3} - {ma3}')}) / {d(3)})",
+        "dengue_ma_6": ma6, "dengue_std_6": f"sqrt(({sq(f'{ma3} - {ma6}')} + {sq(f'{l6} - {ma6}')}) / {d(2)})",
+        "dengue_ma_12": ma12, "dengue_std_12": f"sqrt(({sq(f'{ma6} - {ma12}')} + {sq(f'{l12} - {ma12}')}) / {d(2)})",
+    }
+    for name, factors, s3, s6 in (("temperature_c", (0.98, 0.96, 0.94, 0.90, 0.85), 0.8, 0.9),
+                                  ("precipitation_mm", (0.9, 0.8, 0.7, 0.5, 0.3), 0.5, 0.6)):
+        lags = {k: f"({name} * {d(f)})" for k, f in zip((1, 2, 3, 6, 12), factors)}
+        for k, e in lags.items():
+            cols[f"{name}_lag_{k}"] = e
+        m3 = f"(({name} + {lags[1]} + {lags[2]}) / {d(3)})"
+        cols[f"{name}_ma_3"] = m3
+        cols[f"{name}_std_3"] = d(s3)
+        cols[f"{name}_ma_6"] = f"(({m3} + {lags[3]} + {lags[6]}) / {d(3)})"
+        cols[f"{name}_std_6"] = d(s6)
+    cols["time_index"] = "250"
+    cols["year_normalized"] = f"cast(year - 1981 as double) / {d(44)}"
+    cols["ISO_A0_encoded"] = "coalesce(x.ISO_A0_encoded, 0)"
+    ints = {"year", "month", "dayofyear", "weekofyear", "quarter", "is_rainy_season", "time_index", "ISO_A0_encoded"}
+    sel = ",\n  ".join((e if k in ints else r6(e)) + f" as {k}" for k, e in cols.items())
+    return f"""with {CASES}, {WEATHER}, {JOINED},
+bl as (select entity as country, month_start, cast(year(month_start) as int) as year,
+  cast(month(month_start) as int) as month, temperature_c, precipitation_mm,
+  cast(lag(cases, 1) over g as double) as cases_lag_1, cast(lag(cases, 2) over g as double) as cases_lag_2,
+  cast(lag(cases, 3) over g as double) as cases_lag_3 from j {G}),
+x as (select n_name as country, cast(n_nationkey as int) as ISO_A0_encoded from nation)
+select bl.month_start, bl.country,
+  {sel}
+from bl left join x on bl.country = x.country"""
+
+
+SQL["f19_scenario_features"] = _scenario_sql()
+
+# ------------------------------------------------------ the 45-feature table
+FEATURES = [
+    "month", "year", "temperature_c", "precipitation_mm", "dayofyear", "weekofyear", "quarter",
+    "is_rainy_season", "month_sin", "month_cos", "dayofyear_sin", "dayofyear_cos",
+    *[f"dengue_lag_{k}" for k in (1, 2, 3, 6, 12)],
+    *[f"dengue_{s}_{k}" for k in (3, 6, 12) for s in ("ma", "std")],
+    *[f"temperature_c_lag_{k}" for k in (1, 2, 3, 6, 12)],
+    *[f"temperature_c_{s}_{k}" for k in (3, 6) for s in ("ma", "std")],
+    *[f"precipitation_mm_lag_{k}" for k in (1, 2, 3, 6, 12)],
+    *[f"precipitation_mm_{s}_{k}" for k in (3, 6) for s in ("ma", "std")],
+    "temp_precip_interaction", "time_index", "year_normalized", "ISO_A0_encoded",
+]
+INT_FEATURES = {"month", "year", "dayofyear", "weekofyear", "quarter", "is_rainy_season", "ISO_A0_encoded"}
+
+
+def _feature_sql() -> str:
+    cd = "calendar_start_date"
+    fr = "rows between {} preceding and 1 preceding"
+    win = f"partition by ISO_A0 order by {cd}"
+    ex = {
+        "year": f"cast(year({cd}) as int)", "month": f"cast(month({cd}) as int)",
+        "dayofyear": f"cast(dayofyear({cd}) as int)", "weekofyear": f"cast(weekofyear({cd}) as int)",
+        "quarter": f"cast(floor((month({cd}) - 1) / 3) + 1 as int)",
+        "is_rainy_season": f"coalesce(cast(month({cd}) in (6, 7, 8, 9, 10) as int), 0)",
+        "month_sin": f"sin(2 * pi() * month({cd}) / cast(12 as double))",
+        "month_cos": f"cos(2 * pi() * month({cd}) / cast(12 as double))",
+        "dayofyear_sin": f"sin(2 * pi() * dayofyear({cd}) / cast(365 as double))",
+        "dayofyear_cos": f"cos(2 * pi() * dayofyear({cd}) / cast(365 as double))",
+    }
+    for col, pre, lags, wins in (("dengue_total", "dengue", (1, 2, 3, 6, 12), (3, 6, 12)),
+                                 ("temperature_c", "temperature_c", (1, 2, 3, 6, 12), (3, 6)),
+                                 ("precipitation_mm", "precipitation_mm", (1, 2, 3, 6, 12), (3, 6))):
+        for k in lags:
+            ex[f"{pre}_lag_{k}"] = f"lag({col}, {k}) over ({win})"
+        for k in wins:
+            ex[f"{pre}_ma_{k}"] = f"avg({col}) over ({win} {fr.format(k)})"
+            ex[f"{pre}_std_{k}"] = f"stddev_samp({col}) over ({win} {fr.format(k)})"
+    ex["time_index"] = f"cast(row_number() over ({win}) as bigint)"
+    ex["temp_precip_interaction"] = "temperature_c * precipitation_mm"
+    inner = ",\n    ".join(f"{e} as {k}" for k, e in ex.items())
+    return f"""with {CASES}, {WEATHER}, {JOINED},
+raw as (select entity as ISO_A0, month_start as {cd}, cast(cases as double) as dengue_total,
+  temperature_c, precipitation_mm from j),
+f0 as (select *,
+    {inner}
+  from raw),
+mm as (select min(year) as lo, max(year) as hi from f0),
+codes as (select ISO_A0, cast(row_number() over (order by ISO_A0) - 1 as int) as ISO_A0_encoded
+  from (select distinct ISO_A0 from f0 where ISO_A0 is not null)),
+ft as (select f0.*, cast(year - lo as double) / cast(hi - lo + 1 as double) as year_normalized,
+  codes.ISO_A0_encoded, coalesce(cast(dengue_total > 0 as int), 0) as outbreak_flag
+  from f0 cross join mm left join codes on f0.ISO_A0 = codes.ISO_A0)"""
+
+
+FT = _feature_sql()
+_FT_DOUBLE = [c for c in FEATURES if c not in INT_FEATURES and c != "time_index"]
+SQL["fe_feature_table"] = FT + "\nselect " + ", ".join(
+    ["ISO_A0", "calendar_start_date", "dengue_total", "outbreak_flag", "time_index",
+     *[c for c in INT_FEATURES]] + [f"{r6(c)} as {c}" for c in _FT_DOUBLE]) + " from ft"
+SQL["p10_frozen_projection"] = FT + "\nselect ISO_A0, calendar_start_date, " + ", ".join(
+    f"{r6(f'cast({c} as double)')} as {c}" for c in FEATURES) + " from ft"
+
+_A18 = ["dengue_lag_1", "dengue_ma_3", "dengue_ma_6", "dengue_ma_12", "dengue_std_3", "temperature_c",
+        "precipitation_mm", "temperature_c_ma_3", "month", "time_index"]
+SQL["a18_top_target_correlations"] = FT + ",\nk as (" + " union all ".join(
+    [f"select '{c}' as feature, corr({c}, dengue_total) as corr from ft" for c in _A18]
+    + ["select 'dengue_total' as feature, cast(1 as double) as corr"]) + """)
+select feature, """ + r6("corr") + " as corr, " + r6("abs(corr)") + """ as abs_corr
+from k order by abs(corr) desc, feature limit 10"""
+
+# ------------------------------------------------------ M: splits and weights
+SQL["m1_stratified_split"] = """with lab as (select doc_id, quality from labels),
+cnt as (select quality, count(*) as n_c from lab group by 1),
+tot as (select sum(n_c) as n, cast(ceil(cast(0.2 as double) * sum(n_c)) as bigint) as t from cnt),
+qa as (select cnt.quality, cnt.n_c, (tot.t * cnt.n_c) // tot.n as base, (tot.t * cnt.n_c) % tot.n as rem, tot.t
+       from cnt, tot),
+qb as (select *, row_number() over (order by rem desc, quality) as rk, t - sum(base) over () as left_ from qa),
+qt as (select quality, n_c, base + case when rk <= left_ then 1 else 0 end as q_test from qb),
+tot2 as (select sum(n_c - q_test) as n, cast(ceil(cast(0.2 as double) * sum(n_c - q_test)) as bigint) as t from qt),
+va as (select qt.quality, qt.q_test, (tot2.t * (qt.n_c - qt.q_test)) // tot2.n as base,
+       (tot2.t * (qt.n_c - qt.q_test)) % tot2.n as rem, tot2.t from qt, tot2),
+vb as (select *, row_number() over (order by rem desc, quality) as rk, t - sum(base) over () as left_ from va),
+vq as (select quality, q_test, base + case when rk <= left_ then 1 else 0 end as q_val from vb),
+r as (select lab.*, row_number() over (partition by quality
+        order by md5(concat(cast(doc_id as varchar), '-42')), doc_id) as rn from lab)
+select r.doc_id, r.quality, case when rn <= q_test then 'test' when rn <= q_test + q_val then 'val'
+  else 'train' end as split
+from r join vq on r.quality = vq.quality"""
+
+SQL["m2_positional_split"] = f"""with {CASES},
+p as (select entity, month_start, row_number() over (order by entity, month_start) - 1 as pos,
+      count(*) over () as n from c)
+select entity, month_start, case when pos < floor(cast(0.8 as double) * n) then 'train'
+  when pos < floor(cast(0.9 as double) * n) then 'val' else 'test' end as split from p"""
+
+SQL["m3_standard_scaler"] = f"""with st as (select avg(l_quantity) as m1, stddev_pop(l_quantity) as s1,
+  avg(l_extendedprice) as m2, stddev_pop(l_extendedprice) as s2 from lineitem)
+select l_orderkey, l_linenumber,
+  {r6('(l_quantity - m1) / case when s1 = 0 or s1 is null then 1 else s1 end')} as l_quantity_z,
+  {r6('(l_extendedprice - m2) / case when s2 = 0 or s2 is null then 1 else s2 end')} as l_extendedprice_z
+from lineitem, st"""
+
+SQL["m5_flatten_sequences"] = f"""with {CASES}, {WEATHER}, {JOINED},
+s as (select entity, month_start,
+  list([cast(cases as double), {r6('temperature_c')}]) over (partition by entity order by month_start
+       rows between 12 preceding and 1 preceding) as seq, row_number() over g as rn
+  from j {G})
+select entity, month_start, flatten(seq) as flat from s where rn > 12"""
+
+SQL["m6_balanced_weights"] = f"""with cnt as (select quality, count(*) as n_c from labels group by 1),
+tot as (select sum(n_c) as n, count(*) as k from cnt)
+select l.doc_id, l.quality, {r6('cast(n as double) / (k * n_c)')} as weight
+from labels l join cnt on l.quality = cnt.quality, tot"""
+
+SQL["m7_pos_weight"] = f"""with k as (select sum(cast(quality = 0 as bigint)) as neg, sum(cast(quality = 1 as bigint)) as pos
+  from labels)
+select coalesce(neg, 0) as neg, coalesce(pos, 0) as pos,
+  {r6('case when coalesce(pos, 0) > 0 then cast(neg as double) / pos else 1 end')} as scale_pos_weight from k"""
+
+# --------------------------------------------------------------- E: metrics
+
+
+def _sd(a: str, b: str) -> str:
+    return f"case when ({b}) = 0 then cast(0 as double) else cast({a} as double) / ({b}) end"
+
+
+def _confusion(label: str, t: str = "cast(0.5 as double)") -> str:
+    return f"""k as (select
+  coalesce(sum(case when {label} = 0 and not (p >= {t}) then 1 else 0 end), 0) as tn,
+  coalesce(sum(case when {label} = 0 and p >= {t} then 1 else 0 end), 0) as fp,
+  coalesce(sum(case when {label} = 1 and not (p >= {t}) then 1 else 0 end), 0) as fn,
+  coalesce(sum(case when {label} = 1 and p >= {t} then 1 else 0 end), 0) as tp from s)"""
+
+
+F1_1 = _sd("2 * tp", "2 * tp + fp + fn")
+F1_0 = _sd("2 * tn", "2 * tn + fn + fp")
+MACRO = f"(({F1_0}) + ({F1_1})) / 2"
+
+SQL["e1_metric_set"] = f"""with {SCORED}, {_confusion('quality')}
+select {r6(_sd('tp + tn', 'tp + tn + fp + fn'))} as accuracy, {r6(_sd('tp', 'tp + fp'))} as precision,
+  {r6(_sd('tp', 'tp + fn'))} as recall, {r6(F1_1)} as f1, {r6(MACRO)} as macro_f1 from k"""
+
+SQL["e2_confusion_matrix"] = f"""with {SCORED}, {_confusion('quality')}
+select 0 as actual, 0 as predicted, tn as count from k union all
+select 0, 1, fp from k union all select 1, 0, fn from k union all select 1, 1, tp from k"""
+
+_P1, _R1 = _sd("tp", "tp + fp"), _sd("tp", "tp + fn")
+_P0, _R0 = _sd("tn", "tn + fn"), _sd("tn", "tn + fp")
+
+
+def _w(a, b):
+    return _sd(f"({a}) * (tn + fp) + ({b}) * (tp + fn)", "tn + fp + tp + fn")
+
+
+SQL["e3_classification_report"] = f"""with {SCORED}, {_confusion('quality')}
+select '0' as label, {r6(_P0)} as precision, {r6(_R0)} as recall, {r6(F1_0)} as f1, tn + fp as support from k
+union all select '1', {r6(_P1)}, {r6(_R1)}, {r6(F1_1)}, tp + fn from k
+union all select 'macro avg', {r6(f'(({_P0}) + ({_P1})) / 2')}, {r6(f'(({_R0}) + ({_R1})) / 2')},
+  {r6(MACRO)}, tn + fp + tp + fn from k
+union all select 'weighted avg', {r6(_w(_P0, _P1))}, {r6(_w(_R0, _R1))}, {r6(_w(F1_0, F1_1))},
+  tn + fp + tp + fn from k"""
+
+SQL["e4_roc_auc"] = f"""with {SCORED},
+g as (select p, sum(case when quality = 1 then 1 else 0 end) as pos, sum(case when quality = 0 then 1 else 0 end) as neg
+      from s where p is not null group by p),
+c as (select *, coalesce(sum(neg) over (order by p rows between unbounded preceding and 1 preceding), 0) as below
+      from g)
+select {r6('case when sum(pos) > 0 and sum(neg) > 0 then sum(pos * (below + neg * cast(0.5 as double))) / (sum(pos) * sum(neg)) end')}
+  as roc_auc from c"""
+
+SQL["e5_best_threshold"] = f"""with {SCORED},
+t as (select i, cast(0.1 as double) + i * cast(0.01 as double) as threshold from range(81) r(i)),
+k as (select t.i, t.threshold,
+  sum(case when s.quality = 1 and s.p >= t.threshold then 1 else 0 end) as tp,
+  sum(case when s.quality = 0 and s.p >= t.threshold then 1 else 0 end) as fp,
+  sum(case when s.quality = 1 and not (s.p >= t.threshold) then 1 else 0 end) as fn,
+  sum(case when s.quality = 0 and not (s.p >= t.threshold) then 1 else 0 end) as tn
+  from t, s group by 1, 2),
+m as (select i, threshold, {MACRO} as macro_f1 from k),
+b as (select * from m order by macro_f1 desc, i limit 1)
+select {r6('case when macro_f1 > 0 then threshold else cast(0.5 as double) end')} as best_threshold,
+  {r6('case when macro_f1 > 0 then macro_f1 else cast(0 as double) end')} as best_macro_f1 from b"""
+
+SQL["e7_mean_abs_attribution"] = f"""with x as (select 'f' || cast(generate_subscripts(embedding, 1) - 1 as varchar) as feature,
+  unnest(embedding) as value from embeddings)
+select feature, {r6('avg(abs(value))')} as mean_abs from x group by 1 order by avg(abs(value)) desc, feature limit 10"""
+
+SQL["t4_best_candidate"] = f"""with {SCORED},
+cq as (select 'quality' as candidate, 0 as position, quality as y, p from s
+       union all select 'toxic', 1, toxic, p from s),
+k as (select candidate, position,
+  coalesce(sum(case when y = 0 and not (p >= cast(0.5 as double)) then 1 else 0 end), 0) as tn,
+  coalesce(sum(case when y = 0 and p >= cast(0.5 as double) then 1 else 0 end), 0) as fp,
+  coalesce(sum(case when y = 1 and not (p >= cast(0.5 as double)) then 1 else 0 end), 0) as fn,
+  coalesce(sum(case when y = 1 and p >= cast(0.5 as double) then 1 else 0 end), 0) as tp from cq group by 1, 2),
+m as (select candidate, position, {MACRO} as macro_f1 from k)
+select candidate, position, {r6('macro_f1')} as macro_f1 from m order by macro_f1 desc, position limit 1"""
+
+# --------------------------------------------------------- S/C: feature maps
+SQL["s12_feature_map_rows"] = """with m as (select event_id, json_transform(props, '"MAP(VARCHAR, DOUBLE)"') as f
+  from events)
+select event_id, unnest(map_keys(f)) as key, unnest(map_values(f)) as value from m"""
+
+SQL["c3_batch_error_capture"] = f"""with e as (select event_id, event_type,
+  json_transform(props, '"MAP(VARCHAR, DOUBLE)"')['k'] as k,
+  case when event_type = 'error' then null else value end as v from events),
+z as (select *, cast(-2.0 as double) + cast(0.02 as double) * k + cast(0.05 as double) * v as z,
+  k is null or isnan(k) as bad_k, v is null or isnan(v) as bad_v from e)
+select event_id,
+  case when bad_k or bad_v then null else {r6('cast(1 as double) / (cast(1 as double) + exp(-z))')} end as probability,
+  case when bad_k or bad_v then null
+    else cast(cast(1 as double) / (cast(1 as double) + exp(-z)) >= cast(0.5 as double) as int) end as prediction,
+  case when bad_k or bad_v then 'missing features: ' || concat_ws(', ', case when bad_k then 'k' end,
+    case when bad_v then 'value' end) end as error
+from z"""

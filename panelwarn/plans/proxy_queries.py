@@ -394,3 +394,292 @@ def a20_box_stats(spark, sf_dir):
 @register("a21_class_counts")
 def a21_class_counts(spark, sf_dir):
     return A.class_counts(read_table(spark, sf_dir, "labels", "toxic"), "toxic")
+
+
+# ---------------------------------------------------------- F: scalar funcs
+from panelwarn import functions as FN  # noqa: E402
+from panelwarn.operators import metrics as E  # noqa: E402
+from panelwarn.operators import sampling as M  # noqa: E402
+from panelwarn.operators import weighting as WT  # noqa: E402
+from panelwarn.operators.features import engineer_features, label_codes, year_normalized  # noqa: E402
+from panelwarn.schemas import FEATURE_COLUMNS  # noqa: E402
+
+
+def _orders(spark, sf_dir):
+    return read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate") \
+        .withColumn("order_date", F.col("o_orderdate").cast("date"))
+
+
+@register("f1_parse_date")
+def f1_parse_date(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    return o.select("o_orderkey", FN.parse_date(F.col("o_orderdate").cast("string")).alias("order_date"))
+
+
+@register("f2_calendar_parts")
+def f2_calendar_parts(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    return o.select("o_orderkey", FN.year_of("order_date").alias("year"), FN.month_of("order_date").alias("month"),
+                    FN.day_of_year("order_date").alias("dayofyear"))
+
+
+@register("f3_iso_week")
+def f3_iso_week(spark, sf_dir):
+    return _orders(spark, sf_dir).select("o_orderkey", FN.iso_week("order_date").alias("weekofyear"))
+
+
+@register("f4_quarter")
+def f4_quarter(spark, sf_dir):
+    return _orders(spark, sf_dir).select("o_orderkey", FN.quarter_of(FN.month_of("order_date")).alias("quarter"))
+
+
+@register("f5_season_flag")
+def f5_season_flag(spark, sf_dir):
+    return _orders(spark, sf_dir).select("o_orderkey", FN.season_flag(FN.month_of("order_date")).alias("is_rainy_season"))
+
+
+@register("f6_month_cyclical")
+def f6_month_cyclical(spark, sf_dir):
+    s, c = FN.cyclical(FN.month_of("order_date"), 12)
+    return _orders(spark, sf_dir).select("o_orderkey", round6(s).alias("month_sin"), round6(c).alias("month_cos"))
+
+
+@register("f7_dayofyear_cyclical")
+def f7_dayofyear_cyclical(spark, sf_dir):
+    s, c = FN.cyclical(FN.day_of_year("order_date"), 365)
+    return _orders(spark, sf_dir).select("o_orderkey", round6(s).alias("dayofyear_sin"),
+                                         round6(c).alias("dayofyear_cos"))
+
+
+@register("f8_interaction")
+def f8_interaction(spark, sf_dir):
+    j = proxy.joined_panel(spark, sf_dir)
+    return j.select("entity", "month_start", round6(FN.interaction("temperature_c", "precipitation_mm"))
+                    .alias("temp_precip_interaction"))
+
+
+@register("f9_year_normalized")
+def f9_year_normalized(spark, sf_dir):
+    c = proxy.case_panel(spark, sf_dir).withColumn("year", FN.year_of("month_start"))
+    return _r6_all(year_normalized(c), ["year_normalized"])
+
+
+@register("f10_label_encoding")
+def f10_label_encoding(spark, sf_dir):
+    return label_codes(proxy.case_panel(spark, sf_dir), "entity")
+
+
+@register("f11_target_flag")
+def f11_target_flag(spark, sf_dir):
+    j = proxy.joined_panel(spark, sf_dir)
+    return j.select("entity", "month_start", FN.positive_flag("temperature_c", 25).alias("warm_flag"))
+
+
+@register("f12_split_yyyymm")
+def f12_split_yyyymm(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders", "o_orderkey")
+    valid, y, m = FN.split_yyyymm(F.col("o_orderkey").cast("string"))
+    return o.select("o_orderkey", valid.alias("valid"), y.alias("year"), m.alias("month"))
+
+
+@register("f15_year_clamp")
+def f15_year_clamp(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    return o.select("o_orderkey", FN.year_clamp(FN.year_of("order_date"), 1996).alias("year"))
+
+
+@register("f16_round_abs")
+def f16_round_abs(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", "event_id", "value")
+    return e.select("event_id", round6(F.abs(F.col("value") - F.lit(10.0))).alias("abs_dev"),
+                    F.round(F.col("value") / F.lit(3.0), 2).alias("third_2dp"))
+
+
+def _scored_labels(spark, sf_dir):
+    lab = read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "n_chars")
+    return lab.join(docs, "doc_id").withColumn(
+        "p", F.least(F.lit(1.0), F.col("n_chars") / F.lit(5000.0)))
+
+
+@register("f17_threshold_class")
+def f17_threshold_class(spark, sf_dir):
+    s = _scored_labels(spark, sf_dir)
+    return s.select("doc_id", round6("p").alias("p"), FN.threshold_class("p", 0.5).alias("prediction"))
+
+
+@register("f18_alert_text")
+def f18_alert_text(spark, sf_dir):
+    s = _scored_labels(spark, sf_dir).withColumn("prediction", FN.threshold_class("p", 0.5))
+    return s.select("doc_id", FN.alert_label("prediction").alias("alert"), FN.percent_text("p").alias("probability_text"))
+
+
+@register("f19_scenario_features")
+def f19_scenario_features(spark, sf_dir):
+    from panelwarn.operators.scenario import scenario_features
+    j = proxy.joined_panel(spark, sf_dir)
+    base = _window_query(j, CASE_SPEC, lambda w, _i: lag_columns("cases", (1, 2, 3), w, prefix="cases"), 3)
+    base = base.select(F.col("entity").alias("country"), "month_start", "year", "month", *EXOG,
+                       *[F.col(f"cases_lag_{k}").cast("double").alias(f"cases_lag_{k}") for k in (1, 2, 3)])
+    codes = read_table(spark, sf_dir, "nation", "n_name", "n_nationkey") \
+        .select(F.col("n_name").alias("country"), F.col("n_nationkey").cast("int").alias("ISO_A0_encoded"))
+    out = scenario_features(base, codes, keep=["month_start"])
+    dbl = [f.name for f in out.schema.fields if f.dataType.typeName() == "double"]
+    return _r6_all(out, dbl)
+
+
+@register("f20_scenario_week")
+def f20_scenario_week(spark, sf_dir):
+    o = _orders(spark, sf_dir)
+    return o.select("o_orderkey", FN.scenario_week_of_year(FN.year_of("order_date"), FN.month_of("order_date"))
+                    .alias("weekofyear"))
+
+
+# ----------------------------------------------------- feature table (all W/F)
+def feature_table(spark, sf_dir):
+    j = proxy.joined_panel(spark, sf_dir)
+    raw = j.select(F.col("entity").alias("ISO_A0"), F.col("month_start").alias("calendar_start_date"),
+                   F.col("cases").cast("double").alias("dengue_total"), *EXOG)
+    return engineer_features(raw)
+
+
+def _r6_doubles(df):
+    return _r6_all(df, [f.name for f in df.schema.fields
+                        if f.dataType.typeName() == "double" and f.name != "dengue_total"])
+
+
+@register("fe_feature_table")
+def fe_feature_table(spark, sf_dir):
+    return _r6_doubles(feature_table(spark, sf_dir))
+
+
+@register("p10_frozen_projection")
+def p10_frozen_projection(spark, sf_dir):
+    from panelwarn.operators.scoring import align_features
+    ft = feature_table(spark, sf_dir)
+    return _r6_doubles(align_features(ft, FEATURE_COLUMNS, keep=["ISO_A0", "calendar_start_date"]))
+
+
+@register("a18_top_target_correlations")
+def a18_top_target_correlations(spark, sf_dir):
+    ft = feature_table(spark, sf_dir)
+    return _r6_all(A.top_correlated(ft, ["dengue_lag_1", "dengue_ma_3", "dengue_ma_6", "dengue_ma_12",
+                                         "dengue_std_3", "temperature_c", "precipitation_mm",
+                                         "temperature_c_ma_3", "month", "time_index", "dengue_total"],
+                                    "dengue_total", 10), ["corr", "abs_corr"])
+
+
+# ------------------------------------------------------ M: splits & weights
+@register("m1_stratified_split")
+def m1_stratified_split(spark, sf_dir):
+    lab = read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    return M.stratified_split(lab, "quality", "doc_id")
+
+
+@register("m2_positional_split")
+def m2_positional_split(spark, sf_dir):
+    c = proxy.case_panel(spark, sf_dir).select("entity", "month_start")
+    return M.positional_split(c, ["entity", "month_start"])
+
+
+@register("m3_standard_scaler")
+def m3_standard_scaler(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    model = WT.fit_standard_scaler(li, ["l_quantity", "l_extendedprice"])
+    out = model.transform(li, suffix="_z").drop("l_quantity", "l_extendedprice")
+    return _r6_all(out, ["l_quantity_z", "l_extendedprice_z"])
+
+
+@register("m5_flatten_sequences")
+def m5_flatten_sequences(spark, sf_dir):
+    s = w10_lookback_sequences(spark, sf_dir)
+    return s.select("entity", "month_start", M.flatten_sequences("seq").alias("flat"))
+
+
+@register("m6_balanced_weights")
+def m6_balanced_weights(spark, sf_dir):
+    lab = read_table(spark, sf_dir, "labels", "doc_id", "quality")
+    return _r6_all(WT.balanced_weights(lab, "quality"), ["weight"])
+
+
+@register("m7_pos_weight")
+def m7_pos_weight(spark, sf_dir):
+    lab = read_table(spark, sf_dir, "labels", "quality")
+    return _r6_all(WT.positive_class_weight(lab, "quality"), ["scale_pos_weight"])
+
+
+# ------------------------------------------------------------ E: evaluation
+def _pred(spark, sf_dir, label="quality", t=0.5):
+    return _scored_labels(spark, sf_dir).withColumn("y", F.col(label)) \
+        .withColumn("pred", FN.threshold_class("p", t))
+
+
+@register("e1_metric_set")
+def e1_metric_set(spark, sf_dir):
+    m = E.metric_set(_pred(spark, sf_dir), "y", "pred")
+    return _r6_all(m, m.columns)
+
+
+@register("e2_confusion_matrix")
+def e2_confusion_matrix(spark, sf_dir):
+    return E.confusion_long(_pred(spark, sf_dir), "y", "pred")
+
+
+@register("e3_classification_report")
+def e3_classification_report(spark, sf_dir):
+    return _r6_all(E.classification_report(_pred(spark, sf_dir), "y", "pred"), ["precision", "recall", "f1"])
+
+
+@register("e4_roc_auc")
+def e4_roc_auc(spark, sf_dir):
+    return _r6_all(E.roc_auc(_pred(spark, sf_dir), "y", "p"), ["roc_auc"])
+
+
+@register("e5_best_threshold")
+def e5_best_threshold(spark, sf_dir):
+    return _r6_all(E.best_threshold(_pred(spark, sf_dir), "y", "p"), ["best_threshold", "best_macro_f1"])
+
+
+@register("e7_mean_abs_attribution")
+def e7_mean_abs_attribution(spark, sf_dir):
+    emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    long = emb.select("vec_id", F.posexplode("embedding").alias("pos", "value")) \
+              .withColumn("feature", F.concat(F.lit("f"), F.col("pos").cast("string")))
+    return _r6_all(E.mean_abs_attribution(long, k=10), ["mean_abs"])
+
+
+@register("t4_best_candidate")
+def t4_best_candidate(spark, sf_dir):
+    rows = []
+    for pos, label in enumerate(("quality", "toxic")):
+        m = E.metric_set(_pred(spark, sf_dir, label), "y", "pred")
+        rows.append(m.select(F.lit(label).alias("candidate"), F.lit(pos).alias("position"), "macro_f1"))
+    metrics = P.union_frames(rows)
+    return _r6_all(E.select_best(metrics), ["macro_f1"])
+
+
+# --------------------------------------------------------- S/C: maps, scoring
+def _event_maps(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", "event_id", "event_type", "value", "props")
+    props = F.from_json("props", "map<string,double>")
+    with_value = F.map_concat(props, F.create_map(F.lit("value"), F.col("value")))
+    return e.select("event_id", F.when(F.col("event_type") == "error", props).otherwise(with_value)
+                    .alias("features"))
+
+
+@register("s12_feature_map_rows")
+def s12_feature_map_rows(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", "event_id", "props")
+    m = e.select("event_id", F.from_json("props", "map<string,double>").alias("features"))
+    return m.select("event_id", F.explode("features").alias("key", "value"))
+
+
+@register("c3_batch_error_capture")
+def c3_batch_error_capture(spark, sf_dir):
+    from panelwarn.operators.scoring import linear_probability, score_with_errors
+    maps = _event_maps(spark, sf_dir)
+
+    def score(df):
+        return df.withColumn("probability", linear_probability("_pw_vec", [0.02, 0.05], -2.0))
+    out = score_with_errors(maps, "features", ["k", "value"], score, 0.5, keep=["event_id"])
+    return _r6_all(out.drop("features"), ["probability"])

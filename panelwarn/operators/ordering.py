@@ -11,6 +11,12 @@ helpers here get the same exact answers with a range shuffle instead:
    gives each piece its offset inside the group.  It is joined back without a
    broadcast hint: AQE broadcasts it at run time when it is small and keeps a
    shuffle join (keys bounded by one range partition, so no skew) otherwise.
+
+The range bounds come from a sample seeded by the RDD id, so two evaluations
+of the same ``repartitionByRange`` may cut differently.  The numbered frame is
+therefore written once to the reliable checkpoint folder and both consumers
+(piece counts and the join back) read that single materialisation; this also
+keeps the numbering stable when an executor is lost and tasks are retried.
 """
 
 from __future__ import annotations
@@ -20,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwarn.session import cut_lineage
+
 _PID, _MID, _M0, _OFF = "_pw_pid", "_pw_mid", "_pw_m0", "_pw_off"
 
 
@@ -36,7 +44,8 @@ def _ranged(df: DataFrame, by: Sequence[str], order: Sequence, num_partitions: i
     keys = _cols(by) + _cols(order)
     n = num_partitions or default_partitions(df)
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    return ranged.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
+    ranged = ranged.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
+    return cut_lineage(ranged)
 
 
 def _piece_offsets(ranged: DataFrame, by: Sequence[str], sums: Sequence[str] = ()) -> DataFrame:

@@ -70,3 +70,61 @@ def score_with_errors(df: DataFrame, map_col: str, names, score, threshold: floa
                   .withColumn("prediction", F.lit(None).cast("int")))
     cols = [*keep, map_col, "probability", "prediction", "error"]
     return scored.select(*cols).unionByName(bad.select(*cols))
+
+
+# ------------------------------------------------------------------ scorers
+class OutbreakScorer:
+    """Apply a saved pipeline (model + scaler + frozen feature list)."""
+
+    def __init__(self, model, scaler, meta: dict):
+        self.model, self.scaler, self.meta = model, scaler, meta
+        self.features = list(meta["feature_columns"])
+        self.threshold = float(meta["optimal_threshold"])
+
+    @classmethod
+    def load(cls, spark, path: str) -> "OutbreakScorer":
+        from panelwarn.operators.models import load_artifacts
+        return cls(*load_artifacts(spark, path))
+
+    def score_features(self, df: DataFrame, keep=(), apply_threshold: bool = True) -> DataFrame:
+        """Score rows that already carry the feature columns (absent ones = 0.0)."""
+        from pyspark.ml.functions import vector_to_array
+        aligned = align_features(df, self.features, keep=keep)
+        scaled = self.scaler.transform(aligned)
+        out = self.model.transform(scaled).withColumn(
+            "probability_1", vector_to_array(F.col("probability")).getItem(1))
+        cols = [*keep, F.col("probability_1").alias("outbreak_probability")]
+        if apply_threshold:
+            cols.append((F.col("probability_1") >= F.lit(self.threshold)).cast("int").alias("prediction"))
+        return out.select(*cols, F.lit(self.threshold).alias("threshold_used"),
+                          F.lit(self.meta.get("model_type")).alias("model_type"))
+
+    def score_panel(self, raw: DataFrame, spec, codes: DataFrame | None = None,
+                    apply_threshold: bool = True) -> DataFrame:
+        """Raw panel rows -> training features -> complete rows -> scores, keys kept."""
+        from panelwarn.operators.features import apply_label_codes, engineer_features
+        from panelwarn.operators.panel import complete_rows
+        require_columns(raw, [spec.entity, spec.time, spec.target], "scoring input")
+        feats = engineer_features(raw, spec, encode_entity=codes is None)
+        if codes is not None:
+            feats = apply_label_codes(feats, codes, spec.entity)
+        done = complete_rows(feats, [c for c in self.features if c in feats.columns])
+        require_rows(done, "scoring input")
+        return self.score_features(done, keep=[spec.entity, spec.time], apply_threshold=apply_threshold)
+
+    def score_maps(self, df: DataFrame, map_col: str = "features", keep=()) -> DataFrame:
+        """MAP<STRING, DOUBLE> rows -> probability, class, threshold, model type."""
+        vec = df.select(*keep, *[F.coalesce(F.try_element_at(F.col(map_col), F.lit(n)).cast("double"),
+                                            F.lit(0.0)).alias(n) for n in self.features])
+        return self.score_features(vec, keep=keep)
+
+    def score_maps_with_errors(self, df: DataFrame, map_col: str = "features", keep=()) -> DataFrame:
+        """C3 with the saved model: invalid maps get an error text instead of a score."""
+        checked = df.withColumn("error", missing_keys_error(map_col, self.features))
+        good = self.score_maps(checked.filter(F.col("error").isNull()), map_col, keep=[*keep, map_col])
+        good = good.select(*keep, map_col, F.col("outbreak_probability").alias("probability"), "prediction",
+                           F.lit(None).cast("string").alias("error"))
+        bad = checked.filter(F.col("error").isNotNull()).select(
+            *keep, map_col, F.lit(None).cast("double").alias("probability"),
+            F.lit(None).cast("int").alias("prediction"), "error")
+        return good.unionByName(bad)

@@ -610,3 +610,49 @@ select event_id,
   case when bad_k or bad_v then 'missing features: ' || concat_ws(', ', case when bad_k then 'k' end,
     case when bad_v then 'value' end) end as error
 from z"""
+
+SQL["w3_part_daily_rolling"] = f"""with p as (select l_partkey, cast(l_shipdate as date) as ship_day,
+  coalesce(sum(l_quantity), 0) as l_quantity from lineitem
+  where l_partkey is not null and l_shipdate is not null group by 1, 2)
+select l_partkey, ship_day, l_quantity,
+  {", ".join(f"lag(l_quantity, {k}) over g as qty_lag_{k}" for k in (1, 3, 12))},
+  {", ".join(f"{r6(f'{fn}(l_quantity) over (partition by l_partkey order by ship_day rows between {k} preceding and 1 preceding)')} as qty_{nm}_{k}" for k in (3, 12) for fn, nm in (("avg", "ma"), ("stddev_samp", "std")))},
+  cast(row_number() over g as bigint) as time_index
+from p window g as (partition by l_partkey order by ship_day)"""
+
+
+def _u(col: str, tag: str) -> str:
+    return (f"cast(cast(('0x' || substr(md5(cast({col} as varchar) || '-42-{tag}'), 1, 8)) as bigint) as double)"
+            " / cast(4294967296 as double)")
+
+
+_R6L = "list_transform({}, lambda x: floor(x * 1e6 + 0.5) / 1e6)"
+SMOTE_CTE = f"""e as (select vec_id, cast(embedding as double[]) as vec,
+    case when label = 0 then 0 else 1 end as y from embeddings),
+cnt as (select y, count(*) as n from e group by y),
+mn as (select y as my, n as n_min from cnt order by n, y limit 1),
+mj as (select sum(n) as n_maj from cnt, mn where cnt.y <> mn.my),
+m as (select vec_id as id, vec, row_number() over (order by vec_id) - 1 as base_i from e, mn where e.y = mn.my),
+d as (select a.id as q, b.id as nb_id,
+    list_sum(list_transform(list_zip(a.vec, b.vec), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) as d2
+    from m a join m b on a.id <> b.id),
+knn as (select q, nb_id, row_number() over (partition by q order by d2, nb_id) as rank from d),
+s as (select range as sid from range((select cast(n_maj - n_min as bigint) from mj, mn))),
+sp as (select sid, cast(floor({_u('sid', 'base')} * n_min) as bigint) as base_i,
+    cast(floor({_u('sid', 'nb')} * least(5, n_min - 1)) + 1 as int) as rank, {_u('sid', 'gap')} as gap
+    from s, mn),
+syn as (select sp.sid, b.vec as base_vec, nb.vec as nb_vec, sp.gap from sp
+    join m b on sp.base_i = b.base_i join knn on knn.q = b.id and knn.rank = sp.rank
+    join m nb on nb.id = knn.nb_id)"""
+
+SQL["m4_smote"] = f"""with {SMOTE_CTE}
+select vec_id, {_R6L.format('vec')} as embedding, y, false as synthetic, cast(null as bigint) as synthetic_id from e
+union all
+select cast(null as bigint), {_R6L.format('list_transform(list_zip(base_vec, nb_vec), lambda x: x[1] + gap * (x[2] - x[1]))')},
+  (select my from mn), true, sid from syn"""
+
+SQL["a22_class_counts_before_after"] = f"""with {SMOTE_CTE},
+b as (select y, count(*) as before from e group by y),
+a as (select y, count(*) as after from (select y from e union all select (select my from mn) from syn) group by y)
+select coalesce(b.y, a.y) as y, coalesce(before, 0) as before, coalesce(after, 0) as after
+from b full join a on b.y = a.y"""

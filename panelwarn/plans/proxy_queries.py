@@ -683,3 +683,185 @@ def c3_batch_error_capture(spark, sf_dir):
         return df.withColumn("probability", linear_probability("_pw_vec", [0.02, 0.05], -2.0))
     out = score_with_errors(maps, "features", ["k", "value"], score, 0.5, keep=["event_id"])
     return _r6_all(out.drop("features"), ["probability"])
+
+
+# ------------------------------------------- models, scoring, streaming (rows)
+def _model_frame(spark, sf_dir):
+    ft = feature_table(spark, sf_dir)
+    return ft.withColumn("row_id", F.concat_ws("|", "ISO_A0", F.col("calendar_start_date").cast("string"))) \
+             .withColumn("label", (F.col("dengue_total") > F.col("dengue_ma_3")).cast("int"))
+
+
+def _train(spark, sf_dir, names):
+    from panelwarn.operators.models import PRESETS, train_and_select
+    return train_and_select(_model_frame(spark, sf_dir), "label", "row_id", FEATURE_COLUMNS,
+                            [PRESETS[n] for n in names])
+
+
+def _result_frame(spark, res):
+    m = res.metrics
+    return spark.createDataFrame(
+        [(res.best_name, float(res.threshold), float(m["accuracy"]), float(m["precision"]), float(m["recall"]),
+          float(m["f1"]), float(m["macro_f1"]), None if m["roc_auc"] is None else float(m["roc_auc"]))],
+        "model string, threshold double, accuracy double, precision double, recall double, f1 double, "
+        "macro_f1 double, roc_auc double")
+
+
+@register("m8_random_forest")
+def m8_random_forest(spark, sf_dir):
+    return _result_frame(spark, _train(spark, sf_dir, ["RandomForest"]))
+
+
+@register("m9_boosted_trees")
+def m9_boosted_trees(spark, sf_dir):
+    return _result_frame(spark, _train(spark, sf_dir, ["XGBoost"]))
+
+
+@register("m10_boosted_trees_pos_weight")
+def m10_boosted_trees_pos_weight(spark, sf_dir):
+    return _result_frame(spark, _train(spark, sf_dir, ["LightGBM"]))
+
+
+@register("m12_forest_importances")
+def m12_forest_importances(spark, sf_dir):
+    from panelwarn.operators.models import forest_importances
+    return forest_importances(feature_table(spark, sf_dir), FEATURE_COLUMNS, "dengue_total", trees=100, k=15)
+
+
+@register("m13_boosted_regression_r2")
+def m13_boosted_regression_r2(spark, sf_dir):
+    from panelwarn.operators.models import boosted_regression_r2
+    return boosted_regression_r2(_model_frame(spark, sf_dir), FEATURE_COLUMNS, "dengue_total", "row_id")
+
+
+@register("m15_model_comparison")
+def m15_model_comparison(spark, sf_dir):
+    res = _train(spark, sf_dir, ["RandomForest", "XGBoost", "LightGBM"])
+    rows = [(n, i, float(v), n == res.best_name) for i, (n, v) in enumerate(res.all_models.items())]
+    return spark.createDataFrame(rows, "model string, position int, macro_f1 double, selected boolean")
+
+
+def _saved_scorer(spark, sf_dir):
+    import uuid
+    from panelwarn.operators.models import save_artifacts
+    from panelwarn.operators.scoring import OutbreakScorer
+    from panelwarn.session import checkpoint_dir
+    res = _train(spark, sf_dir, ["RandomForest"])
+    path = f"{checkpoint_dir(spark)}/artifacts/{uuid.uuid4().hex}"
+    save_artifacts(res, path)
+    return OutbreakScorer.load(spark, path), path
+
+
+@register("c1_batch_panel_scoring")
+def c1_batch_panel_scoring(spark, sf_dir):
+    scorer, _ = _saved_scorer(spark, sf_dir)
+    j = proxy.joined_panel(spark, sf_dir)
+    raw = j.select(F.col("entity").alias("ISO_A0"), F.col("month_start").alias("calendar_start_date"),
+                   F.col("cases").cast("double").alias("dengue_total"), *EXOG)
+    return scorer.score_panel(raw, PanelSpec())
+
+
+def _feature_maps(spark, sf_dir):
+    ft = _model_frame(spark, sf_dir)
+    return ft.select("row_id", F.map_from_arrays(F.array(*[F.lit(c) for c in FEATURE_COLUMNS]),
+                                                 F.array(*[F.col(c).cast("double") for c in FEATURE_COLUMNS]))
+                     .alias("features"))
+
+
+@register("c2_feature_map_scoring")
+def c2_feature_map_scoring(spark, sf_dir):
+    scorer, _ = _saved_scorer(spark, sf_dir)
+    return scorer.score_maps(_feature_maps(spark, sf_dir), keep=["row_id"])
+
+
+@register("c4_stream_scoring")
+def c4_stream_scoring(spark, sf_dir):
+    from panelwarn.streaming.scoring_stream import start_scoring
+    scorer, path = _saved_scorer(spark, sf_dir)
+    src, sink, ck = f"{path}/requests", f"{path}/scored", f"{path}/stream_ckpt"
+    maps = _feature_maps(spark, sf_dir).select(F.xxhash64("row_id").alias("request_id"), "features")
+    maps.write.mode("overwrite").json(src)
+    q = start_scoring(spark, scorer, src, sink, ck)
+    q.awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@register("e6_permutation_importance")
+def e6_permutation_importance(spark, sf_dir):
+    from panelwarn.operators.explain import permutation_importance
+    from panelwarn.operators.models import positive_probability
+    res = _train(spark, sf_dir, ["RandomForest"])
+    frame = _model_frame(spark, sf_dir).select("row_id", "label", *FEATURE_COLUMNS)
+    frame = P.complete_rows(frame)
+
+    def score(df):
+        return positive_probability(res.best_model.transform(res.scaler.transform(df)))
+    return permutation_importance(frame, "row_id", "label", FEATURE_COLUMNS, score, res.threshold)
+
+
+# ------------------------------------------- larger panel: parts x ship days
+def part_daily_panel(spark, sf_dir):
+    """lineitem collapsed to one row per (part, ship day): the finer, wider panel."""
+    li = read_table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate", "l_quantity")
+    li = li.withColumn("ship_day", F.col("l_shipdate").cast("date"))
+    return P.collapse_panel(li, "l_partkey", "ship_day", ["l_quantity"])
+
+
+@register("w3_part_daily_rolling")
+def w3_part_daily_rolling(spark, sf_dir):
+    spec = PanelSpec(entity="l_partkey", time="ship_day", target="l_quantity")
+
+    def build(w, idx):
+        cols = lag_columns("l_quantity", (1, 3, 12), w, prefix="qty")
+        cols.update(past_rolling("l_quantity", (3, 12), w, prefix="qty"))
+        cols["time_index"] = idx
+        return cols
+    f = apply_panel_window(part_daily_panel(spark, sf_dir), spec, build, lookback=12)
+    return _r6_all(f, ["qty_ma_3", "qty_std_3", "qty_ma_12", "qty_std_12"])
+
+
+# ------------------------------------------------------------- M4: SMOTE
+def _embedding_classes(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    return e.select("vec_id", "embedding", F.when(F.col("label") == 0, 0).otherwise(1).alias("y"))
+
+
+@register("m4_smote")
+def m4_smote(spark, sf_dir):
+    from panelwarn.operators.smote import smote
+    out = smote(_embedding_classes(spark, sf_dir), "y", "vec_id", "embedding")
+    return out.withColumn("embedding", F.transform("embedding", lambda x: round6(x)))
+
+
+@register("a22_class_counts_before_after")
+def a22_class_counts_before_after(spark, sf_dir):
+    from panelwarn.operators.smote import smote
+    before = _embedding_classes(spark, sf_dir)
+    after = smote(before, "y", "vec_id", "embedding")
+    return A.compare_class_counts(before, after, "y")
+
+
+@register("m14_sequence_mlp")
+def m14_sequence_mlp(spark, sf_dir):
+    """Neural classifier on flattened 12-step sequences, minority balanced by SMOTE."""
+    from pyspark.ml.classification import MultilayerPerceptronClassifier
+    from pyspark.ml.functions import array_to_vector
+    from panelwarn.operators.smote import smote
+    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", "cases", *EXOG)
+    z = M.standardize_within(j, ["entity"], ["cases", *EXOG], suffix="_z")
+    z = z.withColumn("target", (F.col("cases") > F.avg("cases").over(
+        __import__("pyspark.sql").sql.Window.partitionBy("entity"))).cast("int"))
+    seq = M.lookback_sequences(P.complete_rows(z, ["cases_z", "temperature_c_z", "precipitation_mm_z"]),
+                               CASE_SPEC, ["cases_z", "temperature_c_z", "precipitation_mm_z"], "target", 12)
+    flat = seq.select(F.concat_ws("|", "entity", F.col("month_start").cast("string")).alias("sid"),
+                      M.flatten_sequences("seq").alias("x"), "target")
+    split = M.positional_split(flat, ["sid"])
+    train = smote(split.filter("split = 'train'"), "target", "sid", "x")
+    mlp = MultilayerPerceptronClassifier(layers=[36, 32, 16, 2], maxIter=100, seed=42,
+                                         featuresCol="features", labelCol="label")
+    model = mlp.fit(train.select(array_to_vector("x").alias("features"),
+                                 F.col("target").cast("double").alias("label")))
+    test = split.filter("split = 'test'").select("sid", array_to_vector("x").alias("features"), "target")
+    from panelwarn.operators.models import positive_probability
+    scored = positive_probability(model.transform(test))
+    return E.metric_set(scored.withColumn("pred", FN.threshold_class("proba", 0.5)), "target", "pred")

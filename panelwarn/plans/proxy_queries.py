@@ -849,8 +849,8 @@ def m14_sequence_mlp(spark, sf_dir):
     from panelwarn.operators.smote import smote
     j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", "cases", *EXOG)
     z = M.standardize_within(j, ["entity"], ["cases", *EXOG], suffix="_z")
-    z = z.withColumn("target", (F.col("cases") > F.avg("cases").over(
-        __import__("pyspark.sql").sql.Window.partitionBy("entity"))).cast("int"))
+    means = j.groupBy("entity").agg(F.avg("cases").alias("_mean_cases"))  # one row per entity
+    z = z.join(means, "entity").withColumn("target", (F.col("cases") > F.col("_mean_cases")).cast("int"))
     seq = M.lookback_sequences(P.complete_rows(z, ["cases_z", "temperature_c_z", "precipitation_mm_z"]),
                                CASE_SPEC, ["cases_z", "temperature_c_z", "precipitation_mm_z"], "target", 12)
     flat = seq.select(F.concat_ws("|", "entity", F.col("month_start").cast("string")).alias("sid"),

@@ -38,24 +38,46 @@ def case_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .agg(F.count(F.lit(1)).alias("cases")))
 
 
-def weather_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly covariates: (entity, year INT, month INT, temperature_c, precipitation_mm)."""
+def _weather_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity", "l_discount", "l_shipdate")
     s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
-    j = (li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey))
+    return li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
+
+
+def _weather_aggs():
+    return [(F.sum(F.col("l_quantity").cast("long")).cast("double") / F.count(F.lit(1))).alias("temperature_c"),
+            (F.sum(F.round(F.col("l_discount") * 100).cast("long")).cast("double")
+             / F.count(F.lit(1))).alias("precipitation_mm")]
+
+
+def weather_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly covariates: (entity, year INT, month INT, temperature_c, precipitation_mm)."""
+    j = _weather_rows(spark, sf_dir)
     return (j.groupBy(F.col("n_name").alias("entity"),
                       F.year("l_shipdate").cast("int").alias("year"),
                       F.month("l_shipdate").cast("int").alias("month"))
-             .agg((F.sum(F.col("l_quantity").cast("long")).cast("double") / F.count(F.lit(1)))
-                  .alias("temperature_c"),
-                  (F.sum(F.round(F.col("l_discount") * 100).cast("long")).cast("double")
-                   / F.count(F.lit(1))).alias("precipitation_mm")))
+             .agg(*_weather_aggs()))
+
+
+def weather_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same covariates keyed by (entity, month_start), the case panel's key."""
+    j = _weather_rows(spark, sf_dir)
+    return (j.groupBy(F.col("n_name").alias("entity"),
+                      F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month_start"))
+             .agg(*_weather_aggs()))
 
 
 def joined_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J1 on the proxies: cases LEFT JOIN weather on (entity, year, month)."""
-    c = case_panel(spark, sf_dir).withColumns({
-        "year": F.year("month_start").cast("int"), "month": F.month("month_start").cast("int")})
-    w = weather_panel(spark, sf_dir)
-    return c.join(w, ["entity", "year", "month"], "left")
+    """J1 on the proxies: cases LEFT JOIN weather on (entity, year, month).
+
+    Both sides are aggregated on (entity, month_start), which identifies the
+    same (entity, year, month) cell; joining on it lets the join reuse the two
+    aggregates' hash partitioning instead of shuffling both sides again.
+    """
+    c = case_panel(spark, sf_dir)
+    w = weather_by_month(spark, sf_dir)
+    j = c.join(w, ["entity", "month_start"], "left")
+    return j.select("entity", F.year("month_start").cast("int").alias("year"),
+                    F.month("month_start").cast("int").alias("month"), "month_start", "cases",
+                    "temperature_c", "precipitation_mm")

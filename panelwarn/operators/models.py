@@ -92,10 +92,13 @@ def learner(cfg: LearnerConfig, features_col: str = "features", label_col: str =
     return est
 
 
-def add_weights(train: DataFrame, label: str, mode: str, out: str = "weight") -> DataFrame:
+def add_weights(rows: DataFrame, label: str, mode: str, out: str = "weight",
+                train: DataFrame | None = None) -> DataFrame:
+    """Weight column for ``rows`` from the class counts of ``train`` (default ``rows``)."""
+    train = train if train is not None else rows
     if mode == "none":
-        return train.withColumn(out, F.lit(1.0))
-    w = balanced_weights(train, label, out)
+        return rows.withColumn(out, F.lit(1.0))
+    w = balanced_weights(rows, label, out, counts_from=train)
     if mode == "balanced_squared":
         return w.withColumn(out, F.col(out) * F.col(out))
     if mode == "balanced_pos":
@@ -149,7 +152,7 @@ def train_and_select(df: DataFrame, label: str, id_col: str, feature_cols: Seque
     results = {}
     for pos, cfg in enumerate(configs):
         tr = scaled.filter(F.col("split").isin("train", "val") if cfg.early_stopping else F.col("split") == "train")
-        tr = add_weights(tr, label, cfg.weighting)
+        tr = add_weights(tr, label, cfg.weighting, train=scaled.filter(F.col("split") == "train"))
         tr = tr.withColumn("is_val", F.col("split") == "val").withColumn("label", F.col(label).cast("double"))
         est = learner(cfg, weight_col="weight", validation_col="is_val")
         model = Pipeline(stages=[assembler, est]).fit(tr)

@@ -42,9 +42,14 @@ def class_counts_map(df: DataFrame, label: str) -> dict:
     return {r[0]: r[1] for r in df.groupBy(label).count().collect()}
 
 
-def balanced_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """M6: w_c = n / (k * n_c) (sklearn 'balanced'), as a column."""
-    counts = class_counts_map(df, label)
+def balanced_weights(df: DataFrame, label: str, name: str = "weight",
+                     counts_from: DataFrame | None = None) -> DataFrame:
+    """M6: w_c = n / (k * n_c) (sklearn 'balanced'), as a column.
+
+    ``counts_from`` (default ``df``) is the frame whose class counts define the
+    weights, e.g. the training rows when validation rows ride along.
+    """
+    counts = class_counts_map(counts_from if counts_from is not None else df, label)
     n, k = sum(counts.values()), len(counts)
     expr = F.lit(None).cast("double")
     for c, nc in counts.items():

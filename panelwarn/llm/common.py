@@ -20,6 +20,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,48 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def running(df: DataFrame, order: Sequence[str], sums: Sequence[str] = (), name: str = "order") -> DataFrame:
+    """``df`` with ``row`` (global 0-based position in ``order``) and ``<c>_before`` (sum of the rows before).
+
+    One range shuffle, however hot a key is.  Positions inside a partition are
+    counted while the sorted partition is written once; the partitions' totals
+    (one row for each range partition) give the offsets.  Column names of
+    ``df`` must not be ``row``, ``_pid`` or ``<c>_before``.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    before = [f"{c}_before" for c in sums]
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pid, at, totals = TaskContext.get().partitionId(), 0, [0] * len(sums)
+        for batch in batches:
+            k = batch.num_rows
+            more = [pa.array(np.full(k, pid, np.int32)), pa.array(np.arange(at, at + k, dtype=np.int64))]
+            for i, c in enumerate(sums):
+                values = batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                more.append(pa.array(np.cumsum(values) - values + totals[i]))
+                totals[i] += int(values.sum())
+            at += k
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_pid", "row", *before])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
+    kinds += ["_pid int", "row long", *[f"`{b}` long" for b in before]]
+    numbered = saved(ordered.mapInArrow(number, ", ".join(kinds)), name)
+    totals = (numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s_{c}") for c in sums])
+                      .orderBy("_pid").collect())
+    starts, at = [], [0] * (1 + len(sums))
+    for t in totals:
+        starts.append((t["_pid"], *at))
+        at = [a + int(b or 0) for a, b in zip(at, t[1:])]
+    # as many rows as range partitions
+    kinds = ["_pid int", "_row0 long", *[f"`_{b}0` long" for b in before]]
+    offsets = F.broadcast(spark.createDataFrame(starts, ", ".join(kinds)))
+    joined = numbered.join(offsets, "_pid")
+    moved = {"row": F.col("row") + F.col("_row0")} | {b: F.col(b) + F.col(f"_{b}0") for b in before}
+    return joined.withColumns(moved).drop("_pid", "_row0", *[f"_{b}0" for b in before])
+
+
 def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str],
                   target: int = 20_000) -> Iterator[pa.Table]:
     """Blocks of about ``target`` rows, cut only between different keys.

@@ -207,12 +207,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN_RO
                     .orderBy(key, "doc_id").limit(max_rows))
     # bounded by max_rows rows of two numbers
     chosen = documents(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id")
-    chosen = chosen.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows)
+    # statistics first, so that the final cut (for repeated doc_ids) moves numbers, not texts
     stats = document_statistics(chosen.select("doc_id", "text")).select("doc_id", "features")
-    rows = stats.join(F.broadcast(sample), "doc_id").select("doc_id", "features", "_y").toPandas()
+    rows = (stats.join(F.broadcast(sample), "doc_id").select("doc_id", "features", "_y")
+                 .orderBy(key, "doc_id", "features").limit(max_rows).toPandas())
     rows = rows.sort_values("doc_id", kind="stable")
     x = np.array(rows["features"].tolist(), float).reshape(-1, len(FEATURES))
-    # thresholds sit between sampled values; a small ordering of rows keeps reruns equal
+    # an order of the values themselves keeps reruns equal
     order = np.lexsort(x.T)
     return boost(x[order], (rows["_y"].to_numpy(float) > 0).astype(float)[order], list(FEATURES.values()), **params)
 

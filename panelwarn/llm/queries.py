@@ -3,11 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelwarn.llm import quality
+from panelwarn.llm import mixing, packing, quality, sharding, tokens
 from panelwarn.llm.common import read
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact token count of every document, and how much of it fits 512 tokens."""
+    counted = tokens.token_counts(read(spark, sf_dir, "documents"), limit=512)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "limit_chars")
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and offset."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"), capacity=2048)
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
+    return mixing.mix_sizes(read(spark, sf_dir, "documents"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document under the law ``rows``."""
+    placed = sharding.shard_documents(read(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "source")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base verdict and the trees' verdict for all documents."""
     docs = read(spark, sf_dir, "documents")
@@ -16,6 +40,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op2_token_counts": op2_token_counts,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_source_mixing": op4_source_mixing,
+    "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }
 SQL: dict[str, str] = {}

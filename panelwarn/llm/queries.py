@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwarn.llm import mixing, packing, quality, sharding, simhash, tokens
+from panelwarn.llm import lm, mixing, packing, quality, sharding, simhash, tokens
 from panelwarn.llm.common import read
 
 
@@ -25,6 +25,11 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sizes(read(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and maximum-entropy score of every document."""
+    return lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, max_distance=4)
@@ -50,6 +55,7 @@ REGISTRY = {
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_source_mixing": op4_source_mixing,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_simhash": op7_simhash,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,

@@ -94,8 +94,8 @@ def running(df: DataFrame, order: Sequence[str], sums: Sequence[str] = (), name:
     ``df`` must not be ``row``, ``_pid`` or ``<c>_before``.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # no fixed number: adaptive execution joins small neighbouring ranges
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
     before = [f"{c}_before" for c in sums]
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,16 +160,18 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: Sequence[str],
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def pair_blocks(df: DataFrame, keys: Sequence[str], unit: Sequence[str], limit: int) -> DataFrame:
+def pair_blocks(df: DataFrame, keys: Sequence[str], unit: Sequence[str], limit: int,
+                counted: DataFrame | None = None) -> DataFrame:
     """Add ``block`` so that (keys, block) holds at most about ``limit`` rows.
 
     A group of n rows is dealt by a hash of ``unit`` into b = ceil(2n / limit)
     parts; each pair of parts is one block, so every pair of rows meets at
     least once and each row is copied b times.  Groups within the limit are
     one block.  The list of large groups holds at most rows / limit entries
-    and is left to the planner to broadcast or shuffle.
+    and is left to the planner to broadcast or shuffle.  ``counted`` may give
+    the same rows' keys at less cost.
     """
-    large = (df.groupBy(*keys).count().filter(F.col("count") > limit)
+    large = ((df if counted is None else counted).groupBy(*keys).count().filter(F.col("count") > limit)
                .select(*[F.col(k).alias(f"_pb_{k}") for k in keys],
                        F.ceil(F.col("count") * 2 / F.lit(limit)).cast("int").alias("_pb_parts")))
     cond = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwarn.llm import lm, mixing, packing, quality, sharding, simhash, tokens
+from panelwarn.llm import lm, mixing, packing, quality, sharding, simhash, suffix, tokens
 from panelwarn.llm.common import read
 
 
@@ -37,6 +37,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in a 400-byte string starting elsewhere too."""
+    return suffix.remove_repeats(read(spark, sf_dir, "documents"), length=400)
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of every document under the law ``rows``."""
     placed = sharding.shard_documents(read(spark, sf_dir, "documents"), shards=24)
@@ -57,6 +62,7 @@ REGISTRY = {
     "op4_source_mixing": op4_source_mixing,
     "op5_lm_scoring": op5_lm_scoring,
     "op7_simhash": op7_simhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
 }

@@ -24,8 +24,11 @@ null doc_ids give a row each.
 from __future__ import annotations
 
 import json
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 from panelwarn.llm.common import documents
 
 #: Memoised pieces a worker holds at most; the memo starts anew beyond.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 1_000_000
+#: Beginnings of this many bytes are memoised too.
+HEAD_BYTES = 6
 #: Longer pieces are computed each time.
 MEMO_CHARS = 48
 TOKENIZER = "byte_bpe_50k.json"
@@ -70,8 +75,9 @@ class PrefixTable(dict):
         alphabet = _byte_alphabet()
         raw = lambda token: bytes(alphabet[c] for c in token)
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        self.vocabulary = {raw(t) for t in model["vocab"] if t not in set(self.specials)}
-        self.longest = max(map(len, self.vocabulary))
+        self.token = [b"", *(raw(t) for t in model["vocab"] if t not in set(self.specials))]
+        self.number = {t: i for i, t in enumerate(self.token) if i}
+        self.longest = max(map(len, self.token))
         self.rank = {}
         for i, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
@@ -79,7 +85,8 @@ class PrefixTable(dict):
         self.pieces = regex.compile(public_tokenizers.PATTERN).findall
         self.blanks = regex.compile(r"\s{2,}(?=\S)").finditer
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
-        self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.apart: dict[int, bool] = {}
+        self.heads: dict[bytes, tuple[list[int], list[int]]] = {}
 
     def merge(self, raw: bytes) -> list[bytes]:
         """Plain encoding of a short string: the earliest merge first."""
@@ -93,30 +100,42 @@ class PrefixTable(dict):
             parts[k:k + 2] = [parts[k] + parts[k + 1]]
         return parts
 
-    def stay_apart(self, left: bytes, right: bytes) -> bool:
-        known = self.apart.get((left, right))
-        if known is None:
-            if len(self.apart) > 2_000_000:
-                self.apart.clear()
-            known = self.apart[left, right] = self.merge(left + right) == ([left, right] if left else [right])
+    def stay_apart(self, left: int, right: int) -> bool:
+        """Whether two tokens (0: none) remain these two when encoded together; remembered."""
+        if len(self.apart) > 2_000_000:
+            self.apart.clear()
+        pair = [self.token[left], self.token[right]] if left else [self.token[right]]
+        known = self.apart[left << 20 | right] = self.merge(b"".join(pair)) == pair
         return known
 
     def counts(self, raw: bytes) -> list[int]:
         """Token count at every byte prefix of a piece, by the dynamic program."""
-        last, count = [b""], [0]
-        vocabulary, apart, longest = self.vocabulary, self.apart, self.longest
-        for i in range(1, len(raw) + 1):
-            for j in range(max(0, i - longest), i):
-                token = raw[j:i]
-                if token in vocabulary:
-                    known = apart.get((last[j], token))
+        return self._program(raw)[1]
+
+    def _program(self, raw: bytes) -> tuple[list[int], list[int]]:
+        """Last token and token count of every prefix; many pieces begin alike, so beginnings are remembered."""
+        last, count = [0], [0]
+        if len(raw) > HEAD_BYTES:
+            head = raw[:HEAD_BYTES]
+            known = self.heads.get(head)
+            if known is None:
+                if len(self.heads) > MEMO_PIECES // 4:
+                    self.heads.clear()
+                known = self.heads[head] = self._program(head)
+            last, count = known[0][:], known[1][:]
+        number, apart, longest = self.number.get, self.apart.get, self.longest
+        for i in range(len(count), len(raw) + 1):
+            for j in range(i - 1, i - longest - 1 if i > longest else -1, -1):
+                token = number(raw[j:i])
+                if token is not None:
+                    known = apart(last[j] << 20 | token)
                     if known or known is None and self.stay_apart(last[j], token):
                         last.append(token)
                         count.append(count[j] + 1)
                         break
             else:
                 raise ValueError("the vocabulary lacks a byte")
-        return count
+        return last, count
 
     def steps(self, piece: str) -> bytes:
         raw = piece.encode()
@@ -125,7 +144,10 @@ class PrefixTable(dict):
             count = [0] + [c for i, c in enumerate(count[1:], 1) if i == len(raw) or raw[i] & 0xC0 != 0x80]
         if piece in _CONTRACTIONS:  # cut after two characters it is an apostrophe and a letter
             count[2] = 2
-        return np.diff(np.array(count)).astype("<i2").tobytes()
+        found = array("h", map(sub, count[1:], count))
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         found = self.steps(piece)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwarn.llm import lm, mixing, packing, quality, sharding, simhash, suffix, tokens
+from panelwarn.llm import ann, lm, mixing, packing, quality, sharding, simhash, suffix, tokens
 from panelwarn.llm.common import read
 
 
@@ -30,6 +30,11 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every vec_id divisible by 50."""
+    return ann.nearest(read(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, max_distance=4)
@@ -61,6 +66,7 @@ REGISTRY = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_source_mixing": op4_source_mixing,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_simhash": op7_simhash,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,

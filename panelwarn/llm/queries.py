@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwarn.llm import ann, lm, mixing, packing, quality, sharding, simhash, suffix, tokens
+from panelwarn.llm import ann, lm, mixing, packing, pii, quality, sharding, simhash, suffix, tokens
 from panelwarn.llm.common import read
 
 
+def op1_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and digest, and all spans of personal data, of every document."""
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token count of every document, and how much of it fits 512 tokens."""
     counted = tokens.token_counts(read(spark, sf_dir, "documents"), limit=512)
@@ -62,6 +67,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY = {
+    "op1_personal_data": op1_personal_data,
     "op2_token_counts": op2_token_counts,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_source_mixing": op4_source_mixing,

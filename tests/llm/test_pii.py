@@ -1,0 +1,119 @@
+import hashlib
+import random
+import re
+
+from pyspark.sql import functions as F
+
+from conftest_llm import rows
+from panelwarn.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        k = int(c) * (1 + i % 2)
+        total += k - 9 if k > 9 else k
+    return total % 10 == 0
+
+
+def passes(kind, s):
+    d = "".join(c for c in s if c in "0123456789")
+    return {"email": True, "ip": all(int(p) <= 255 for p in s.split(".")) if kind == "ip" else False,
+            "card": 13 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+
+
+def brute(text):
+    found = {k: [m.span() for m in re.finditer(p, text) if passes(k, m.group())] for k, p in PATTERNS.items()}
+    written = ",".join(f"{k}:{a}:{b}" for k in PATTERNS for a, b in found[k])
+    return (*[len(found[k]) for k in PATTERNS], hashlib.sha256(written.encode()).hexdigest())
+
+
+COLUMNS = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256"]
+
+
+def random_text(rng):
+    parts = ["a", "Zé", "@", ".", "1", "0", "25", "5", "4111 1111 1111 1111", "4111-1111-1111-111", "+", "+1 (3", ")", " ", "-",
+             "é", "😀", "192.168.0.1", "a.b@c.de", "_", "%", "\n", "call ", "319-555-1234", "999", "x@y", ".com", "+49 30 1234567"]
+    return "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+
+
+def check(docs):
+    got = pii.personal_data(docs)
+    assert rows(got, *COLUMNS) == sorted(brute(r["text"] or "") for r in docs.collect())
+    return got
+
+
+def test_base_on_documents(small_docs):
+    got = check(small_docs)
+    assert got.filter("n_email + n_ip + n_card + n_phone > 0 and spans = ''").count() == 0
+
+
+def test_base_on_random_texts(spark):
+    rng = random.Random(8)
+    check(spark.createDataFrame([(i, random_text(rng)) for i in range(1500)], "doc_id long, text string").repartition(4))
+
+
+def test_many_matches_and_long_runs(spark):
+    texts = ["é 10.0.0.1 " * 3000, "a" * 4000, "1" * 100_000, "a@b" + ".c" * 50_000, "1.2.3.4" * 5000, "+1" + " " * 50_000 + "2",
+             "0 " * 50_000]
+    check(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    run = spark.createDataFrame([(1, "a" * 300_000 + "@")], "doc_id long, text string")  # quadratic for a plain search
+    assert pii.personal_data(run).first()["n_email"] == 0
+
+
+def test_added_spans(spark):
+    base = [(i, f"word word a{i}@mail.com and 10.1.{i}.2 then +1 (319) 555-{1000 + i} end") for i in range(60)]
+    extra = [(100, "please call 319-555-1234 today"), (101, "ask Mr John Smith about it"), (102, "mail me joe [at] site [dot] com ok"),
+             (103, "see order 319-555-1234 there"), (104, "release Mr Thnt Ouea")]
+    docs = spark.createDataFrame(base + extra, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(docs).collect()}
+    assert spans[100] == "phone:12:24" and spans[101] == "name:7:17" and spans[102] == "email:8:31"
+    assert spans[103] == "" and spans[104] == ""
+    masked = {r["doc_id"]: r["text"] for r in pii.mask_documents(docs).collect()}
+    assert masked[100] == "please call [PHONE] today" and masked[103] == extra[3][1]
+    assert masked[3] == "word word [EMAIL] and [IP] then [PHONE] end"
+
+
+def test_masking_long_texts(spark):
+    text = ("é" * 700 + " 10.0.0.1 😀 a@b.co ") * 60
+    (r,) = pii.mask_documents(spark.createDataFrame([(1, text, 5)], "doc_id long, text string, n_chars int")).collect()
+    want = re.sub(PATTERNS["email"], "[EMAIL]", re.sub(PATTERNS["ip"], "[IP]", text))
+    assert r["text"] == want and r["n_chars"] == len(want)
+
+
+def test_em_recovers_reliability(spark):
+    """Votes drawn from known reliabilities; EM finds which labeler is good, without labels."""
+    rng = random.Random(2)
+    truth = {"strict": (0.95, 0.05), "listed": (0.8, 0.2), "context": (0.6, 0.4), "edges": (0.9, 0.3)}
+    made = []
+    for _ in range(6000):
+        y = rng.random() < 0.5
+        made.append(("email", *[pii.YES if rng.random() < truth[l][0 if y else 1] else pii.NO for l in pii.LABELERS]))
+    df = spark.createDataFrame(made, ["kind", *pii.LABELERS]).groupBy("kind", *pii.LABELERS).agg(F.count(F.lit(1)).alias("n"))
+    model = pii.estimate(df, rounds=30)
+    for l, (yes, no) in truth.items():
+        assert abs(model.votes[l][1][pii.YES] - yes) < 0.06 and abs(model.votes[l][0][pii.YES] - no) < 0.06
+    assert abs(model.kinds["email"] - 0.5) < 0.05
+
+
+def test_no_python_in_the_plan(small_docs):
+    plan = pii.personal_data(small_docs)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_odd(odd_docs, clashing_docs, empty_docs):
+    check(odd_docs)
+    check(clashing_docs)
+    assert pii.personal_data(empty_docs).count() == 0
+    for docs in (odd_docs, clashing_docs, empty_docs):
+        masked = pii.mask_documents(docs)
+        assert masked.dtypes == docs.dtypes and masked.count() == docs.count()
+    texts = {r["text"] for r in pii.mask_documents(odd_docs).collect()}
+    assert "null id, mail [EMAIL] and [IP]" in texts and None in texts and "" in texts

@@ -39,7 +39,7 @@ from panelwarn.llm.common import saved, ship_package
 DIMENSIONS = 8
 CONFIDENCE = 0.95
 #: Bound on the sample that the top of the tree is fitted on.
-SAMPLE_ROWS = 20_000
+SAMPLE_ROWS = 10_000
 CELL_ROWS = 8192
 MAX_CELLS = 4096
 LEAF_ROWS = 256

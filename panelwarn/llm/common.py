@@ -31,6 +31,10 @@ from panelwarn.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Paths written by ``saved_at`` in this process, oldest first.
+WRITTEN: list[str] = []
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder below the shared checkpoint folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
@@ -45,6 +49,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

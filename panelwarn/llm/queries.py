@@ -27,7 +27,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""
-    return mixing.mix_sizes(read(spark, sf_dir, "documents"))
+    return mixing.mix_sizes(read(spark, sf_dir, "documents"), block_words=16)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

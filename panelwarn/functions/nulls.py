@@ -21,6 +21,13 @@ def nan_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
                            for c in targets})
 
 
+def is_missing(df: DataFrame, name: str) -> Column:
+    """NULL, or NaN in a float column."""
+    c = F.col(name)
+    float_like = isinstance(df.schema[name].dataType, (DoubleType, FloatType))
+    return c.isNull() | F.isnan(c) if float_like else c.isNull()
+
+
 def sum_or_zero(col) -> Column:
     """Sum over an all-missing group is 0, as in pandas groupby.sum."""
     return F.coalesce(F.sum(_c(col)), F.lit(0))
@@ -28,4 +35,5 @@ def sum_or_zero(col) -> Column:
 
 def positive_flag(col, above: float = 0) -> Column:
     """(x > above) as 0/1, with missing x giving 0."""
-    return F.coalesce((_c(col) > F.lit(above)).cast("int"), F.lit(0))
+    present = ~F.isnan(_c(col).cast("double"))  # Spark orders NaN above every number
+    return F.coalesce(((_c(col) > F.lit(above)) & present).cast("int"), F.lit(0))

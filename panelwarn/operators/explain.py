@@ -1,8 +1,9 @@
 """Feature attribution (E6): permutation importance as one distributed job.
 
-For every feature f the scored rows are copied once with f's column replaced
-by a permutation of itself (rank by row id matched to rank by md5(row, f),
-both exact distributed row numbers), the copies are re-scored together, and
+Meant for held-out rows.  For every feature f the scored rows are copied once
+with f's column replaced by a permutation of itself (rank by row id, numbered
+once, matched to rank by md5(row, f), an exact distributed row number), the
+copies are re-scored together, and
 the metric drop per feature is one grouped aggregate.  The copy count is the
 feature count, not the number of row pairs.
 """
@@ -21,12 +22,12 @@ from panelwarn.operators.profile import to_long
 def permuted_copies(df: DataFrame, id_col: str, features: Sequence[str], seed: int = 42) -> DataFrame:
     """Rows x features copies with column ``permuted_feature`` shuffled in each copy."""
     long = to_long(df, features, ids=[id_col]).withColumnRenamed("column", "feature")
-    by_id = exact_row_number(long, ["feature"], [id_col], out="_pw_ra")
+    by_id = exact_row_number(df.select(id_col), [], [id_col], out="_pw_ra")
     shuffled = long.withColumn("_pw_h", F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.col("feature"),
                                                            F.lit(str(seed)))))
     by_hash = exact_row_number(shuffled, ["feature"], ["_pw_h", id_col], out="_pw_rb") \
         .select("feature", F.col("_pw_rb").alias("_pw_ra"), F.col("value").alias("_pw_pv"))
-    perm = by_id.join(by_hash, ["feature", "_pw_ra"]).select(id_col, F.col("feature").alias("permuted_feature"),
+    perm = by_id.join(by_hash, "_pw_ra").select(id_col, F.col("feature").alias("permuted_feature"),
                                                              "_pw_pv")
     base = df.join(perm, id_col)
     return base.withColumns({c: F.when(F.col("permuted_feature") == c, F.col("_pw_pv")).otherwise(F.col(c).cast("double"))

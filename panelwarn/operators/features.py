@@ -7,6 +7,7 @@ All window features of one call are planned as a single ``Window`` operator
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,7 @@ from panelwarn.functions.calendar import (
 from panelwarn.functions.nulls import positive_flag
 from panelwarn.operators.ordering import exact_row_number
 from panelwarn.operators.windows import PanelSpec, apply_panel_window
+from panelwarn.session import cut_lineage
 
 # Fixed values of the reference: lag offsets, rolling windows and the
 # exogenous covariates it uses.
@@ -71,7 +73,7 @@ def inclusive_rolling(col: str, window: int, w, stat: str = "mean") -> Column:
 def surge_flag(col: str, w, min_count: float = 100.0, ratio: float = 1.5) -> Column:
     """Stricter target: y > min_count and y > ratio * previous row's y."""
     prev = F.lag(F.col(col), 1).over(w)
-    cond = (F.col(col) > F.lit(min_count)) & (F.col(col) > F.lit(ratio) * prev)
+    cond = (F.col(col) > F.lit(min_count)) & (F.col(col) > F.lit(ratio) * prev) & ~F.isnan(F.col(col).cast("double"))
     return F.coalesce(cond.cast("int"), F.lit(0))
 
 
@@ -107,19 +109,45 @@ def add_time_index(df: DataFrame, spec: PanelSpec, name: str = "time_index", **k
     return apply_panel_window(df, spec, lambda _w, i: {name: i}, lookback=0, **kw)
 
 
-def year_normalized(df: DataFrame, year_col: str = "year", name: str = "year_normalized") -> DataFrame:
+@dataclass(frozen=True)
+class PanelEncoding:
+    """What training learns about a panel's keys: entity codes and year bounds."""
+    codes: DataFrame
+    years: tuple[float | None, float | None]
+
+
+def fit_encoding(df: DataFrame, spec: PanelSpec = PanelSpec()) -> PanelEncoding:
+    """F9/F10 fit on the training panel, from one aggregate with one row an entity."""
+    year = F.year(parse_date(spec.time))
+    entities = cut_lineage(df.groupBy(spec.entity).agg(F.min(year).alias("lo"), F.max(year).alias("hi")))
+    row = entities.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    bounds = (None, None) if row["lo"] is None else (float(row["lo"]), float(row["hi"]))
+    return PanelEncoding(label_codes(entities, spec.entity), bounds)
+
+
+def year_normalized(df: DataFrame, year_col: str = "year", name: str = "year_normalized",
+                    bounds: tuple[float | None, float | None] | None = None) -> DataFrame:
     """(year - min) / (max - min + 1) with min/max over all entities.
 
-    The two scalars come from one global aggregate (partial aggregation on every
-    partition) and are inlined as literals; no unpartitioned window.
+    The two scalars are the fitted ``bounds``, or come from one global aggregate
+    (partial aggregation on every partition), and are inlined as literals.
     """
-    row = df.agg(F.min(year_col).alias("lo"), F.max(year_col).alias("hi")).first()
-    if row["lo"] is None:
+    if bounds is None:
+        bounds = tuple(df.agg(F.min(year_col), F.max(year_col)).first())
+    if bounds[0] is None:
         return df.withColumn(name, F.lit(None).cast("double"))
-    lo, hi = float(row["lo"]), float(row["hi"])
+    lo, hi = map(float, bounds)
     return df.withColumn(name, (F.col(year_col) - F.lit(lo)) / F.lit(hi - lo + 1.0))
 
 
+def require_unique_order(df: DataFrame, spec: PanelSpec) -> None:
+    """Raise if two rows of an entity share their place in time: lags would depend on chance."""
+    twice = df.groupBy(spec.entity, *spec.order).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    found = twice.limit(3).collect()
+    if found:
+        raise ValueError(f"rows not ordered by {spec.order}: {[tuple(r)[:-1] for r in found]}; add a tiebreak column")
+
+
 def label_codes(df: DataFrame, col: str, code: str | None = None) -> DataFrame:
     """F10 fit: sorted distinct labels -> code 0..n-1 (sklearn LabelEncoder order)."""
     code = code or f"{col}_encoded"
@@ -146,13 +174,24 @@ def engineer_features(df: DataFrame, spec: PanelSpec = PanelSpec(),
                       target_lags=TARGET_LAGS, target_windows=TARGET_WINDOWS,
                       exog_lags=EXOG_LAGS, exog_windows=EXOG_WINDOWS,
                       label_col: str = "outbreak_flag", encode_entity: bool = True,
+                      encoding: PanelEncoding | None = None, check_keys: bool = False,
                       **window_kw) -> DataFrame:
     """The reference's full feature table: 45 features + keys + target + flag.
 
     Exogenous columns that are absent are skipped, as in the reference.
+    ``encoding`` applies codes and year bounds fitted on other (training) rows
+    and raises on an entity it has not seen; without it they are fitted here.
+    The spec's tiebreak column is kept until the windows are done;
+    ``check_keys`` refuses a panel whose order is not unique.
     """
     y = spec.target
-    df = df.drop(*DROP_COLUMNS).withColumn(spec.time, parse_date(spec.time))
+    late = [c for c in DROP_COLUMNS if c in spec.tiebreak]
+    df = df.drop(*[c for c in DROP_COLUMNS if c not in late]).withColumn(spec.time, parse_date(spec.time))
+    if check_keys:
+        require_unique_order(df, spec)
+    fitted = encoding is None
+    if fitted:
+        encoding = fit_encoding(df, spec)
     present = [c for c in exog if c in df.columns]
     df = df.withColumns(calendar_columns(spec.time))
 
@@ -168,12 +207,12 @@ def engineer_features(df: DataFrame, spec: PanelSpec = PanelSpec(),
 
     lookback = max([*target_lags, *target_windows, *(exog_lags if present else ()),
                     *(exog_windows if present else ())])
-    out = apply_panel_window(df, spec, build, lookback=lookback, **window_kw)
+    out = apply_panel_window(df, spec, build, lookback=lookback, **window_kw).drop(*late)
     if len(present) == 2:
         out = out.withColumn("temp_precip_interaction", F.col(present[0]) * F.col(present[1]))
-    out = year_normalized(out)
+    out = year_normalized(out, bounds=encoding.years)
     if encode_entity:
-        out = apply_label_codes(out, label_codes(out, spec.entity), spec.entity)
+        out = apply_label_codes(out, encoding.codes, spec.entity, strict=not fitted)
     if label_col not in out.columns:
         out = out.withColumn(label_col, positive_flag(y))
     return out

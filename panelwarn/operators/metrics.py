@@ -100,6 +100,17 @@ def roc_auc(df: DataFrame, y: str, p: str) -> DataFrame:
                               F.col("_u") / (F.col("_p") * F.col("_n"))).alias("roc_auc"))
 
 
+def _thresholds_below(p, ts: Sequence[float]):
+    """Number of thresholds <= p.  On an even grid: a division, set right by the two thresholds next to it."""
+    step = (ts[-1] - ts[0]) / (len(ts) - 1) if len(ts) > 1 else 0.0
+    even = step > 0 and all(abs(t - ts[0] - i * step) < step / 4 for i, t in enumerate(ts))
+    grid = F.array(*[F.lit(float(t)) for t in ts])
+    if not even:
+        return F.size(F.filter(grid, lambda t: t <= p))
+    at = F.least(F.greatest(F.round((p - F.lit(float(ts[0]))) / F.lit(step)), F.lit(0.0)), F.lit(float(len(ts) - 1))).cast("int")
+    return at + (F.get(grid, at) <= p).cast("int")
+
+
 def threshold_sweep(df: DataFrame, y: str, p: str, thresholds: Sequence[float] | None = None) -> DataFrame:
     """E5 helper: macro F1 for every threshold from one aggregate.
 
@@ -108,8 +119,7 @@ def threshold_sweep(df: DataFrame, y: str, p: str, thresholds: Sequence[float] |
     threshold's confusion matrix by suffix sums over at most 82 rows.
     """
     ts = list(thresholds or threshold_grid())
-    arr = F.array(*[F.lit(float(t)) for t in ts])
-    bucket = F.size(F.filter(arr, lambda t: t <= F.col(p)))
+    bucket = _thresholds_below(F.col(p), ts)
     g = df.groupBy(bucket.alias("b")).agg(F.sum((F.col(y) == 1).cast("long")).alias("pos"),
                                           F.sum((F.col(y) == 0).cast("long")).alias("neg"))
     # g has at most len(ts) + 1 rows; each is expanded once per threshold index.

@@ -65,7 +65,7 @@ PRESETS = {
         maxIter=500, stepSize=0.05, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8",
         seed=SEED), weighting="balanced", early_stopping=True),
     "LightGBM": LearnerConfig("LightGBM", "gbt", dict(
-        maxIter=500, stepSize=0.05, maxDepth=5, subsamplingRate=0.8, featureSubsetStrategy="0.8",
+        maxIter=500, stepSize=0.05, maxDepth=6, subsamplingRate=0.8, featureSubsetStrategy="0.8",
         seed=SEED), weighting="balanced_pos", early_stopping=True),
     # Declared but unused in the reference's config.
     "GradientBoosting": LearnerConfig("GradientBoosting", "gbt", dict(
@@ -74,15 +74,17 @@ PRESETS = {
 }
 
 
+#: Rounds without a gain on validation after which boosting stops (the reference's rule).
+PATIENCE = 20
+
+
 def learner(cfg: LearnerConfig, features_col: str = "features", label_col: str = "label",
-            weight_col: str | None = None, validation_col: str | None = None):
+            weight_col: str | None = None):
     common = dict(featuresCol=features_col, labelCol=label_col)
     if cfg.kind == "rf":
         est = RandomForestClassifier(**common, **cfg.params)
     elif cfg.kind == "gbt":
-        est = GBTClassifier(**common, checkpointInterval=10, **cfg.params)
-        if validation_col and cfg.early_stopping:
-            est = est.setValidationIndicatorCol(validation_col)
+        est = GBTClassifier(**common, checkpointInterval=10, maxMemoryInMB=512, **cfg.params)
     elif cfg.kind == "mlp":
         return MultilayerPerceptronClassifier(**common, **cfg.params)
     else:
@@ -92,6 +94,42 @@ def learner(cfg: LearnerConfig, features_col: str = "features", label_col: str =
     return est
 
 
+def rounds_with_patience(losses: Sequence[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """(best number of rounds, whether ``patience`` rounds without a gain followed it)."""
+    best = 0
+    for i, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = i
+        elif i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_boosted(est: GBTClassifier, train: DataFrame, val: DataFrame, patience: int = PATIENCE):
+    """Boosting that stops ``patience`` rounds after the last gain in validation log-loss.
+
+    Spark's own rule ends at the first gain below a relative tolerance, which a
+    small step size meets at once.  Here the rounds are doubled until the rule
+    holds (a seeded fit of more rounds begins with the same trees), and the
+    model keeps the trees up to the best round.  Validation rows are unweighted.
+    """
+    limit, rounds = est.getMaxIter(), 2 * patience
+    while True:
+        rounds = min(rounds, limit)
+        model = est.copy({est.maxIter: rounds}).fit(train)
+        losses = model.evaluateEachIteration(val)
+        best, settled = rounds_with_patience(losses, patience)
+        if settled or rounds == limit:
+            return model if best == rounds else est.copy({est.maxIter: best}).fit(train)
+        rounds *= 2
+
+
+def compact(df: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:
+    """Fewer partitions for a small training frame (iterative fits pay for each task)."""
+    n = max(1, -(-df.count() // rows_per_partition))
+    return df.coalesce(n) if n < df.rdd.getNumPartitions() else df
+
+
 def add_weights(rows: DataFrame, label: str, mode: str, out: str = "weight",
                 train: DataFrame | None = None) -> DataFrame:
     """Weight column for ``rows`` from the class counts of ``train`` (default ``rows``)."""
@@ -126,6 +164,7 @@ class TrainResult:
     all_models: dict
     feature_columns: list
     scaler: StandardScalerModel
+    split_rows: dict = field(default_factory=dict)
 
 
 def evaluate(scored: DataFrame, label: str, threshold: float) -> dict:
@@ -147,18 +186,24 @@ def train_and_select(df: DataFrame, label: str, id_col: str, feature_cols: Seque
     split = cut_lineage(split)
     train = split.filter(F.col("split") == "train")
     scaler = fit_standard_scaler(train, feature_cols)
-    scaled = scaler.transform(split)
     assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
+    scaled = assembler.transform(scaler.transform(split)).withColumn("_pw_y", F.col(label).cast("double"))
+    scaled = cut_lineage(compact(scaled.select(id_col, label, "_pw_y", "features", "split")))
+    parts = {p: scaled.filter(F.col("split") == p) for p in ("train", "val", "test")}
     results = {}
     for pos, cfg in enumerate(configs):
-        tr = scaled.filter(F.col("split").isin("train", "val") if cfg.early_stopping else F.col("split") == "train")
-        tr = add_weights(tr, label, cfg.weighting, train=scaled.filter(F.col("split") == "train"))
-        tr = tr.withColumn("is_val", F.col("split") == "val").withColumn("label", F.col(label).cast("double"))
-        est = learner(cfg, weight_col="weight", validation_col="is_val")
-        model = Pipeline(stages=[assembler, est]).fit(tr)
-        val = positive_probability(model.transform(scaled.filter(F.col("split") == "val")))
+        tr = add_weights(parts["train"], label, cfg.weighting)
+        est = learner(cfg, label_col="_pw_y", weight_col="weight")
+        if cfg.early_stopping:
+            fitted = fit_boosted(est, tr, parts["val"].withColumn("weight", F.lit(1.0)))
+        else:
+            fitted = est.fit(tr)
+        model = PipelineModel(stages=[assembler, fitted])
+        # one pass through the trees; everything after reads three columns
+        scored = positive_probability(fitted.transform(scaled.filter(F.col("split") != "train")))
+        scored = cut_lineage(scored.select(label, "split", "proba"))
+        val, test = (scored.filter(F.col("split") == p) for p in ("val", "test"))
         best_t = E.best_threshold(val, label, "proba").first()["best_threshold"]
-        test = positive_probability(model.transform(scaled.filter(F.col("split") == "test")))
         m_test = evaluate(test, label, best_t)
         m_val = evaluate(val, label, best_t)
         results[cfg.name] = dict(position=pos, model=model, threshold=best_t, test=m_test, val=m_val)
@@ -166,20 +211,28 @@ def train_and_select(df: DataFrame, label: str, id_col: str, feature_cols: Seque
     best = max(results, key=lambda n: (results[n][key]["macro_f1"], -results[n]["position"]))
     r = results[best]
     return TrainResult(best, r["model"], r["threshold"], r["test"],
-                       {n: v[key]["macro_f1"] for n, v in results.items()}, list(feature_cols), scaler)
+                       {n: v[key]["macro_f1"] for n, v in results.items()}, list(feature_cols), scaler,
+                       {p: parts[p].count() for p in parts})
 
 
 # ------------------------------------------------------------ persistence
-def save_artifacts(result: TrainResult, path: str, target: str = "outbreak_flag") -> dict:
-    """PipelineModel + one JSON metadata document beside it."""
+def save_artifacts(result: TrainResult, path: str, target: str = "outbreak_flag", encoding=None) -> dict:
+    """PipelineModel + one JSON metadata document beside it.
+
+    ``encoding`` (a fitted ``features.PanelEncoding``) is saved too: the year
+    bounds in the document, the entity codes as a table.
+    """
+    if encoding is not None:
+        encoding.codes.write.mode("overwrite").parquet(os.path.join(path, "encoder"))
     result.best_model.write().overwrite().save(os.path.join(path, "model"))
     meta = {
         "model_type": result.best_name, "target": target, "feature_columns": result.feature_columns,
         "optimal_threshold": result.threshold,
-        **{f"test_{k}": v for k, v in result.metrics.items() if k != "threshold"},
+        **{f"test_{'f1_class1' if k == 'f1' else k}": v for k, v in result.metrics.items() if k != "threshold"},
         "training_date": _dt.datetime.now(_dt.timezone.utc).isoformat(),
         "n_features": len(result.feature_columns), "all_models": result.all_models,
         "scaler_means": result.scaler.means, "scaler_stds": result.scaler.stds,
+        "year_bounds": list(encoding.years) if encoding is not None else None,
     }
     _write_json(path, meta)
     return meta
@@ -209,13 +262,26 @@ def load_artifacts(spark, path: str):
     return model, scaler, meta
 
 
+def load_encoding(spark, path: str, meta: dict):
+    """The fitted entity codes and year bounds of an artifact; None if it was saved without."""
+    from panelwarn.operators.features import PanelEncoding
+    if meta.get("year_bounds") is None:
+        return None
+    return PanelEncoding(spark.read.parquet(os.path.join(path, "encoder")), tuple(meta["year_bounds"]))
+
+
 # --------------------------------------------------------------- regressors
 def forest_importances(df: DataFrame, feature_cols: Sequence[str], target: str, trees: int = 100,
-                       k: int | None = 15) -> DataFrame:
-    """M12 + J5 + T2: random-forest regressor importances paired with names, top k."""
-    data = complete_rows(df.select(target, *feature_cols))
+                       k: int | None = 15, max_depth: int = 20) -> DataFrame:
+    """M12 + J5 + T2: random-forest regressor importances paired with names, top k.
+
+    The reference's trees are unlimited in depth; Spark allows 30 levels, and
+    20 leave no more than a millionth of the rows in a deepest leaf.
+    """
+    data = cut_lineage(compact(complete_rows(df.select(target, *feature_cols))))
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features")
-    rf = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees, seed=SEED)
+    rf = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees,
+                               maxDepth=max_depth, maxMemoryInMB=512, seed=SEED)
     model = Pipeline(stages=[asm, rf]).fit(data)
     imp = model.stages[-1].featureImportances.toArray().tolist()  # one value per feature
     spark = df.sparkSession
@@ -234,7 +300,8 @@ def boosted_regression_r2(df: DataFrame, feature_cols: Sequence[str], target: st
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features")
     gbt = GBTRegressor(featuresCol="features", labelCol=target, maxIter=max_iter, stepSize=0.05,
                        maxDepth=6, subsamplingRate=0.8, seed=SEED)
-    model = Pipeline(stages=[asm, gbt]).fit(train)
+    model = Pipeline(stages=[asm, gbt]).fit(cut_lineage(compact(train)))
     r2 = RegressionEvaluator(labelCol=target, predictionCol="prediction", metricName="r2").evaluate(
         model.transform(test))
-    return df.sparkSession.createDataFrame([("GBTRegressor", float(r2))], "model string, r2 double")
+    return df.sparkSession.createDataFrame([("GBTRegressor", float(r2), train.count(), test.count())],
+                                           "model string, r2 double, n_train long, n_test long")

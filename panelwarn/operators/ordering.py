@@ -103,29 +103,74 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence, cols: Sequenc
     return out.drop(_PID, _MID, _M0, _OFF, *[f"_pw_b_{c}" for c in cols])
 
 
+#: Accuracy of the rank sketch: its error is below rows / ACCURACY.
+ACCURACY = 10_000
+
+
 def exact_quantiles(long_df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
                     num_partitions: int | None = None) -> DataFrame:
     """Linear-interpolated quantiles (pandas / ``quantile_cont``) per group, exact.
 
-    ``long_df`` holds one value per row (unpivot wide tables first).  Rows are
-    ranked with :func:`exact_row_number`; only the two ranks around each
-    requested position are kept, so nothing unbounded reaches one task.
-    Output: ``by`` + ``prob`` + ``quantile``.
+    ``long_df`` holds one value per row (unpivot wide tables first).  A mergeable
+    rank sketch brackets every wanted rank between two values; one pass counts
+    the rows below each bracket and, map-side first, the rows of each value in
+    it, so equal values are one row before any shuffle.  Running counts over the
+    few distinct values inside a bracket then give the value at the exact rank.
+    Output: ``by`` + ``prob`` + ``quantile``; missing values are left out.
     """
-    vals = long_df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-    ranked = exact_row_number(vals, by, [value], out="_pw_r", num_partitions=num_partitions)
-    counts = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_pw_cnt"))
-    p_arr = F.array(*[F.lit(float(p)) for p in probs])
-    targets = (counts.select(*by, "_pw_cnt", F.explode(p_arr).alias("prob"))
-               .withColumn("_pw_pos", (F.col("_pw_cnt") - 1) * F.col("prob"))
-               .withColumn("_pw_lo", F.floor("_pw_pos") + 1)
-               .withColumn("_pw_hi", F.ceil("_pw_pos") + 1)
-               .withColumn("_pw_frac", F.col("_pw_pos") - F.floor("_pw_pos")))
-    wanted = targets.select(*by, F.explode(F.array_distinct(F.array("_pw_lo", "_pw_hi"))).alias("_pw_r"))
-    hits = ranked.join(wanted.distinct(), [*by, "_pw_r"], "left_semi") \
-                 .select(*by, "_pw_r", F.col(value).alias("_pw_v"))
-    lo = hits.withColumnRenamed("_pw_r", "_pw_lo").withColumnRenamed("_pw_v", "_pw_vlo")
-    hi = hits.withColumnRenamed("_pw_r", "_pw_hi").withColumnRenamed("_pw_v", "_pw_vhi")
-    res = targets.join(lo, [*by, "_pw_lo"]).join(hi, [*by, "_pw_hi"])
-    q = F.col("_pw_vlo") + (F.col("_pw_vhi") - F.col("_pw_vlo")) * F.col("_pw_frac")
+    if not by:  # one group, by a constant key
+        whole = long_df.select(F.lit(1).alias("_pw_all"), F.col(value).alias("value"))
+        return exact_quantiles(whole, ["_pw_all"], "value", probs, num_partitions).drop("_pw_all")
+    vals = long_df.select(*by, F.col(value).cast("double").alias("_pw_v"))
+    vals = vals.filter(F.col("_pw_v").isNotNull() & ~F.isnan("_pw_v"))
+    probs = [float(p) for p in probs]
+    edge = 3.0 / ACCURACY  # covers the sketch's error and two more ranks once a group has ACCURACY rows
+    asked = [x for p in probs for x in (max(p - edge, 0.0), min(p + edge, 1.0))]
+    sketch = vals.groupBy(*by).agg(F.count(F.lit(1)).alias("_pw_cnt"),
+                                   F.percentile_approx("_pw_v", asked, ACCURACY).alias("_pw_a"),
+                                   F.min("_pw_v").alias("_pw_min"), F.max("_pw_v").alias("_pw_max"))
+    brackets = []
+    for i, p in enumerate(probs):
+        small = F.col("_pw_cnt") <= ACCURACY  # its whole range is a short bracket
+        low = F.col("_pw_min") if p - edge <= 0 else F.when(small, F.col("_pw_min")).otherwise(F.col("_pw_a")[2 * i])
+        high = F.col("_pw_max") if p + edge >= 1 else F.when(small, F.col("_pw_max")).otherwise(F.col("_pw_a")[2 * i + 1])
+        brackets.append(F.struct(F.lit(p).alias("prob"), low.alias("lo"), high.alias("hi")))
+    per = cut_lineage(sketch.select(*by, "_pw_cnt", F.array(*brackets).alias("_pw_b")))
+    keyed = {b: f"_pw_g_{i}" for i, b in enumerate(by)}
+    side = per.select(*[F.col(b).alias(k) for b, k in keyed.items()], "_pw_b")
+    cond = F.lit(True)
+    for b, k in keyed.items():
+        cond = cond & vals[b].eqNullSafe(side[k])
+    joined = vals.join(side, cond)
+    place = F.transform("_pw_b", lambda x: F.when(F.col("_pw_v") < x["lo"], F.lit(-1)).when(
+        F.col("_pw_v") <= x["hi"], F.lit(0)).otherwise(F.lit(1)))
+    # one row a value inside some bracket; all values elsewhere fall together by their places
+    inside = F.when(F.array_contains("_pw_p", 0), F.col("_pw_v"))
+    counted = joined.select(*by, "_pw_v", place.alias("_pw_p")).select(*by, "_pw_p", inside.alias("_pw_v")) \
+                    .groupBy(*by, "_pw_p", "_pw_v").agg(F.count(F.lit(1)).alias("_pw_n"))
+    spread = cut_lineage(counted.select(*by, "_pw_v", "_pw_n", F.posexplode("_pw_p").alias("_pw_i", "_pw_at")))
+    below = spread.filter("_pw_at = -1").groupBy(*by, "_pw_i").agg(F.sum("_pw_n").alias("_pw_below"))
+    cum = prefix_sums(spread.filter("_pw_at = 0").select(*by, "_pw_i", "_pw_v", "_pw_n"), [*by, "_pw_i"], ["_pw_v"],
+                      ["_pw_n"], num_partitions=num_partitions, suffix="_to")
+    targets = per.select(*by, "_pw_cnt", F.posexplode("_pw_b").alias("_pw_i", "_pw_s"))
+    pos = (F.col("_pw_cnt") - 1) * F.col("prob")
+    targets = _null_safe_left(targets.select(*by, "_pw_cnt", "_pw_i", F.col("_pw_s.prob").alias("prob")), below,
+                              [*by, "_pw_i"], ["_pw_below"])
+    targets = targets.select(*by, "_pw_i", "prob", (F.floor(pos) + 1).alias("_pw_lo"), (F.ceil(pos) + 1).alias("_pw_hi"),
+                             (pos - F.floor(pos)).alias("_pw_frac"), F.coalesce("_pw_below", F.lit(0)).alias("_pw_below"))
+    both = _null_safe_left(targets, cum.select(*by, "_pw_i", "_pw_v", "_pw_n", "_pw_n_to"), [*by, "_pw_i"],
+                           ["_pw_v", "_pw_n", "_pw_n_to"])
+    first, last = F.col("_pw_below") + F.col("_pw_n_to") - F.col("_pw_n") + 1, F.col("_pw_below") + F.col("_pw_n_to")
+    holds = lambda rank: F.max(F.when((first <= F.col(rank)) & (F.col(rank) <= last), F.col("_pw_v")))
+    res = both.groupBy(*by, "prob", "_pw_frac").agg(holds("_pw_lo").alias("_pw_x"), holds("_pw_hi").alias("_pw_y"))
+    q = F.col("_pw_x") + (F.col("_pw_y") - F.col("_pw_x")) * F.col("_pw_frac")
     return res.select(*by, "prob", q.alias("quantile"))
+
+
+def _null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str], take: Sequence[str]) -> DataFrame:
+    renamed = right.select(*[F.col(k).alias(f"_pw_r_{i}") for i, k in enumerate(keys)], *take)
+    cond = None
+    for i, k in enumerate(keys):
+        c = left[k].eqNullSafe(renamed[f"_pw_r_{i}"])
+        cond = c if cond is None else cond & c
+    return left.join(renamed, cond, "left").drop(*[f"_pw_r_{i}" for i in range(len(keys))])

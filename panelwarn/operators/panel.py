@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwarn.functions.nulls import is_missing
 from panelwarn.operators.features import DROP_COLUMNS
 
 
@@ -28,18 +29,12 @@ def filter_min_year(df: DataFrame, year_col: str, first_year: int) -> DataFrame:
 
 def complete_rows(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Drop rows with any missing value (NaN counts as missing)."""
-    cols = list(cols or df.columns)
-    num = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(c).isNotNull() & (~F.isnan(F.col(c)) if c in num else F.lit(True))
-                   for c in cols], F.lit(True))
-    return df.filter(cond)
+    return df.filter(reduce(lambda a, b: a & b, [~is_missing(df, c) for c in cols or df.columns], F.lit(True)))
 
 
 def completeness_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Initial / kept / dropped row counts in one pass."""
-    cols = list(cols or df.columns)
-    incomplete = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols], F.lit(False))
+    incomplete = reduce(lambda a, b: a | b, [is_missing(df, c) for c in cols or df.columns], F.lit(False))
     return df.agg(F.count(F.lit(1)).alias("initial_rows"),
                   F.sum((~incomplete).cast("long")).alias("kept_rows"),
                   F.sum(incomplete.cast("long")).alias("dropped_rows"))
@@ -62,7 +57,7 @@ def left_join_covariates(cases: DataFrame, cov: DataFrame, keys: Sequence[str])
 
 def missing_cell_count(df: DataFrame, cols: Sequence[str], name: str = "missing_cells") -> DataFrame:
     """Number of missing cells over the given columns."""
-    total = reduce(lambda a, b: a + b, [F.col(c).isNull().cast("long") for c in cols])
+    total = reduce(lambda a, b: a + b, [is_missing(df, c).cast("long") for c in cols])
     return df.agg(F.coalesce(F.sum(total), F.lit(0)).alias(name))
 
 

@@ -14,6 +14,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelwarn.functions.nulls import is_missing
 from panelwarn.operators.ordering import exact_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -27,10 +28,15 @@ def _scalar(df: DataFrame, expr):
     return df.agg(expr.alias("v")).first()["v"]
 
 
+def _number(col: str):
+    """The column as DOUBLE with every missing value NULL."""
+    return F.nanvl(F.col(col).cast("double"), F.lit(None).cast("double"))
+
+
 def to_long(df: DataFrame, cols: Sequence[str], name: str = "column", value: str = "value",
             ids: Sequence[str] = ()) -> DataFrame:
-    """Unpivot numeric columns to (ids..., column, value DOUBLE)."""
-    casted = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in cols])
+    """Unpivot numeric columns to (ids..., column, value DOUBLE); NaN becomes NULL."""
+    casted = df.select(*ids, *[_number(c).alias(c) for c in cols])
     return casted.unpivot(list(ids), list(cols), name, value)
 
 
@@ -113,13 +119,7 @@ def table_info(df: DataFrame) -> DataFrame:
 
 def missing_per_column(df: DataFrame) -> DataFrame:
     """(column, missing) with NaN counted as missing for float columns."""
-    num = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
-
-    def miss(c):
-        m = F.col(c).isNull()
-        return (m | F.isnan(F.col(c))) if c in num else m
-
-    wide = df.agg(*[F.sum(miss(c).cast("long")).alias(f"_m{i}") for i, c in enumerate(df.columns)])
+    wide = df.agg(*[F.sum(is_missing(df, c).cast("long")).alias(f"_m{i}") for i, c in enumerate(df.columns)])
     entries = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"_m{i}"), F.lit(0)).alias("missing"))
                         for i, c in enumerate(df.columns)])
     return wide.select(F.inline(entries))
@@ -138,7 +138,7 @@ def class_by_entity(df: DataFrame, entity: str, flag: str, digits: int | None =
                                F.sum((F.col(flag) == 1).cast("long")).alias("n_1"))
     g = g.withColumn("total", F.col("n_0") + F.col("n_1"))
     pct = F.col("n_1") * 100.0 / F.col("total")
-    return g.withColumn("pct_1", F.round(pct, digits) if digits is not None else pct)
+    return g.withColumn("pct_1", F.bround(pct, digits) if digits is not None else pct)  # ties to even
 
 
 def positive_rate(df: DataFrame, entity: str, flag: str) -> DataFrame:
@@ -164,7 +164,7 @@ def iqr_outliers(df: DataFrame, cols: Sequence[str], factor: float = IQR_FACTOR)
     flagged = long.join(F.broadcast(qq.select("column", "lower", "upper")), "column")
     counts = flagged.groupBy("column").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum(((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).cast("long"))
+        F.coalesce(F.sum(((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).cast("long")), F.lit(0))
         .alias("outliers"))
     return qq.join(counts, "column").withColumn("outlier_pct", F.col("outliers") * 100.0 / F.col("rows"))
 
@@ -174,8 +174,8 @@ def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     pairs = list(combinations(cols, 2))
     aggs = []
     for i, (a, b) in enumerate(pairs):
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        aggs.append(F.corr(F.when(both, F.col(a)), F.when(both, F.col(b))).alias(f"_c{i}"))
+        x, y = _number(a), _number(b)  # NULL in either drops the pair
+        aggs.append(F.corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)).alias(f"_c{i}"))
     wide = df.agg(*aggs, F.lit(1).alias("_one"))
     entries = []
     for i, (a, b) in enumerate(pairs):
@@ -189,7 +189,9 @@ def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def top_correlated(df: DataFrame, cols: Sequence[str], target: str, k: int = 10) -> DataFrame:
     """Top-k features by |corr| with the target (the target itself ranks first)."""
     names = [c for c in cols if c != target]
-    aggs = [F.corr(F.col(c), F.col(target)).alias(f"_c{i}") for i, c in enumerate(names)]
+    y = _number(target)
+    aggs = [F.corr(F.when(y.isNotNull(), _number(c)), F.when(_number(c).isNotNull(), y)).alias(f"_c{i}")
+            for i, c in enumerate(names)]
     wide = df.agg(*aggs)
     entries = [F.struct(F.lit(c).alias("feature"), F.col(f"_c{i}").alias("corr")) for i, c in enumerate(names)]
     entries.append(F.struct(F.lit(target).alias("feature"), F.lit(1.0).alias("corr")))
@@ -199,20 +201,21 @@ def top_correlated(df: DataFrame, cols: Sequence[str], target: str, k: int = 10)
 
 def histogram(df: DataFrame, col: str, bins: int = HIST_BINS) -> DataFrame:
     """Equal-width bins between min and max; the max falls in the last bin."""
+    df = df.select(_number(col).alias(col)).filter(F.col(col).isNotNull())
     row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     lo, hi = row["lo"], row["hi"]
     if lo is None:
         return df.sparkSession.createDataFrame([], "bin int, lower double, upper double, count long")
     width = (float(hi) - float(lo)) / bins if hi != lo else 1.0
     b = F.least(F.floor((F.col(col) - F.lit(float(lo))) / F.lit(width)), F.lit(bins - 1)).cast("int")
-    g = df.filter(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    g = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return g.select("bin", (F.lit(float(lo)) + F.col("bin") * F.lit(width)).alias("lower"),
                     (F.lit(float(lo)) + (F.col("bin") + 1) * F.lit(width)).alias("upper"), "count")
 
 
 def box_stats(df: DataFrame, group: str, col: str, factor: float = IQR_FACTOR) -> DataFrame:
     """Quartiles per group and whiskers = extreme values within factor*IQR."""
-    vals = df.select(group, F.col(col).cast("double").alias("value")).filter(F.col("value").isNotNull())
+    vals = df.select(group, _number(col).alias("value")).filter(F.col("value").isNotNull())
     q = exact_quantiles(vals, [group], "value", QUARTILES)
     qq = q.groupBy(group).agg(*[F.first(F.when(F.col("prob") == p, F.col("quantile")), True).alias(n)
                                 for p, n in zip(QUARTILES, ("q1", "median", "q3"))])

@@ -45,24 +45,32 @@ def linear_probability(vector_col: str, coefficients, intercept: float) -> Colum
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def missing_keys_error(map_col, names) -> Column:
-    """Text naming the required keys absent (or non-finite) in a feature map; NULL if valid."""
+def invalid_values_error(map_col, names) -> Column:
+    """Text naming the keys whose value is NULL or not finite; NULL if the map can be scored.
+
+    An absent key is no error: it counts as 0.0, as in :func:`map_to_vector`.
+    """
     m = F.col(map_col) if isinstance(map_col, str) else map_col
-    bad = [F.when(F.try_element_at(m, F.lit(n)).isNull() | F.isnan(F.try_element_at(m, F.lit(n))),
-                  F.lit(n)) for n in names]
-    missing = F.array_compact(F.array(*bad))
-    return F.when(F.size(missing) > 0, F.concat(F.lit("missing features: "), F.array_join(missing, ", ")))
+    bad = []
+    for n in names:
+        v = F.try_element_at(m, F.lit(n)).cast("double")
+        finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))
+        bad.append(F.when(F.map_contains_key(m, F.lit(n)) & ~finite, F.lit(n)))
+    invalid = F.array_compact(F.array(*bad))
+    return F.when(m.isNull(), F.lit("no features")).when(
+        F.size(invalid) > 0, F.concat(F.lit("invalid features: "), F.array_join(invalid, ", ")))
 
 
 def score_with_errors(df: DataFrame, map_col: str, names, score, threshold: float,
                       keep=()) -> DataFrame:
     """Per-row error capture for batch scoring of feature maps.
 
-    Valid rows (every required key present and finite) are scored by
-    ``score(df_with_vector) -> df with 'probability'``; invalid rows keep their
-    input and get an ``error`` text.  Both kinds stay in the output.
+    Valid rows (no required key with a NULL or non-finite value; absent keys
+    count as 0.0) are scored by ``score(df_with_vector) -> df with
+    'probability'``; invalid rows keep their input and get an ``error`` text.
+    Both kinds stay in the output.
     """
-    checked = df.withColumn("error", missing_keys_error(map_col, names))
+    checked = df.withColumn("error", invalid_values_error(map_col, names))
     good = checked.filter(F.col("error").isNull()).withColumn("_pw_vec", map_to_vector(map_col, names))
     scored = score(good).withColumn("prediction", (F.col("probability") >= F.lit(threshold)).cast("int"))
     bad = (checked.filter(F.col("error").isNotNull())
@@ -74,40 +82,58 @@ def score_with_errors(df: DataFrame, map_col: str, names, score, threshold: floa
 
 # ------------------------------------------------------------------ scorers
 class OutbreakScorer:
-    """Apply a saved pipeline (model + scaler + frozen feature list)."""
+    """Apply a saved pipeline (model + scaler + frozen feature list + fitted encoding)."""
 
-    def __init__(self, model, scaler, meta: dict):
-        self.model, self.scaler, self.meta = model, scaler, meta
+    def __init__(self, model, scaler, meta: dict, encoding=None):
+        self.model, self.scaler, self.meta, self.encoding = model, scaler, meta, encoding
         self.features = list(meta["feature_columns"])
         self.threshold = float(meta["optimal_threshold"])
 
     @classmethod
     def load(cls, spark, path: str) -> "OutbreakScorer":
-        from panelwarn.operators.models import load_artifacts
-        return cls(*load_artifacts(spark, path))
+        from panelwarn.operators.models import load_artifacts, load_encoding
+        model, scaler, meta = load_artifacts(spark, path)
+        return cls(model, scaler, meta, load_encoding(spark, path, meta))
 
     def score_features(self, df: DataFrame, keep=(), apply_threshold: bool = True) -> DataFrame:
         """Score rows that already carry the feature columns (absent ones = 0.0)."""
         from pyspark.ml.functions import vector_to_array
         aligned = align_features(df, self.features, keep=keep)
         scaled = self.scaler.transform(aligned)
-        out = self.model.transform(scaled).withColumn(
-            "probability_1", vector_to_array(F.col("probability")).getItem(1))
+        out = self.model.transform(scaled)
+        pair = F.col("probability")  # a vector, or an array from a SQL stage
+        if out.schema["probability"].dataType.typeName() != "array":
+            pair = vector_to_array(pair)
+        out = out.withColumn("probability_1", pair.getItem(1))
         cols = [*keep, F.col("probability_1").alias("outbreak_probability")]
         if apply_threshold:
             cols.append((F.col("probability_1") >= F.lit(self.threshold)).cast("int").alias("prediction"))
         return out.select(*cols, F.lit(self.threshold).alias("threshold_used"),
                           F.lit(self.meta.get("model_type")).alias("model_type"))
 
-    def score_panel(self, raw: DataFrame, spec, codes: DataFrame | None = None,
-                    apply_threshold: bool = True) -> DataFrame:
+    def panel_features(self, raw: DataFrame, spec) -> DataFrame:
+        """C1 features: windows over the rows given, codes and year bounds as fitted in training.
+
+        Without the date column, it is made of ``year`` and ``dayofyear``.  An
+        entity that training has not seen is an error.
+        """
+        from panelwarn.operators.features import EXOG_COLUMNS, engineer_features
+        from panelwarn.schemas import SCORING_REQUIRED
+        if self.encoding is None:
+            raise ValueError("the artifact holds no fitted encoding; save it with one to score panels")
+        if spec.time in raw.columns:
+            require_columns(raw, [spec.entity, *EXOG_COLUMNS, spec.target], "scoring input")
+        else:
+            own = {"ISO_A0": spec.entity}
+            require_columns(raw, [*[own.get(c, c) for c in SCORING_REQUIRED], spec.target], "scoring input")
+            first = F.make_date("year", F.lit(1), F.lit(1))
+            raw = raw.withColumn(spec.time, F.date_add(first, F.col("dayofyear").cast("int") - 1))
+        return engineer_features(raw, spec, encoding=self.encoding)
+
+    def score_panel(self, raw: DataFrame, spec, apply_threshold: bool = True) -> DataFrame:
         """Raw panel rows -> training features -> complete rows -> scores, keys kept."""
-        from panelwarn.operators.features import apply_label_codes, engineer_features
         from panelwarn.operators.panel import complete_rows
-        require_columns(raw, [spec.entity, spec.time, spec.target], "scoring input")
-        feats = engineer_features(raw, spec, encode_entity=codes is None)
-        if codes is not None:
-            feats = apply_label_codes(feats, codes, spec.entity)
+        feats = self.panel_features(raw, spec)
         done = complete_rows(feats, [c for c in self.features if c in feats.columns])
         require_rows(done, "scoring input")
         return self.score_features(done, keep=[spec.entity, spec.time], apply_threshold=apply_threshold)
@@ -120,7 +146,7 @@ class OutbreakScorer:
 
     def score_maps_with_errors(self, df: DataFrame, map_col: str = "features", keep=()) -> DataFrame:
         """C3 with the saved model: invalid maps get an error text instead of a score."""
-        checked = df.withColumn("error", missing_keys_error(map_col, self.features))
+        checked = df.withColumn("error", invalid_values_error(map_col, self.features))
         good = self.score_maps(checked.filter(F.col("error").isNull()), map_col, keep=[*keep, map_col])
         good = good.select(*keep, map_col, F.col("outbreak_probability").alias("probability"), "prediction",
                            F.lit(None).cast("string").alias("error"))

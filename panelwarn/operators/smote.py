@@ -1,20 +1,13 @@
-"""SMOTE oversampling (M4) with an exact k-nearest-neighbour search.
-
-k-NN without a cross join and without all pairs of a group:
-
-1. Every point gets t = distance to one pivot; points are numbered in (t, id)
-   order with the distributed exact row number.
-2. Candidates: the ``window`` points before and after each point in that order
-   (a bounded frame, computed per block of rows with a halo, so no single task
-   holds the table).  The k-th candidate distance theta is an upper bound of
-   the true k-th neighbour distance.
-3. Certificate (triangle inequality): a point y outside the candidate range has
-   |t_y - t_q| <= d(q, y); if the range already extends more than theta on each
-   side (or reaches the table's end) no outside point can be closer, and the
-   candidate answer is exact.
-4. Uncertified points are answered exactly by a band join: points are
-   bucketed by t, each query visits the buckets covering [t_q - theta, t_q + theta],
-   and the top k per query are taken in two salted phases.
+"""SMOTE oversampling (M4) with k-nearest neighbours from random-projection leaves.
+
+Neighbours without a cross join and without all pairs of a class: each of
+``TREES`` seeded random directions orders the points along itself, that order
+is cut into equal leaves of at most ``LEAF_ROWS`` points, and inside a leaf the
+k nearest are exact (numpy, one leaf a task).  The leaves' answers are merged
+by distance.  So a point's neighbours are the nearest among the points that
+share a leaf with it; with one leaf (a class of up to ``LEAF_ROWS`` points)
+that is the exact answer.  Work and rows moved are linear in the points, equal
+or nearly equal points are no special case, and no leaf can grow.
 
 Synthetic rows: synthetic s picks base index, neighbour rank and gap from
 md5('<s>-<seed>-<tag>'), so the output is reproducible (and equal to a SQL
@@ -23,20 +16,18 @@ formulation of the same rule).  x_new = x_base + gap * (x_nb - x_base).
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwarn.operators.ordering import exact_row_number
-from panelwarn.operators.profile import top_k_per_group
+from panelwarn.session import cut_lineage
 
 K_NEIGHBOURS = 5   # the public default of the SMOTE paper / library
 SEED = 42
-
-
-def sq_dist(a, b) -> Column:
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x)
+TREES = 4
+LEAF_ROWS = 2048
 
 
 def hash_uniform(col, seed: int, tag: str) -> Column:
@@ -44,97 +35,76 @@ def hash_uniform(col, seed: int, tag: str) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def knn_exact(pts: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int = K_NEIGHBOURS,
-              window: int = 32, block_rows: int = 4096, salt_buckets: int = 16) -> DataFrame:
-    """Exact k nearest neighbours (excluding the point itself), ties by id.
-
-    Output: (id, rank, nb_id, d2) with rank 1..min(k, n-1).
-    """
-    window = max(window, k)
+def knn(pts: DataFrame, id_col: str = "id", vec_col: str = "vec", k: int = K_NEIGHBOURS,
+        trees: int = TREES, leaf_rows: int = LEAF_ROWS, seed: int = SEED) -> DataFrame:
+    """The k nearest other points that share a leaf, ties by id: (id, rank, nb_id, d2)."""
     pts = pts.select(F.col(id_col).alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec"))
-    pivot = pts.orderBy(F.md5(F.col("id").cast("string")), "id").select("vec").first()
-    if pivot is None:
-        return pts.sparkSession.createDataFrame([], "id long, rank int, nb_id long, d2 double")
-    pv = F.array(*[F.lit(float(v)) for v in pivot["vec"]])  # one vector, bounded by the dimension
-    with_t = pts.withColumn("t", F.sqrt(sq_dist("vec", pv)))
-    ranked = exact_row_number(with_t, [], ["t", "id"], out="pos")
-    n = ranked.count()
-
-    # -- 2. candidates within +-window positions (blocked window with halo) --
-    blk = F.floor((F.col("pos") - 1) / F.lit(block_rows))
-    own = ranked.withColumn("_b", blk).withColumn("_halo", F.lit(False))
-    halo = ranked.filter(((F.col("pos") - 1) % block_rows) >= block_rows - window) \
-                 .withColumn("_b", blk + 1).withColumn("_halo", F.lit(True))
-    w = Window.partitionBy("_b").orderBy("pos").rowsBetween(-window, -1)
-    prev = (own.unionByName(halo)
-               .withColumn("_prev", F.collect_list(F.struct("id", "vec", "t")).over(w))
-               .filter(~F.col("_halo"))
-               .select("id", "vec", "t", F.explode("_prev").alias("c")))
-    pairs = prev.select(F.col("id").alias("q"), F.col("c.id").alias("nb_id"),
-                        sq_dist("vec", "c.vec").alias("d2"), F.col("t").alias("tq"), F.col("c.t").alias("tc"))
-    both = pairs.unionByName(pairs.select(F.col("nb_id").alias("q"), F.col("q").alias("nb_id"), "d2",
-                                          F.col("tc").alias("tq"), F.col("tq").alias("tc")))
-    # per query at most 2 * window candidates: a bounded group
-    rk = Window.partitionBy("q").orderBy("d2", "nb_id")
-    cand = both.withColumn("rank", F.row_number().over(rk))
-    summary = cand.groupBy("q").agg(
-        F.max(F.when(F.col("rank") == k, F.sqrt("d2"))).alias("theta"),
-        F.min("tc").alias("t_lo"), F.max("tc").alias("t_hi"))
-    info = ranked.select(F.col("id").alias("q"), "pos", F.col("t").alias("tq")).join(summary, "q", "left")
-    reach_start = F.col("pos") - 1 <= window
-    reach_end = F.lit(n) - F.col("pos") <= window
-    certified = (reach_start & reach_end) | (
-        F.col("theta").isNotNull()
-        & (reach_start | (F.col("tq") - F.col("t_lo") > F.col("theta")))
-        & (reach_end | (F.col("t_hi") - F.col("tq") > F.col("theta"))))
-    info = info.withColumn("certified", certified)
-    exact_cand = (cand.filter(F.col("rank") <= k).join(info.filter("certified").select("q"), "q")
-                      .select(F.col("q").alias("id"), "rank", "nb_id", "d2"))
-
-    # -- 4. exact band join for the rest --
-    todo = info.filter(~F.col("certified")).select("q", "tq", F.coalesce("theta", F.lit(float("inf"))).alias("theta"))
-    if todo.isEmpty():
-        return exact_cand
-    finite = todo.filter(F.col("theta") < F.lit(float("inf"))).agg(F.percentile_approx("theta", 0.5).alias("h")).first()["h"]
-    t_span = ranked.agg((F.max("t") - F.min("t")).alias("s")).first()["s"] or 1.0
-    h = float(finite) if finite else float(t_span) or 1.0
-    h = max(h, 1e-12)
-    tmax = F.lit(float(t_span) + float(ranked.agg(F.max("t")).first()[0]))
-    lo = F.floor((F.col("tq") - F.least(F.col("theta"), tmax)) / F.lit(h))
-    hi = F.floor((F.col("tq") + F.least(F.col("theta"), tmax)) / F.lit(h))
-    qb = todo.select("q", "tq", "theta", F.explode(F.sequence(F.greatest(lo, F.lit(-1)).cast("long"),
-                                                              hi.cast("long"))).alias("_bk"))
-    pb = ranked.select(F.col("id").alias("nb_id"), F.col("vec").alias("nvec"), F.col("t").alias("tn"),
-                       F.floor(F.col("t") / F.lit(h)).cast("long").alias("_bk"))
-    qv = ranked.select(F.col("id").alias("q"), F.col("vec").alias("qvec"))
-    band = (qb.join(pb, "_bk").filter((F.col("nb_id") != F.col("q"))
-                                      & (F.abs(F.col("tn") - F.col("tq")) <= F.col("theta")))
-              .join(qv, "q").select("q", "nb_id", sq_dist("qvec", "nvec").alias("d2")))
-    top = top_k_per_group(band, ["q"], [F.col("d2"), F.col("nb_id")], k, salt_buckets=salt_buckets,
-                          salt_col="nb_id")
-    return exact_cand.unionByName(top.select(F.col("q").alias("id"), "rank", "nb_id", "d2"))
+    pts = cut_lineage(pts)
+    n = pts.count()
+    kind = pts.schema["id"].dataType.simpleString()
+    if n < 2:
+        return pts.sparkSession.createDataFrame([], f"id {kind}, rank int, nb_id {kind}, d2 double")
+    leaves = -(-n // leaf_rows)
+    width = len(pts.first()["vec"])
+    rng = np.random.default_rng(seed)
+
+    def nearest(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("id", kind="stable")
+        ids, x = part["id"].to_numpy(), np.array(part["vec"].tolist(), float)
+        rows = []
+        for i in range(len(x)):
+            d2 = ((x - x[i]) ** 2).sum(axis=1)
+            d2[i] = np.inf
+            near = np.argsort(d2, kind="stable")[:min(k, len(x) - 1)]  # ids ascend, so ties go to the smaller
+            rows += [(ids[i], ids[j], d2[j]) for j in near]
+        return pd.DataFrame(rows, columns=["id", "nb_id", "d2"])
+
+    found = None
+    for _ in range(trees if leaves > 1 else 1):
+        way = F.array(*[F.lit(float(v)) for v in rng.standard_normal(width)])
+        along = F.aggregate(F.zip_with("vec", way, lambda a, b: a * b), F.lit(0.0), lambda s, a: s + a)
+        placed = exact_row_number(pts.withColumn("_t", along), [], ["_t", "id"], out="_pos")
+        leaf = F.floor((F.col("_pos") - 1) * F.lit(leaves) / F.lit(n))
+        part = placed.withColumn("_leaf", leaf).groupBy("_leaf").applyInPandas(
+            nearest, f"id {kind}, nb_id {kind}, d2 double")
+        found = part if found is None else found.unionByName(part)
+    # at most trees * k rows a point
+    best = Window.partitionBy("id").orderBy("d2", "nb_id")
+    return (found.dropDuplicates(["id", "nb_id"]).withColumn("rank", F.row_number().over(best))
+                 .filter(F.col("rank") <= k).select("id", "rank", "nb_id", "d2"))
 
 
 def smote(df: DataFrame, label: str, id_col: str, vec_col: str, k: int = K_NEIGHBOURS, seed: int = SEED,
-          minority=None, **knn_kw) -> DataFrame:
-    """M4: add n_majority - n_minority synthetic minority rows (binary labels).
+          **knn_kw) -> DataFrame:
+    """M4: raise every smaller class to the size of the largest with synthetic rows.
 
     Output: original rows plus synthetic ones, with ``synthetic`` (bool) and
-    ``synthetic_id`` columns; synthetic rows carry a NULL ``id_col``.
+    ``synthetic_id`` columns; synthetic rows carry a NULL ``id_col``.  A class
+    of one row is copied.  Class counts are one row a class; a label with more
+    than 1,000 values is refused.
     """
-    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
-    if len(counts) < 2:
-        return df.withColumn("synthetic", F.lit(False)).withColumn("synthetic_id", F.lit(None).cast("long"))
-    if minority is None:
-        minority = min(counts, key=lambda c: (counts[c], c))
-    n_min = counts[minority]
-    n_maj = sum(v for c, v in counts.items() if c != minority)
-    n_syn = max(n_maj - n_min, 0)
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().limit(1001).collect()}
+    if len(counts) > 1000:
+        raise ValueError(f"{label} has more than 1000 values; is it a class?")
+    out = df.select(id_col, F.transform(F.col(vec_col), lambda x: x.cast("double")).alias(vec_col), label) \
+            .withColumn("synthetic", F.lit(False)).withColumn("synthetic_id", F.lit(None).cast("long"))
+    most = max(counts.values(), default=0)
+    for c in sorted((c for c in counts if c is not None and counts[c] < most), key=str):
+        out = out.unionByName(_synthetic(df, label, c, counts[c], most - counts[c], id_col, vec_col, k, seed, knn_kw))
+    return out
+
+
+def _synthetic(df: DataFrame, label: str, minority, n_min: int, n_syn: int, id_col: str, vec_col: str, k: int,
+               seed: int, knn_kw: dict) -> DataFrame:
     spark = df.sparkSession
     mins = df.filter(F.col(label) == F.lit(minority)).select(
         F.col(id_col).alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("vec"))
-    knn = knn_exact(mins, "id", "vec", k, **knn_kw)
-    k_eff = max(min(k, n_min - 1), 1)
+    k_eff = min(k, n_min - 1)
+    if k_eff:
+        neighbours = knn(mins, "id", "vec", k, seed=seed, **knn_kw)
+    else:
+        neighbours = mins.select("id", F.lit(1).alias("rank"), F.col("id").alias("nb_id"), F.lit(0.0).alias("d2"))
+    k_eff = max(k_eff, 1)
     idx = exact_row_number(mins, [], ["id"], out="_i").select((F.col("_i") - 1).alias("base_i"),
                                                                F.col("id").alias("base_id"),
                                                                F.col("vec").alias("base_vec"))
@@ -145,12 +115,9 @@ def smote(df: DataFrame, label: str, id_col: str, vec_col: str, k: int = K_NEIGH
         (F.floor(hash_uniform(s, seed, "nb") * F.lit(k_eff)) + 1).cast("int").alias("rank"),
         hash_uniform(s, seed, "gap").alias("gap"))
     syn = (syn.join(idx, "base_i")
-              .join(knn.select(F.col("id").alias("base_id"), "rank", "nb_id"), ["base_id", "rank"])
+              .join(neighbours.select(F.col("id").alias("base_id"), "rank", "nb_id"), ["base_id", "rank"])
               .join(mins.select(F.col("id").alias("nb_id"), F.col("vec").alias("nb_vec")), "nb_id"))
     new_vec = F.zip_with("base_vec", "nb_vec", lambda a, b: a + F.col("gap") * (b - a))
-    synth_rows = syn.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col),
-                            new_vec.alias(vec_col), F.lit(minority).cast(df.schema[label].dataType).alias(label),
-                            F.lit(True).alias("synthetic"), "synthetic_id")
-    orig = df.select(id_col, F.transform(F.col(vec_col), lambda x: x.cast("double")).alias(vec_col), label) \
-             .withColumn("synthetic", F.lit(False)).withColumn("synthetic_id", F.lit(None).cast("long"))
-    return orig.unionByName(synth_rows)
+    return syn.select(F.lit(None).cast(df.schema[id_col].dataType).alias(id_col),
+                      new_vec.alias(vec_col), F.lit(minority).cast(df.schema[label].dataType).alias(label),
+                      F.lit(True).alias("synthetic"), "synthetic_id")

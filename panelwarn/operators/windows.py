@@ -24,9 +24,6 @@ from panelwarn.operators.ordering import exact_row_number
 # build(window, position) -> {name: column}; position is the 1-based row index
 Builder = Callable[[object, Column], dict[str, Column]]
 
-DEFAULT_MAX_ROWS_PER_ENTITY = 2_000_000
-
-
 @dataclass(frozen=True)
 class PanelSpec:
     """Names of the panel's key columns; defaults are the reference's names."""
@@ -43,33 +40,21 @@ class PanelSpec:
         return Window.partitionBy(self.entity).orderBy(*self.order)
 
 
-def hot_entities(df: DataFrame, spec: PanelSpec, max_rows: int) -> DataFrame:
-    """Entities with more than ``max_rows`` rows (at most total_rows / max_rows of them)."""
-    return (df.groupBy(spec.entity).agg(F.count(F.lit(1)).alias("_pw_rows"))
-              .filter(F.col("_pw_rows") > max_rows).select(spec.entity))
-
-
 def apply_panel_window(df: DataFrame, spec: PanelSpec, build: Builder, lookback: int,
-                       max_rows_per_entity: int | None = DEFAULT_MAX_ROWS_PER_ENTITY,
-                       block_rows: int | None = None, force_blocked: bool = False) -> DataFrame:
+                       block_rows: int | None = None) -> DataFrame:
     """Add the columns of ``build`` computed over ``spec``'s ordered entity window.
 
     ``lookback`` is the largest number of preceding rows any expression reads.
     Expressions may only look backwards (lag / rowsBetween(-k, 0 or -1)).
+
+    ``block_rows`` chooses the plan.  None is one window, one shuffle by entity:
+    right while each entity's rows fit one task.  With a number, entities are
+    cut into blocks of so many consecutive rows (see above): for panels where
+    one entity may hold a large share of all rows.  Both give the same columns.
     """
-    if force_blocked:
-        return _blocked(df, spec, build, lookback, block_rows or max(4 * lookback, 8))
-    if max_rows_per_entity is None:
-        return _plain(df, spec, build)
-    hot = hot_entities(df, spec, max_rows_per_entity)
-    if hot.isEmpty():
+    if block_rows is None:
         return _plain(df, spec, build)
-    # Size bound: #hot <= total_rows / max_rows_per_entity, so the list is small.
-    hot = F.broadcast(hot)
-    cold_part = _plain(df.join(hot, spec.entity, "left_anti"), spec, build)
-    hot_part = _blocked(df.join(hot, spec.entity, "left_semi"), spec, build, lookback,
-                        block_rows or max_rows_per_entity)
-    return cold_part.unionByName(hot_part)
+    return _blocked(df, spec, build, lookback, block_rows)
 
 
 def _plain(df: DataFrame, spec: PanelSpec, build: Builder) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from panelwarn.plans.fixed_model import LINEAR, linear_probability_sql
+from panelwarn.schemas import CORRELATION_CANDIDATES, FEATURE_COLUMNS
+
 # Shared CTEs: the proxy panels of FIXTURES.md 2.1.
 CASES = """c as (
   select n.n_name as entity, cast(date_trunc('month', o.o_orderdate) as date) as month_start,
@@ -241,7 +244,7 @@ from labels where quality is not null group by 1"""
 FLAGS = f"""with {CASES}, {DENSE}, fl as (select *, coalesce(cast(cases > 0 as int), 0) as flag from dd)"""
 
 SQL["a13_class_by_entity"] = f"""{FLAGS}
-select entity, n_0, n_1, n_0 + n_1 as total, {r6('cast(n_1 as double) * 100 / (n_0 + n_1)')} as pct_1
+select entity, n_0, n_1, n_0 + n_1 as total, round_even(cast(n_1 as double) * 100 / (n_0 + n_1), 2) as pct_1
 from (select entity, sum(cast(flag = 0 as bigint)) as n_0, sum(cast(flag = 1 as bigint)) as n_1
       from fl group by 1)"""
 
@@ -324,7 +327,7 @@ select o_orderkey,
 from k"""
 SQL["f15_year_clamp"] = f"select o_orderkey, greatest(1996, cast(year({OD}) as int)) as year from orders"
 SQL["f16_round_abs"] = f"""select event_id, {r6('abs(value - cast(10 as double))')} as abs_dev,
-  round(value / cast(3 as double), 2) as third_2dp from events"""
+  round_even(value / cast(3 as double), 2) as third_2dp from events"""
 
 SCORED = """s as (select l.doc_id, l.quality, l.toxic, d.n_chars,
   least(cast(1 as double), d.n_chars / cast(5000 as double)) as p
@@ -396,17 +399,7 @@ from bl left join x on bl.country = x.country"""
 SQL["f19_scenario_features"] = _scenario_sql()
 
 # ------------------------------------------------------ the 45-feature table
-FEATURES = [
-    "month", "year", "temperature_c", "precipitation_mm", "dayofyear", "weekofyear", "quarter",
-    "is_rainy_season", "month_sin", "month_cos", "dayofyear_sin", "dayofyear_cos",
-    *[f"dengue_lag_{k}" for k in (1, 2, 3, 6, 12)],
-    *[f"dengue_{s}_{k}" for k in (3, 6, 12) for s in ("ma", "std")],
-    *[f"temperature_c_lag_{k}" for k in (1, 2, 3, 6, 12)],
-    *[f"temperature_c_{s}_{k}" for k in (3, 6) for s in ("ma", "std")],
-    *[f"precipitation_mm_lag_{k}" for k in (1, 2, 3, 6, 12)],
-    *[f"precipitation_mm_{s}_{k}" for k in (3, 6) for s in ("ma", "std")],
-    "temp_precip_interaction", "time_index", "year_normalized", "ISO_A0_encoded",
-]
+FEATURES = FEATURE_COLUMNS
 INT_FEATURES = {"month", "year", "dayofyear", "weekofyear", "quarter", "is_rainy_season", "ISO_A0_encoded"}
 
 
@@ -457,10 +450,8 @@ SQL["fe_feature_table"] = FT + "\nselect " + ", ".join(
 SQL["p10_frozen_projection"] = FT + "\nselect ISO_A0, calendar_start_date, " + ", ".join(
     f"{r6(f'cast({c} as double)')} as {c}" for c in FEATURES) + " from ft"
 
-_A18 = ["dengue_lag_1", "dengue_ma_3", "dengue_ma_6", "dengue_ma_12", "dengue_std_3", "temperature_c",
-        "precipitation_mm", "temperature_c_ma_3", "month", "time_index"]
 SQL["a18_top_target_correlations"] = FT + ",\nk as (" + " union all ".join(
-    [f"select '{c}' as feature, corr({c}, dengue_total) as corr from ft" for c in _A18]
+    [f"select '{c}' as feature, corr({c}, dengue_total) as corr from ft" for c in CORRELATION_CANDIDATES]
     + ["select 'dengue_total' as feature, cast(1 as double) as corr"]) + """)
 select feature, """ + r6("corr") + " as corr, " + r6("abs(corr)") + """ as abs_corr
 from k order by abs(corr) desc, feature limit 10"""
@@ -599,15 +590,16 @@ SQL["s12_feature_map_rows"] = """with m as (select event_id, json_transform(prop
 select event_id, unnest(map_keys(f)) as key, unnest(map_values(f)) as value from m"""
 
 SQL["c3_batch_error_capture"] = f"""with e as (select event_id, event_type,
-  json_transform(props, '"MAP(VARCHAR, DOUBLE)"')['k'] as k,
-  case when event_type = 'error' then null else value end as v from events),
+  coalesce(json_transform(props, '"MAP(VARCHAR, DOUBLE)"')['k'], 0) as k,
+  case when event_type = 'error' then 0 when event_id % 11 = 0 then null when event_id % 13 = 0 then cast('inf' as double)
+    else value end as v from events),
 z as (select *, cast(-2.0 as double) + cast(0.02 as double) * k + cast(0.05 as double) * v as z,
-  k is null or isnan(k) as bad_k, v is null or isnan(v) as bad_v from e)
+  false as bad_k, v is null or isinf(v) or isnan(v) as bad_v from e)
 select event_id,
   case when bad_k or bad_v then null else {r6('cast(1 as double) / (cast(1 as double) + exp(-z))')} end as probability,
   case when bad_k or bad_v then null
     else cast(cast(1 as double) / (cast(1 as double) + exp(-z)) >= cast(0.5 as double) as int) end as prediction,
-  case when bad_k or bad_v then 'missing features: ' || concat_ws(', ', case when bad_k then 'k' end,
+  case when bad_k or bad_v then 'invalid features: ' || concat_ws(', ', case when bad_k then 'k' end,
     case when bad_v then 'value' end) end as error
 from z"""
 
@@ -656,3 +648,79 @@ b as (select y, count(*) as before from e group by y),
 a as (select y, count(*) as after from (select y from e union all select (select my from mn) from syn) group by y)
 select coalesce(b.y, a.y) as y, coalesce(before, 0) as before, coalesce(after, 0) as after
 from b full join a on b.y = a.y"""
+
+SQL["w3_part_daily_blocked"] = SQL["w3_part_daily_rolling"]
+
+# ------------------------------------- training runs, scoring, attribution
+_WHOLE = " and ".join(f"{c} is not null" for c in FEATURES)
+MODEL_ROWS = f"""{FT},
+mr as (select concat(ISO_A0, '|', cast(calendar_start_date as varchar)) as row_id,
+  cast(dengue_total > dengue_ma_3 as int) as label, ft.* from ft where {_WHOLE})"""
+
+
+def _run_sizes(model: str) -> str:
+    return f"""{MODEL_ROWS},
+n as (select count(*) as n, cast(ceil(cast(0.2 as double) * count(*)) as bigint) as t from mr),
+v as (select n, t, cast(ceil(cast(0.2 as double) * (n - t)) as bigint) as v from n)
+select '{model}' as model, n - t - v as n_train, v as n_val, t as n_test, true as threshold_on_grid,
+  true as metrics_in_range from v"""
+
+
+SQL["m8_random_forest"] = _run_sizes("RandomForest")
+SQL["m9_boosted_trees"] = _run_sizes("XGBoost")
+SQL["m10_boosted_trees_pos_weight"] = _run_sizes("LightGBM")
+SQL["m15_model_comparison"] = f"""{MODEL_ROWS},
+names as (select unnest(['RandomForest', 'XGBoost', 'LightGBM']) as model, unnest([0, 1, 2]) as position)
+select model, cast(position as int) as position, true as in_range, true as selected_by_rule from names
+where (select count(*) from mr) > 0"""
+SQL["m12_forest_importances"] = f"""{FT},
+r as (select unnest(range(1, 16)) as rank)
+select cast(rank as int) as rank, true as valid, true as sum_at_most_one, {len(FEATURES) - 2} as candidates from r
+where (select count(*) from ft) > 0"""
+SQL["m13_boosted_regression_r2"] = f"""{MODEL_ROWS},
+u as (select cast('0x' || substr(md5(concat(row_id, '-42')), 1, 8) as bigint) / cast(4294967296 as double) as u from mr)
+select 'GBTRegressor' as model, count(*) filter (where u >= 0.2) as n_train, count(*) filter (where u < 0.2) as n_test,
+  true as r2_at_most_one from u"""
+
+_P = linear_probability_sql()
+SQL["c1_batch_panel_scoring"] = f"""{MODEL_ROWS}
+select ISO_A0, calendar_start_date, {r6(_P)} as outbreak_probability, cast({_P} >= 0.5 as int) as prediction,
+  cast(0.5 as double) as threshold_used, 'Linear' as model_type from mr"""
+SQL["c1_subset_features"] = FT + "\nselect ISO_A0, calendar_start_date, " + ", ".join(
+    c if c in INT_FEATURES or c == "time_index" else f"{r6(c)} as {c}" for c in FEATURES) + """
+from ft where ISO_A0 in ('NATION_7', 'NATION_19')"""
+SQL["c2_feature_map_scoring"] = f"""{MODEL_ROWS},
+z as (select row_id, * exclude (temperature_c, row_id), case when month % 2 = 0 then 0 else temperature_c end as temperature_c from mr)
+select row_id, {r6(_P)} as outbreak_probability, cast({_P} >= 0.5 as int) as prediction,
+  cast(0.5 as double) as threshold_used, 'Linear' as model_type from z"""
+SQL["c4_stream_scoring"] = SQL["c2_feature_map_scoring"]
+
+
+def _importance_sql() -> str:
+    split = SQL["m1_stratified_split"].replace("with lab as (select doc_id, quality from labels)",
+                                               "lab as (select row_id as doc_id, label as quality from mr)")
+    split = split.replace("cast(doc_id as varchar)", "doc_id")
+    names = list(LINEAR)
+    copies = []
+    for f in names:
+        kept = ", ".join(f"t.{c}" for c in names if c != f)
+        copies.append(f"""select '{f}' as feature, t.label, {kept}, s.{f} as {f}
+  from (select *, row_number() over (order by row_id) as k from test) t
+  join (select {f}, row_number() over (order by md5(concat_ws('-', row_id, '{f}', '42')), row_id) as k from test) s
+  on t.k = s.k""")
+    base = f"select '<none>' as feature, label, {', '.join(names)} from test"
+    columns = ", ".join(["feature", "label", *names])
+    union = "\nunion all\n".join(f"select {columns} from ({q})" for q in [base, *copies])
+    return f"""{MODEL_ROWS},
+sp as (select * from ({split.replace('lab as (', 'with lab as (', 1)})),
+test as (select mr.* from mr join sp on mr.row_id = sp.doc_id where sp.split = 'test'),
+every as ({union}),
+p as (select feature, label = 1 as y, {_P} >= 0.5 as pred from every),
+g as (select feature, count(*) filter (where y and pred) as tp, count(*) filter (where not y and pred) as fp,
+  count(*) filter (where y and not pred) as fn, count(*) filter (where not y and not pred) as tn from p group by 1),
+m as (select feature, (case when 2 * tp + fp + fn = 0 then cast(0 as double) else cast(2 * tp as double) / (2 * tp + fp + fn) end
+  + case when 2 * tn + fn + fp = 0 then cast(0 as double) else cast(2 * tn as double) / (2 * tn + fn + fp) end) / 2 as f1 from g)
+select feature, {r6("(select f1 from m where feature = '<none>') - f1")} as importance from m where feature <> '<none>'"""
+
+
+SQL["e6_permutation_importance"] = _importance_sql()

@@ -7,7 +7,7 @@ DuckDB oracle (plans/oracle.py) can compare them bit for bit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwarn.functions import round6
@@ -353,7 +353,7 @@ def _dense_flags(spark, sf_dir):
 
 @register("a13_class_by_entity")
 def a13_class_by_entity(spark, sf_dir):
-    return _r6_all(A.class_by_entity(_dense_flags(spark, sf_dir), "entity", "flag", digits=None), ["pct_1"])
+    return A.class_by_entity(_dense_flags(spark, sf_dir), "entity", "flag")
 
 
 @register("a14_positive_rate")
@@ -402,7 +402,8 @@ from panelwarn.operators import metrics as E  # noqa: E402
 from panelwarn.operators import sampling as M  # noqa: E402
 from panelwarn.operators import weighting as WT  # noqa: E402
 from panelwarn.operators.features import engineer_features, label_codes, year_normalized  # noqa: E402
-from panelwarn.schemas import FEATURE_COLUMNS  # noqa: E402
+from panelwarn.plans.fixed_model import LINEAR, linear_probability_sql  # noqa: E402
+from panelwarn.schemas import CORRELATION_CANDIDATES, FEATURE_COLUMNS, PROFILE_EXCLUDED  # noqa: E402
 
 
 def _orders(spark, sf_dir):
@@ -492,7 +493,7 @@ def f15_year_clamp(spark, sf_dir):
 def f16_round_abs(spark, sf_dir):
     e = read_table(spark, sf_dir, "events", "event_id", "value")
     return e.select("event_id", round6(F.abs(F.col("value") - F.lit(10.0))).alias("abs_dev"),
-                    F.round(F.col("value") / F.lit(3.0), 2).alias("third_2dp"))
+                    F.bround(F.col("value") / F.lit(3.0), 2).alias("third_2dp"))
 
 
 def _scored_labels(spark, sf_dir):
@@ -563,10 +564,7 @@ def p10_frozen_projection(spark, sf_dir):
 @register("a18_top_target_correlations")
 def a18_top_target_correlations(spark, sf_dir):
     ft = feature_table(spark, sf_dir)
-    return _r6_all(A.top_correlated(ft, ["dengue_lag_1", "dengue_ma_3", "dengue_ma_6", "dengue_ma_12",
-                                         "dengue_std_3", "temperature_c", "precipitation_mm",
-                                         "temperature_c_ma_3", "month", "time_index", "dengue_total"],
-                                    "dengue_total", 10), ["corr", "abs_corr"])
+    return _r6_all(A.top_correlated(ft, CORRELATION_CANDIDATES, "dengue_total", 10), ["corr", "abs_corr"])
 
 
 # ------------------------------------------------------ M: splits & weights
@@ -662,7 +660,10 @@ def t4_best_candidate(spark, sf_dir):
 def _event_maps(spark, sf_dir):
     e = read_table(spark, sf_dir, "events", "event_id", "event_type", "value", "props")
     props = F.from_json("props", "map<string,double>")
-    with_value = F.map_concat(props, F.create_map(F.lit("value"), F.col("value")))
+    value = F.when(F.col("event_id") % 11 == 0, F.lit(None).cast("double")) \
+             .when(F.col("event_id") % 13 == 0, F.lit(float("inf"))).otherwise(F.col("value"))
+    with_value = F.map_concat(props, F.create_map(F.lit("value"), value))
+    # error events lack the value (it counts as 0.0); some values are damaged on purpose, by id
     return e.select("event_id", F.when(F.col("event_type") == "error", props).otherwise(with_value)
                     .alias("features"))
 
@@ -699,12 +700,14 @@ def _train(spark, sf_dir, names):
 
 
 def _result_frame(spark, res):
+    """What SQL can recompute of a training run: split sizes, and that the rest is in range."""
     m = res.metrics
+    grid = any(abs(res.threshold - (0.1 + i * 0.01)) < 1e-9 for i in range(81))
+    parts = [m[k] for k in ("accuracy", "precision", "recall", "f1", "macro_f1")]
+    valid = all(0 <= v <= 1 for v in parts) and (m["roc_auc"] is None or 0 <= m["roc_auc"] <= 1)
     return spark.createDataFrame(
-        [(res.best_name, float(res.threshold), float(m["accuracy"]), float(m["precision"]), float(m["recall"]),
-          float(m["f1"]), float(m["macro_f1"]), None if m["roc_auc"] is None else float(m["roc_auc"]))],
-        "model string, threshold double, accuracy double, precision double, recall double, f1 double, "
-        "macro_f1 double, roc_auc double")
+        [(res.best_name, *[int(res.split_rows[p]) for p in ("train", "val", "test")], grid, valid)],
+        "model string, n_train long, n_val long, n_test long, threshold_on_grid boolean, metrics_in_range boolean")
 
 
 @register("m8_random_forest")
@@ -724,79 +727,110 @@ def m10_boosted_trees_pos_weight(spark, sf_dir):
 
 @register("m12_forest_importances")
 def m12_forest_importances(spark, sf_dir):
-    from panelwarn.operators.models import forest_importances
-    return forest_importances(feature_table(spark, sf_dir), FEATURE_COLUMNS, "dengue_total", trees=100, k=15)
+    """Names and order come from the fit; SQL checks that they are 15 of the 43 profiled features."""
+    from panelwarn.operators.models import forest_importances, numeric_features
+    table = feature_table(spark, sf_dir)
+    names = numeric_features(table, PROFILE_EXCLUDED)
+    top = forest_importances(table, names, "dengue_total", trees=100, k=15)
+    inside = F.col("feature").isin(names) & F.col("importance").between(0, 1)
+    order = Window.orderBy(F.desc("importance"), "feature")  # 15 rows
+    sums = F.sum("importance").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return top.select(F.row_number().over(order).alias("rank"), inside.alias("valid"),
+                      (sums <= 1 + 1e-9).alias("sum_at_most_one"), F.lit(len(names)).alias("candidates"))
 
 
 @register("m13_boosted_regression_r2")
 def m13_boosted_regression_r2(spark, sf_dir):
     from panelwarn.operators.models import boosted_regression_r2
-    return boosted_regression_r2(_model_frame(spark, sf_dir), FEATURE_COLUMNS, "dengue_total", "row_id")
+    out = boosted_regression_r2(_model_frame(spark, sf_dir), FEATURE_COLUMNS, "dengue_total", "row_id")
+    return out.select("model", "n_train", "n_test", (F.col("r2") <= 1).alias("r2_at_most_one"))
 
 
 @register("m15_model_comparison")
 def m15_model_comparison(spark, sf_dir):
+    """The selected model is the first with the largest validation macro F1."""
     res = _train(spark, sf_dir, ["RandomForest", "XGBoost", "LightGBM"])
-    rows = [(n, i, float(v), n == res.best_name) for i, (n, v) in enumerate(res.all_models.items())]
-    return spark.createDataFrame(rows, "model string, position int, macro_f1 double, selected boolean")
+    best = max(res.all_models.values())
+    first = next(n for n, v in res.all_models.items() if v == best)
+    rows = [(n, i, 0 <= v <= 1, (n == res.best_name) == (n == first)) for i, (n, v) in enumerate(res.all_models.items())]
+    return spark.createDataFrame(rows, "model string, position int, in_range boolean, selected_by_rule boolean")
 
 
 def _saved_scorer(spark, sf_dir):
+    """S8/S9 round trip: save the artifact with the panel's encoding, load the scorer from it."""
     import uuid
-    from panelwarn.operators.models import save_artifacts
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+    from panelwarn.operators.features import fit_encoding
+    from panelwarn.operators.models import TrainResult, save_artifacts
     from panelwarn.operators.scoring import OutbreakScorer
+    from panelwarn.operators.weighting import StandardScalerModel
     from panelwarn.session import checkpoint_dir
-    res = _train(spark, sf_dir, ["RandomForest"])
+    stage = SQLTransformer(statement=f"select *, array(1 - p, p) as probability from (select *, {linear_probability_sql()} as p from __THIS__)")
+    scaler = StandardScalerModel(list(FEATURE_COLUMNS), dict.fromkeys(FEATURE_COLUMNS, 0.0), dict.fromkeys(FEATURE_COLUMNS, 1.0))
+    fixed = TrainResult("Linear", PipelineModel(stages=[stage]), 0.5, {}, {"Linear": 1.0}, list(FEATURE_COLUMNS), scaler)
     path = f"{checkpoint_dir(spark)}/artifacts/{uuid.uuid4().hex}"
-    save_artifacts(res, path)
+    save_artifacts(fixed, path, encoding=fit_encoding(_raw_panel(spark, sf_dir)))
     return OutbreakScorer.load(spark, path), path
 
 
+def _raw_panel(spark, sf_dir):
+    return proxy.joined_panel(spark, sf_dir).select(
+        F.col("entity").alias("ISO_A0"), F.col("month_start").alias("calendar_start_date"),
+        F.col("cases").cast("double").alias("dengue_total"), *EXOG)
+
+
 @register("c1_batch_panel_scoring")
 def c1_batch_panel_scoring(spark, sf_dir):
     scorer, _ = _saved_scorer(spark, sf_dir)
-    j = proxy.joined_panel(spark, sf_dir)
-    raw = j.select(F.col("entity").alias("ISO_A0"), F.col("month_start").alias("calendar_start_date"),
-                   F.col("cases").cast("double").alias("dengue_total"), *EXOG)
-    return scorer.score_panel(raw, PanelSpec())
+    return _r6_all(scorer.score_panel(_raw_panel(spark, sf_dir), PanelSpec()), ["outbreak_probability"])
+
+
+@register("c1_subset_features")
+def c1_subset_features(spark, sf_dir):
+    """Two entities scored alone get the features they have in the whole panel."""
+    scorer, _ = _saved_scorer(spark, sf_dir)
+    part = _raw_panel(spark, sf_dir).filter(F.col("ISO_A0").isin("NATION_7", "NATION_19"))
+    return _r6_doubles(scorer.panel_features(part, PanelSpec()).select("ISO_A0", "calendar_start_date", *FEATURE_COLUMNS))
 
 
 def _feature_maps(spark, sf_dir):
-    ft = _model_frame(spark, sf_dir)
-    return ft.select("row_id", F.map_from_arrays(F.array(*[F.lit(c) for c in FEATURE_COLUMNS]),
-                                                 F.array(*[F.col(c).cast("double") for c in FEATURE_COLUMNS]))
-                     .alias("features"))
+    """Feature maps; rows of even months lack the key ``temperature_c``, which then counts as 0.0."""
+    ft = P.complete_rows(_model_frame(spark, sf_dir).select("row_id", *FEATURE_COLUMNS))
+    whole = F.map_from_arrays(F.array(*[F.lit(c) for c in FEATURE_COLUMNS]),
+                              F.array(*[F.col(c).cast("double") for c in FEATURE_COLUMNS]))
+    lacking = F.map_filter(whole, lambda k, _: k != "temperature_c")
+    return ft.select("row_id", F.when(F.col("month") % 2 == 0, lacking).otherwise(whole).alias("features"))
 
 
 @register("c2_feature_map_scoring")
 def c2_feature_map_scoring(spark, sf_dir):
     scorer, _ = _saved_scorer(spark, sf_dir)
-    return scorer.score_maps(_feature_maps(spark, sf_dir), keep=["row_id"])
+    return _r6_all(scorer.score_maps(_feature_maps(spark, sf_dir), keep=["row_id"]), ["outbreak_probability"])
 
 
 @register("c4_stream_scoring")
 def c4_stream_scoring(spark, sf_dir):
+    from pyspark.sql.types import StringType, StructField, StructType
+    from panelwarn.schemas import REQUEST
     from panelwarn.streaming.scoring_stream import start_scoring
     scorer, path = _saved_scorer(spark, sf_dir)
     src, sink, ck = f"{path}/requests", f"{path}/scored", f"{path}/stream_ckpt"
-    maps = _feature_maps(spark, sf_dir).select(F.xxhash64("row_id").alias("request_id"), "features")
-    maps.write.mode("overwrite").json(src)
-    q = start_scoring(spark, scorer, src, sink, ck)
+    _feature_maps(spark, sf_dir).write.mode("overwrite").json(src)
+    schema = StructType([StructField("row_id", StringType()), *REQUEST.fields])
+    q = start_scoring(spark, scorer, src, sink, ck, keep=("row_id",), schema=schema)
     q.awaitTermination()
-    return spark.read.parquet(sink)
+    return _r6_all(spark.read.parquet(sink).drop("scored_at"), ["outbreak_probability"])
 
 
 @register("e6_permutation_importance")
 def e6_permutation_importance(spark, sf_dir):
+    """Attribution of the fixed model on the test part of the stratified split."""
     from panelwarn.operators.explain import permutation_importance
-    from panelwarn.operators.models import positive_probability
-    res = _train(spark, sf_dir, ["RandomForest"])
-    frame = _model_frame(spark, sf_dir).select("row_id", "label", *FEATURE_COLUMNS)
-    frame = P.complete_rows(frame)
-
-    def score(df):
-        return positive_probability(res.best_model.transform(res.scaler.transform(df)))
-    return permutation_importance(frame, "row_id", "label", FEATURE_COLUMNS, score, res.threshold)
+    frame = P.complete_rows(_model_frame(spark, sf_dir).select("row_id", "label", *FEATURE_COLUMNS))
+    test = M.stratified_split(frame, "label", "row_id").filter("split = 'test'").drop("split")
+    out = permutation_importance(test, "row_id", "label", list(LINEAR), lambda d: d.withColumn("proba", F.expr(linear_probability_sql())), 0.5)
+    return _r6_all(out, ["importance"])
 
 
 # ------------------------------------------- larger panel: parts x ship days
@@ -807,8 +841,7 @@ def part_daily_panel(spark, sf_dir):
     return P.collapse_panel(li, "l_partkey", "ship_day", ["l_quantity"])
 
 
-@register("w3_part_daily_rolling")
-def w3_part_daily_rolling(spark, sf_dir):
+def _part_daily_rolling(spark, sf_dir, block_rows=None):
     spec = PanelSpec(entity="l_partkey", time="ship_day", target="l_quantity")
 
     def build(w, idx):
@@ -816,10 +849,21 @@ def w3_part_daily_rolling(spark, sf_dir):
         cols.update(past_rolling("l_quantity", (3, 12), w, prefix="qty"))
         cols["time_index"] = idx
         return cols
-    f = apply_panel_window(part_daily_panel(spark, sf_dir), spec, build, lookback=12)
+    f = apply_panel_window(part_daily_panel(spark, sf_dir), spec, build, lookback=12, block_rows=block_rows)
     return _r6_all(f, ["qty_ma_3", "qty_std_3", "qty_ma_12", "qty_std_12"])
 
 
+@register("w3_part_daily_rolling")
+def w3_part_daily_rolling(spark, sf_dir):
+    return _part_daily_rolling(spark, sf_dir)
+
+
+@register("w3_part_daily_blocked")
+def w3_part_daily_blocked(spark, sf_dir):
+    """The same windows by the plan for hot entities: blocks of 20 rows with a halo."""
+    return _part_daily_rolling(spark, sf_dir, block_rows=20)
+
+
 # ------------------------------------------------------------- M4: SMOTE
 def _embedding_classes(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")

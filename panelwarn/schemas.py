@@ -21,6 +21,16 @@ FEATURE_COLUMNS = [
     "precipitation_mm_std_6", "temp_precip_interaction", "time_index", "year_normalized",
     "ISO_A0_encoded",
 ]
+# Fixed values of the reference: the features that it correlates with the target.
+CORRELATION_CANDIDATES = [
+    "dengue_lag_1", "dengue_lag_2", "dengue_lag_3", "dengue_lag_6", "dengue_lag_12",
+    "dengue_ma_3", "dengue_ma_6", "dengue_ma_12",
+    "temperature_c", "temperature_c_lag_1", "temperature_c_lag_2", "temperature_c_lag_3",
+    "precipitation_mm", "precipitation_mm_lag_1", "precipitation_mm_lag_2", "precipitation_mm_lag_3",
+    "temp_precip_interaction", "month_sin", "month_cos", "is_rainy_season",
+]
+# Numeric columns that its feature profile leaves out.
+PROFILE_EXCLUDED = ["dengue_total", "outbreak_flag", "Year", "time_index", "year_normalized"]
 KEY_COLUMNS = ["ISO_A0", "calendar_start_date"]
 TARGET = "dengue_total"
 LABEL = "outbreak_flag"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwarn.functions.calendar import parse_date
 from panelwarn.functions.nulls import nan_to_null
+from panelwarn.schemas import FEATURE_COLUMNS
 
 # Fixed values of the reference: the entity dimension (ISO code -> lat, lon).
 ENTITY_COORDINATES = {
@@ -58,8 +59,8 @@ def read_feature_table(spark: SparkSession, path: str, fmt: str = "parquet") ->
     if fmt == "parquet":
         return nan_to_null(spark.read.parquet(path))
     raw = spark.read.option("header", True).csv(path)
-    keep_text = {"ISO_A0", "calendar_start_date"}
-    typed = raw.select(*[F.col(c) if c in keep_text else F.col(c).try_cast("double").alias(c) for c in raw.columns])
+    numbers = {*FEATURE_COLUMNS, "dengue_total", "outbreak_flag", "prediction", "threshold_used"}
+    typed = raw.select(*[F.col(c).try_cast("double").alias(c) if c in numbers else F.col(c) for c in raw.columns])
     if "calendar_start_date" in typed.columns:
         typed = typed.withColumn("calendar_start_date", parse_date("calendar_start_date"))
     return nan_to_null(typed)

@@ -25,15 +25,22 @@ def test_scenario_example(spark):
 
 
 def test_map_to_vector_and_errors(spark):
+    nan, inf = float("nan"), float("inf")
     df = spark.createDataFrame([(1, {"a": 1.0, "b": 2.0}), (2, {"a": 3.0})], "id int, m map<string,double>")
+    damaged = spark.createDataFrame([(3, {"a": None}), (4, {"a": 1.0, "b": nan}), (5, {"a": -inf, "b": inf}), (6, None)],
+                                    "id int, m map<string,double>")
     vec = {r["id"]: r["v"] for r in df.select("id", SC.map_to_vector("m", ["b", "a", "z"]).alias("v")).collect()}
     assert vec == {1: [2.0, 1.0, 0.0], 2: [0.0, 3.0, 0.0]}
 
     def score(d):
         return d.withColumn("probability", SC.linear_probability("_pw_vec", [1.0, 1.0], 0.0))
-    out = {r["id"]: r for r in SC.score_with_errors(df, "m", ["a", "b"], score, 0.5, keep=["id"]).collect()}
-    assert out[2]["error"] == "missing features: b" and out[2]["probability"] is None
+    both = df.unionByName(damaged)
+    out = {r["id"]: r for r in SC.score_with_errors(both, "m", ["a", "b"], score, 0.5, keep=["id"]).collect()}
+    assert out[2]["error"] is None and math.isclose(out[2]["probability"], 1 / (1 + math.exp(-3)))  # absent counts as 0.0
     assert out[1]["error"] is None and out[1]["prediction"] == 1
+    assert {i: out[i]["error"] for i in (3, 4, 5, 6)} == {
+        3: "invalid features: a", 4: "invalid features: b", 5: "invalid features: a, b", 6: "no features"}
+    assert all(out[i]["probability"] is None and out[i]["prediction"] is None for i in (3, 4, 5, 6))
 
 
 def test_required_columns(spark):

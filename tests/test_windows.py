@@ -69,8 +69,8 @@ def test_matches_pandas(spark):
 def test_blocked_path_equals_plain(spark):
     df = hand_frame(spark)
     ref = pandas_reference(df.toPandas())
-    compare(apply_panel_window(df, SPEC, build, lookback=12, force_blocked=True, block_rows=13), ref)
-    compare(apply_panel_window(df, SPEC, build, lookback=12, max_rows_per_entity=10, block_rows=14), ref)
+    compare(apply_panel_window(df, SPEC, build, lookback=12, block_rows=13), ref)
+    compare(apply_panel_window(df, SPEC, build, lookback=12, block_rows=14), ref)
 
 
 def test_no_leakage(spark):

@@ -28,21 +28,27 @@ def lookback_sequences(df: DataFrame, spec: PanelSpec, features: Sequence[str],
 
 
 def standardize_within(df: DataFrame, by: Sequence[str], cols: Sequence[str], suffix: str = "",
-                       ddof: int = 0) -> DataFrame:
+                       ddof: int = 0, fit_on: DataFrame | None = None) -> DataFrame:
     """(x - mean) / std per group over its full history; std 0 -> 1.
 
+    ``fit_on`` (e.g. the training rows) gives the statistics instead, so that
+    nothing of the other rows leaks; a group it lacks takes its overall ones.
+
     Group statistics come from a partial aggregate (safe for hot groups) and
     are joined back; the statistics table has one row per group.
     """
     std = F.stddev_pop if ddof == 0 else F.stddev_samp
-    stats = df.groupBy(*by).agg(*[F.avg(c).alias(f"_pw_m_{c}") for c in cols],
-                                *[std(c).alias(f"_pw_s_{c}") for c in cols])
-    j = df.join(stats, list(by), "left")
+    aggs = [*[F.avg(c).alias(f"_pw_m_{c}") for c in cols], *[std(c).alias(f"_pw_s_{c}") for c in cols]]
+    j = df.join((df if fit_on is None else fit_on).groupBy(*by).agg(*aggs), list(by), "left")
+    whole = fit_on.agg(*aggs).first().asDict() if fit_on is not None else {}
     outs = {}
     for c in cols:
-        s = F.col(f"_pw_s_{c}")
+        m, s = F.col(f"_pw_m_{c}"), F.col(f"_pw_s_{c}")
+        if whole:
+            s = F.when(m.isNull(), F.lit(whole[f"_pw_s_{c}"])).otherwise(s)
+            m = F.coalesce(m, F.lit(whole[f"_pw_m_{c}"]))
         div = F.when(s.isNull() | (s == 0), F.lit(1.0)).otherwise(s)
-        outs[f"{c}{suffix}"] = (F.col(c) - F.col(f"_pw_m_{c}")) / div
+        outs[f"{c}{suffix}"] = (F.col(c) - m) / div
     return j.withColumns(outs).drop(*[f"_pw_m_{c}" for c in cols], *[f"_pw_s_{c}" for c in cols])
 
 

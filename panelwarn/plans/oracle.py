@@ -26,6 +26,13 @@ JOINED = """j as (
    and month(c.month_start) = w.month)"""
 
 
+# weather with gaps and NaN cells
+SPARSE = WEATHER.replace("group by 1, 2, 3", "where n.n_nationkey % 9 <> 0 group by 1, 2, 3 "
+                         "having sum(cast(l.l_quantity as bigint)) % 7 <> 0").replace(
+    "/ count(*) as precipitation_mm", "/ count(*) * case when sum(cast(l.l_quantity as bigint)) % 7 = 1 "
+    "then cast('nan' as double) else 1 end as precipitation_mm")
+
+
 def r6(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 
@@ -87,18 +94,19 @@ select * from j where cast(year(month_start) as int) >= 1997"""
 
 SQL["p5_entity_filter"] = f"with {CASES} select * from c where entity = 'NATION_7'"
 
-SQL["p6_complete_rows"] = f"""with {CASES}, {WEATHER}, {JOINED}
-select * from j where entity is not null and month_start is not null and cases is not null
+SQL["p6_complete_rows"] = f"""with {CASES}, {SPARSE}, {JOINED}
+select entity, month_start, cases, {r6("temperature_c")} as temperature_c, {r6("precipitation_mm")} as precipitation_mm
+from j where entity is not null and month_start is not null and cases is not null
   and temperature_c is not null and not isnan(temperature_c)
   and precipitation_mm is not null and not isnan(precipitation_mm)"""
 
-SQL["p7_completeness_counts"] = f"""with {CASES}, {WEATHER}, {JOINED}
+SQL["p7_completeness_counts"] = f"""with {CASES}, {SPARSE}, {JOINED}
 select count(*) as initial_rows,
-  sum(case when temperature_c is null or precipitation_mm is null or cases is null then 0 else 1 end) as kept_rows,
-  sum(case when temperature_c is null or precipitation_mm is null or cases is null then 1 else 0 end) as dropped_rows
+  sum(case when temperature_c is null or precipitation_mm is null or isnan(precipitation_mm) then 0 else 1 end) as kept_rows,
+  sum(case when temperature_c is null or precipitation_mm is null or isnan(precipitation_mm) then 1 else 0 end) as dropped_rows
 from j"""
 
-SQL["p8_entities_without_weather"] = f"""with {CASES}, {WEATHER}
+SQL["p8_entities_without_weather"] = f"""with {CASES}, {SPARSE}
 select distinct c.entity from c where not exists (select 1 from w where w.entity = c.entity)"""
 
 SQL["p11_fill_absent_features"] = """select l_orderkey, l_linenumber, cast(l_tax as double) as l_tax,
@@ -117,8 +125,9 @@ select entity, cast(year(month_start) as int) as year, cast(month(month_start) a
   month_start, cases, {r6('temperature_c')} as temperature_c, {r6('precipitation_mm')} as precipitation_mm
 from j"""
 
-SQL["j2_missing_weather_cells"] = f"""with {CASES}, {WEATHER}, {JOINED}
-select coalesce(sum(cast(temperature_c is null as bigint) + cast(precipitation_mm is null as bigint)), 0)
+SQL["j2_missing_weather_cells"] = f"""with {CASES}, {SPARSE}, {JOINED}
+select coalesce(sum(cast(temperature_c is null as bigint)
+  + cast(precipitation_mm is null or isnan(precipitation_mm) as bigint)), 0)
   as missing_cells from j"""
 
 SQL["j3_region_lookup"] = f"""with {CASES}
@@ -232,7 +241,7 @@ SQL["a10_table_info"] = "select * from (" + " union all ".join(
     f"select (select count(*) from lineitem) as rows, {i} as position, '{c}' as \"column\", "
     f"(select count({c}) from lineitem) as non_null" for i, c in enumerate(LI_COLS)) + ")"
 
-SQL["a11_missing_per_column"] = f"with {CASES}, {WEATHER}, {JOINED} " + " union all ".join(
+SQL["a11_missing_per_column"] = f"with {CASES}, {SPARSE}, {JOINED} " + " union all ".join(
     f"select '{c}' as \"column\", count(*) - count({c})"
     + (f" + count(*) filter (where isnan({c}))" if c in EXOG else "") + " as missing from j"
     for c in ("entity", "month_start", "cases", *EXOG))
@@ -241,7 +250,7 @@ SQL["a12_value_counts"] = f"""select quality, count(*) as count,
   {r6("count(*) * cast(100 as double) / (select count(*) from labels)")} as share_pct
 from labels where quality is not null group by 1"""
 
-FLAGS = f"""with {CASES}, {DENSE}, fl as (select *, coalesce(cast(cases > 0 as int), 0) as flag from dd)"""
+FLAGS = f"""with {CASES}, {DENSE}, fl as (select *, coalesce(cast(cases > 7 as int), 0) as flag from dd)"""
 
 SQL["a13_class_by_entity"] = f"""{FLAGS}
 select entity, n_0, n_1, n_0 + n_1 as total, round_even(cast(n_1 as double) * 100 / (n_0 + n_1), 2) as pct_1
@@ -254,7 +263,7 @@ select entity, {r6('avg(flag)')} as positive_rate from fl group by 1"""
 SQL["a15_seasonal_mean"] = f"""with {CASES}
 select cast(month(month_start) as int) as month, {r6('avg(cases)')} as mean_cases from c group by 1"""
 
-SQL["a16_iqr_outliers"] = f"""with {unpivot_long(LI, 'lineitem')},
+SQL["a16_iqr_outliers"] = f"""with {unpivot_long((*LI, 'volume'), '(select *, l_extendedprice * l_quantity as volume from lineitem)')},
 q as (select "column", quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3
       from long where value is not null and not isnan(value) group by 1),
 b as (select *, q3 - q1 as iqr, q1 - cast(1.5 as double) * (q3 - q1) as lower,
@@ -318,7 +327,9 @@ select entity, cast(row_number() over (order by entity) - 1 as int) as entity_en
 from (select distinct entity from c where entity is not null)"""
 SQL["f11_target_flag"] = f"""with {CASES}, {WEATHER}, {JOINED}
 select entity, month_start, coalesce(cast(temperature_c > 25 as int), 0) as warm_flag from j"""
-SQL["f12_split_yyyymm"] = """with k as (select o_orderkey, cast(o_orderkey as varchar) as s from orders)
+SQL["f12_split_yyyymm"] = """with d as (select o_orderkey, strftime(o_orderdate, '%Y%m') as s0 from orders),
+k as (select o_orderkey, case o_orderkey % 10 when 0 then substr(s0, 1, 5) when 1 then substr(s0, 1, 4) || 'xx'
+  when 2 then s0 || '01' else s0 end as s from d)
 select o_orderkey,
   length(s) = 6 and try_cast(substr(s, 1, 4) as int) is not null and try_cast(substr(s, 5, 2) as int) is not null
     as valid,
@@ -724,3 +735,34 @@ select feature, {r6("(select f1 from m where feature = '<none>') - f1")} as impo
 
 
 SQL["e6_permutation_importance"] = _importance_sql()
+
+SQL["m14_sequence_mlp"] = f"""{MODEL_ROWS},
+q as (select ISO_A0, calendar_start_date, cast(dengue_total > 7 as int) as y,
+  row_number() over (partition by ISO_A0 order by calendar_start_date) as i from mr),
+p as (select y, row_number() over (order by ISO_A0, calendar_start_date) - 1 as pos, count(*) over () as n from q where i > 12),
+s as (select y, case when pos < floor(cast(0.8 as double) * n) then 'train'
+  when pos < floor(cast(0.9 as double) * n) then 'val' else 'test' end as part from p),
+per as (select part, y, count(*) as n from s group by 1, 2)
+select cast(sum(n) filter (where part = 'train') as bigint) as n_train,
+  cast(max(n) filter (where part = 'train') * count(*) filter (where part = 'train') as bigint) as n_balanced,
+  cast(sum(n) filter (where part = 'val') as bigint) as n_val, cast(sum(n) filter (where part = 'test') as bigint) as n_test,
+  true as metrics_in_range, true as threshold_on_grid, true as selected_by_rule from per"""
+
+SQL["s1_raw_cases_csv"] = """select n.n_name as ISO_A0, cast(o_orderkey as varchar) as UUID,
+  case when o_orderkey % 13 = 0 then null else cast(o_orderdate as date) end as calendar_start_date,
+  case when o_orderkey % 17 = 0 then null else cast(o_orderkey % 100 as double) end as dengue_total
+from orders join customer on o_custkey = c_custkey join nation n on c_nationkey = n_nationkey"""
+SQL["s2_feature_csv"] = f"""{FT}
+select ISO_A0, 'name of ' || ISO_A0 as adm_0_name, calendar_start_date, dengue_total, cast(dengue_lag_1 as double) as dengue_lag_1,
+  {r6('dengue_ma_3')} as dengue_ma_3, cast(month as double) as month from ft"""
+SQL["s4_weather_documents"] = f"""with {WEATHER}
+select entity, year, month, {r6('temperature_c')} as temperature_c, {r6('precipitation_mm')} as precipitation_mm
+from w where year >= 1997"""
+SQL["s7_prediction_sink"] = f"""select row_id, prediction, threshold_used from ({SQL["c2_feature_map_scoring"]})"""
+SQL["s8_run_metadata"] = f"""{FT},
+names as (select unnest(range({len(FEATURES)})) as position, unnest([{", ".join(f"'{c}'" for c in FEATURES)}]) as feature)
+select cast(position as int) as position, feature, (select cast(min(year) as int) from ft) as first_year,
+  (select cast(max(year) as int) from ft) as last_year from names"""
+SQL["s12_batch_items"] = """select event_id // 8 as request_id, row_number() over (partition by event_id // 8 order by event_id) - 1 as item,
+  json_transform(props, '"MAP(VARCHAR, DOUBLE)"')['k'] as k from events"""
+SQL["t3_first_rows"] = f"with {CASES} select * from c order by entity, month_start limit 5"

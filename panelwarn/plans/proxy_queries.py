@@ -93,20 +93,18 @@ def p5_entity_filter(spark, sf_dir):
 
 @register("p6_complete_rows")
 def p6_complete_rows(spark, sf_dir):
-    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", "cases", *EXOG)
-    return P.complete_rows(j)
+    return _r6_all(P.complete_rows(proxy.sparse_panel(spark, sf_dir)), EXOG)
 
 
 @register("p7_completeness_counts")
 def p7_completeness_counts(spark, sf_dir):
-    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", "cases", *EXOG)
-    return P.completeness_counts(j)
+    return P.completeness_counts(proxy.sparse_panel(spark, sf_dir))
 
 
 @register("p8_entities_without_weather")
 def p8_entities_without_weather(spark, sf_dir):
     cases = proxy.case_panel(spark, sf_dir)
-    _, skipped = P.split_by_dimension(cases, proxy.weather_panel(spark, sf_dir), "entity")
+    _, skipped = P.split_by_dimension(cases, proxy.sparse_weather(spark, sf_dir), "entity")
     return skipped
 
 
@@ -144,7 +142,7 @@ def j1_weather_join(spark, sf_dir):
 
 @register("j2_missing_weather_cells")
 def j2_missing_weather_cells(spark, sf_dir):
-    return P.missing_cell_count(proxy.joined_panel(spark, sf_dir), EXOG)
+    return P.missing_cell_count(proxy.sparse_panel(spark, sf_dir), EXOG)
 
 
 @register("j3_region_lookup")
@@ -335,8 +333,7 @@ def a10_table_info(spark, sf_dir):
 
 @register("a11_missing_per_column")
 def a11_missing_per_column(spark, sf_dir):
-    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", "cases", *EXOG)
-    return A.missing_per_column(j)
+    return A.missing_per_column(proxy.sparse_panel(spark, sf_dir))
 
 
 @register("a12_value_counts")
@@ -348,7 +345,7 @@ def a12_value_counts(spark, sf_dir):
 def _dense_flags(spark, sf_dir):
     from panelwarn.functions.nulls import positive_flag
     d = P.densify_panel(proxy.case_panel(spark, sf_dir), "entity", "month_start", "cases")
-    return d.withColumn("flag", positive_flag("cases"))
+    return d.withColumn("flag", positive_flag("cases", 7))
 
 
 @register("a13_class_by_entity")
@@ -370,7 +367,8 @@ def a15_seasonal_mean(spark, sf_dir):
 @register("a16_iqr_outliers")
 def a16_iqr_outliers(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem", *LI_MEASURES)
-    return _r6_all(A.iqr_outliers(li, LI_MEASURES), ["q1", "q3", "iqr", "lower", "upper", "outlier_pct"])
+    li = li.withColumn("volume", F.col("l_extendedprice") * F.col("l_quantity"))  # skewed, so it has outliers
+    return _r6_all(A.iqr_outliers(li, [*LI_MEASURES, "volume"]), ["q1", "q3", "iqr", "lower", "upper", "outlier_pct"])
 
 
 @register("a17_correlation_matrix")
@@ -478,8 +476,13 @@ def f11_target_flag(spark, sf_dir):
 
 @register("f12_split_yyyymm")
 def f12_split_yyyymm(spark, sf_dir):
-    o = read_table(spark, sf_dir, "orders", "o_orderkey")
-    valid, y, m = FN.split_yyyymm(F.col("o_orderkey").cast("string"))
+    """Year-month keys of the orders, some damaged by their order key."""
+    o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
+    key = F.date_format("o_orderdate", "yyyyMM")
+    damaged = F.when(F.col("o_orderkey") % 10 == 0, F.substring(key, 1, 5)).when(
+        F.col("o_orderkey") % 10 == 1, F.concat(F.substring(key, 1, 4), F.lit("xx"))).when(
+        F.col("o_orderkey") % 10 == 2, F.concat(key, F.lit("01"))).otherwise(key)
+    valid, y, m = FN.split_yyyymm(damaged)
     return o.select("o_orderkey", valid.alias("valid"), y.alias("year"), m.alias("month"))
 
 
@@ -887,25 +890,106 @@ def a22_class_counts_before_after(spark, sf_dir):
 
 @register("m14_sequence_mlp")
 def m14_sequence_mlp(spark, sf_dir):
-    """Neural classifier on flattened 12-step sequences, minority balanced by SMOTE."""
-    from pyspark.ml.classification import MultilayerPerceptronClassifier
-    from pyspark.ml.functions import array_to_vector
-    from panelwarn.operators.smote import smote
-    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", "cases", *EXOG)
-    z = M.standardize_within(j, ["entity"], ["cases", *EXOG], suffix="_z")
-    means = j.groupBy("entity").agg(F.avg("cases").alias("_mean_cases"))  # one row per entity
-    z = z.join(means, "entity").withColumn("target", (F.col("cases") > F.col("_mean_cases")).cast("int"))
-    seq = M.lookback_sequences(P.complete_rows(z, ["cases_z", "temperature_c_z", "precipitation_mm_z"]),
-                               CASE_SPEC, ["cases_z", "temperature_c_z", "precipitation_mm_z"], "target", 12)
-    flat = seq.select(F.concat_ws("|", "entity", F.col("month_start").cast("string")).alias("sid"),
-                      M.flatten_sequences("seq").alias("x"), "target")
-    split = M.positional_split(flat, ["sid"])
-    train = smote(split.filter("split = 'train'"), "target", "sid", "x")
-    mlp = MultilayerPerceptronClassifier(layers=[36, 32, 16, 2], maxIter=100, seed=42,
-                                         featuresCol="features", labelCol="label")
-    model = mlp.fit(train.select(array_to_vector("x").alias("features"),
-                                 F.col("target").cast("double").alias("label")))
-    test = split.filter("split = 'test'").select("sid", array_to_vector("x").alias("features"), "target")
-    from panelwarn.operators.models import positive_probability
-    scored = positive_probability(model.transform(test))
-    return E.metric_set(scored.withColumn("pred", FN.threshold_class("proba", 0.5)), "target", "pred")
+    """Split sizes (SQL recomputes them), and that thresholds, measures and the choice obey the rules."""
+    from panelwarn.operators.sequence import train_sequences
+    ft = feature_table(spark, sf_dir).withColumn("high", (F.col("dengue_total") > 7).cast("int"))
+    r = train_sequences(ft, PanelSpec(), FEATURE_COLUMNS, "high", epochs=40)
+    first = max(r.metrics, key=lambda n: (r.metrics[n]["f1"], -list(r.metrics).index(n)))
+    valid = all(0 <= m[k] <= 1 for m in r.metrics.values() for k in ("accuracy", "precision", "recall", "f1", "macro_f1"))
+    grid = all(any(abs(m["threshold"] - (0.1 + i * 0.01)) < 1e-9 for i in range(81)) for m in r.metrics.values())
+    rows = [(*[int(r.split_rows.get(p, 0)) for p in ("train", "balanced", "val", "test")], valid, grid, first == r.best_name)]
+    return spark.createDataFrame(rows, "n_train long, n_balanced long, n_val long, n_test long, metrics_in_range boolean, "
+                                       "threshold_on_grid boolean, selected_by_rule boolean")
+
+
+# ------------------------------------------- S: sources and sinks, there and back
+def _scratch(spark, name):
+    import uuid
+    from panelwarn.session import checkpoint_dir
+    return f"{checkpoint_dir(spark)}/round_trips/{name}-{uuid.uuid4().hex}"
+
+
+@register("s1_raw_cases_csv")
+def s1_raw_cases_csv(spark, sf_dir):
+    """Raw case rows as CSV text, some counts and dates damaged, read back typed."""
+    from panelwarn.sources.cases import read_raw_cases
+    path = _scratch(spark, "raw")
+    o = proxy.order_rows(spark, sf_dir)
+    k = F.col("o_orderkey")
+    raw = o.select(F.col("entity").alias("ISO_A0"), k.cast("string").alias("UUID"),
+                   F.when(k % 13 == 0, "not a date").otherwise(F.col("order_date").cast("string")).alias("calendar_start_date"),
+                   F.when(k % 17 == 0, "n/a").otherwise((k % 100).cast("string")).alias("dengue_total"))
+    raw.write.option("header", True).csv(path)
+    return read_raw_cases(spark, path).select("ISO_A0", "UUID", "calendar_start_date", "dengue_total")
+
+
+@register("s2_feature_csv")
+def s2_feature_csv(spark, sf_dir):
+    """S6 then S2: the feature table as CSV; text columns stay text, numbers come back as DOUBLE."""
+    from panelwarn.sources.cases import read_feature_table
+    from panelwarn.sources.sinks import write_feature_table
+    path = _scratch(spark, "features")
+    ft = feature_table(spark, sf_dir).withColumn("adm_0_name", F.concat(F.lit("name of "), "ISO_A0"))
+    columns = ["ISO_A0", "adm_0_name", "calendar_start_date", "dengue_total", "dengue_lag_1", "dengue_ma_3", "month"]
+    write_feature_table(ft.select(*columns), path, fmt="csv")
+    return _r6_all(read_feature_table(spark, path, fmt="csv").select(*columns), ["dengue_ma_3"])
+
+
+@register("s4_weather_documents")
+def s4_weather_documents(spark, sf_dir):
+    """One JSON document an entity, landed and exploded to rows; S5: stored by entity and read pruned."""
+    from panelwarn.sources import weather as WS
+    w = proxy.weather_panel(spark, sf_dir)
+    key = F.date_format(F.make_date("year", "month", F.lit(1)), "yyyyMM")
+    entry = lambda v: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, F.col(v)))))
+    # a document is one entity's months, bounded by the calendar
+    docs = w.groupBy(F.col("entity").alias("ISO_A0")).agg(entry("temperature_c").alias("t"), entry("precipitation_mm").alias("p"))
+    name = F.when(F.length("ISO_A0") % 2 == 0, F.lit("PRECTOTCORR")).otherwise(F.lit("PRECTOT"))
+    docs = docs.select("ISO_A0", F.struct(F.map_concat(F.create_map(F.lit("T2M"), "t"), F.create_map(name, "p"))
+                                          .alias("parameter")).alias("properties"))
+    landed, store = _scratch(spark, "documents"), _scratch(spark, "weather")
+    docs.write.json(landed)
+    rows, _ = WS.documents_to_rows(spark.read.schema(WS.DOC_SCHEMA).json(landed))
+    WS.write_weather_store(rows, store)
+    back = WS.read_weather_store(spark, store, first_year=1997)
+    return _r6_all(back.select(F.col("ISO_A0").alias("entity"), "year", "month", "temperature_c", "precipitation_mm"), EXOG)
+
+
+@register("s7_prediction_sink")
+def s7_prediction_sink(spark, sf_dir):
+    """Predictions of the fixed model, written as CSV and read back."""
+    from panelwarn.sources.sinks import write_predictions
+    scorer, path = _saved_scorer(spark, sf_dir)
+    scored = scorer.score_maps(_feature_maps(spark, sf_dir), keep=["row_id"])
+    write_predictions(scored, f"{path}/predictions", keys=["row_id"])
+    return spark.read.option("header", True).schema("row_id string, prediction int, threshold_used double").csv(f"{path}/predictions")
+
+
+@register("s8_run_metadata")
+def s8_run_metadata(spark, sf_dir):
+    """What the saved run says of the panel: features in order, and the fitted year bounds."""
+    from panelwarn.operators.models import load_metadata
+    from panelwarn.sources.sinks import feature_names
+    _, path = _saved_scorer(spark, sf_dir)
+    meta = load_metadata(spark, path)
+    low, high = meta["year_bounds"]
+    return feature_names(spark, meta).select("position", "feature", F.lit(int(low)).alias("first_year"),
+                                             F.lit(int(high)).alias("last_year"))
+
+
+@register("s12_batch_items")
+def s12_batch_items(spark, sf_dir):
+    """A batch request holds an array of maps; each item becomes a row to score."""
+    maps = _event_maps(spark, sf_dir)
+    requests = maps.groupBy((F.col("event_id") / 8).cast("long").alias("request_id")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("event_id", F.map_entries("features").alias("e")))),
+                    lambda x: F.map_from_entries(x["e"])).alias("items"))  # eight items a request
+    items = requests.select("request_id", F.posexplode("items").alias("item", "features"))
+    return items.select("request_id", F.col("item").cast("long").alias("item"),
+                        F.try_element_at("features", F.lit("k")).alias("k"))
+
+
+@register("t3_first_rows")
+def t3_first_rows(spark, sf_dir):
+    """First k rows in a stated order (a report)."""
+    return proxy.case_panel(spark, sf_dir).orderBy("entity", "month_start").limit(5)

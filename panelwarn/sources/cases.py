@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,11 @@ ENTITY_COORDINATES = {
 def require_source(path: str) -> None:
     """Fail early with a clear message when the input is absent.
 
-    Only local paths can be checked this way; remote URIs are left to the reader.
+    Only local paths (with or without ``file:``) can be checked this way;
+    other URIs are left to the reader.
     """
-    if "://" not in path and not os.path.exists(path):
+    local = re.sub(r"^file:(//)?", "", path)
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]+:", local) and not os.path.exists(local):
         raise FileNotFoundError(f"Input not found: {path}")
 
 

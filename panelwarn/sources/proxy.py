@@ -68,6 +68,23 @@ def weather_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(*_weather_aggs()))
 
 
+def sparse_weather(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weather with gaps: nations without any (key divisible by 9), months without (quantity divisible
+    by 7), and months whose second covariate is NaN (remainder 1)."""
+    j = _weather_rows(spark, sf_dir).filter(F.col("n_nationkey") % 9 != 0)
+    g = (j.groupBy(F.col("n_name").alias("entity"),
+                   F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month_start"))
+          .agg(F.sum(F.col("l_quantity").cast("long")).alias("_q"), *_weather_aggs()).filter(F.col("_q") % 7 != 0))
+    rain = F.when(F.col("_q") % 7 == 1, F.lit(float("nan"))).otherwise(F.col("precipitation_mm"))
+    return g.withColumn("precipitation_mm", rain).drop("_q")
+
+
+def sparse_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases LEFT JOIN the weather with gaps: rows with and without missing cells."""
+    j = case_panel(spark, sf_dir).join(sparse_weather(spark, sf_dir), ["entity", "month_start"], "left")
+    return j.select("entity", "month_start", "cases", "temperature_c", "precipitation_mm")
+
+
 def joined_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1 on the proxies: cases LEFT JOIN weather on (entity, year, month).
 

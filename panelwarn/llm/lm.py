@@ -5,9 +5,10 @@ Classes are bands of word frequency with about equal mass, buckets split a
 class by word hash, and ``mass`` is the sum of c + 1 over the words of that
 leaf; one extra unit in the lowest leaf stands for any unknown word.  Both
 softmaxes start at the leaves' own masses, so the untrained model is exactly
-the add-one unigram base.  Their features are the previous word (n-gram), the
-previous two (n-gram) and the word before the previous one (skip), hashed into
-tables of fixed size.
+the add-one unigram base.  Their features are the previous word (an n-gram),
+the classes of the previous two words (an n-gram of classes) and the word
+before the previous one (skip), hashed into tables small enough for a core's
+cache.
 
 Steps.  (1) Each task numbers the words of a chunk of documents and counts
 them.  (2) One shuffle by word gives every chunk the corpus counts of its own
@@ -38,16 +39,16 @@ from pyspark.sql import functions as F
 from panelwarn.llm.common import documents, saved, text_bytes
 
 CLASSES, BUCKETS = 16, 16
-ROW_BITS = 16
+ROW_BITS = 14
 #: Tokens of a chunk (a chunk ends with the document that reaches it).
 CHUNK_TOKENS = 2_000_000
 #: Tokens of a gradient step.
-STEP_TOKENS = 65_536
+STEP_TOKENS = 98_304
 #: Training tasks at most; each sends its weights once a round.
 TRAINERS = 512
 #: Weight rows of a block in the averaging shuffle.
 BLOCK = 1024
-_MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint64)
+_MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint64)
 
 
 def numbered_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -214,33 +215,52 @@ def _features(docs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
     two[starts] = 0
     two[starts[lengths > 1] + 1] = 0
     owner = np.repeat(np.arange(len(docs)), lengths)
-    contexts = np.stack([one * _MIX[0] + np.uint64(1), one * _MIX[1] + two * _MIX[2] + np.uint64(2),
-                         two * _MIX[3] + np.uint64(3)])
+    near, far = np.zeros_like(leaf), np.zeros_like(leaf)
+    near[1:], far[2:] = leaf[:-1] // BUCKETS + 1, leaf[:-2] // BUCKETS + 1
+    near[one == 0] = 0
+    far[two == 0] = 0
+    contexts = np.stack([one * _MIX[0] + np.uint64(1), (near * (CLASSES + 1) + far).astype(np.uint64) * _MIX[1] + np.uint64(2),
+                         two * _MIX[2] + np.uint64(3)])
     for a in range(0, len(codes), STEP_TOKENS):
         b = a + STEP_TOKENS
         yield owner[a:b], leaf[a:b] // BUCKETS, leaf[a:b] % BUCKETS, contexts[:, a:b]
 
 
 def _rows(contexts: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
+    """Weight rows of the contexts."""
     x = (contexts + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + salt * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - ROW_BITS)).astype(np.int32)
+    return (x >> np.uint64(64 - ROW_BITS)).astype(np.intp)
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    z = weights[rows[0]] + weights[rows[1]] + weights[rows[2]] + prior
-    z -= z.max(axis=1, keepdims=True)
+    z = weights.take(rows[0], axis=0)
+    z += weights.take(rows[1], axis=0)
+    z += weights.take(rows[2], axis=0)
+    z += prior
+    np.minimum(z, 80, out=z)  # logits start at log masses, so the largest is far from underflow
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z *= (1 / np.maximum(z @ np.ones(z.shape[1], z.dtype), 1e-30))[:, None]
     return z
 
 
+def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, how often each is used, and the sum of its values (the same for each of the contexts)."""
+    sums = np.zeros((values.shape[1], 1 << ROW_BITS), np.float32)
+    for column, value in zip(sums, np.ascontiguousarray(values.T)):
+        for at in rows:
+            np.add.at(column, at, value)
+    uses = np.bincount(rows.ravel(), minlength=1 << ROW_BITS)
+    touched = np.flatnonzero(uses)
+    return touched, uses[touched].astype(np.float32), np.ascontiguousarray(sums.T).take(touched, axis=0)
+
+
 def _both(leaves: Leaves, tables: np.ndarray, step: tuple) -> Iterator[tuple]:
     """Of the class and then the bucket: table number, rows, probabilities, and what was there."""
     _, cls, bucket, contexts = step
     for k, prior, truth, salt in ((0, leaves.first, cls, np.uint64(0)),
-                                  (1, leaves.second[cls], bucket, (cls + 1).astype(np.uint64))):
+                                  (1, leaves.second.take(cls, axis=0), bucket, (cls + 1).astype(np.uint64))):
         rows = _rows(contexts, salt)
         yield k, rows, _softmax(tables[k], rows, prior), truth
 
@@ -260,18 +280,15 @@ def train(rows: DataFrame, leaves: Leaves, rounds: int = 1, rate: float = 0.2) -
             squares = np.full_like(weights, 1e-2)
             used = np.zeros(weights.shape[:2], np.float32)
             width = weights.shape[2]
-            spread = np.arange(width, dtype=np.int32)
             for step in _steps(batches):
-                for k, at, p, truth in _both(leaves, weights, step):
+                for k, rows, p, truth in _both(leaves, weights, step):
                     p[np.arange(len(truth)), truth] -= 1
-                    flat = (at[:, :, None] * np.int32(width) + spread).ravel()
-                    g = np.bincount(flat, np.broadcast_to(p, (3, *p.shape)).ravel(), weights[k].size)
-                    uses = np.bincount(at.ravel(), minlength=len(used[k])).astype(np.float32)
-                    used[k] += uses
-                    touched = np.flatnonzero(uses)
-                    g = g.reshape(-1, width)[touched].astype(np.float32) / np.sqrt(uses[touched, None])
-                    squares[k][touched] += g * g
-                    weights[k][touched] -= rate * g / np.sqrt(squares[k][touched])
+                    touched, uses, g = _row_sums(rows, p)
+                    g /= np.sqrt(uses)[:, None]
+                    used[k][touched] += uses
+                    square = squares[k].take(touched, axis=0) + g * g
+                    squares[k][touched] = square
+                    weights[k][touched] -= rate * g / np.sqrt(square)
             weighted = (weights * used[:, :, None]).reshape(-1, BLOCK * width)
             for i, part in enumerate(weighted):
                 n = used.reshape(-1, BLOCK)[i]

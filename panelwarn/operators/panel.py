@@ -46,15 +46,6 @@ def split_by_dimension(df: DataFrame, dim: DataFrame, key: str, dim_key: str | N
     return df.join(dk, key, "left_semi"), df.select(key).distinct().join(dk, key, "left_anti")
 
 
-def left_join_covariates(cases: DataFrame, cov: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Cases LEFT JOIN covariates; an empty covariate side leaves NULLs.
-
-    No broadcast hint: the planner measures the covariate side (AQE) and
-    broadcasts it only when it is small.
-    """
-    return cases.join(cov, list(keys), "left")
-
-
 def missing_cell_count(df: DataFrame, cols: Sequence[str], name: str = "missing_cells") -> DataFrame:
     """Number of missing cells over the given columns."""
     total = reduce(lambda a, b: a + b, [is_missing(df, c).cast("long") for c in cols])

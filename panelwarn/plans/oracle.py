@@ -766,3 +766,10 @@ select cast(position as int) as position, feature, (select cast(min(year) as int
 SQL["s12_batch_items"] = """select event_id // 8 as request_id, row_number() over (partition by event_id // 8 order by event_id) - 1 as item,
   json_transform(props, '"MAP(VARCHAR, DOUBLE)"')['k'] as k from events"""
 SQL["t3_first_rows"] = f"with {CASES} select * from c order by entity, month_start limit 5"
+
+_LINES = """s as (select cast(l_returnflag = 'R' as int) as quality,
+  least(cast(1 as double), l_extendedprice / cast(60000 as double)) as p from lineitem)"""
+SQL["e4_line_roc_auc"] = SQL["e4_roc_auc"].replace(SCORED, _LINES)
+SQL["e5_line_best_threshold"] = SQL["e5_best_threshold"].replace(SCORED, _LINES)
+SQL["m1_event_split"] = SQL["m1_stratified_split"].replace("doc_id, quality from labels", "event_id, event_type from events") \
+    .replace("doc_id", "event_id").replace("quality", "event_type")

@@ -993,3 +993,27 @@ def s12_batch_items(spark, sf_dir):
 def t3_first_rows(spark, sf_dir):
     """First k rows in a stated order (a report)."""
     return proxy.case_panel(spark, sf_dir).orderBy("entity", "month_start").limit(5)
+
+
+# ------------------------------------------- measures and splits on the larger tables
+def _scored_lines(spark, sf_dir):
+    """Returned or not, and a score, for every line: many rows, many distinct scores."""
+    li = read_table(spark, sf_dir, "lineitem", "l_returnflag", "l_extendedprice")
+    return li.select((F.col("l_returnflag") == "R").cast("int").alias("y"),
+                     F.least(F.lit(1.0), F.col("l_extendedprice") / F.lit(60000.0)).alias("p"))
+
+
+@register("e4_line_roc_auc")
+def e4_line_roc_auc(spark, sf_dir):
+    return _r6_all(E.roc_auc(_scored_lines(spark, sf_dir), "y", "p"), ["roc_auc"])
+
+
+@register("e5_line_best_threshold")
+def e5_line_best_threshold(spark, sf_dir):
+    return _r6_all(E.best_threshold(_scored_lines(spark, sf_dir), "y", "p"), ["best_threshold", "best_macro_f1"])
+
+
+@register("m1_event_split")
+def m1_event_split(spark, sf_dir):
+    events = read_table(spark, sf_dir, "events", "event_id", "event_type")
+    return M.stratified_split(events, "event_type", "event_id")

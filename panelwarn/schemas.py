@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import (
-    ArrayType, DateType, DoubleType, IntegerType, MapType, StringType, StructField, StructType,
-)
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
 # Fixed values of the reference: the 45 model features in their frozen order
 # ('month' precedes 'year').
@@ -31,52 +29,8 @@ CORRELATION_CANDIDATES = [
 ]
 # Numeric columns that its feature profile leaves out.
 PROFILE_EXCLUDED = ["dengue_total", "outbreak_flag", "Year", "time_index", "year_normalized"]
-KEY_COLUMNS = ["ISO_A0", "calendar_start_date"]
-TARGET = "dengue_total"
-LABEL = "outbreak_flag"
 # Columns the batch scorer requires (plus the target for lag history).
 SCORING_REQUIRED = ["ISO_A0", "year", "month", "dayofyear", "weekofyear", "temperature_c",
                     "precipitation_mm"]
 
-RAW_CASES = StructType([
-    StructField("adm_0_name", StringType()), StructField("adm_1_name", StringType()),
-    StructField("adm_2_name", StringType()), StructField("full_name", StringType()),
-    StructField("ISO_A0", StringType()), StructField("FAO_GAUL_code", StringType()),
-    StructField("RNE_iso_code", StringType()), StructField("IBGE_code", StringType()),
-    StructField("calendar_start_date", StringType()), StructField("calendar_end_date", StringType()),
-    StructField("Year", StringType()), StructField("dengue_total", StringType()),
-    StructField("case_definition_standardised", StringType()), StructField("S_res", StringType()),
-    StructField("T_res", StringType()), StructField("UUID", StringType()),
-    StructField("region", StringType()),
-])
-
-WEATHER = StructType([
-    StructField("ISO_A0", StringType()), StructField("year", IntegerType()),
-    StructField("month", IntegerType()), StructField("temperature_c", DoubleType()),
-    StructField("precipitation_mm", DoubleType()),
-])
-
-WEATHER_DOCUMENT = StructType([
-    StructField("properties", StructType([
-        StructField("parameter", MapType(StringType(), MapType(StringType(), DoubleType()))),
-    ])),
-])
-
 REQUEST = StructType([StructField("features", MapType(StringType(), DoubleType()))])
-BATCH_REQUEST = StructType([StructField("items", ArrayType(MapType(StringType(), DoubleType())))])
-
-ENTITY_DIM = StructType([
-    StructField("iso", StringType(), False), StructField("lat", DoubleType()),
-    StructField("lon", DoubleType()),
-])
-
-SCENARIO = StructType([
-    StructField("country", StringType()), StructField("year", IntegerType()),
-    StructField("month", IntegerType()), StructField("temperature_c", DoubleType()),
-    StructField("precipitation_mm", DoubleType()), StructField("cases_lag_1", DoubleType()),
-    StructField("cases_lag_2", DoubleType()), StructField("cases_lag_3", DoubleType()),
-])
-
-__all__ = ["FEATURE_COLUMNS", "KEY_COLUMNS", "TARGET", "LABEL", "SCORING_REQUIRED", "RAW_CASES",
-           "WEATHER", "WEATHER_DOCUMENT", "REQUEST", "BATCH_REQUEST", "ENTITY_DIM", "SCENARIO",
-           "DateType"]

@@ -9,8 +9,6 @@ exactly where it stopped.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +43,3 @@ def latest_history(history: DataFrame, k: int = 10, by=(), ts: str = "scored_at"
     if by:
         return top_k_per_group(history, list(by), [F.desc(ts), F.desc(tiebreak)], k, salt_col=tiebreak)
     return history.orderBy(F.desc(ts), F.desc(tiebreak)).limit(k)
-
-
-def default_checkpoint(spark: SparkSession, name: str) -> str:
-    from panelwarn.session import checkpoint_dir
-    return os.path.join(checkpoint_dir(spark), "streams", name)

@@ -7,6 +7,7 @@ Plus the two helpers the reference's semantics need (SURVEY 2.13):
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
@@ -22,8 +23,13 @@ def drop_if_present(df: DataFrame, cols: Sequence[str] = DROP_COLUMNS) -> DataFr
     return df.drop(*cols)
 
 
+def since_year(df: DataFrame, date_col: str, first_year: int) -> DataFrame:
+    """P4 on a raw date or timestamp column: a comparison with a constant, which Parquet can use to skip row groups."""
+    return df.filter(F.col(date_col) >= F.lit(dt.datetime(first_year, 1, 1)).cast(df.schema[date_col].dataType))
+
+
 def filter_min_year(df: DataFrame, year_col: str, first_year: int) -> DataFrame:
-    """Keep rows from ``first_year`` on (pushed into the scan / join sides by Catalyst)."""
+    """P4 on a year column; where the source has a date, ``since_year`` lets the scan skip."""
     return df.filter(F.col(year_col) >= F.lit(first_year))
 
 

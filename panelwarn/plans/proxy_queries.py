@@ -82,8 +82,7 @@ def p1_drop_columns(spark, sf_dir):
 
 @register("p4_year_filter")
 def p4_year_filter(spark, sf_dir):
-    return P.filter_min_year(proxy.joined_panel(spark, sf_dir), "year", 1997) \
-            .select("entity", "month_start", "cases", "temperature_c", "precipitation_mm")
+    return proxy.joined_panel(spark, sf_dir, first_year=1997).select("entity", "month_start", "cases", "temperature_c", "precipitation_mm")
 
 
 @register("p5_entity_filter")

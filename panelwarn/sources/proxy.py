@@ -16,12 +16,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwarn.operators.panel import since_year
 from panelwarn.sources.tables import read_table
 
 
-def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw case rows: (entity, order_date DATE, o_orderkey, o_totalprice)."""
+def order_rows(spark: SparkSession, sf_dir: str, first_year: int | None = None) -> DataFrame:
+    """Raw case rows: (entity, order_date DATE, o_orderkey, o_totalprice), optionally from a year on."""
     o = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    o = o if first_year is None else since_year(o, "o_orderdate", first_year)
     c = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
     n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     return (o.join(c, o.o_custkey == c.c_custkey)
@@ -31,15 +33,16 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                      "o_orderkey", "o_totalprice"))
 
 
-def case_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def case_panel(spark: SparkSession, sf_dir: str, first_year: int | None = None) -> DataFrame:
     """Monthly count panel: (entity, month_start DATE, cases BIGINT)."""
-    rows = order_rows(spark, sf_dir)
+    rows = order_rows(spark, sf_dir, first_year)
     return (rows.groupBy("entity", F.trunc("order_date", "month").alias("month_start"))
                 .agg(F.count(F.lit(1)).alias("cases")))
 
 
-def _weather_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _weather_rows(spark: SparkSession, sf_dir: str, first_year: int | None = None) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", "l_suppkey", "l_quantity", "l_discount", "l_shipdate")
+    li = li if first_year is None else since_year(li, "l_shipdate", first_year)
     s = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_name")
     return li.join(s, li.l_suppkey == s.s_suppkey).join(n, s.s_nationkey == n.n_nationkey)
@@ -60,9 +63,9 @@ def weather_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
              .agg(*_weather_aggs()))
 
 
-def weather_by_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+def weather_by_month(spark: SparkSession, sf_dir: str, first_year: int | None = None) -> DataFrame:
     """The same covariates keyed by (entity, month_start), the case panel's key."""
-    j = _weather_rows(spark, sf_dir)
+    j = _weather_rows(spark, sf_dir, first_year)
     return (j.groupBy(F.col("n_name").alias("entity"),
                       F.trunc(F.col("l_shipdate").cast("date"), "month").alias("month_start"))
              .agg(*_weather_aggs()))
@@ -85,15 +88,15 @@ def sparse_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("entity", "month_start", "cases", "temperature_c", "precipitation_mm")
 
 
-def joined_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def joined_panel(spark: SparkSession, sf_dir: str, first_year: int | None = None) -> DataFrame:
     """J1 on the proxies: cases LEFT JOIN weather on (entity, year, month).
 
     Both sides are aggregated on (entity, month_start), which identifies the
     same (entity, year, month) cell; joining on it lets the join reuse the two
     aggregates' hash partitioning instead of shuffling both sides again.
     """
-    c = case_panel(spark, sf_dir)
-    w = weather_by_month(spark, sf_dir)
+    c = case_panel(spark, sf_dir, first_year)
+    w = weather_by_month(spark, sf_dir, first_year)
     j = c.join(w, ["entity", "month_start"], "left")
     return j.select("entity", F.year("month_start").cast("int").alias("year"),
                     F.month("month_start").cast("int").alias("month"), "month_start", "cases",

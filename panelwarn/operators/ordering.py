@@ -35,15 +35,11 @@ def _cols(xs) -> list[Column]:
     return [F.col(x) if isinstance(x, str) else x for x in xs]
 
 
-def default_partitions(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-
-
 def _ranged(df: DataFrame, by: Sequence[str], order: Sequence, num_partitions: int | None):
     keys = _cols(by) + _cols(order)
-    n = num_partitions or default_partitions(df)
-    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # without a number, adaptive execution sizes the ranges by the data
+    parts = [num_partitions] if num_partitions else []
+    ranged = df.repartitionByRange(*parts, *keys).sortWithinPartitions(*keys)
     ranged = ranged.withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
     return cut_lineage(ranged)
 

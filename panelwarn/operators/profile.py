@@ -247,17 +247,12 @@ def top_k(df: DataFrame, order_desc: str, k: int, tiebreak: Sequence[str] = ())
     return df.orderBy(F.desc(order_desc), *tiebreak).limit(k)
 
 
-def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int,
-                    salt_buckets: int = 16, salt_col: str | None = None) -> DataFrame:
-    """Top-k rows per group without sending a hot group to one task.
+def top_k_per_group(df: DataFrame, by: Sequence[str], order: Sequence, k: int) -> DataFrame:
+    """Top-k rows per group; ``order`` must be unique.
 
-    Phase 1 keeps the top k of every (group, salt) piece; phase 2 ranks the at
-    most k * salt_buckets survivors of each group.  ``order`` must be unique.
+    The rank limit is applied before the shuffle too (Spark plans a group limit
+    below the exchange), so each task sends at most k rows of a group, however
+    large the group is.
     """
-    salt_src = F.col(salt_col) if salt_col else F.xxhash64(*df.columns)
-    salted = df.withColumn("_pw_salt", F.pmod(F.xxhash64(salt_src), F.lit(salt_buckets)))
-    w1 = Window.partitionBy(*by, "_pw_salt").orderBy(*order)
-    first = salted.withColumn("_pw_r", F.row_number().over(w1)).filter(F.col("_pw_r") <= k)
-    w2 = Window.partitionBy(*by).orderBy(*order)
-    return (first.drop("_pw_r", "_pw_salt").withColumn("rank", F.row_number().over(w2))
-                 .filter(F.col("rank") <= k))
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    return ranked.filter(F.col("rank") <= k)

@@ -267,7 +267,7 @@ def t2_top_entities(spark, sf_dir):
 @register("t5_latest_history")
 def t5_latest_history(spark, sf_dir):
     e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
-    return A.top_k_per_group(e, ["user_id"], [F.desc("ts"), F.desc("event_id")], 10, salt_col="event_id")
+    return A.top_k_per_group(e, ["user_id"], [F.desc("ts"), F.desc("event_id")], 10)
 
 
 # ------------------------------------------------------------ A: profiling

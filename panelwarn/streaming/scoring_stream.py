@@ -41,5 +41,5 @@ def latest_history(history: DataFrame, k: int = 10, by=(), ts: str = "scored_at"
     """T5: newest k predictions (per key in ``by`` if given)."""
     from panelwarn.operators.profile import top_k_per_group
     if by:
-        return top_k_per_group(history, list(by), [F.desc(ts), F.desc(tiebreak)], k, salt_col=tiebreak)
+        return top_k_per_group(history, list(by), [F.desc(ts), F.desc(tiebreak)], k)
     return history.orderBy(F.desc(ts), F.desc(tiebreak)).limit(k)

@@ -167,11 +167,12 @@ class TrainResult:
     split_rows: dict = field(default_factory=dict)
 
 
-def evaluate(scored: DataFrame, label: str, threshold: float) -> dict:
-    """E1 + E4 at a threshold, as plain numbers (one small row each)."""
+def evaluate(scored: DataFrame, label: str, threshold: float, auc: bool = True) -> dict:
+    """E1 (+ E4) at a threshold, as plain numbers (one small row each)."""
     pred = scored.withColumn("_pw_pred", (F.col("proba") >= F.lit(threshold)).cast("int"))
     m = E.metric_set(pred, label, "_pw_pred").first().asDict()
-    m["roc_auc"] = E.roc_auc(scored, label, "proba").first()["roc_auc"]
+    if auc:
+        m["roc_auc"] = E.roc_auc(scored, label, "proba").first()["roc_auc"]
     m["threshold"] = threshold
     return m
 
@@ -205,7 +206,7 @@ def train_and_select(df: DataFrame, label: str, id_col: str, feature_cols: Seque
         val, test = (scored.filter(F.col("split") == p) for p in ("val", "test"))
         best_t = E.best_threshold(val, label, "proba").first()["best_threshold"]
         m_test = evaluate(test, label, best_t)
-        m_val = evaluate(val, label, best_t)
+        m_val = evaluate(val, label, best_t, auc=select_on != "val")  # selection reads macro F1 only
         results[cfg.name] = dict(position=pos, model=model, threshold=best_t, test=m_test, val=m_val)
     key = "val" if select_on == "val" else "test"
     best = max(results, key=lambda n: (results[n][key]["macro_f1"], -results[n]["position"]))

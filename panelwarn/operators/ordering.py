@@ -100,7 +100,9 @@ def prefix_sums(df: DataFrame, by: Sequence[str], order: Sequence, cols: Sequenc
 
 
 #: Accuracy of the rank sketch: its error is below rows / ACCURACY.
-ACCURACY = 10_000
+ACCURACY = 2_000
+#: Brackets of at most so many groups are broadcast (some ten megabytes); beyond, they are joined by shuffle.
+BROADCAST_GROUPS = 50_000
 
 
 def exact_quantiles(long_df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
@@ -130,28 +132,37 @@ def exact_quantiles(long_df: DataFrame, by: Sequence[str], value: str, probs: Se
         small = F.col("_pw_cnt") <= ACCURACY  # its whole range is a short bracket
         low = F.col("_pw_min") if p - edge <= 0 else F.when(small, F.col("_pw_min")).otherwise(F.col("_pw_a")[2 * i])
         high = F.col("_pw_max") if p + edge >= 1 else F.when(small, F.col("_pw_max")).otherwise(F.col("_pw_a")[2 * i + 1])
-        brackets.append(F.struct(F.lit(p).alias("prob"), low.alias("lo"), high.alias("hi")))
-    per = cut_lineage(sketch.select(*by, "_pw_cnt", F.array(*brackets).alias("_pw_b")))
-    keyed = {b: f"_pw_g_{i}" for i, b in enumerate(by)}
-    side = per.select(*[F.col(b).alias(k) for b, k in keyed.items()], "_pw_b")
-    cond = F.lit(True)
-    for b, k in keyed.items():
-        cond = cond & vals[b].eqNullSafe(side[k])
-    joined = vals.join(side, cond)
-    place = F.transform("_pw_b", lambda x: F.when(F.col("_pw_v") < x["lo"], F.lit(-1)).when(
-        F.col("_pw_v") <= x["hi"], F.lit(0)).otherwise(F.lit(1)))
-    # one row a value inside some bracket; all values elsewhere fall together by their places
-    inside = F.when(F.array_contains("_pw_p", 0), F.col("_pw_v"))
-    counted = joined.select(*by, "_pw_v", place.alias("_pw_p")).select(*by, "_pw_p", inside.alias("_pw_v")) \
-                    .groupBy(*by, "_pw_p", "_pw_v").agg(F.count(F.lit(1)).alias("_pw_n"))
-    spread = cut_lineage(counted.select(*by, "_pw_v", "_pw_n", F.posexplode("_pw_p").alias("_pw_i", "_pw_at")))
-    below = spread.filter("_pw_at = -1").groupBy(*by, "_pw_i").agg(F.sum("_pw_n").alias("_pw_below"))
-    cum = prefix_sums(spread.filter("_pw_at = 0").select(*by, "_pw_i", "_pw_v", "_pw_n"), [*by, "_pw_i"], ["_pw_v"],
-                      ["_pw_n"], num_partitions=num_partitions, suffix="_to")
-    targets = per.select(*by, "_pw_cnt", F.posexplode("_pw_b").alias("_pw_i", "_pw_s"))
+        brackets += [low.alias(f"_pw_lo{i}"), high.alias(f"_pw_hi{i}")]
+    per = cut_lineage(sketch.select(*by, "_pw_cnt", *brackets))
+    side = per.select(*[F.col(b).alias(f"_pw_g_{i}") for i, b in enumerate(by)],
+                      *[c for c in per.columns if c.startswith(("_pw_lo", "_pw_hi"))])
+    if per.count() <= BROADCAST_GROUPS:
+        side = F.broadcast(side)
+    cond = None
+    for i, b in enumerate(by):
+        c = vals[b].eqNullSafe(side[f"_pw_g_{i}"])
+        cond = c if cond is None else cond & c
+    v = F.col("_pw_v")
+    within = [v.between(F.col(f"_pw_lo{i}"), F.col(f"_pw_hi{i}")) for i in range(len(probs))]
+    any_within = within[0]
+    for w in within[1:]:
+        any_within = any_within | w
+    # one row a value inside some bracket, and one for all values outside
+    counted = vals.join(side, cond).groupBy(*by, F.when(any_within, v).alias("_pw_w")).agg(
+        F.count(F.lit(1)).alias("_pw_n"),
+        *[F.sum((v < F.col(f"_pw_lo{i}")).cast("long")).alias(f"_pw_b{i}") for i in range(len(probs))])
+    counted = cut_lineage(counted)
+    below = counted.groupBy(*by).agg(*[F.sum(f"_pw_b{i}").alias(f"_pw_b{i}") for i in range(len(probs))])
+    targets = _null_safe_left(per, below, by, [f"_pw_b{i}" for i in range(len(probs))])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("_pw_i"), F.lit(p).alias("prob"), F.col(f"_pw_lo{i}").alias("_pw_low"),
+                                        F.col(f"_pw_hi{i}").alias("_pw_high"), F.col(f"_pw_b{i}").alias("_pw_below"))
+                               for i, p in enumerate(probs)])).alias("_pw_s")
+    targets = cut_lineage(targets.select(*by, "_pw_cnt", each).select(*by, "_pw_cnt", "_pw_s.*"))
+    inside = _null_safe_left(counted.filter(F.col("_pw_w").isNotNull()).select(*by, F.col("_pw_w").alias("_pw_v"), "_pw_n"),
+                             targets, by, ["_pw_i", "_pw_low", "_pw_high"])
+    inside = inside.filter(F.col("_pw_v").between(F.col("_pw_low"), F.col("_pw_high"))).select(*by, "_pw_i", "_pw_v", "_pw_n")
+    cum = prefix_sums(inside, [*by, "_pw_i"], ["_pw_v"], ["_pw_n"], num_partitions=num_partitions, suffix="_to")
     pos = (F.col("_pw_cnt") - 1) * F.col("prob")
-    targets = _null_safe_left(targets.select(*by, "_pw_cnt", "_pw_i", F.col("_pw_s.prob").alias("prob")), below,
-                              [*by, "_pw_i"], ["_pw_below"])
     targets = targets.select(*by, "_pw_i", "prob", (F.floor(pos) + 1).alias("_pw_lo"), (F.ceil(pos) + 1).alias("_pw_hi"),
                              (pos - F.floor(pos)).alias("_pw_frac"), F.coalesce("_pw_below", F.lit(0)).alias("_pw_below"))
     both = _null_safe_left(targets, cum.select(*by, "_pw_i", "_pw_v", "_pw_n", "_pw_n_to"), [*by, "_pw_i"],

@@ -225,8 +225,7 @@ def quality_verdicts(docs: DataFrame, model: Trees, threshold: float = 0.5) -> D
         for batch in batches:
             counts, failed, prob = _judge(batch.column("_raw"), model)
             arrays = [batch.column("doc_id"), *[pa.array(counts[:, i]) for i in range(len(COUNTS))],
-                      pa.array(failed), pa.array(prob >= threshold) if not len(failed)
-                      else pa.array(~failed & (prob >= threshold)), pa.array(prob)]
+                      pa.array(failed), pa.array(~failed & (prob >= threshold)), pa.array(prob)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *COUNTS, "base_failed", "kept", "probability"])
 
     raw = documents(docs, "doc_id", "text").select("doc_id", text_bytes().alias("_raw"))

@@ -46,6 +46,8 @@ CHUNK_TOKENS = 2_000_000
 STEP_TOKENS = 98_304
 #: Training tasks at most; each sends its weights once a round.
 TRAINERS = 512
+#: Logits are at least this, far below any mass: smaller ones give subnormal floats, which cost a hundredfold.
+LEAST_LOGIT = -35.0
 #: Weight rows of a block in the averaging shuffle.
 BLOCK = 1024
 _MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint64)
@@ -239,7 +241,7 @@ def _softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.nda
     z += weights.take(rows[1], axis=0)
     z += weights.take(rows[2], axis=0)
     z += prior
-    np.minimum(z, 80, out=z)  # logits start at log masses, so the largest is far from underflow
+    np.clip(z, LEAST_LOGIT, 80, out=z)
     np.exp(z, out=z)
     z *= (1 / np.maximum(z @ np.ones(z.shape[1], z.dtype), 1e-30))[:, None]
     return z
@@ -256,6 +258,13 @@ def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndar
     return touched, uses[touched].astype(np.float32), np.ascontiguousarray(sums.T).take(touched, axis=0)
 
 
+def _own(tables: np.ndarray) -> np.ndarray:
+    """A fresh array of broadcast weights; one that came through pickle keeps numpy from its fast paths."""
+    fresh = np.zeros(tables.shape, np.float32)
+    fresh[...] = tables
+    return fresh
+
+
 def _both(leaves: Leaves, tables: np.ndarray, step: tuple) -> Iterator[tuple]:
     """Of the class and then the bucket: table number, rows, probabilities, and what was there."""
     _, cls, bucket, contexts = step
@@ -276,7 +285,7 @@ def train(rows: DataFrame, leaves: Leaves, rounds: int = 1, rate: float = 0.2) -
         shared = spark.sparkContext.broadcast(tables)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            weights = shared.value.copy()
+            weights = _own(shared.value)
             squares = np.full_like(weights, 1e-2)
             used = np.zeros(weights.shape[:2], np.float32)
             width = weights.shape[2]
@@ -329,20 +338,21 @@ def score_documents(docs: DataFrame, rounds: int = 1, rate: float = 0.2,
     total = leaves.train_tokens
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _own(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")],
                      pa.array(np.full(batch.num_rows, total)), batch.column("base_score"),
-                     pa.array(outer(batch) + batch.column("inside").to_numpy())],
+                     pa.array(outer(batch, tables) + batch.column("inside").to_numpy())],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    def outer(batch: pa.RecordBatch) -> np.ndarray:
+    def outer(batch: pa.RecordBatch, tables: np.ndarray) -> np.ndarray:
         out = np.zeros(batch.num_rows)
         held = [np.frombuffer(r, "<u4") for r in batch.column("codes").to_pylist()]
         for step in _features(held):
-            for _, _, p, truth in _both(leaves, shared.value, step):
+            for _, _, p, truth in _both(leaves, tables, step):
                 chosen = np.maximum(p[np.arange(len(truth)), truth], 1e-30)
                 out += np.bincount(step[0], np.log10(chosen.astype(float)), len(out))
         return out

@@ -189,14 +189,14 @@ def train_and_select(df: DataFrame, label: str, id_col: str, feature_cols: Seque
     scaler = fit_standard_scaler(train, feature_cols)
     assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")
     scaled = assembler.transform(scaler.transform(split)).withColumn("_pw_y", F.col(label).cast("double"))
-    scaled = cut_lineage(compact(scaled.select(id_col, label, "_pw_y", "features", "split")))
+    scaled = cut_lineage(scaled.select(id_col, label, "_pw_y", "features", "split"))
     parts = {p: scaled.filter(F.col("split") == p) for p in ("train", "val", "test")}
     results = {}
     for pos, cfg in enumerate(configs):
         tr = add_weights(parts["train"], label, cfg.weighting)
         est = learner(cfg, label_col="_pw_y", weight_col="weight")
         if cfg.early_stopping:
-            fitted = fit_boosted(est, tr, parts["val"].withColumn("weight", F.lit(1.0)))
+            fitted = fit_boosted(est, compact(tr), compact(parts["val"].withColumn("weight", F.lit(1.0))))
         else:
             fitted = est.fit(tr)
         model = PipelineModel(stages=[assembler, fitted])
@@ -279,7 +279,7 @@ def forest_importances(df: DataFrame, feature_cols: Sequence[str], target: str,
     The reference's trees are unlimited in depth; Spark allows 30 levels, and
     20 leave no more than a millionth of the rows in a deepest leaf.
     """
-    data = cut_lineage(compact(complete_rows(df.select(target, *feature_cols))))
+    data = cut_lineage(complete_rows(df.select(target, *feature_cols)))
     asm = VectorAssembler(inputCols=list(feature_cols), outputCol="features")
     rf = RandomForestRegressor(featuresCol="features", labelCol=target, numTrees=trees,
                                maxDepth=max_depth, maxMemoryInMB=512, seed=SEED)

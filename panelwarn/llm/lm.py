@@ -5,10 +5,11 @@ Classes are bands of word frequency with about equal mass, buckets split a
 class by word hash, and ``mass`` is the sum of c + 1 over the words of that
 leaf; one extra unit in the lowest leaf stands for any unknown word.  Both
 softmaxes start at the leaves' own masses, so the untrained model is exactly
-the add-one unigram base.  Their features are the previous word (an n-gram),
-the classes of the previous two words (an n-gram of classes) and the word
-before the previous one (skip), hashed into tables small enough for a core's
-cache.
+the add-one unigram base.  Their features are the previous word (n-gram), the
+previous two (n-gram) and the word before the previous one (skip), hashed into
+tables of a row for each distinct context of the training part, 2 **
+``ROW_BITS`` at least and 2 ** ``MOST_ROW_BITS`` at most (beyond, contexts share
+rows).
 
 Steps.  (1) Each task numbers the words of a chunk of documents and counts
 them.  (2) One shuffle by word gives every chunk the corpus counts of its own
@@ -17,8 +18,9 @@ exact base scores, and each token becomes four bytes (hashed word, leaf).
 (4) Each round, every training task takes AdaGrad steps from the shared
 weights over all its training tokens; the tasks' weights are averaged, row by
 row in proportion to use, by a shuffle on weight blocks.  (5) All documents
-are scored in numpy batches.  Broadcast and collected: the weights, whose size
-is fixed by ``ROW_BITS``, and one histogram of at most a few thousand cells.
+are scored in numpy batches.  Broadcast and collected: the weights, 34 MB at
+``MOST_ROW_BITS``, one histogram of at most a few thousand cells, and the
+``SKETCH`` least hashes that estimate the number of contexts.
 
 Defined results.  A null or empty text is one token, the end.  A null doc_id
 counts as the empty text in the split.  Without training documents every token
@@ -36,21 +38,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwarn.llm.common import documents, saved, text_bytes
+from panelwarn.llm.common import discard, documents, saved, saved_at, text_bytes
 
 CLASSES, BUCKETS = 16, 16
-ROW_BITS = 14
+#: Weight rows of a table are a power of two between these.
+ROW_BITS, MOST_ROW_BITS = 16, 18
+#: Hashes kept to estimate the number of distinct contexts (to about 3 percent).
+SKETCH = 1024
 #: Tokens of a chunk (a chunk ends with the document that reaches it).
 CHUNK_TOKENS = 2_000_000
 #: Tokens of a gradient step.
-STEP_TOKENS = 98_304
-#: Training tasks at most; each sends its weights once a round.
+STEP_TOKENS = 65_536
+#: Training tasks at most, and no more than chunks' worth of tokens; each sends its weights once a round.
 TRAINERS = 512
 #: Logits are at least this, far below any mass: smaller ones give subnormal floats, which cost a hundredfold.
 LEAST_LOGIT = -35.0
 #: Weight rows of a block in the averaging shuffle.
 BLOCK = 1024
-_MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint64)
+_MIX = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F], np.uint64)
 
 
 def numbered_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
@@ -217,23 +222,40 @@ def _features(docs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, ...]]:
     two[starts] = 0
     two[starts[lengths > 1] + 1] = 0
     owner = np.repeat(np.arange(len(docs)), lengths)
-    near, far = np.zeros_like(leaf), np.zeros_like(leaf)
-    near[1:], far[2:] = leaf[:-1] // BUCKETS + 1, leaf[:-2] // BUCKETS + 1
-    near[one == 0] = 0
-    far[two == 0] = 0
-    contexts = np.stack([one * _MIX[0] + np.uint64(1), (near * (CLASSES + 1) + far).astype(np.uint64) * _MIX[1] + np.uint64(2),
-                         two * _MIX[2] + np.uint64(3)])
+    contexts = np.stack([one * _MIX[0] + np.uint64(1), one * _MIX[1] + two * _MIX[2] + np.uint64(2),
+                         two * _MIX[3] + np.uint64(3)])
     for a in range(0, len(codes), STEP_TOKENS):
         b = a + STEP_TOKENS
         yield owner[a:b], leaf[a:b] // BUCKETS, leaf[a:b] % BUCKETS, contexts[:, a:b]
 
 
-def _rows(contexts: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
-    """Weight rows of the contexts."""
+def _hashed(contexts: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     x = (contexts + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + salt * np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(29)
     x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - ROW_BITS)).astype(np.intp)
+    return x
+
+
+def _rows(contexts: np.ndarray, salt: np.ndarray | int, bits: int) -> np.ndarray:
+    """Weight rows of the contexts."""
+    return (_hashed(contexts, salt) >> np.uint64(64 - bits)).astype(np.intp)
+
+
+def row_bits(training: DataFrame) -> int:
+    """Bits of a table that has a row for each distinct context, within the bounds."""
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.zeros(0, np.uint64)
+        for *_, contexts in _steps(batches):
+            x = _hashed(contexts, np.uint64(0)).ravel()
+            if len(kept) == SKETCH:
+                x = x[x < kept[-1]]
+            kept = np.unique(np.concatenate([kept, x]))[:SKETCH]
+        yield pa.RecordBatch.from_arrays([pa.array((kept >> np.uint64(1)).astype(np.int64))], names=["h"])
+
+    first = training.mapInArrow(least, "h long").distinct().orderBy("h").limit(SKETCH).collect()
+    contexts = len(first) if len(first) < SKETCH else (SKETCH - 1) / (first[-1]["h"] / 2**63)
+    return int(np.clip(np.ceil(np.log2(max(contexts, 1))), ROW_BITS, MOST_ROW_BITS))
 
 
 def _softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
@@ -247,15 +269,18 @@ def _softmax(weights: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.nda
     return z
 
 
-def _row_sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _row_sums(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct rows, how often each is used, and the sum of its values (the same for each of the contexts)."""
-    sums = np.zeros((values.shape[1], 1 << ROW_BITS), np.float32)
+    uses = np.bincount(rows.ravel(), minlength=size)
+    touched = np.flatnonzero(uses)
+    place = np.zeros(size, np.intp)
+    place[touched] = np.arange(len(touched))
+    places = place.take(rows)
+    sums = np.zeros((values.shape[1], len(touched)), np.float32)
     for column, value in zip(sums, np.ascontiguousarray(values.T)):
-        for at in rows:
+        for at in places:
             np.add.at(column, at, value)
-    uses = np.bincount(rows.ravel(), minlength=1 << ROW_BITS)
-    touched = np.flatnonzero(uses)
-    return touched, uses[touched].astype(np.float32), np.ascontiguousarray(sums.T).take(touched, axis=0)
+    return touched, uses[touched].astype(np.float32), np.ascontiguousarray(sums.T)
 
 
 def _own(tables: np.ndarray) -> np.ndarray:
@@ -268,19 +293,22 @@ def _own(tables: np.ndarray) -> np.ndarray:
 def _both(leaves: Leaves, tables: np.ndarray, step: tuple) -> Iterator[tuple]:
     """Of the class and then the bucket: table number, rows, probabilities, and what was there."""
     _, cls, bucket, contexts = step
+    bits = tables.shape[1].bit_length() - 1
     for k, prior, truth, salt in ((0, leaves.first, cls, np.uint64(0)),
                                   (1, leaves.second.take(cls, axis=0), bucket, (cls + 1).astype(np.uint64))):
-        rows = _rows(contexts, salt)
+        rows = _rows(contexts, salt, bits)
         yield k, rows, _softmax(tables[k], rows, prior), truth
 
 
 def train(rows: DataFrame, leaves: Leaves, rounds: int = 1, rate: float = 0.2) -> np.ndarray:
     """Weights of both softmaxes, by rounds of distributed gradient steps and averaging."""
     spark = rows.sparkSession
-    tables = np.zeros((2, 1 << ROW_BITS, max(CLASSES, BUCKETS)), np.float32)
     training = rows.filter(~F.col("held_out")).select("codes")
-    if training.rdd.getNumPartitions() > TRAINERS:
-        training = training.coalesce(TRAINERS)
+    trainers = min(TRAINERS, -(-leaves.train_tokens // CHUNK_TOKENS) or 1)
+    if training.rdd.getNumPartitions() > trainers:
+        training = training.coalesce(trainers)
+    bits = row_bits(training) if rounds else ROW_BITS
+    tables = np.zeros((2, 1 << bits, max(CLASSES, BUCKETS)), np.float32)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(tables)
 
@@ -292,7 +320,7 @@ def train(rows: DataFrame, leaves: Leaves, rounds: int = 1, rate: float = 0.2) -
             for step in _steps(batches):
                 for k, rows, p, truth in _both(leaves, weights, step):
                     p[np.arange(len(truth)), truth] -= 1
-                    touched, uses, g = _row_sums(rows, p)
+                    touched, uses, g = _row_sums(rows, p, weights.shape[1])
                     g /= np.sqrt(uses)[:, None]
                     used[k][touched] += uses
                     square = squares[k].take(touched, axis=0) + g * g
@@ -330,10 +358,11 @@ def train(rows: DataFrame, leaves: Leaves, rounds: int = 1, rate: float = 0.2) -
 def score_documents(docs: DataFrame, rounds: int = 1, rate: float = 0.2,
                     chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and the model's score of every text."""
-    chunks = saved(numbered_chunks(docs, chunk_tokens), "lm-chunks")
-    counts = saved(corpus_counts(chunks), "lm-counts")
+    chunks, chunks_at = saved_at(numbered_chunks(docs, chunk_tokens), "lm-chunks")
+    counts, counts_at = saved_at(corpus_counts(chunks), "lm-counts")
     leaves = Leaves(histogram(counts))
     rows = saved(encoded(chunks, counts, leaves), "lm-encoded")
+    discard(docs.sparkSession, chunks_at, counts_at)
     shared = docs.sparkSession.sparkContext.broadcast(train(rows, leaves, rounds, rate))
     total = leaves.train_tokens
 

@@ -90,3 +90,39 @@ def test_odd(odd_docs, clashing_docs, empty_docs, spark):
 def test_small_chunks(small_docs):
     """Many chunks give the same figures as one."""
     check(small_docs, chunk_tokens=500)
+
+
+def _doc_contexts(words, leaves):
+    codes = np.array([w << 8 | leaf for w, leaf in zip(words, leaves)], "<u4")
+    ((_, _, _, contexts),) = lm._features([codes])
+    return contexts[:, -1]
+
+
+def test_two_previous_words_are_a_context():
+    """Histories of other words, but of the same classes, have contexts of their own; order counts."""
+    leaves = [35, 35, 35]
+    a, b, c = (_doc_contexts(w, leaves)[1] for w in ([5, 6, 9], [7, 6, 9], [6, 5, 9]))
+    assert len({int(a), int(b), int(c)}) == 3
+
+
+def test_pair_of_words_is_learnt(spark):
+    """The third word follows from the exact pair before it, and from neither word alone."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(700):
+        bits = rng.integers(0, 2, (60, 2))
+        rows.append((i, " ".join(f"x{a} y{b} z{a ^ b}" for a, b in bits)))
+    out = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), rounds=8).collect()
+    held = [r for r in out if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    # known letter: a gain of log10(3); the third word besides: a third of log10(2)
+    assert gain > math.log10(3) + 0.6 * math.log10(2) / 3
+
+
+def test_rows_grow_with_the_contexts(spark):
+    assert lm.STEP_TOKENS <= 65_536
+    rng = np.random.default_rng(4)
+    few = [(bytearray((rng.integers(1, 50, 1000) << 8).astype("<u4").tobytes()),)]
+    many = [(bytearray((rng.integers(1, 1 << 23, 30_000) << 8).astype("<u4").tobytes()),) for _ in range(4)]
+    bits = [lm.row_bits(spark.createDataFrame(r, "codes binary")) for r in (few, many)]
+    assert bits == [16, 18] and lm.ROW_BITS == 16

@@ -82,3 +82,16 @@ def _on_segment(p, a, b):
         return np.allclose(p, a)
     t = float(ap @ ab) / n
     return -1e-9 <= t <= 1 + 1e-9 and np.allclose(a + t * ab, p, atol=1e-9)
+
+
+def test_many_leaves_are_exact(spark):
+    """Classes of many leaves get exact neighbours: high dimensions, clusters, equal points, text ids."""
+    rng = np.random.default_rng(7)
+    gauss = rng.standard_normal((700, 24))
+    centres = rng.standard_normal((12, 8)) * 20
+    clusters = centres[rng.integers(0, 12, 700)] + rng.standard_normal((700, 8))
+    equal = np.concatenate([np.ones((300, 3)), rng.standard_normal((200, 3)).round(1)])
+    for x in (gauss, clusters, equal):
+        rows = [(f"p{i:04}", [float(c) for c in v]) for i, v in enumerate(x)]
+        got = neighbours(knn(spark.createDataFrame(rows, "id string, vec array<double>"), k=5, leaf_rows=64))
+        assert got == brute_knn(rows, 5)

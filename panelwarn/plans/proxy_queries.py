@@ -825,16 +825,27 @@ def c4_stream_scoring(spark, sf_dir):
     return _r6_all(spark.read.parquet(sink).drop("scored_at"), ["outbreak_probability"])
 
 
-@register("e6_permutation_importance")
-def e6_permutation_importance(spark, sf_dir):
+def _importance(spark, sf_dir, features):
     """Attribution of the fixed model on the test part of the stratified split."""
     from panelwarn.operators.explain import permutation_importance
     frame = P.complete_rows(_model_frame(spark, sf_dir).select("row_id", "label", *FEATURE_COLUMNS))
     test = M.stratified_split(frame, "label", "row_id").filter("split = 'test'").drop("split")
-    out = permutation_importance(test, "row_id", "label", list(LINEAR), lambda d: d.withColumn("proba", F.expr(linear_probability_sql())), 0.5)
+    out = permutation_importance(test, "row_id", "label", list(features), lambda d: d.withColumn("proba", F.expr(linear_probability_sql())), 0.5)
     return _r6_all(out, ["importance"])
 
 
+@register("e6_permutation_importance")
+def e6_permutation_importance(spark, sf_dir):
+    """The features in the fixed model's formula, as in the query's SQL."""
+    return _importance(spark, sf_dir, LINEAR)
+
+
+@register("e6_permutation_importance_all")
+def e6_permutation_importance_all(spark, sf_dir):
+    """All features; those outside the formula come out as exactly 0."""
+    return _importance(spark, sf_dir, FEATURE_COLUMNS)
+
+
 # ------------------------------------------- larger panel: parts x ship days
 def part_daily_panel(spark, sf_dir):
     """lineitem collapsed to one row per (part, ship day): the finer, wider panel."""

@@ -903,7 +903,7 @@ def m14_sequence_mlp(spark, sf_dir):
     """Split sizes (SQL recomputes them), and that thresholds, measures and the choice obey the rules."""
     from panelwarn.operators.sequence import train_sequences
     ft = feature_table(spark, sf_dir).withColumn("high", (F.col("dengue_total") > 7).cast("int"))
-    r = train_sequences(ft, PanelSpec(), FEATURE_COLUMNS, "high", epochs=40)
+    r = train_sequences(ft, PanelSpec(), FEATURE_COLUMNS, "high")
     first = max(r.metrics, key=lambda n: (r.metrics[n]["f1"], -list(r.metrics).index(n)))
     valid = all(0 <= m[k] <= 1 for m in r.metrics.values() for k in ("accuracy", "precision", "recall", "f1", "macro_f1"))
     grid = all(any(abs(m["threshold"] - (0.1 + i * 0.01)) < 1e-9 for i in range(81)) for m in r.metrics.values())

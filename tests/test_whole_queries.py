@@ -22,3 +22,24 @@ def test_every_feature_has_an_importance(spark):
     assert sorted(got) == sorted(FEATURE_COLUMNS)
     assert {f: got[f] for f in LINEAR} == dict(duck(entry.oracle_sql()["e6_permutation_importance"]))
     assert all(got[f] == 0 for f in FEATURE_COLUMNS if f not in LINEAR)
+
+
+def test_sequence_training_has_the_operators_epochs(spark, monkeypatch):
+    import inspect
+    from panelwarn.operators import sequence
+    asked = {}
+
+    class Seen(Exception):
+        pass
+
+    def train(*args, **kw):
+        asked.update(inspect.signature(real).bind(*args, **kw).arguments)
+        raise Seen
+
+    real = sequence.train_sequences
+    monkeypatch.setattr(sequence, "train_sequences", train)
+    try:
+        Q.m14_sequence_mlp(spark, SF)
+    except Seen:
+        pass
+    assert asked and asked.get("epochs", inspect.signature(real).parameters["epochs"].default) == 100

@@ -244,6 +244,15 @@ def w10_lookback_sequences(spark, sf_dir):
     return lookback_sequences(j, CASE_SPEC, ["cases_d", "temperature_c"], "target", lookback=12)
 
 
+@register("w10_lookback_sequences_all")
+def w10_lookback_sequences_all(spark, sf_dir):
+    """Sequences of all features, over complete rows as in training."""
+    from panelwarn.operators.sampling import lookback_sequences
+    ft = P.complete_rows(feature_table(spark, sf_dir).select("ISO_A0", "calendar_start_date", *FEATURE_COLUMNS,
+                                                             (F.col("dengue_total") > 8).cast("int").alias("target")))
+    return lookback_sequences(_r6_doubles(ft), PanelSpec(), FEATURE_COLUMNS, "target", lookback=12)
+
+
 @register("w11_entity_standardize")
 def w11_entity_standardize(spark, sf_dir):
     from panelwarn.operators.sampling import standardize_within
@@ -596,6 +605,12 @@ def m5_flatten_sequences(spark, sf_dir):
     return s.select("entity", "month_start", M.flatten_sequences("seq").alias("flat"))
 
 
+@register("m5_flatten_sequences_all")
+def m5_flatten_sequences_all(spark, sf_dir):
+    s = w10_lookback_sequences_all(spark, sf_dir)
+    return s.select("ISO_A0", "calendar_start_date", M.flatten_sequences("seq").alias("flat"))
+
+
 @register("m6_balanced_weights")
 def m6_balanced_weights(spark, sf_dir):
     lab = read_table(spark, sf_dir, "labels", "doc_id", "quality")

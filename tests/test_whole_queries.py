@@ -43,3 +43,17 @@ def test_sequence_training_has_the_operators_epochs(spark, monkeypatch):
     except Seen:
         pass
     assert asked and asked.get("epochs", inspect.signature(real).parameters["epochs"].default) == 100
+
+
+def test_sequences_of_every_feature(spark):
+    rows = {}
+    ft = Q._r6_doubles(Q.feature_table(spark, SF)).orderBy("ISO_A0", "calendar_start_date").collect()
+    for r in ft:
+        x = [r[c] for c in FEATURE_COLUMNS]
+        if not any(v is None or v != v for v in x):
+            rows.setdefault(r["ISO_A0"], []).append((r["calendar_start_date"], [float(v) for v in x], int(r["dengue_total"] > 8)))
+    want = {(e, d): ([v for _, v, _ in of[i - 12:i]], y) for e, of in rows.items() for i, (d, _, y) in enumerate(of) if i >= 12}
+    got = {(r[0], r[1]): (r["seq"], r["target"]) for r in Q.w10_lookback_sequences_all(spark, SF).collect()}
+    assert got and got == want
+    flat = {(r[0], r[1]): r["flat"] for r in Q.m5_flatten_sequences_all(spark, SF).collect()}
+    assert flat == {k: [v for x in seq for v in x] for k, (seq, _) in want.items()}

@@ -15,7 +15,8 @@ def lookback_sequences(df: DataFrame, spec: PanelSpec, features: Sequence[str],
     """For row i the ``lookback`` previous rows' feature vectors, target at i.
 
     Entities with at most ``lookback`` rows yield no sequence.  The frame is
-    bounded, so hot entities go through the blocked window path.
+    bounded, so hot entities can go through the blocked window path: pass
+    ``block_rows`` (see ``apply_panel_window``); without it, one task has an entity.
     """
     vec = F.array(*[F.col(c).cast("double") for c in features])
 

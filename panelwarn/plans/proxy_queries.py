@@ -207,11 +207,17 @@ def w5_exog_rolling(spark, sf_dir):
     return _r6_all(f, [c for c in f.columns if c not in ("entity", "month_start")])
 
 
+#: Consecutive orders of a nation in a block.
+ORDER_BLOCK_ROWS = 100_000
+
+
 @register("w6_ordered_row_lags")
 def w6_ordered_row_lags(spark, sf_dir):
     rows = proxy.order_rows(spark, sf_dir)
     spec = PanelSpec(entity="entity", time="order_date", tiebreak=("o_orderkey",), target="o_totalprice")
-    f = _window_query(rows, spec, lambda w, _i: lag_columns("o_totalprice", (1, 2, 3), w, prefix="price"), 3)
+    # few entities, each with a large share of the rows
+    f = apply_panel_window(rows, spec, lambda w, _i: lag_columns("o_totalprice", (1, 2, 3), w, prefix="price"), lookback=3,
+                           block_rows=ORDER_BLOCK_ROWS)
     return _r6_all(f, ["o_totalprice", "price_lag_1", "price_lag_2", "price_lag_3"])
 
 

@@ -57,3 +57,16 @@ def test_sequences_of_every_feature(spark):
     assert got and got == want
     flat = {(r[0], r[1]): r["flat"] for r in Q.m5_flatten_sequences_all(spark, SF).collect()}
     assert flat == {k: [v for x in seq for v in x] for k, (seq, _) in want.items()}
+
+
+def test_order_lags_split_a_nation(spark, monkeypatch):
+    """Windows run per block of a nation, and give what SQL gives over whole nations."""
+    monkeypatch.setattr(Q, "ORDER_BLOCK_ROWS", 7)
+    out = Q.w6_ordered_row_lags(spark, SF)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if line.lstrip("+-: ").startswith("Window") and "lag(" in line]
+    assert windows and all("_pw_blk" in line for line in windows)
+    columns = ["entity", "order_date", "o_orderkey", "o_totalprice", *[f"price_lag_{k}" for k in (1, 2, 3)]]
+    key = lambda r: r[2]
+    want = duck(f"select {', '.join(columns)} from ({entry.oracle_sql()['w6_ordered_row_lags']})")
+    assert sorted(map(tuple, out.select(*columns).collect()), key=key) == sorted(want, key=key)

@@ -1,17 +1,17 @@
-"""Suffix-array dedup (operator 8): a logarithmic family of sparse suffix arrays.
+"""Passage dedup (operator 8): a logarithmic family of sampled gram hashes, in place of suffix arrays.
 
 Every string of ``LENGTH`` bytes is represented by one of the suffixes that
 start in it: the one whose first ``GRAM`` bytes hash lowest.  Equal strings
 choose the same place in themselves, so two copies of a long passage always
-share a sampled suffix, and about one suffix in 170 bytes is kept.  A suffix
-array here is the sorted table of the sampled suffixes' keys (the hash of
-their first ``GRAM`` bytes; only equal beginnings must be neighbours, so the
-order of the hash serves as well as the alphabet's).
-
-Batches of texts enter one after the other: a batch gets its own array, it is
-merge-scanned against the existing levels for equal keys, and levels of equal
-size are merged, so that there are never more than log(batches) of them.
-Suffixes with a match then meet with their surroundings, one group a key, and
+share a sampled suffix, and about one suffix in 170 bytes is kept.  No suffix
+array is built: a level is the sorted set of the distinct keys of the sampled
+suffixes (the hash of their first ``GRAM`` bytes), without suffixes, places or
+alphabetic order.
+
+Batches (``BATCHES`` hash slices of the one input) enter one after the other: a
+batch gets its own level, a semi-join with the existing levels finds equal keys,
+and levels of equal size are merged, so that there are never more than
+log(batches) of them.  Suffixes with a match then meet with their surroundings, one group a key, and
 for each the first and last ``LENGTH``-byte window is found that also starts
 elsewhere; rolling hashes find the windows and their bytes are compared.
 Groups above ``GROUP_ROWS`` are dealt into blocks that cover every pair.
@@ -133,7 +133,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class SuffixFamily:
-    """Levels of sorted suffix tables; each covers a power of two of batches."""
+    """Levels of sorted tables of distinct keys; each covers a power of two of batches."""
 
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame, str]] = []

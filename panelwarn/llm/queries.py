@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwarn.llm import ann, lm, mixing, packing, pii, quality, sharding, simhash, suffix, tokens
+from panelwarn.llm import alignment, ann, lm, mixing, packing, pii, quality, sharding, simhash, suffix, tokens
 from panelwarn.llm.common import read
 
 
@@ -66,6 +66,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(docs, model)
 
 
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aligned groups and links of two tokenizers on every document, weighed by corpus-wide pair counts."""
+    return alignment.alignments(read(spark, sf_dir, "documents"))
+
+
 REGISTRY = {
     "op1_personal_data": op1_personal_data,
     "op2_token_counts": op2_token_counts,
@@ -77,5 +82,6 @@ REGISTRY = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwarn.llm import alignment, ann, lm, mixing, packing, pii, quality, sharding, simhash, suffix, tokens
+from panelwarn.llm import alignment, ann, lm, mixing, packing, phrases, pii, quality, sharding, simhash, suffix, tokens
 from panelwarn.llm.common import read
 
 
@@ -66,6 +66,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(docs, model)
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2,000 best phrases of every language."""
+    return phrases.collocations(read(spark, sf_dir, "documents"), min_count=30, most=4, top=2000)
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned groups and links of two tokenizers on every document, weighed by corpus-wide pair counts."""
     return alignment.alignments(read(spark, sf_dir, "documents"))
@@ -82,6 +87,44 @@ REGISTRY = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
-SQL: dict[str, str] = {}
+_LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op11_collocations": f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array({_LOWERED.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+worded AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
+placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded WHERE len(w) > 0),
+counted AS (
+  SELECT lang, k, w[i : i + k - 1] AS words, count(*) AS f
+  FROM placed, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang),
+found AS (SELECT * FROM counted WHERE k > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.words, c.f, h.f AS l, t.f AS r, x.cut,
+         CAST((2000000::HUGEINT * c.f) // (h.f + t.f) AS BIGINT) AS score
+  FROM found c, (SELECT unnest([1, 2, 3]) AS cut) x, counted h, counted t
+  WHERE x.cut < c.k AND h.lang = c.lang AND h.words = c.words[1 : x.cut]
+    AND t.lang = c.lang AND t.words = c.words[x.cut + 1 : c.k]),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) AS choice FROM cuts),
+inside AS (
+  SELECT lang, words[s.s : s.s + m.m - 1] AS words, max(f) AS b
+  FROM found, (SELECT unnest([2, 3]) AS m) m, (SELECT unnest([1, 2, 3]) AS s) s
+  WHERE m.m < k AND s.s + m.m - 1 <= k GROUP BY ALL),
+kept AS (
+  SELECT b.lang, array_to_string(b.words, ' ') AS phrase, b.f AS a, b.l, b.r, b.score
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.words = b.words
+  WHERE b.choice = 1 AND (i.b IS NULL OR 100 * i.b < 80 * b.f)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score
+FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000
+""",
+}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwarn.llm import alignment, ann, lm, mixing, packing, phrases, pii, quality, sharding, simhash, suffix, tokens
+from panelwarn.llm import alignment, ann, lm, minhash, mixing, packing, phrases, pii, quality, sharding, simhash, suffix, tokens
 from panelwarn.llm.common import read
 
 
@@ -71,6 +71,11 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read(spark, sf_dir, "documents"), min_count=30, most=4, top=2000)
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document on five-word shingles, Jaccard similarity 0.85 or more."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle=5, percent=85)
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aligned groups and links of two tokenizers on every document, weighed by corpus-wide pair counts."""
     return alignment.alignments(read(spark, sf_dir, "documents"))
@@ -88,11 +93,29 @@ REGISTRY = {
     "op9_sharding": op9_sharding,
     "op10_quality_rules": op10_quality_rules,
     "op11_collocations": op11_collocations,
+    "op12_minhash": op12_minhash,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 _LOWERED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 SQL: dict[str, str] = {
+    "op12_minhash": f"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all({_LOWERED.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) END AS s
+  FROM worded),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reached AS (
+  SELECT doc_id, doc_id AS seen FROM sets
+  UNION SELECT r.doc_id, l.b FROM reached r JOIN links l ON l.a = r.seen)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(r.seen) AS component_id, s.doc_id = min(r.seen) AS kept
+FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s
+""",
     "op11_collocations": f"""
 WITH pieces AS (
   SELECT coalesce(lang, 'und') AS lang,

@@ -125,25 +125,26 @@ worded AS (
   SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces),
 placed AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM worded WHERE len(w) > 0),
 counted AS (
-  SELECT lang, k, w[i : i + k - 1] AS words, count(*) AS f
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
   FROM placed, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
 totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counted WHERE k = 1 GROUP BY lang),
-found AS (SELECT * FROM counted WHERE k > 1 AND f >= 30),
+parts AS MATERIALIZED (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM counted WHERE f >= 30),
+found AS (SELECT * FROM parts WHERE k > 1),
+split AS (
+  SELECT lang, phrase, f, cut, array_to_string(w[1 : cut], ' ') AS head, array_to_string(w[cut + 1 : k], ' ') AS tail
+  FROM found, (SELECT unnest([1, 2, 3]) AS cut) WHERE cut < k),
 cuts AS (
-  SELECT c.lang, c.words, c.f, h.f AS l, t.f AS r, x.cut,
-         CAST((2000000::HUGEINT * c.f) // (h.f + t.f) AS BIGINT) AS score
-  FROM found c, (SELECT unnest([1, 2, 3]) AS cut) x, counted h, counted t
-  WHERE x.cut < c.k AND h.lang = c.lang AND h.words = c.words[1 : x.cut]
-    AND t.lang = c.lang AND t.words = c.words[x.cut + 1 : c.k]),
+  SELECT s.*, h.f AS l, t.f AS r, CAST((2000000::HUGEINT * s.f) // (h.f + t.f) AS BIGINT) AS score
+  FROM split s JOIN parts h ON h.lang = s.lang AND h.phrase = s.head JOIN parts t ON t.lang = s.lang AND t.phrase = s.tail),
 best AS (
-  SELECT *, row_number() OVER (PARTITION BY lang, words ORDER BY score, cut) AS choice FROM cuts),
-inside AS (
-  SELECT lang, words[s.s : s.s + m.m - 1] AS words, max(f) AS b
-  FROM found, (SELECT unnest([2, 3]) AS m) m, (SELECT unnest([1, 2, 3]) AS s) s
-  WHERE m.m < k AND s.s + m.m - 1 <= k GROUP BY ALL),
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS choice FROM cuts),
+pieces_of AS (
+  SELECT lang, array_to_string(w[s : s + m - 1], ' ') AS phrase, f
+  FROM found, (SELECT unnest([2, 3]) AS m), (SELECT unnest([1, 2, 3]) AS s) WHERE m < k AND s + m - 1 <= k),
+inside AS (SELECT lang, phrase, max(f) AS b FROM pieces_of GROUP BY ALL),
 kept AS (
-  SELECT b.lang, array_to_string(b.words, ' ') AS phrase, b.f AS a, b.l, b.r, b.score
-  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.words = b.words
+  SELECT b.lang, b.phrase, b.f AS a, b.l, b.r, b.score
+  FROM best b LEFT JOIN inside i ON i.lang = b.lang AND i.phrase = b.phrase
   WHERE b.choice = 1 AND (i.b IS NULL OR 100 * i.b < 80 * b.f)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)

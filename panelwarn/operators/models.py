@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier,
+    GBTClassificationModel, GBTClassifier, MultilayerPerceptronClassifier, RandomForestClassifier,
 )
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -94,34 +94,91 @@ def learner(cfg: LearnerConfig, features_col: str = "features", label_col: str =
     return est
 
 
-def rounds_with_patience(losses: Sequence[float], patience: int = PATIENCE) -> tuple[int, bool]:
-    """(best number of rounds, whether ``patience`` rounds without a gain followed it)."""
-    best = 0
-    for i, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = i
-        elif i - best >= patience:
-            return best + 1, True
-    return best + 1, False
-
-
-def fit_boosted(est: GBTClassifier, train: DataFrame, val: DataFrame, patience: int = PATIENCE):
-    """Boosting that stops ``patience`` rounds after the last gain in validation log-loss.
-
-    Spark's own rule ends at the first gain below a relative tolerance, which a
-    small step size meets at once.  Here the rounds are doubled until the rule
-    holds (a seeded fit of more rounds begins with the same trees), and the
-    model keeps the trees up to the best round.  Validation rows are unweighted.
+class Patience:
+    """The stop rule of boosting: ``rounds`` rounds without a lower loss than the best so far."""
+
+    def __init__(self, rounds: int = PATIENCE):
+        self.rounds, self.best, self.loss, self.seen = rounds, 0, float("inf"), 0
+
+    def add(self, losses: Sequence[float]) -> bool:
+        """Take further rounds' losses in order; whether the rule holds by then (later ones are ignored)."""
+        for loss in losses:
+            if self.settled:
+                break
+            self.seen += 1
+            if loss < self.loss:
+                self.best, self.loss = self.seen, loss
+        return self.settled
+
+    @property
+    def settled(self) -> bool:
+        return self.best > 0 and self.seen - self.best >= self.rounds
+
+
+def _one_tree(est: GBTClassifier, target: str, seed: int) -> RandomForestRegressor:
+    """A regression tree with the booster's own depth, row and feature sampling."""
+    tree = RandomForestRegressor(
+        featuresCol=est.getFeaturesCol(), labelCol=target, numTrees=1, bootstrap=False, seed=seed,
+        maxDepth=est.getMaxDepth(), maxBins=est.getMaxBins(), minInstancesPerNode=est.getMinInstancesPerNode(),
+        minInfoGain=est.getMinInfoGain(), subsamplingRate=est.getSubsamplingRate(),
+        featureSubsetStrategy=est.getFeatureSubsetStrategy(), maxMemoryInMB=est.getMaxMemoryInMB())
+    return tree.setWeightCol(est.getWeightCol()) if est.isSet(est.weightCol) else tree
+
+
+def _ensemble(spark, trees: Sequence, weights: Sequence[float]) -> GBTClassificationModel:
+    """A boosted classifier of given regression trees and weights."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    held = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    shares = gateway.new_array(jvm.double, len(trees))
+    for i, (tree, weight) in enumerate(zip(trees, weights)):
+        held[i], shares[i] = tree._java_obj, float(weight)
+    uid = jvm.org.apache.spark.ml.util.Identifiable.randomUID("gbtc")
+    return GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(uid, held, shares))
+
+
+def fit_boosted(est: GBTClassifier, train: DataFrame, val: DataFrame, patience: int = PATIENCE,
+                slice_rounds: int = 10) -> GBTClassificationModel:
+    """Boosting that stops ``patience`` rounds after the last gain in validation log-loss; one tree fit a round.
+
+    Training and validation rows carry their margin as a column.  A round fits
+    one regression tree to the gradient of the log-loss and adds it to the
+    margins.  After each slice of rounds one pass over the validation rows
+    (unweighted) gives the loss of every round in it, the stop rule reads them
+    in order, and the margins are cut to the checkpoint folder, so that neither
+    plans nor recomputation grow with the rounds.  The model keeps the trees up
+    to the best round.
     """
-    limit, rounds = est.getMaxIter(), 2 * patience
-    while True:
-        rounds = min(rounds, limit)
-        model = est.copy({est.maxIter: rounds}).fit(train)
-        losses = model.evaluateEachIteration(val)
-        best, settled = rounds_with_patience(losses, patience)
-        if settled or rounds == limit:
-            return model if best == rounds else est.copy({est.maxIter: best}).fit(train)
-        rounds *= 2
+    spark = train.sparkSession
+    label, features, step = est.getLabelCol(), est.getFeaturesCol(), est.getStepSize()
+    sign, margin = F.col("_pw_sign"), F.col("_pw_margin")
+    keep = [features, *([est.getWeightCol()] if est.isSet(est.weightCol) else [])]
+
+    def begun(rows: DataFrame, *columns: str) -> DataFrame:
+        return cut_lineage(rows.select(*columns, (F.col(label) * 2 - 1).alias("_pw_sign"), F.lit(0.0).alias("_pw_margin")))
+
+    def added(rows: DataFrame, tree, weight: float) -> DataFrame:
+        return tree.setPredictionCol("_pw_tree").transform(rows).withColumn(
+            "_pw_margin", margin + F.lit(weight) * F.col("_pw_tree")).drop("_pw_tree")
+
+    rows, held_out = begun(train, *keep), begun(val, features)
+    trees, weights, rule = [], [], Patience(patience)
+    while len(trees) < est.getMaxIter():
+        marks = []
+        for _ in range(min(slice_rounds, est.getMaxIter() - len(trees))):
+            # the first tree fits the signs themselves, the others the gradient
+            gradient = sign if not trees else 4 * sign / (1 + F.exp(2 * sign * margin))
+            target = rows.select(*keep, gradient.alias("_pw_gradient"))
+            tree = _one_tree(est, "_pw_gradient", est.getSeed() + len(trees)).fit(target).trees[0]
+            weights.append(1.0 if not trees else step)
+            trees.append(tree)
+            rows, held_out = added(rows, tree, weights[-1]), added(held_out, tree, weights[-1])
+            marks.append(f"_pw_after_{len(marks)}")
+            held_out = held_out.withColumn(marks[-1], margin)
+        losses = held_out.agg(*[F.avg(2 * F.log1p(F.exp(-2 * sign * F.col(m)))) for m in marks]).first()
+        if rule.add(losses):
+            break
+        rows, held_out = cut_lineage(rows), cut_lineage(held_out.drop(*marks))
+    return _ensemble(spark, trees[:rule.best], weights[:rule.best])
 
 
 def compact(df: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelwarn.plans.fixed_model import LINEAR, linear_probability_sql
+from panelwarn.plans.fixed_model import LINEAR, SHAPLEY_BACKGROUND, linear_probability_sql
 from panelwarn.schemas import CORRELATION_CANDIDATES, FEATURE_COLUMNS
 
 # Shared CTEs: the proxy panels of FIXTURES.md 2.1.
@@ -177,14 +177,6 @@ SQL["w9_surge_flag"] = f"""with {CASES}
 select *, coalesce(cast(cases > 8 and cases > cast(1.5 as double) * lag(cases, 1) over g as int), 0)
   as surge_flag from c {G}"""
 
-SQL["w10_lookback_sequences"] = f"""with {CASES}, {WEATHER}, {JOINED},
-s as (select entity, month_start,
-  list([cast(cases as double), {r6('temperature_c')}]) over (partition by entity order by month_start
-       rows between 12 preceding and 1 preceding) as seq,
-  cast(cases > 8 as int) as target, row_number() over g as rn
-  from j {G})
-select entity, month_start, seq, target from s where rn > 12"""
-
 SQL["w11_entity_standardize"] = f"""with {CASES}
 select entity, month_start, cases,
   {r6("(cases - avg(cases) over e) / case when stddev_pop(cases) over e is null or stddev_pop(cases) over e = 0 then 1 else stddev_pop(cases) over e end")} as cases_z
@@ -499,13 +491,6 @@ select l_orderkey, l_linenumber,
   {r6('(l_extendedprice - m2) / case when s2 = 0 or s2 is null then 1 else s2 end')} as l_extendedprice_z
 from lineitem, st"""
 
-SQL["m5_flatten_sequences"] = f"""with {CASES}, {WEATHER}, {JOINED},
-s as (select entity, month_start,
-  list([cast(cases as double), {r6('temperature_c')}]) over (partition by entity order by month_start
-       rows between 12 preceding and 1 preceding) as seq, row_number() over g as rn
-  from j {G})
-select entity, month_start, flatten(seq) as flat from s where rn > 12"""
-
 SQL["m6_balanced_weights"] = f"""with cnt as (select quality, count(*) as n_c from labels group by 1),
 tot as (select sum(n_c) as n, count(*) as k from cnt)
 select l.doc_id, l.quality, {r6('cast(n as double) / (k * n_c)')} as weight
@@ -677,6 +662,17 @@ select '{model}' as model, n - t - v as n_train, v as n_val, t as n_test, true a
   true as metrics_in_range from v"""
 
 
+_SEQUENCES = f"""{MODEL_ROWS},
+s as (select ISO_A0, calendar_start_date, cast(dengue_total > 8 as int) as target,
+  list([{", ".join(r6(f"cast({c} as double)") if c in _FT_DOUBLE else f"cast({c} as double)" for c in FEATURES)}])
+    over (w rows between 12 preceding and 1 preceding) as seq, row_number() over w as rn
+  from mr window w as (partition by ISO_A0 order by calendar_start_date))"""
+SQL["w10_lookback_sequences"] = f"""{_SEQUENCES}
+select ISO_A0, calendar_start_date, seq, target from s where rn > 12"""
+SQL["m5_flatten_sequences"] = f"""{_SEQUENCES}
+select ISO_A0, calendar_start_date, flatten(seq) as flat from s where rn > 12"""
+
+
 SQL["m8_random_forest"] = _run_sizes("RandomForest")
 SQL["m9_boosted_trees"] = _run_sizes("XGBoost")
 SQL["m10_boosted_trees_pos_weight"] = _run_sizes("LightGBM")
@@ -707,13 +703,21 @@ select row_id, {r6(_P)} as outbreak_probability, cast({_P} >= 0.5 as int) as pre
 SQL["c4_stream_scoring"] = SQL["c2_feature_map_scoring"]
 
 
-def _importance_sql() -> str:
+def _split_sql() -> str:
+    """CTEs ending in sp (doc_id, split): the stratified split of the model rows."""
     split = SQL["m1_stratified_split"].replace("with lab as (select doc_id, quality from labels)",
                                                "lab as (select row_id as doc_id, label as quality from mr)")
     split = split.replace("cast(doc_id as varchar)", "doc_id")
+    return f"{MODEL_ROWS},\nsp as (select * from ({split.replace('lab as (', 'with lab as (', 1)}))"
+
+
+def _importance_sql() -> str:
     names = list(LINEAR)
     copies = []
-    for f in names:
+    for f in FEATURES:
+        if f not in LINEAR:  # the formula does not read the permuted column
+            copies.append(f"select '{f}' as feature, label, {', '.join(names)} from test")
+            continue
         kept = ", ".join(f"t.{c}" for c in names if c != f)
         copies.append(f"""select '{f}' as feature, t.label, {kept}, s.{f} as {f}
   from (select *, row_number() over (order by row_id) as k from test) t
@@ -722,8 +726,7 @@ def _importance_sql() -> str:
     base = f"select '<none>' as feature, label, {', '.join(names)} from test"
     columns = ", ".join(["feature", "label", *names])
     union = "\nunion all\n".join(f"select {columns} from ({q})" for q in [base, *copies])
-    return f"""{MODEL_ROWS},
-sp as (select * from ({split.replace('lab as (', 'with lab as (', 1)})),
+    return f"""{_split_sql()},
 test as (select mr.* from mr join sp on mr.row_id = sp.doc_id where sp.split = 'test'),
 every as ({union}),
 p as (select feature, label = 1 as y, {_P} >= 0.5 as pred from every),
@@ -736,6 +739,25 @@ select feature, {r6("(select f1 from m where feature = '<none>') - f1")} as impo
 
 SQL["e6_permutation_importance"] = _importance_sql()
 
+
+def _shapley_sql() -> str:
+    """Exact values: a linear model's Shapley value is the weight times the distance from the background's mean."""
+    means = ", ".join(f"avg(cast({c} as double)) as {c}" for c in FEATURES)
+    values = ", ".join(f"cast({LINEAR.get(c, 0)} as double) * (cast(t.{c} as double) - z.{c})" for c in FEATURES)
+    return f"""{_split_sql()},
+test as (select mr.* from mr join sp on mr.row_id = sp.doc_id where sp.split = 'test'),
+bg as (select mr.* from mr join sp on mr.row_id = sp.doc_id where sp.split = 'train'
+  order by md5(concat_ws('-', row_id, '42')), row_id limit {SHAPLEY_BACKGROUND}),
+z as (select {means} from bg),
+phi as (select t.row_id, unnest([{", ".join(f"'{c}'" for c in FEATURES)}]) as feature, unnest([{values}]) as shapley
+  from test t, z)"""
+
+
+SQL["e6_shapley_values"] = f"""{_shapley_sql()}
+select row_id, feature, {r6("shapley")} as shapley from phi"""
+SQL["e6_shapley_importance"] = f"""{_shapley_sql()}
+select feature, {r6("avg(abs(shapley))")} as mean_abs_shapley, {r6("avg(shapley)")} as mean_shapley from phi group by 1"""
+
 SQL["m14_sequence_mlp"] = f"""{MODEL_ROWS},
 q as (select ISO_A0, calendar_start_date, cast(dengue_total > 7 as int) as y,
   row_number() over (partition by ISO_A0 order by calendar_start_date) as i from mr),

@@ -243,15 +243,6 @@ def w9_surge_flag(spark, sf_dir):
 
 @register("w10_lookback_sequences")
 def w10_lookback_sequences(spark, sf_dir):
-    from panelwarn.operators.sampling import lookback_sequences
-    j = proxy.joined_panel(spark, sf_dir).select("entity", "month_start", "cases", *EXOG)
-    j = j.withColumns({"cases_d": F.col("cases").cast("double"), "temperature_c": round6("temperature_c")})
-    j = j.withColumn("target", (F.col("cases") > 8).cast("int"))
-    return lookback_sequences(j, CASE_SPEC, ["cases_d", "temperature_c"], "target", lookback=12)
-
-
-@register("w10_lookback_sequences_all")
-def w10_lookback_sequences_all(spark, sf_dir):
     """Sequences of all features, over complete rows as in training."""
     from panelwarn.operators.sampling import lookback_sequences
     ft = P.complete_rows(feature_table(spark, sf_dir).select("ISO_A0", "calendar_start_date", *FEATURE_COLUMNS,
@@ -414,7 +405,8 @@ from panelwarn.operators import metrics as E  # noqa: E402
 from panelwarn.operators import sampling as M  # noqa: E402
 from panelwarn.operators import weighting as WT  # noqa: E402
 from panelwarn.operators.features import engineer_features, label_codes, year_normalized  # noqa: E402
-from panelwarn.plans.fixed_model import LINEAR, linear_probability_sql  # noqa: E402
+from panelwarn.plans.fixed_model import SHAPLEY_BACKGROUND, linear_log_odds_sql, linear_probability_sql  # noqa: E402
+from panelwarn.session import cut_lineage  # noqa: E402
 from panelwarn.schemas import CORRELATION_CANDIDATES, FEATURE_COLUMNS, PROFILE_EXCLUDED  # noqa: E402
 
 
@@ -608,12 +600,6 @@ def m3_standard_scaler(spark, sf_dir):
 @register("m5_flatten_sequences")
 def m5_flatten_sequences(spark, sf_dir):
     s = w10_lookback_sequences(spark, sf_dir)
-    return s.select("entity", "month_start", M.flatten_sequences("seq").alias("flat"))
-
-
-@register("m5_flatten_sequences_all")
-def m5_flatten_sequences_all(spark, sf_dir):
-    s = w10_lookback_sequences_all(spark, sf_dir)
     return s.select("ISO_A0", "calendar_start_date", M.flatten_sequences("seq").alias("flat"))
 
 
@@ -846,25 +832,40 @@ def c4_stream_scoring(spark, sf_dir):
     return _r6_all(spark.read.parquet(sink).drop("scored_at"), ["outbreak_probability"])
 
 
-def _importance(spark, sf_dir, features):
-    """Attribution of the fixed model on the test part of the stratified split."""
-    from panelwarn.operators.explain import permutation_importance
+def _split_rows(spark, sf_dir):
+    """Complete rows of the model frame with their part of the stratified split."""
     frame = P.complete_rows(_model_frame(spark, sf_dir).select("row_id", "label", *FEATURE_COLUMNS))
-    test = M.stratified_split(frame, "label", "row_id").filter("split = 'test'").drop("split")
-    out = permutation_importance(test, "row_id", "label", list(features), lambda d: d.withColumn("proba", F.expr(linear_probability_sql())), 0.5)
-    return _r6_all(out, ["importance"])
+    return M.stratified_split(frame, "label", "row_id")
 
 
 @register("e6_permutation_importance")
 def e6_permutation_importance(spark, sf_dir):
-    """The features in the fixed model's formula, as in the query's SQL."""
-    return _importance(spark, sf_dir, LINEAR)
+    """Attribution of the fixed model on the test rows to all features; those outside its formula come out as 0."""
+    from panelwarn.operators.explain import permutation_importance
+    test = _split_rows(spark, sf_dir).filter("split = 'test'").drop("split")
+    out = permutation_importance(test, "row_id", "label", FEATURE_COLUMNS, lambda d: d.withColumn("proba", F.expr(linear_probability_sql())), 0.5)
+    return _r6_all(out, ["importance"])
+
+
+def _shapley(spark, sf_dir):
+    from panelwarn.operators.explain import shapley_values
+    rows = cut_lineage(_split_rows(spark, sf_dir))
+    odds = F.expr(linear_log_odds_sql())
+    return shapley_values(rows.filter("split = 'test'"), rows.filter("split = 'train'"), "row_id", FEATURE_COLUMNS,
+                          lambda d: d.withColumn("value", odds), "value", background=SHAPLEY_BACKGROUND)
+
+
+@register("e6_shapley_values")
+def e6_shapley_values(spark, sf_dir):
+    """Sampled Shapley values of the fixed model's log-odds: every test row, every feature."""
+    return _r6_all(_shapley(spark, sf_dir), ["shapley"])
 
 
-@register("e6_permutation_importance_all")
-def e6_permutation_importance_all(spark, sf_dir):
-    """All features; those outside the formula come out as exactly 0."""
-    return _importance(spark, sf_dir, FEATURE_COLUMNS)
+@register("e6_shapley_importance")
+def e6_shapley_importance(spark, sf_dir):
+    """Mean absolute Shapley value of every feature over the test rows."""
+    from panelwarn.operators.explain import shapley_importance
+    return _r6_all(shapley_importance(_shapley(spark, sf_dir)), ["mean_abs_shapley", "mean_shapley"])
 
 
 # ------------------------------------------- larger panel: parts x ship days

@@ -16,10 +16,16 @@ from panelwarn.operators.scoring import OutbreakScorer
 from panelwarn.operators.windows import PanelSpec
 
 
-def test_rounds_with_patience():
-    assert M.rounds_with_patience([3, 2, 1, 1, 2, 3], 3) == (3, True)
-    assert M.rounds_with_patience([3, 2, 1, 1, 2], 3) == (3, False)
-    assert M.rounds_with_patience([5, 4, 3], 2) == (3, False)
+def test_patience():
+    def best(losses, rounds):
+        rule = M.Patience(rounds)
+        return rule.add(losses), rule.best
+    assert best([3, 2, 1, 1, 2, 3], 3) == (True, 3)
+    assert best([3, 2, 1, 1, 2], 3) == (False, 3)
+    assert best([5, 4, 3], 2) == (False, 3)
+    assert best([3, 2, 2, 2, 1], 2) == (True, 2)  # what follows the stop is ignored
+    rule = M.Patience(2)
+    assert not rule.add([3, 2]) and not rule.add([4]) and rule.add([4, 0]) and rule.best == 2
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +45,33 @@ def test_boosting_keeps_many_trees(learnable):
     assert r.metrics["roc_auc"] > 0.85 and sum(r.split_rows.values()) == 700
 
 
+def test_boosting_keeps_the_best_round_and_equals_its_margins(spark, learnable, tmp_path):
+    """The kept trees reproduce the losses that the stop rule saw, after a round trip through storage."""
+    import math
+
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.ml.feature import VectorAssembler
+    rows = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(learnable)
+    rows = rows.select("id", "features", F.col("y").cast("double").alias("label"))
+    train, val = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
+    est = M.GBTClassifier(maxIter=60, stepSize=0.3, maxDepth=4, seed=3)
+    model = M.fit_boosted(est, train, val, patience=5, slice_rounds=4)
+    kept = model.getNumTrees
+    assert 2 < kept < 55 and model.treeWeights[:2] == [1.0, 0.3]
+    model.write().overwrite().save(str(tmp_path / "m"))
+    again = GBTClassificationModel.load(str(tmp_path / "m"))
+    scored = again.transform(val).select("label", "rawPrediction").collect()
+    loss = sum(math.log1p(math.exp(-(2 * r["label"] - 1) * r["rawPrediction"][1])) for r in scored) / len(scored)
+    losses = model.evaluateEachIteration(val)
+    # Spark's loss is 2 log(1 + exp(-2 y F)); raw predictions are F
+    assert losses[-1] == min(losses)
+    assert abs(losses[-1] - 2 * sum(math.log1p(math.exp(-2 * (2 * r["label"] - 1) * r["rawPrediction"][1]))
+                                    for r in scored) / len(scored)) < 1e-9
+    assert loss < 0.69
+    longer = M.fit_boosted(est, train, val, patience=5, slice_rounds=7)
+    assert longer.getNumTrees == kept and longer.toDebugString == model.toDebugString.replace(model.uid, longer.uid)
+
+
 def panel(spark, entities, years):
     rnd = random.Random(5)
     rows = [(e, dt.date(y, m, 1), float(rnd.randint(0, 50)), rnd.gauss(25, 3), rnd.random() * 9)

@@ -780,6 +780,18 @@ select ISO_A0, 'name of ' || ISO_A0 as adm_0_name, calendar_start_date, dengue_t
 SQL["s4_weather_documents"] = f"""with {WEATHER}
 select entity, year, month, {r6('temperature_c')} as temperature_c, {r6('precipitation_mm')} as precipitation_mm
 from w where year >= 1997"""
+SQL["s4_weather_outcomes"] = f"""with {WEATHER},
+n as (select *, cast(regexp_extract(entity, '(\\d+)$', 1) as int) % 7 as fault from w)
+select entity, year, month, {r6('temperature_c')} as temperature_c, {r6('precipitation_mm')} as precipitation_mm,
+  cast(null as varchar) as error
+from n where not (fault in (0, 1, 3)) and not (fault = 2 and month in (5, 10)) and precipitation_mm is not null
+union all
+select distinct entity, cast(null as int), cast(null as int), cast(null as double), cast(null as double),
+  case fault when 0 then 'Missing T2M' when 1 then 'No valid weather records extracted.' else 'Document cannot be read.' end
+from n where fault in (0, 1, 3)"""
+SQL["s5_weather_reuse"] = f"""with {WEATHER}
+select entity, year, month, {r6('temperature_c')} as temperature_c, {r6('precipitation_mm')} as precipitation_mm,
+  case when year < 1996 then 1 else 2 end as by_call from w"""
 SQL["s7_prediction_sink"] = f"""select row_id, prediction, threshold_used from ({SQL["c2_feature_map_scoring"]})"""
 SQL["s8_run_metadata"] = f"""{FT},
 names as (select unnest(range({len(FEATURES)})) as position, unnest([{", ".join(f"'{c}'" for c in FEATURES)}]) as feature)

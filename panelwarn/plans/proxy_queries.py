@@ -967,26 +967,69 @@ def s2_feature_csv(spark, sf_dir):
     return _r6_all(read_feature_table(spark, path, fmt="csv").select(*columns), ["dengue_ma_3"])
 
 
-@register("s4_weather_documents")
-def s4_weather_documents(spark, sf_dir):
-    """One JSON document an entity, landed and exploded to rows; S5: stored by entity and read pruned."""
-    from panelwarn.sources import weather as WS
+def _weather_documents(spark, sf_dir, damaged=False):
+    """Folder of one JSON document an entity, by entity; ``damaged``: by the number n of a nation, n % 7 = 0 lacks
+    the temperature, 1 all precipitation, 2 that of months 5 and 10, and 3 is cut short."""
     w = proxy.weather_panel(spark, sf_dir)
     key = F.date_format(F.make_date("year", "month", F.lit(1)), "yyyyMM")
-    entry = lambda v: F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, F.col(v)))))
+    entry = lambda v: F.map_from_entries(F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct(key, v)))))
+    fault = F.pmod(F.regexp_extract("entity", r"(\d+)$", 1).cast("int"), F.lit(7)) if damaged else F.lit(-1)
+    rain = F.when((fault == 1) | ((fault == 2) & F.col("month").isin(5, 10)), None).otherwise(F.col("precipitation_mm"))
     # a document is one entity's months, bounded by the calendar
-    docs = w.groupBy(F.col("entity").alias("ISO_A0")).agg(entry("temperature_c").alias("t"), entry("precipitation_mm").alias("p"))
+    docs = w.groupBy(F.col("entity").alias("ISO_A0"), fault.alias("fault")).agg(
+        entry(F.col("temperature_c")).alias("t"), entry(rain).alias("p"))
     name = F.when(F.length("ISO_A0") % 2 == 0, F.lit("PRECTOTCORR")).otherwise(F.lit("PRECTOT"))
-    docs = docs.select("ISO_A0", F.struct(F.map_concat(F.create_map(F.lit("T2M"), "t"), F.create_map(name, "p"))
-                                          .alias("parameter")).alias("properties"))
-    landed, store = _scratch(spark, "documents"), _scratch(spark, "weather")
-    docs.write.json(landed)
+    heat = F.when(F.col("fault") == 0, F.lit("T2M_MAX")).otherwise(F.lit("T2M"))
+    doc = F.to_json(F.struct(F.struct(F.map_concat(F.create_map(heat, "t"), F.create_map(name, "p")).alias("parameter"))
+                             .alias("properties")))
+    landed = _scratch(spark, "documents")
+    docs.select("ISO_A0", "fault", doc.alias("doc")).select(
+        "ISO_A0", F.when(F.col("fault") == 3, F.expr("left(doc, length(doc) - 3)")).otherwise(F.col("doc")).alias("doc")) \
+        .write.partitionBy("ISO_A0").text(landed)
+    return landed
+
+
+def _asked(spark, sf_dir):
+    return proxy.weather_panel(spark, sf_dir).select(F.col("entity").alias("ISO_A0"), "year").distinct()
+
+
+@register("s4_weather_documents")
+def s4_weather_documents(spark, sf_dir):
+    """One JSON document an entity, landed and exploded to rows; S5: stored by entity and read pruned."""
+    from panelwarn.sources import weather as WS
+    landed, store = _weather_documents(spark, sf_dir), _scratch(spark, "weather")
     rows, _ = WS.documents_to_rows(spark.read.schema(WS.DOC_SCHEMA).json(landed))
     WS.write_weather_store(rows, store)
     back = WS.read_weather_store(spark, store, first_year=1997)
     return _r6_all(back.select(F.col("ISO_A0").alias("entity"), "year", "month", "temperature_c", "precipitation_mm"), EXOG)
 
 
+@register("s4_weather_outcomes")
+def s4_weather_outcomes(spark, sf_dir):
+    """Good rows and error rows of damaged documents, from one parse; F14: months without precipitation are left out."""
+    from panelwarn.sources import weather as WS
+    store = _scratch(spark, "weather")
+    rows = WS.load_weather(spark, _asked(spark, sf_dir), _weather_documents(spark, sf_dir, damaged=True), store)
+    both = rows.withColumn("error", F.lit(None).cast("string")).unionByName(WS.weather_errors(spark, store), allowMissingColumns=True)
+    return _r6_all(both.select(F.col("ISO_A0").alias("entity"), "year", "month", "temperature_c", "precipitation_mm", "error"), EXOG)
+
+
+@register("s5_weather_reuse")
+def s5_weather_reuse(spark, sf_dir):
+    """A first call stores the years before 1996, a second adds the others; a third finds all there.
+
+    ``by_call`` is the call that parsed a row: the third reads from a folder that does not exist.
+    """
+    from panelwarn.sources import weather as WS
+    landed, store, asked = _weather_documents(spark, sf_dir), _scratch(spark, "weather"), _asked(spark, sf_dir)
+    first = WS.load_weather(spark, asked.filter("year < 1996"), landed, store)
+    early = cut_lineage(first.select("ISO_A0", "year", "month", F.lit(1).alias("by_call")))
+    WS.load_weather(spark, asked, landed, store)
+    back = WS.load_weather(spark, asked, f"{landed}-gone", store).join(early, ["ISO_A0", "year", "month"], "left")
+    return _r6_all(back.select(F.col("ISO_A0").alias("entity"), "year", "month", "temperature_c", "precipitation_mm",
+                               F.coalesce("by_call", F.lit(2)).alias("by_call")), EXOG)
+
+
 @register("s7_prediction_sink")
 def s7_prediction_sink(spark, sf_dir):
     """Predictions of the fixed model, written as CSV and read back."""

@@ -62,3 +62,42 @@ def test_raw_cases_and_guard(spark):
 def test_entity_dimension(spark):
     dim = S.entity_dimension(spark)
     assert dim.count() == 10 and dim.filter("iso = 'BGD'").first()["lat"] == 23.6850
+
+
+def test_weather_reuse(spark, tmp_path):
+    """Only missing entity-years are parsed; a document in error is tried again; nothing is stored twice."""
+    import json
+
+    from panelwarn.sources import weather as WS
+    docs, store = tmp_path / "docs", str(tmp_path / "store")
+
+    def land(entity, parameter, cut=0):
+        (docs / f"ISO_A0={entity}").mkdir(parents=True, exist_ok=True)
+        text = json.dumps({"properties": {"parameter": parameter}})
+        (docs / f"ISO_A0={entity}" / "d.json").write_text(text[:len(text) - cut])
+
+    heat = {"200001": 20.0, "200002": 21.0, "200013": 1.0, "200101": 22.0, "2001": 3.0}
+    rain = {"200001": 1.0, "200101": 2.0, "200013": 1.0}
+    land("AAA", {"T2M": heat, "PRECTOT": rain})
+    land("BBB", {"T2M": heat, "PRECTOT": rain}, cut=5)
+    land("CCC", {"PRECTOT": rain})
+
+    def asked(*pairs):
+        return spark.createDataFrame(list(pairs), "ISO_A0 string, year int")
+
+    def got(df):
+        return sorted((r["ISO_A0"], r["year"], r["month"], r["temperature_c"], r["precipitation_mm"]) for r in df.collect())
+
+    both = asked(("AAA", 2000), ("BBB", 2000), ("CCC", 2000), ("DDD", 2000))
+    assert got(WS.load_weather(spark, both, str(docs), store)) == [("AAA", 2000, 1, 20.0, 1.0)]
+    assert {r["ISO_A0"]: r["error"] for r in WS.weather_errors(spark, store).collect()} == \
+        {"BBB": WS.DAMAGED, "CCC": WS.NO_TEMPERATURE}
+    # the stored year is not read again, also when its document changes or is gone
+    assert got(WS.load_weather(spark, asked(("AAA", 2000)), str(docs / "gone"), store)) == [("AAA", 2000, 1, 20.0, 1.0)]
+    land("AAA", {"T2M": {k: v + 5 for k, v in heat.items()}, "PRECTOT": rain})
+    land("BBB", {"T2M": heat, "PRECTOTCORR": {"200002": 7.0}})
+    more = asked(("AAA", 2000), ("AAA", 2001), ("BBB", 2000), ("BBB", 2000))
+    assert got(WS.load_weather(spark, more, str(docs), store)) == \
+        [("AAA", 2000, 1, 20.0, 1.0), ("AAA", 2001, 1, 27.0, 2.0), ("BBB", 2000, 2, 21.0, 7.0)]
+    assert [r["ISO_A0"] for r in WS.weather_errors(spark, store).collect()] == ["CCC"]
+    assert got(WS.load_weather(spark, asked(("AAA", 2001)), str(docs), store)) == [("AAA", 2001, 1, 27.0, 2.0)]

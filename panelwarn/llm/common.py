@@ -16,6 +16,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -31,8 +33,22 @@ from panelwarn.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Paths written by ``saved_at`` in this process, oldest first.
-WRITTEN: list[str] = []
+#: The list that ``saved_at`` notes its paths in, where a caller has asked for one (see ``noted``).
+_NOTED: ContextVar[list[str] | None] = ContextVar("panelwarn_noted", default=None)
+
+
+@contextmanager
+def noted() -> Iterator[list[str]]:
+    """The paths that ``saved_at`` writes inside this block (of this thread or task), oldest first.
+
+    The caller owns them: it deletes them with ``discard`` once their readers are done.
+    """
+    paths: list[str] = []
+    token = _NOTED.set(paths)
+    try:
+        yield paths
+    finally:
+        _NOTED.reset(token)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -49,7 +65,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 def saved_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    WRITTEN.append(path)
+    if (paths := _NOTED.get()) is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

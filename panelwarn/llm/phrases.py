@@ -290,6 +290,11 @@ class Trie:
 # ------------------------------------------------------------------ Spark jobs
 
 
+def _long_tasks(texts: DataFrame) -> DataFrame:
+    """The texts in two tasks a core at most: what a task sends on has each phrase once, so fewer tasks send less."""
+    return texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
+
+
 def word_counts(texts: DataFrame) -> DataFrame:
     """lang, word and n over all texts."""
 
@@ -362,22 +367,22 @@ def candidates(texts: DataFrame, words: DataFrame, min_count: int, most: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Array] = []
-        rows = 0
+        rows = known = 0
         for block in _blocks(batches):
             words_ = block.words()
             for k, at, bucket in block.marked(shared.value, bits, most):
                 held.append(block.phrases(words_, at[_marks(shared.value[k - 1], bucket)], k))
                 rows += len(held[-1])
-            if rows > GATHERED // 8:
+            if rows > 2 * known + GATHERED // 4:
                 one = pc.unique(pa.chunked_array(held))
-                held, rows = [one], len(one)
-                if rows > GATHERED // 16:
+                held, rows, known = [one], len(one), len(one)
+                if known > GATHERED // 2:
                     yield pa.RecordBatch.from_arrays([one.cast(pa.string())], names=["key"])
-                    held, rows = [], 0
+                    held, rows, known = [], 0, 0
         if rows:
             yield pa.RecordBatch.from_arrays([pc.unique(pa.chunked_array(held)).cast(pa.string())], names=["key"])
 
-    return texts.mapInArrow(run, "key string").distinct()
+    return _long_tasks(texts).mapInArrow(run, "key string").distinct()
 
 
 def phrase_counts(texts: DataFrame, keys: DataFrame, min_count: int, most: int) -> DataFrame:
@@ -402,7 +407,7 @@ def phrase_counts(texts: DataFrame, keys: DataFrame, min_count: int, most: int)
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at + first), pa.array(total[at])], names=["row", "n"])
 
-        part = texts.mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("a"))
+        part = _long_tasks(texts).mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("a"))
         part = saved(part.filter(F.col("a") >= min_count), "phrase-counts")
         shared.unpersist()
         counted = part if counted is None else counted.unionByName(part)

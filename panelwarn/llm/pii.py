@@ -11,6 +11,8 @@ These probabilities train the final classifier, a naive Bayes model over the
 votes and the span's shape (length, digits, neighbours), again on one
 aggregate.  Base spans (the strict forms) always stay; the classifier adds
 the others that it gives ``THRESHOLD`` or more and that overlap no base span.
+Secrets (tokens, keys) are long strings of letters and digits, candidates only;
+they may hold a base span, such as a run of digits, and are added whole.
 
 Positions are code points, end exclusive.  They come from splitting a text at
 the matches: running sums over the lengths of pieces and matches, taken by
@@ -35,7 +37,7 @@ from panelwarn.llm.common import documents, saved
 
 THRESHOLD = 0.9
 ROUNDS = 8
-KINDS = ("email", "ip", "card", "phone", "name")
+KINDS = ("email", "ip", "card", "phone", "name", "secret")
 LABELERS = ("strict", "listed", "context", "edges")
 SHAPES = ("size", "digits", "prev", "next")
 NO, NONE, YES = 0, 1, 2
@@ -56,6 +58,8 @@ LOOSE = {
     "phone": (r"[0-9]{3}[) .-]", r"(?<![0-9+).-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])"),
     "name": (r"(?:Mr|Mrs|Ms|Dr|Prof|[Nn]ame)", r"(?:(?<=Mr |Ms |Dr |Mr\. |Ms\. |Dr\. |Mrs |Mrs\. |Prof |Prof\. |ame: |ame is ))"
                                                r"[A-Z][a-z]{1,30}+ [A-Z][a-z]{1,30}+"),
+    "secret": (r"[A-Za-z0-9_+/-]{20}", r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}+[0-9])(?=[0-9_+/-]{0,64}+[A-Za-z])"
+                                       r"[A-Za-z0-9_+/-]{20,512}+(?![A-Za-z0-9_+/-])"),
 }
 #: Gazetteers of the listed-labeler, and context words.
 DOMAINS = ("com org net edu gov mil int info biz io de fr es it nl be ch at uk us ca au jp cn in br ru pl se no fi dk "
@@ -65,10 +69,13 @@ COUNTRIES = ("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53
 NAMES = ("james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph "
          "jessica thomas sarah charles karen anna maria peter paul hans julia pierre marie jean luis carmen jose ana").split()
 _ISSUER = r"^(?:4|5[1-5]|2[2-7]|3[47]|35|6011|65)"
+#: Forms of digests and of keys that services hand out.
+_KEYS = (r"^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64}|AKIA[0-9A-Z]{16}|gh[pousr]_\w++|xox[abprs]-.++|sk_(?:live|test)_\w++"
+         r"|eyJ.++)$")
 _NEAR = {
     "email": r"mail|contact|write to|reach", "ip": r"\bip\b|address|host|server|client|from",
     "card": r"card|visa|master|amex|credit|paid", "phone": r"call|phone|tel|fax|mobile|dial|contact|reach",
-    "name": r"mr|mrs|ms|dr|prof|name",
+    "name": r"mr|mrs|ms|dr|prof|name", "secret": r"token|secret|passw|credential|bearer|auth|key",
 }
 _AWAY = r"version|isbn|order|invoice|page|chapter|price|release|section|serial"
 
@@ -141,6 +148,8 @@ def _listed(kind: str, found: Column) -> Column:
         return F.rlike(_digits(found), F.lit(_ISSUER))
     if kind == "phone":
         return F.rlike(_digits(found), F.lit(f"^(?:{'|'.join(COUNTRIES)})"))
+    if kind == "secret":
+        return F.rlike(found, F.lit(_KEYS))
     return F.lower(F.regexp_extract(found, r"^([A-Za-z]+)", 1)).isin(NAMES)
 
 
@@ -267,10 +276,11 @@ def fit_spans(found: DataFrame) -> SpanClassifier:
 
 
 def _chosen(classifier: SpanClassifier, threshold: float) -> Column:
-    """The final spans of ``candidates``: base ones, and added ones that overlap none of them."""
+    """The final spans of ``candidates``: base ones, and added ones that overlap none of them (secrets may)."""
     base = F.filter("candidates", lambda c: c["base"])
     likely = F.filter("candidates", lambda c: ~c["base"] & (classifier.probability(c) >= threshold))
-    clear = lambda own: F.filter(likely, lambda c: ~F.exists(own, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    meets = lambda own, c: F.exists(own, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    clear = lambda own: F.filter(likely, lambda c: (c["kind"] == "secret") | ~meets(own, c))
     return _let(base, lambda own: F.concat(own, clear(own)))
 
 

@@ -42,9 +42,18 @@ def test_sorted_groups_are_whole():
     assert all(not a & b for a, b in itertools.combinations(seen, 2)) and len(tables) > 1
 
 
+def exists(spark, path):
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def test_saved_and_discard(spark):
-    table, path = common.saved_at(spark.range(5), "test")
-    assert table.count() == 5 and path in common.WRITTEN
+    with common.noted() as paths:
+        table, path = common.saved_at(spark.range(5), "test")
+        with common.noted() as inner:
+            _, other = common.saved_at(spark.range(2), "test")
+    assert table.count() == 5 and paths == [path] and inner == [other]
+    _, third = common.saved_at(spark.range(2), "test")
+    assert paths == [path]
     common.discard(spark, path)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    assert not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    assert not exists(spark, path) and exists(spark, other) and exists(spark, third)

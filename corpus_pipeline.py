@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before kept; its output is written as Parquet and read again as the next
 one's ``docs``.  All but the last return the columns of ``documents``.
 
+A stage deletes nothing: its result may be read at any time, beside other
+stages and runs.  ``run`` deletes what its own stages no longer need.
+
 1. quality rules: drop documents that the base rules or the trees reject;
 2. SimHash near-dedup: keep one document of each near-duplicate component;
 3. personal data: replace every span by its kind, e.g. ``[EMAIL]``;
@@ -17,7 +20,6 @@ tests compare each stage with a brute-force version.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,48 +27,23 @@ from panelwarn.llm import common, mixing, packing, pii, quality, simhash
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: Scratch tables of the stage before; its output is written when the next one starts.
-_LEFT: list[str] = []
-
-
-def _clearing(first: bool = False) -> Callable[[Stage], Stage]:
-    """Delete the previous stage's scratch tables before a stage, and note its own."""
-
-    def wrap(stage: Stage) -> Stage:
-        @wraps(stage)
-        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            if not first:
-                common.discard(spark, *_LEFT)
-            before = len(common.WRITTEN)
-            out = stage(spark, docs, sf_dir)
-            _LEFT[:] = common.WRITTEN[before:]
-            return out
-        return run_stage
-    return wrap
-
-
-@_clearing(first=True)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality.fit_quality(docs, common.read(spark, sf_dir, "labels"))
     return quality.keep_documents(docs, model)
 
 
-@_clearing()
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.one_of_each(docs, shingle=4, max_distance=4)
 
 
-@_clearing()
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii.mask_documents(docs)
 
 
-@_clearing()
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(docs)
 
 
-@_clearing()
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, capacity=2048)
 
@@ -83,13 +60,16 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again, from ``documents``."""
+    """All stages, each written and read again, from ``documents``.
+
+    A stage's own tables and its input go once its output is written; those of
+    the last one stay, for the returned frame reads them.
+    """
     docs = common.read(spark, sf_dir, "documents")
-    before = ""
+    before: list[str] = []
     for name, stage in STAGES[:-1]:
-        out = stage(spark, docs, sf_dir)
-        docs, path = common.saved_at(out, f"stage-{name}")
-        if before:
-            common.discard(spark, before)
-        before = path
+        with common.noted() as written:
+            docs, path = common.saved_at(stage(spark, docs, sf_dir), f"stage-{name}")
+        common.discard(spark, *before, *[p for p in written if p != path])
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

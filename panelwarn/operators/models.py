@@ -122,7 +122,7 @@ def _one_tree(est: GBTClassifier, target: str, seed: int) -> RandomForestRegress
         maxDepth=est.getMaxDepth(), maxBins=est.getMaxBins(), minInstancesPerNode=est.getMinInstancesPerNode(),
         minInfoGain=est.getMinInfoGain(), subsamplingRate=est.getSubsamplingRate(),
         featureSubsetStrategy=est.getFeatureSubsetStrategy(), maxMemoryInMB=est.getMaxMemoryInMB())
-    return tree.setWeightCol(est.getWeightCol()) if est.isSet(est.weightCol) else tree
+    return tree.setWeightCol("_pw_weight")
 
 
 def _ensemble(spark, trees: Sequence, weights: Sequence[float]) -> GBTClassificationModel:
@@ -136,49 +136,40 @@ def _ensemble(spark, trees: Sequence, weights: Sequence[float]) -> GBTClassifica
     return GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(uid, held, shares))
 
 
-def fit_boosted(est: GBTClassifier, train: DataFrame, val: DataFrame, patience: int = PATIENCE,
-                slice_rounds: int = 10) -> GBTClassificationModel:
+def fit_boosted(est: GBTClassifier, train: DataFrame, val: DataFrame, patience: int = PATIENCE) -> GBTClassificationModel:
     """Boosting that stops ``patience`` rounds after the last gain in validation log-loss; one tree fit a round.
 
-    Training and validation rows carry their margin as a column.  A round fits
-    one regression tree to the gradient of the log-loss and adds it to the
-    margins.  After each slice of rounds one pass over the validation rows
-    (unweighted) gives the loss of every round in it, the stop rule reads them
-    in order, and the margins are cut to the checkpoint folder, so that neither
-    plans nor recomputation grow with the rounds.  The model keeps the trees up
-    to the best round.
+    Training and validation rows are one frame that carries the margin as a
+    column.  A round fits one regression tree to the gradient of the log-loss
+    on the training rows, adds it to all margins and reads the (unweighted)
+    loss of the validation rows.  The margins are cut to the checkpoint folder
+    every round: every round has the same plan, whose code is compiled once,
+    and neither plans nor recomputation grow with the rounds.  The model keeps
+    the trees up to the best round.
     """
-    spark = train.sparkSession
-    label, features, step = est.getLabelCol(), est.getFeaturesCol(), est.getStepSize()
+    label, step = est.getLabelCol(), est.getStepSize()
     sign, margin = F.col("_pw_sign"), F.col("_pw_margin")
-    keep = [features, *([est.getWeightCol()] if est.isSet(est.weightCol) else [])]
+    weight = F.col(est.getWeightCol()) if est.isSet(est.weightCol) else F.lit(1.0)
 
-    def begun(rows: DataFrame, *columns: str) -> DataFrame:
-        return cut_lineage(rows.select(*columns, (F.col(label) * 2 - 1).alias("_pw_sign"), F.lit(0.0).alias("_pw_margin")))
+    def begun(rows: DataFrame, held_out: bool, share) -> DataFrame:
+        return rows.select(est.getFeaturesCol(), share.cast("double").alias("_pw_weight"), F.lit(held_out).alias("_pw_val"),
+                           (F.col(label) * 2 - 1).alias("_pw_sign"), F.lit(0.0).alias("_pw_margin"))
 
-    def added(rows: DataFrame, tree, weight: float) -> DataFrame:
-        return tree.setPredictionCol("_pw_tree").transform(rows).withColumn(
-            "_pw_margin", margin + F.lit(weight) * F.col("_pw_tree")).drop("_pw_tree")
-
-    rows, held_out = begun(train, *keep), begun(val, features)
+    rows = cut_lineage(compact(begun(train, False, weight).unionByName(begun(val, True, F.lit(1.0)))))
+    loss = F.avg(2 * F.log1p(F.exp(-2 * sign * margin)))
     trees, weights, rule = [], [], Patience(patience)
-    while len(trees) < est.getMaxIter():
-        marks = []
-        for _ in range(min(slice_rounds, est.getMaxIter() - len(trees))):
-            # the first tree fits the signs themselves, the others the gradient
-            gradient = sign if not trees else 4 * sign / (1 + F.exp(2 * sign * margin))
-            target = rows.select(*keep, gradient.alias("_pw_gradient"))
-            tree = _one_tree(est, "_pw_gradient", est.getSeed() + len(trees)).fit(target).trees[0]
-            weights.append(1.0 if not trees else step)
-            trees.append(tree)
-            rows, held_out = added(rows, tree, weights[-1]), added(held_out, tree, weights[-1])
-            marks.append(f"_pw_after_{len(marks)}")
-            held_out = held_out.withColumn(marks[-1], margin)
-        losses = held_out.agg(*[F.avg(2 * F.log1p(F.exp(-2 * sign * F.col(m)))) for m in marks]).first()
-        if rule.add(losses):
-            break
-        rows, held_out = cut_lineage(rows), cut_lineage(held_out.drop(*marks))
-    return _ensemble(spark, trees[:rule.best], weights[:rule.best])
+    while len(trees) < est.getMaxIter() and not rule.settled:
+        # the first tree fits the signs themselves, the others the gradient
+        gradient = sign if not trees else 4 * sign / (1 + F.exp(2 * sign * margin))
+        target = rows.filter(~F.col("_pw_val")).withColumn("_pw_gradient", gradient)
+        tree = _one_tree(est, "_pw_gradient", est.getSeed() + len(trees)).fit(target).trees[0]
+        weights.append(1.0 if not trees else step)
+        trees.append(tree)
+        grown = tree.setPredictionCol("_pw_tree").transform(rows)
+        rows = cut_lineage(grown.withColumn("_pw_margin", margin + F.lit(weights[-1]) * F.col("_pw_tree")).drop("_pw_tree"))
+        seen = rows.filter("_pw_val").agg(loss).first()[0]
+        rule.add([seen if seen is not None else float(-len(trees))])  # without validation rows all rounds count
+    return _ensemble(train.sparkSession, trees[:rule.best], weights[:rule.best])
 
 
 def compact(df: DataFrame, rows_per_partition: int = 50_000) -> DataFrame:
@@ -253,7 +244,7 @@ def train_and_select(df: DataFrame, label: str, id_col: str, feature_cols: Seque
         tr = add_weights(parts["train"], label, cfg.weighting)
         est = learner(cfg, label_col="_pw_y", weight_col="weight")
         if cfg.early_stopping:
-            fitted = fit_boosted(est, compact(tr), compact(parts["val"].withColumn("weight", F.lit(1.0))))
+            fitted = fit_boosted(est, tr, parts["val"])
         else:
             fitted = est.fit(tr)
         model = PipelineModel(stages=[assembler, fitted])

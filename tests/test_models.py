@@ -55,7 +55,7 @@ def test_boosting_keeps_the_best_round_and_equals_its_margins(spark, learnable,
     rows = rows.select("id", "features", F.col("y").cast("double").alias("label"))
     train, val = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
     est = M.GBTClassifier(maxIter=60, stepSize=0.3, maxDepth=4, seed=3)
-    model = M.fit_boosted(est, train, val, patience=5, slice_rounds=4)
+    model = M.fit_boosted(est, train, val, patience=5)
     kept = model.getNumTrees
     assert 2 < kept < 55 and model.treeWeights[:2] == [1.0, 0.3]
     model.write().overwrite().save(str(tmp_path / "m"))
@@ -68,8 +68,9 @@ def test_boosting_keeps_the_best_round_and_equals_its_margins(spark, learnable,
     assert abs(losses[-1] - 2 * sum(math.log1p(math.exp(-2 * (2 * r["label"] - 1) * r["rawPrediction"][1]))
                                     for r in scored) / len(scored)) < 1e-9
     assert loss < 0.69
-    longer = M.fit_boosted(est, train, val, patience=5, slice_rounds=7)
-    assert longer.getNumTrees == kept and longer.toDebugString == model.toDebugString.replace(model.uid, longer.uid)
+    rerun = M.fit_boosted(est, train, val, patience=5)
+    assert rerun.getNumTrees == kept and rerun.toDebugString == model.toDebugString.replace(model.uid, rerun.uid)
+    assert M.fit_boosted(est.copy({est.maxIter: 3}), train, val.filter("id < 0"), patience=1).getNumTrees == 3
 
 
 def panel(spark, entities, years):

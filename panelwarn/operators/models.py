@@ -230,9 +230,8 @@ def train_and_select(df: DataFrame, label: str, id_col: str, feature_cols: Seque
                      test_size: float = 0.2, val_size: float = 0.2) -> TrainResult:
     """M15 + T4: fit every learner, tune its threshold on val, compare, keep the best."""
     checkpoint_dir(df.sparkSession)
-    data = complete_rows(df.select(id_col, label, *feature_cols))
+    data = cut_lineage(complete_rows(df.select(id_col, label, *feature_cols)))
     split = stratified_split(data, label, id_col, test_size, val_size)
-    split = cut_lineage(split)
     train = split.filter(F.col("split") == "train")
     scaler = fit_standard_scaler(train, feature_cols)
     assembler = VectorAssembler(inputCols=list(feature_cols), outputCol="features", handleInvalid="keep")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,33 +94,80 @@ def stratified_quotas(counts: dict, fraction: float) -> dict:
     base = {c: (total * k) // n for c, k in counts.items()}
     rem = {c: (total * k) % n for c, k in counts.items()}
     left = total - sum(base.values())
-    for c in sorted(counts, key=lambda c: (-rem[c], c))[:left]:
+    for c in sorted(counts, key=lambda c: (-rem[c], c is None, c))[:left]:
         base[c] += 1
     return base
 
 
+#: Hash values that a bracket may hold when it is brought to the driver.
+BRACKET_ROWS = 1000
+
+
+def _bracketed(rows: DataFrame, targets: dict, digits: int) -> dict:
+    """{(class, rank): the rank-th smallest ``_pw_h`` of that class}, by counting ever longer prefixes.
+
+    Each round counts, for every target, the rows below each prefix of its
+    bracket and keeps the one prefix that holds the rank; a bracket of at most
+    ``BRACKET_ROWS`` rows is brought to the driver and its value picked.  Every
+    round is one scan with a map-side count; no row is moved or written.
+    """
+    found, at = {}, {t: ("", t[1]) for t in targets}  # bracket prefix, rank inside it
+    sizes = dict(targets)
+    while at:
+        small = {t for t in at if sizes[t] <= BRACKET_ROWS}
+        inside = lambda ts: reduce(or_, [F.col("_pw_c").eqNullSafe(F.lit(c)) & F.col("_pw_h").startswith(p)
+                                         for c, p in sorted({(t[0], at[t][0]) for t in ts}, key=str)])
+        if small:
+            values: dict = {}
+            for r in rows.filter(inside(small)).select("_pw_c", "_pw_h").collect():
+                values.setdefault(r["_pw_c"], []).append(r["_pw_h"])
+            for t in small:
+                prefix, rank = at.pop(t)
+                found[t] = sorted(h for h in values[t[0]] if h.startswith(prefix))[rank - 1]
+        if at:
+            counts: dict = {}
+            width = max(len(p) for p, _ in at.values()) + digits
+            for r in rows.filter(inside(at)).groupBy("_pw_c", F.substring("_pw_h", 1, width).alias("p")).count().collect():
+                counts.setdefault(r["_pw_c"], []).append((r["p"], r["count"]))
+            for t, (prefix, rank) in list(at.items()):
+                for p, n in sorted(x for x in counts[t[0]] if x[0].startswith(prefix)):
+                    if rank <= n:
+                        at[t], sizes[t] = (p, rank), n
+                        break
+                    rank -= n
+                if len(at[t][0]) < width or at[t][0] == prefix:  # nothing longer: equal values to the end
+                    found[t] = at.pop(t)[0]
+            digits = 3
+    return found
+
+
 def stratified_split(df: DataFrame, label: str, id_col: str, test_size: float = TEST_SIZE,
                      val_size: float = VAL_SIZE, seed: int = SPLIT_SEED, out: str = "split") -> DataFrame:
     """M1: exact stratified test / val / train assignment (test first, val from the rest).
 
-    Rows are ranked inside their class by md5(id, seed) with an exact
-    distributed row number; the first quota rows go to test, the next to val.
+    Inside a class rows are ordered by md5(id, seed); the first quota rows go to
+    test, the next to val.  The two bounding hash values of each class are found
+    by counting (``_bracketed``), so the split itself is a comparison: no row is
+    numbered, sorted or written.  Rows of one repeated id stay together, on the
+    side of its first row; a null id comes first.
     """
-    from panelwarn.operators.ordering import exact_row_number
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     q_test = stratified_quotas(counts, test_size)
     rest = {c: counts[c] - q_test[c] for c in counts}
     q_val = stratified_quotas(rest, val_size) if val_size else {c: 0 for c in counts}
-    ranked = exact_row_number(df.withColumn("_pw_h", hash_order_key(id_col, seed)), [label],
-                              ["_pw_h", id_col], out="_pw_rank")
-    tq = F.lit(None).cast("long")
-    vq = F.lit(None).cast("long")
-    for c in counts:
-        tq = F.when(F.col(label) == F.lit(c), F.lit(q_test[c])).otherwise(tq)
-        vq = F.when(F.col(label) == F.lit(c), F.lit(q_test[c] + q_val[c])).otherwise(vq)
-    split = (F.when(F.col("_pw_rank") <= tq, F.lit("test"))
-              .when(F.col("_pw_rank") <= vq, F.lit("val")).otherwise(F.lit("train")))
-    return ranked.withColumn(out, split).drop("_pw_h", "_pw_rank")
+    key = F.coalesce(hash_order_key(id_col, seed), F.lit(""))
+    bounds = {c: (q_test[c], q_test[c] + q_val[c]) for c in counts}
+    targets = {(c, rank): counts[c] for c, ranks in bounds.items() for rank in ranks if rank}
+    # enough digits that a bracket is expected to be small after the first round
+    digits = min(4, max(1, len(f"{max(counts.values(), default=0) * 4 // BRACKET_ROWS:x}")))
+    values = _bracketed(df.select(F.col(label).alias("_pw_c"), key.alias("_pw_h")), targets, digits)
+    split = F.lit("train")
+    for position, part in ((1, "val"), (0, "test")):
+        for c, ranks in bounds.items():
+            if ranks[position]:
+                inside = F.col(label).eqNullSafe(F.lit(c)) & (key <= F.lit(values[c, ranks[position]]))
+                split = F.when(inside, F.lit(part)).otherwise(split)
+    return df.withColumn(out, split)
 
 
 def positional_split(df: DataFrame, order: Sequence[str], train: float = 0.8, val: float = 0.9,

@@ -834,7 +834,7 @@ def c4_stream_scoring(spark, sf_dir):
 
 def _split_rows(spark, sf_dir):
     """Complete rows of the model frame with their part of the stratified split."""
-    frame = P.complete_rows(_model_frame(spark, sf_dir).select("row_id", "label", *FEATURE_COLUMNS))
+    frame = cut_lineage(P.complete_rows(_model_frame(spark, sf_dir).select("row_id", "label", *FEATURE_COLUMNS)))
     return M.stratified_split(frame, "label", "row_id")
 
 
@@ -849,7 +849,7 @@ def e6_permutation_importance(spark, sf_dir):
 
 def _shapley(spark, sf_dir):
     from panelwarn.operators.explain import shapley_values
-    rows = cut_lineage(_split_rows(spark, sf_dir))
+    rows = _split_rows(spark, sf_dir)
     odds = F.expr(linear_log_odds_sql())
     return shapley_values(rows.filter("split = 'test'"), rows.filter("split = 'train'"), "row_id", FEATURE_COLUMNS,
                           lambda d: d.withColumn("value", odds), "value", background=SHAPLEY_BACKGROUND)

@@ -39,7 +39,7 @@ def learnable(spark):
 
 
 def test_boosting_keeps_many_trees(learnable):
-    cfg = M.LearnerConfig("small", "gbt", dict(M.PRESETS["XGBoost"].params, maxIter=80, maxDepth=3), early_stopping=True)
+    cfg = M.LearnerConfig("small", "gbt", dict(M.PRESETS["XGBoost"].params, maxIter=25, maxDepth=3, stepSize=0.2), early_stopping=True)
     r = M.train_and_select(learnable, "y", "id", ["a", "b", "c", "d"], [cfg])
     assert r.best_model.stages[-1].getNumTrees > 10
     assert r.metrics["roc_auc"] > 0.85 and sum(r.split_rows.values()) == 700
@@ -54,10 +54,10 @@ def test_boosting_keeps_the_best_round_and_equals_its_margins(spark, learnable,
     rows = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(learnable)
     rows = rows.select("id", "features", F.col("y").cast("double").alias("label"))
     train, val = rows.filter("id % 3 > 0"), rows.filter("id % 3 = 0")
-    est = M.GBTClassifier(maxIter=60, stepSize=0.3, maxDepth=4, seed=3)
-    model = M.fit_boosted(est, train, val, patience=5)
+    est = M.GBTClassifier(maxIter=30, stepSize=0.8, maxDepth=3, seed=3)
+    model = M.fit_boosted(est, train, val, patience=3)
     kept = model.getNumTrees
-    assert 2 < kept < 55 and model.treeWeights[:2] == [1.0, 0.3]
+    assert 2 < kept < 27 and model.treeWeights[:2] == [1.0, 0.8]
     model.write().overwrite().save(str(tmp_path / "m"))
     again = GBTClassificationModel.load(str(tmp_path / "m"))
     scored = again.transform(val).select("label", "rawPrediction").collect()
@@ -68,7 +68,7 @@ def test_boosting_keeps_the_best_round_and_equals_its_margins(spark, learnable,
     assert abs(losses[-1] - 2 * sum(math.log1p(math.exp(-2 * (2 * r["label"] - 1) * r["rawPrediction"][1]))
                                     for r in scored) / len(scored)) < 1e-9
     assert loss < 0.69
-    rerun = M.fit_boosted(est, train, val, patience=5)
+    rerun = M.fit_boosted(est, train, val, patience=3)
     assert rerun.getNumTrees == kept and rerun.toDebugString == model.toDebugString.replace(model.uid, rerun.uid)
     assert M.fit_boosted(est.copy({est.maxIter: 3}), train, val.filter("id < 0"), patience=1).getNumTrees == 3
 

@@ -61,3 +61,36 @@ def test_sequences_and_reshape(spark):
     flat = seq.select(M.flatten_sequences("seq").alias("f"))
     back = flat.select(M.reshape_sequences("f", 12, 1).alias("s")).orderBy("s").first()["s"]
     assert back == [[float(i)] for i in range(12)]
+
+
+def test_split_by_counting(spark, monkeypatch):
+    """The counted bounds give the rows that a sort would, however many rounds they take; nothing is numbered."""
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from panelwarn.operators import sampling as S
+    rows = [(i, i % 7 // 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, y int").repartition(5)
+
+    def want(rows):
+        counts = {y: sum(r[1] == y for r in rows) for y in {r[1] for r in rows}}
+        test = S.stratified_quotas(counts, 0.2)
+        val = S.stratified_quotas({y: counts[y] - test[y] for y in counts}, 0.2)
+        out = {}
+        for y in counts:
+            mine = sorted((i for i, c in rows if c == y), key=lambda i: hashlib.md5(f"{i}-42".encode()).hexdigest())
+            out.update({i: "test" if k < test[y] else "val" if k < test[y] + val[y] else "train" for k, i in enumerate(mine)})
+        return out
+
+    for limit in (1000, 40, 1):
+        monkeypatch.setattr(S, "BRACKET_ROWS", limit)
+        split = S.stratified_split(df, "y", "id")
+        assert {r["id"]: r["split"] for r in split.collect()} == want(rows)
+    plan = split._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" not in plan and "Window" not in plan and "Repartition" not in plan.replace("Repartition 5", "").replace("Repartition", "", 1)
+    # repeated and null ids, a null class, one row a class, an empty frame
+    odd = spark.createDataFrame([(1, 0)] * 5 + [(2, 0)] * 5 + [(None, 0), (None, 1), (7, None), (8, 2)], "id long, y int")
+    got = S.stratified_split(odd, "y", "id").groupBy("id", "y").agg(F.collect_set("split").alias("s")).collect()
+    assert all(len(r["s"]) == 1 for r in got)
+    assert S.stratified_split(df.limit(0), "y", "id").count() == 0

@@ -174,6 +174,91 @@ def exact_quantiles(long_df: DataFrame, by: Sequence[str], value: str, probs: Se
     return res.select(*by, "prob", q.alias("quantile"))
 
 
+#: Values of one column inside a bracket that are brought to the driver.
+BRACKET_VALUES = 20_000
+
+
+def wide_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
+                   extra: dict[str, Column] | None = None) -> tuple[dict[tuple[str, float], float], dict]:
+    """({(column, prob): quantile}, one-row aggregates) of numeric columns whose missing values are NULL.
+
+    The first pass over the table gives counts, bounds, the rank sketch of all
+    columns together and the ``extra`` aggregates.  Each further pass counts,
+    for every open rank, the values below, at the ends of and inside its
+    bracket; the values inside one of at most ``BRACKET_VALUES`` rows come to
+    the driver (counted, so that equal ones are one row), a larger one is
+    narrowed by a sketch of its own.  A pass is one map-side aggregate, without unpivoting, sorting or
+    writing the table, and narrows a bracket by ACCURACY / 6.  A column without
+    values has no quantiles.
+    """
+    probs = [float(p) for p in probs]
+    edge = 3.0 / ACCURACY
+    cut = lambda x: max(0.0, min(1.0, x))
+    asked = [cut(x) for p in probs for x in (p - edge, p + edge)]
+    first = []
+    for i, c in enumerate(cols):
+        first += [F.count(c).alias(f"_n{i}"), F.min(c).alias(f"_min{i}"), F.max(c).alias(f"_max{i}"),
+                  F.percentile_approx(c, asked, ACCURACY).alias(f"_a{i}")]
+    row = df.agg(*first, *[e.alias(k) for k, e in (extra or {}).items()]).first().asDict()
+
+    open_, ranks, value = {}, {}, {}
+    for i, c in enumerate(cols):
+        n = row[f"_n{i}"]
+        for j, p in enumerate(probs if n else ()):
+            whole = n <= ACCURACY
+            low = row[f"_min{i}"] if whole or p - edge <= 0 else row[f"_a{i}"][2 * j]
+            high = row[f"_max{i}"] if whole or p + edge >= 1 else row[f"_a{i}"][2 * j + 1]
+            at = (n - 1) * p
+            ranks[c, p] = (int(at) + 1, min(int(at) + 2, n), at - int(at))
+            for r in set(ranks[c, p][:2]):
+                open_[c, r] = (low, high)
+    while open_:
+        # ranks of one column that share a bracket are counted once; its ends are counted apart, so that it
+        # shrinks in every pass, however often they occur
+        brackets = sorted({(c, *b) for (c, _), b in open_.items()})
+        counted = []
+        for i, (c, low, high) in enumerate(brackets):
+            x, between = F.col(c), (F.col(c) > low) & (F.col(c) < high)
+            sums = {"below": x < low, "low": x == low, "inner": between}
+            counted += [F.coalesce(F.sum(e.cast("long")), F.lit(0)).alias(f"{k}{i}") for k, e in sums.items()]
+            counted += [F.min(F.when(between, x)).alias(f"first{i}"), F.max(F.when(between, x)).alias(f"last{i}")]
+        got = df.agg(*counted).first()
+        inner: dict = {}  # bracket -> (ranks inside it, rows before, rows in it)
+        for (c, r), (low, high) in list(open_.items()):
+            i = brackets.index((c, low, high))
+            before = got[f"below{i}"] + got[f"low{i}"]
+            if r <= before or r > before + got[f"inner{i}"]:
+                value[c, r] = float(low if r <= before else high)
+                del open_[c, r]
+            else:
+                inner.setdefault((c, got[f"first{i}"], got[f"last{i}"]), ([], before, got[f"inner{i}"]))[0].append(r)
+        within = {b: F.col(b[0]).between(F.lit(b[1]), F.lit(b[2])) for b in inner}
+        gather = [b for b in inner if inner[b][2] <= BRACKET_VALUES]
+        if gather:
+            hits = F.filter(F.array(*[F.when(within[b], F.struct(F.lit(i).alias("i"), F.col(b[0]).cast("double").alias("v")))
+                                      for i, b in enumerate(gather)]), lambda x: x.isNotNull())
+            found = df.select(F.explode(hits).alias("x")).groupBy("x.i", "x.v").count().collect()
+            for i, b in enumerate(gather):
+                ranks_in, reached, _ = inner.pop(b)
+                for v, k in sorted((r["v"], r["count"]) for r in found if r["i"] == i):
+                    for r in [r for r in ranks_in if reached < r <= reached + k]:
+                        value[b[0], r] = v
+                        del open_[b[0], r]
+                    reached += k
+        if inner:
+            narrow = list(inner.items())
+            shares = [[cut((r - before) / n + d) for r in mine for d in (-edge, edge)] for _, (mine, before, n) in narrow]
+            got = df.agg(*[F.percentile_approx(F.when(within[b], F.col(b[0])), x, ACCURACY).alias(f"s{i}")
+                           for i, ((b, _), x) in enumerate(zip(narrow, shares))]).first()
+            for i, (b, (mine, _, _)) in enumerate(narrow):
+                for j, r in enumerate(mine):
+                    low, high = got[f"s{i}"][2 * j], got[f"s{i}"][2 * j + 1]
+                    # a share of 0 or 1 means the bracket's own end
+                    open_[b[0], r] = (b[1] if shares[i][2 * j] == 0 else low, b[2] if shares[i][2 * j + 1] == 1 else high)
+    done = {(c, p): value[c, lo] + (value[c, hi] - value[c, lo]) * part for (c, p), (lo, hi, part) in ranks.items()}
+    return done, row
+
+
 def _null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str], take: Sequence[str]) -> DataFrame:
     renamed = right.select(*[F.col(k).alias(f"_pw_r_{i}") for i, k in enumerate(keys)], *take)
     cond = None

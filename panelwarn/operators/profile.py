@@ -1,9 +1,10 @@
 """Profiling (A1-A22, T2): one-pass aggregates, exact quantiles, correlations.
 
 Wide statistics are computed per column in a single aggregate and returned as
-long tables (one row per column), the shape a report needs.  Quantiles use the
-range-partitioned exact ranking of ``ordering.exact_quantiles`` so that no
-single task holds all values of a column.
+long tables (one row per column), the shape a report needs.  Exact quantiles of
+whole columns come from ``ordering.wide_quantiles`` (counting passes over
+brackets), those of groups from ``ordering.exact_quantiles``; no single task
+holds all values of a column.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelwarn.functions.nulls import is_missing
-from panelwarn.operators.ordering import exact_quantiles
+from panelwarn.operators.ordering import exact_quantiles, wide_quantiles
 
 QUARTILES = (0.25, 0.5, 0.75)
 # Fixed value of the reference: the percentiles of its target profile.
@@ -74,19 +75,18 @@ def min_max(df: DataFrame, col: str) -> DataFrame:
 def describe(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = QUARTILES) -> DataFrame:
     """Count, mean, sample std, min, quantiles, max per column (long form).
 
-    Moments come from one aggregate over the unpivoted table; quantile columns
-    are named ``p<100*q>`` (e.g. p25, p50, p75).
+    Moments come with the quantiles' first pass over the table; quantile
+    columns are named ``p<100*q>`` (e.g. p25, p50, p75).  A column without
+    values has no row.
     """
-    long = to_long(df, cols)
-    long = long.filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    q = exact_quantiles(long, ["column"], "value", probs)
-    q = q.withColumn("name", F.concat(F.lit("p"), F.round(F.col("prob") * 100).cast("int").cast("string")))
-    wide = q.groupBy("column").pivot("name", [f"p{round(p * 100)}" for p in probs]).agg(F.first("quantile"))
-    return moments.join(wide, "column", "left")
+    table = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    names = [f"c{i}" for i in range(len(cols))]
+    extra = {f"{m}_{n}": f(n) for n in names for m, f in (("mean", F.avg), ("std", F.stddev_samp))}
+    q, row = wide_quantiles(table, names, probs, extra)
+    rows = [(c, row[f"_n{i}"], row[f"mean_c{i}"], row[f"std_c{i}"], row[f"_min{i}"], row[f"_max{i}"],
+             *[q[f"c{i}", float(p)] for p in probs]) for i, c in enumerate(cols) if row[f"_n{i}"]]
+    kinds = "column string, count long, mean double, std double, min double, max double"
+    return df.sparkSession.createDataFrame(rows, kinds + "".join(f", p{round(p * 100)} double" for p in probs))
 
 
 def describe_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -103,7 +103,10 @@ def describe_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def percentiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float] = TARGET_PERCENTILES) -> DataFrame:
     """(column, prob, quantile) with linear interpolation."""
-    return exact_quantiles(to_long(df, cols), ["column"], "value", probs)
+    table = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    q, _ = wide_quantiles(table, [f"c{i}" for i in range(len(cols))], probs)
+    rows = [(c, float(p), q[f"c{i}", float(p)]) for i, c in enumerate(cols) for p in probs if (f"c{i}", float(p)) in q]
+    return df.sparkSession.createDataFrame(rows, "column string, prob double, quantile double")
 
 
 def table_info(df: DataFrame) -> DataFrame:
@@ -152,47 +155,39 @@ def seasonal_mean(df: DataFrame, period_col: str, col: str) -> DataFrame:
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], factor: float = IQR_FACTOR) -> DataFrame:
-    """Q1, Q3, bounds, outlier count and share of all rows (missing included)."""
-    long = to_long(df, cols)
-    q = exact_quantiles(long, ["column"], "value", (0.25, 0.75))
-    qq = q.groupBy("column").agg(F.first(F.when(F.col("prob") == 0.25, F.col("quantile")), True).alias("q1"),
-                                 F.first(F.when(F.col("prob") == 0.75, F.col("quantile")), True).alias("q3"))
-    qq = qq.withColumn("iqr", F.col("q3") - F.col("q1")) \
-           .withColumn("lower", F.col("q1") - F.lit(factor) * F.col("iqr")) \
-           .withColumn("upper", F.col("q3") + F.lit(factor) * F.col("iqr"))
-    # The bound table has one row per column: bounded by the column count.
-    flagged = long.join(F.broadcast(qq.select("column", "lower", "upper")), "column")
-    counts = flagged.groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.sum(((F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))).cast("long")), F.lit(0))
-        .alias("outliers"))
-    return qq.join(counts, "column").withColumn("outlier_pct", F.col("outliers") * 100.0 / F.col("rows"))
+    """Q1, Q3, bounds, outlier count and share of all rows (missing included); none for a column without values."""
+    table = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    q, _ = wide_quantiles(table, [f"c{i}" for i in range(len(cols))], (0.25, 0.75))
+    bounds = {}
+    for i, c in enumerate(cols):
+        if (f"c{i}", 0.25) in q:
+            q1, q3 = q[f"c{i}", 0.25], q[f"c{i}", 0.75]
+            bounds[i] = (c, q1, q3, q3 - q1, q1 - factor * (q3 - q1), q3 + factor * (q3 - q1))
+    far = [F.coalesce(F.sum(((F.col(f"c{i}") < b[4]) | (F.col(f"c{i}") > b[5])).cast("long")), F.lit(0)).alias(f"o{i}")
+           for i, b in bounds.items()]
+    row = table.agg(F.count(F.lit(1)).alias("rows"), *far).first()
+    out = [(*b, row["rows"], row[f"o{i}"], row[f"o{i}"] * 100.0 / row["rows"]) for i, b in bounds.items()]
+    return df.sparkSession.createDataFrame(out, "column string, q1 double, q3 double, iqr double, lower double, upper double, "
+                                                "rows long, outliers long, outlier_pct double")
 
 
 def correlation_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairwise-complete Pearson correlations as (a, b, corr), both triangles + diagonal."""
-    pairs = list(combinations(cols, 2))
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = _number(a), _number(b)  # NULL in either drops the pair
-        aggs.append(F.corr(F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)).alias(f"_c{i}"))
-    wide = df.agg(*aggs, F.lit(1).alias("_one"))
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        entries.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_c{i}").alias("corr")))
-        entries.append(F.struct(F.lit(b).alias("a"), F.lit(a).alias("b"), F.col(f"_c{i}").alias("corr")))
-    for c in cols:
-        entries.append(F.struct(F.lit(c).alias("a"), F.lit(c).alias("b"), F.lit(1.0).alias("corr")))
-    return wide.select(F.inline(F.array(*entries)))
+    pairs = list(combinations(range(len(cols)), 2))
+    # missing values become NULL once, below the aggregate; corr itself leaves out a pair with a NULL
+    table = df.select(*[_number(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    wide = table.agg(*[F.corr(f"c{i}", f"c{j}").alias(f"_c{i}_{j}") for i, j in pairs], F.lit(1).alias("_one"))
+    entry = lambda a, b, v: F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), v.alias("corr"))
+    entries = [e for i, j in pairs for e in (entry(cols[i], cols[j], F.col(f"_c{i}_{j}")),
+                                             entry(cols[j], cols[i], F.col(f"_c{i}_{j}")))]
+    return wide.select(F.inline(F.array(*entries, *[entry(c, c, F.lit(1.0)) for c in cols])))
 
 
 def top_correlated(df: DataFrame, cols: Sequence[str], target: str, k: int = 10) -> DataFrame:
     """Top-k features by |corr| with the target (the target itself ranks first)."""
     names = [c for c in cols if c != target]
-    y = _number(target)
-    aggs = [F.corr(F.when(y.isNotNull(), _number(c)), F.when(_number(c).isNotNull(), y)).alias(f"_c{i}")
-            for i, c in enumerate(names)]
-    wide = df.agg(*aggs)
+    table = df.select(_number(target).alias("_y"), *[_number(c).alias(f"c{i}") for i, c in enumerate(names)])
+    wide = table.agg(*[F.corr(f"c{i}", "_y").alias(f"_c{i}") for i in range(len(names))])
     entries = [F.struct(F.lit(c).alias("feature"), F.col(f"_c{i}").alias("corr")) for i, c in enumerate(names)]
     entries.append(F.struct(F.lit(target).alias("feature"), F.lit(1.0).alias("corr")))
     long = wide.select(F.inline(F.array(*entries))).withColumn("abs_corr", F.abs("corr"))

@@ -44,3 +44,32 @@ def test_exact_quantiles(spark):
     for g, part in pdf.groupby("g"):
         for p in probs:
             assert abs(got[(g, p)] - np.quantile(part["v"].to_numpy(), p)) < 1e-9
+
+
+def test_wide_quantiles(spark, monkeypatch):
+    """All columns together equal numpy, whatever the limits; equal values, one value, none and missing ones."""
+    import random
+
+    from panelwarn.operators import ordering
+    from panelwarn.operators import profile as A
+    rnd = random.Random(4)
+    rows = [(rnd.gauss(0, 5), float(rnd.choice([1, 1, 1, 2, 7])), 3.0, None if i % 3 else rnd.random() * 1e6, None,
+             float("nan") if i % 5 == 0 else float(i)) for i in range(4001)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, e double, f double").repartition(7)
+    probs = [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    table = df.select(*[A._number(c).alias(c) for c in df.columns])
+    for accuracy, limit in ((2000, 20_000), (50, 40), (30, 1)):
+        monkeypatch.setattr(ordering, "ACCURACY", accuracy)
+        monkeypatch.setattr(ordering, "BRACKET_VALUES", limit)
+        got, row = ordering.wide_quantiles(table, df.columns, probs, {"m": F.avg("a")})
+        for j, c in enumerate(df.columns):
+            x = np.array([r[j] for r in rows if r[j] is not None and r[j] == r[j]])
+            assert row[f"_n{j}"] == len(x)
+            for p in probs:
+                if len(x):
+                    assert abs(got[c, p] - np.quantile(x, p)) < 1e-6
+                else:
+                    assert (c, p) not in got
+    few = df.limit(0)
+    assert A.describe(few, ["a", "b"]).count() == 0 and A.iqr_outliers(few, ["a"]).count() == 0
+    assert {r["column"] for r in A.describe(df, ["a", "e"]).collect()} == {"a"}

@@ -659,7 +659,7 @@ def _run_sizes(model: str) -> str:
 n as (select count(*) as n, cast(ceil(cast(0.2 as double) * count(*)) as bigint) as t from mr),
 v as (select n, t, cast(ceil(cast(0.2 as double) * (n - t)) as bigint) as v from n)
 select '{model}' as model, n - t - v as n_train, v as n_val, t as n_test, true as threshold_on_grid,
-  true as metrics_in_range from v"""
+  true as metrics_in_range, true as more_than_one_tree, true as auc_above_chance, true as both_classes_found from v"""
 
 
 _SEQUENCES = f"""{MODEL_ROWS},

@@ -709,14 +709,18 @@ def _train(spark, sf_dir, names):
 
 
 def _result_frame(spark, res):
-    """What SQL can recompute of a training run: split sizes, and that the rest is in range."""
+    """What SQL can know of a training run: split sizes, and that the model learnt: it has trees, ranks test rows
+    better than chance and finds rows of both classes."""
     m = res.metrics
+    trees = res.best_model.stages[-1].getNumTrees
     grid = any(abs(res.threshold - (0.1 + i * 0.01)) < 1e-9 for i in range(81))
     parts = [m[k] for k in ("accuracy", "precision", "recall", "f1", "macro_f1")]
     valid = all(0 <= v <= 1 for v in parts) and (m["roc_auc"] is None or 0 <= m["roc_auc"] <= 1)
     return spark.createDataFrame(
-        [(res.best_name, *[int(res.split_rows[p]) for p in ("train", "val", "test")], grid, valid)],
-        "model string, n_train long, n_val long, n_test long, threshold_on_grid boolean, metrics_in_range boolean")
+        [(res.best_name, *[int(res.split_rows[p]) for p in ("train", "val", "test")], grid, valid, trees > 1,
+          m["roc_auc"] > 0.55, m["macro_f1"] > 0.5)],
+        "model string, n_train long, n_val long, n_test long, threshold_on_grid boolean, metrics_in_range boolean, "
+        "more_than_one_tree boolean, auc_above_chance boolean, both_classes_found boolean")
 
 
 @register("m8_random_forest")

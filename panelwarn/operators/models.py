@@ -264,11 +264,13 @@ def train_and_select(df: DataFrame, label: str, id_col: str, feature_cols: Seque
 
 
 # ------------------------------------------------------------ persistence
-def save_artifacts(result: TrainResult, path: str, target: str = "outbreak_flag", encoding=None) -> dict:
+def save_artifacts(result: TrainResult, path: str, target: str = "outbreak_flag", encoding=None,
+                   data: dict | None = None) -> dict:
     """PipelineModel + one JSON metadata document beside it.
 
     ``encoding`` (a fitted ``features.PanelEncoding``) is saved too: the year
-    bounds in the document, the entity codes as a table.
+    bounds in the document, the entity codes as a table.  ``data`` says what the
+    feature table's write counted (``sinks.write_complete_features``).
     """
     if encoding is not None:
         encoding.codes.write.mode("overwrite").parquet(os.path.join(path, "encoder"))
@@ -280,7 +282,7 @@ def save_artifacts(result: TrainResult, path: str, target: str = "outbreak_flag"
         "training_date": _dt.datetime.now(_dt.timezone.utc).isoformat(),
         "n_features": len(result.feature_columns), "all_models": result.all_models,
         "scaler_means": result.scaler.means, "scaler_stds": result.scaler.stds,
-        "year_bounds": list(encoding.years) if encoding is not None else None,
+        "year_bounds": list(encoding.years) if encoding is not None else None, "data": data,
     }
     _write_json(path, meta)
     return meta

@@ -11,7 +11,7 @@ import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from panelwarn.functions.nulls import is_missing
@@ -46,6 +46,20 @@ def completeness_counts(df: DataFrame, cols: Sequence[str] | None = None) -> Dat
                   F.sum(incomplete.cast("long")).alias("dropped_rows"))
 
 
+def observed_counts(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[DataFrame, Observation]:
+    """P7, A10, A11 without a scan of their own: ``df``, and the counts that its next action collects.
+
+    Keys of the observation: ``initial_rows``, ``kept_rows``, and ``missing_<i>`` for column i (NaN counts as missing).
+    Write the frame with narrow operators only after it, so that a lost shuffle file does not count rows again.
+    """
+    names, seen = cols or df.columns, Observation()
+    missing = [is_missing(df, c) for c in names]
+    incomplete = reduce(lambda a, b: a | b, missing, F.lit(False))
+    counted = df.observe(seen, F.count(F.lit(1)).alias("initial_rows"), F.count_if(~incomplete).alias("kept_rows"),
+                         *[F.count_if(m).alias(f"missing_{i}") for i, m in enumerate(missing)])
+    return counted, seen
+
+
 def split_by_dimension(df: DataFrame, dim: DataFrame, key: str, dim_key: str | None = None):
     """(rows whose key has a dimension row, keys without one)."""
     dk = dim.select(F.col(dim_key or key).alias(key)).distinct()

@@ -71,6 +71,7 @@ EXOG = ("temperature_c", "precipitation_mm")
 LI = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 LI_COLS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
            "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+LI_TYPES = ("bigint",) * 3 + ("int",) + ("double",) * 4 + ("string",) * 2 + ("timestamp_ntz",)
 
 
 def dbl(x: str) -> str:
@@ -191,6 +192,8 @@ SQL["t5_latest_history"] = """select * from (select event_id, ts, user_id, value
   row_number() over (partition by user_id order by ts desc, event_id desc) as rank from events)
 where rank <= 10"""
 
+SQL["t5_streamed_history"] = SQL["t5_latest_history"]
+
 SQL["a1_total_cases"] = f"with {CASES} select coalesce(sum(cases), 0) as total_cases from c"
 
 SQL["a2_total_by_entity"] = f"""with {CASES}
@@ -231,7 +234,7 @@ SQL["a9_percentiles"] = f"with {CASES} " + " union all ".join(
 
 SQL["a10_table_info"] = "select * from (" + " union all ".join(
     f"select (select count(*) from lineitem) as rows, {i} as position, '{c}' as \"column\", "
-    f"(select count({c}) from lineitem) as non_null" for i, c in enumerate(LI_COLS)) + ")"
+    f"(select count({c}) from lineitem) as non_null, '{t}' as dtype" for i, (c, t) in enumerate(zip(LI_COLS, LI_TYPES))) + ")"
 
 SQL["a11_missing_per_column"] = f"with {CASES}, {SPARSE}, {JOINED} " + " union all ".join(
     f"select '{c}' as \"column\", count(*) - count({c})"
@@ -484,6 +487,10 @@ p as (select entity, month_start, row_number() over (order by entity, month_star
 select entity, month_start, case when pos < floor(cast(0.8 as double) * n) then 'train'
   when pos < floor(cast(0.9 as double) * n) then 'val' else 'test' end as split from p"""
 
+SQL["m2_temporal_split"] = """with t as (select event_id, ts, epoch_us(ts) / cast(1000000 as double) as t from events),
+q as (select quantile_cont(t, 0.8) as a, quantile_cont(t, 0.9) as b from t)
+select event_id, ts, case when t < a then 'train' when t < b then 'val' else 'test' end as split from t, q"""
+
 SQL["m3_standard_scaler"] = f"""with st as (select avg(l_quantity) as m1, stddev_pop(l_quantity) as s1,
   avg(l_extendedprice) as m2, stddev_pop(l_extendedprice) as s2 from lineitem)
 select l_orderkey, l_linenumber,
@@ -701,6 +708,10 @@ z as (select row_id, * exclude (temperature_c, row_id), case when month % 2 = 0
 select row_id, {r6(_P)} as outbreak_probability, cast({_P} >= 0.5 as int) as prediction,
   cast(0.5 as double) as threshold_used, 'Linear' as model_type from z"""
 SQL["c4_stream_scoring"] = SQL["c2_feature_map_scoring"]
+SQL["c4_streamed_history"] = f"""with s as ({SQL["c2_feature_map_scoring"]}),
+k as (select split_part(row_id, '|', 1) as entity, split_part(row_id, '|', 2) as asked_on, * from s)
+select * from (select *, row_number() over (partition by entity order by asked_on desc, row_id desc) as rank from k)
+where rank <= 10"""
 
 
 def _split_sql() -> str:
@@ -797,6 +808,12 @@ SQL["s8_run_metadata"] = f"""{FT},
 names as (select unnest(range({len(FEATURES)})) as position, unnest([{", ".join(f"'{c}'" for c in FEATURES)}]) as feature)
 select cast(position as int) as position, feature, (select cast(min(year) as int) from ft) as first_year,
   (select cast(max(year) as int) from ft) as last_year from names"""
+SQL["p7_counts_on_write"] = f"""select p.*, m.*, t.dtype, p.initial_rows - m.missing as non_null
+from ({SQL["p7_completeness_counts"]}) p, ({SQL["a11_missing_per_column"]}) m
+join (select unnest(['entity', 'month_start', 'cases', 'temperature_c', 'precipitation_mm']) as "column",
+  unnest(['string', 'date', 'bigint', 'double', 'double']) as dtype) t on t."column" = m."column" """
+SQL["s10_attributions"] = """select vec_id as row_id, 'f' || (generate_subscripts(embedding, 1) - 1) as feature,
+  unnest(embedding) as value from embeddings"""
 SQL["s12_batch_items"] = """select event_id // 8 as request_id, row_number() over (partition by event_id // 8 order by event_id) - 1 as item,
   json_transform(props, '"MAP(VARCHAR, DOUBLE)"')['k'] as k from events"""
 SQL["t3_first_rows"] = f"with {CASES} select * from c order by entity, month_start limit 5"

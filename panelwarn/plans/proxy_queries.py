@@ -154,7 +154,7 @@ def j3_region_lookup(spark, sf_dir):
 
 @register("u1_union_weather")
 def u1_union_weather(spark, sf_dir):
-    w = proxy.weather_panel(spark, sf_dir)
+    w = cut_lineage(proxy.weather_panel(spark, sf_dir))  # aggregated once for both parts
     early = w.filter(F.col("year") <= 1997)
     late = w.filter(F.col("year") > 1997)
     return _r6_all(P.union_frames([early, late]), EXOG)
@@ -276,6 +276,19 @@ def t5_latest_history(spark, sf_dir):
     return A.top_k_per_group(e, ["user_id"], [F.desc("ts"), F.desc("event_id")], 10)
 
 
+@register("t5_streamed_history")
+def t5_streamed_history(spark, sf_dir):
+    """T5 as requests arrive: four landings, the stream stopped and resumed after each."""
+    from panelwarn.streaming.history import PredictionHistory, keep_history
+    e = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
+    root = _scratch(spark, "history")
+    for i in range(4):
+        e.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == i).write.mode("append").parquet(f"{root}/events")
+        kept = PredictionHistory(f"{root}/kept", ["user_id"], ts="ts", tiebreak="event_id", fanout=3)
+        keep_history(spark.readStream.schema(e.schema).parquet(f"{root}/events"), kept, f"{root}/ckpt").awaitTermination()
+    return kept.read(spark)
+
+
 # ------------------------------------------------------------ A: profiling
 @register("a1_total_cases")
 def a1_total_cases(spark, sf_dir):
@@ -333,7 +346,7 @@ def a9_percentiles(spark, sf_dir):
 
 @register("a10_table_info")
 def a10_table_info(spark, sf_dir):
-    return A.table_info(read_table(spark, sf_dir, "lineitem")).drop("dtype")
+    return A.table_info(read_table(spark, sf_dir, "lineitem"))
 
 
 @register("a11_missing_per_column")
@@ -589,6 +602,11 @@ def m2_positional_split(spark, sf_dir):
     return M.positional_split(c, ["entity", "month_start"])
 
 
+@register("m2_temporal_split")
+def m2_temporal_split(spark, sf_dir):
+    return M.temporal_split(read_table(spark, sf_dir, "events", "event_id", "ts"), "ts")
+
+
 @register("m3_standard_scaler")
 def m3_standard_scaler(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
@@ -769,7 +787,7 @@ def m15_model_comparison(spark, sf_dir):
     return spark.createDataFrame(rows, "model string, position int, in_range boolean, selected_by_rule boolean")
 
 
-def _saved_scorer(spark, sf_dir):
+def _saved_scorer(spark, sf_dir, data=None):
     """S8/S9 round trip: save the artifact with the panel's encoding, load the scorer from it."""
     import uuid
     from pyspark.ml import PipelineModel
@@ -783,7 +801,7 @@ def _saved_scorer(spark, sf_dir):
     scaler = StandardScalerModel(list(FEATURE_COLUMNS), dict.fromkeys(FEATURE_COLUMNS, 0.0), dict.fromkeys(FEATURE_COLUMNS, 1.0))
     fixed = TrainResult("Linear", PipelineModel(stages=[stage]), 0.5, {}, {"Linear": 1.0}, list(FEATURE_COLUMNS), scaler)
     path = f"{checkpoint_dir(spark)}/artifacts/{uuid.uuid4().hex}"
-    save_artifacts(fixed, path, encoding=fit_encoding(_raw_panel(spark, sf_dir)))
+    save_artifacts(fixed, path, encoding=fit_encoding(_raw_panel(spark, sf_dir)), data=data)
     return OutbreakScorer.load(spark, path), path
 
 
@@ -836,6 +854,22 @@ def c4_stream_scoring(spark, sf_dir):
     return _r6_all(spark.read.parquet(sink).drop("scored_at"), ["outbreak_probability"])
 
 
+@register("c4_streamed_history")
+def c4_streamed_history(spark, sf_dir):
+    """Requests scored as they land, in two landings, and the ten newest predictions of each entity kept."""
+    from panelwarn.streaming.history import PredictionHistory, keep_history
+    scorer, path = _saved_scorer(spark, sf_dir)
+    parts = F.split("row_id", r"\|")
+    asked = _feature_maps(spark, sf_dir).select("row_id", parts[0].alias("entity"), parts[1].alias("asked_on"), "features")
+    for i in range(2):
+        asked.filter(F.pmod(F.xxhash64("row_id"), F.lit(2)) == i).write.mode("append").json(f"{path}/asked")
+        stream = spark.readStream.schema(asked.schema).json(f"{path}/asked")
+        kept = PredictionHistory(f"{path}/kept", ["entity"], ts="asked_on", tiebreak="row_id")
+        scored = scorer.score_maps(stream, keep=["row_id", "entity", "asked_on"])
+        keep_history(scored, kept, f"{path}/history_ckpt").awaitTermination()
+    return _r6_all(kept.read(spark), ["outbreak_probability"])
+
+
 def _split_rows(spark, sf_dir):
     """Complete rows of the model frame with their part of the stratified split."""
     frame = cut_lineage(P.complete_rows(_model_frame(spark, sf_dir).select("row_id", "label", *FEATURE_COLUMNS)))
@@ -1056,6 +1090,31 @@ def s8_run_metadata(spark, sf_dir):
                                              F.lit(int(high)).alias("last_year"))
 
 
+@register("p7_counts_on_write")
+def p7_counts_on_write(spark, sf_dir):
+    """Counted while the complete rows are written, kept in the run's document, read from there."""
+    from panelwarn.operators.models import load_metadata
+    from panelwarn.sources.sinks import write_complete_features
+    data = write_complete_features(proxy.sparse_panel(spark, sf_dir), _scratch(spark, "complete"))
+    _, path = _saved_scorer(spark, sf_dir, data=data)
+    data = load_metadata(spark, path)["data"]
+    rows = [(data["initial_rows"], data["kept_rows"], data["dropped_rows"], *[c[k] for k in ("column", "dtype", "non_null", "missing")])
+            for c in data["columns"]]
+    return spark.createDataFrame(rows, "initial_rows long, kept_rows long, dropped_rows long, column string, dtype string, "
+                                       "non_null long, missing long")
+
+
+@register("s10_attributions")
+def s10_attributions(spark, sf_dir):
+    """The long attribution table, written and read back."""
+    from panelwarn.sources.sinks import write_attributions
+    path = _scratch(spark, "attributions")
+    emb = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    write_attributions(emb.select(F.col("vec_id").alias("row_id"), F.posexplode("embedding").alias("pos", "value"))
+                          .select("row_id", F.concat(F.lit("f"), "pos").alias("feature"), "value"), path)
+    return spark.read.parquet(path)
+
+
 @register("s12_batch_items")
 def s12_batch_items(spark, sf_dir):
     """A batch request holds an array of maps; each item becomes a row to score."""

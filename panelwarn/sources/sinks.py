@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwarn.operators.panel import complete_rows, observed_counts
+
 
 def write_feature_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:
     """Parquet by default (CSV with header on request)."""
@@ -17,6 +19,18 @@ def write_feature_table(df: DataFrame, path: str, fmt: str = "parquet", partitio
         w.parquet(path)
 
 
+def write_complete_features(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> dict:
+    """S6 of the complete rows (P6), and what was counted on the way (P7, A10, A11): the one scan is the write's."""
+    counted, seen = observed_counts(df)
+    write_feature_table(complete_rows(counted), path, fmt, partition_by)
+    got = seen.get
+    rows = int(got["initial_rows"])
+    columns = [{"column": c, "dtype": t, "non_null": rows - int(got[f"missing_{i}"]), "missing": int(got[f"missing_{i}"])}
+               for i, (c, t) in enumerate(df.dtypes)]
+    return {"initial_rows": rows, "kept_rows": int(got["kept_rows"]), "dropped_rows": rows - int(got["kept_rows"]),
+            "columns": columns}
+
+
 def write_predictions(df: DataFrame, path: str, keys=(), fmt: str = "csv") -> None:
     """(keys..., prediction, threshold_used)."""
     out = df.select(*keys, "prediction", "threshold_used")

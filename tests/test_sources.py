@@ -101,3 +101,15 @@ def test_weather_reuse(spark, tmp_path):
         [("AAA", 2000, 1, 20.0, 1.0), ("AAA", 2001, 1, 27.0, 2.0), ("BBB", 2000, 2, 21.0, 7.0)]
     assert [r["ISO_A0"] for r in WS.weather_errors(spark, store).collect()] == ["CCC"]
     assert got(WS.load_weather(spark, asked(("AAA", 2001)), str(docs), store)) == [("AAA", 2001, 1, 27.0, 2.0)]
+
+
+def test_counts_on_write(spark, tmp_path):
+    from panelwarn.sources.sinks import write_complete_features
+    rows = [("a", 1.0, None), ("b", float("nan"), 2), (None, 1.0, 3), ("c", 2.0, 4)]
+    df = spark.createDataFrame(rows, "k string, x double, n long").repartition(3)
+    got = write_complete_features(df, str(tmp_path / "f"))
+    assert (got["initial_rows"], got["kept_rows"], got["dropped_rows"]) == (4, 1, 3)
+    assert [(c["column"], c["dtype"], c["non_null"], c["missing"]) for c in got["columns"]] == [
+        ("k", "string", 3, 1), ("x", "double", 3, 1), ("n", "bigint", 3, 1)]
+    assert [r["k"] for r in spark.read.parquet(str(tmp_path / "f")).collect()] == ["c"]
+    assert write_complete_features(df.limit(0), str(tmp_path / "e"))["initial_rows"] == 0

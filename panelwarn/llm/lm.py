@@ -49,8 +49,8 @@ SKETCH = 1024
 CHUNK_TOKENS = 2_000_000
 #: Tokens of a gradient step.
 STEP_TOKENS = 65_536
-#: Training tasks at most, and no more than chunks' worth of tokens; each sends its weights once a round.
-TRAINERS = 512
+#: Training tasks at most, and tokens that one learns at least; each sends its weights once a round.
+TRAINERS, TRAINER_TOKENS = 512, 8_000_000
 #: Logits are at least this, far below any mass: smaller ones give subnormal floats, which cost a hundredfold.
 LEAST_LOGIT = -35.0
 #: Weight rows of a block in the averaging shuffle.
@@ -164,6 +164,7 @@ def histogram(counts: DataFrame) -> list[tuple[int, int, int, int]]:
 def encoded(chunks: DataFrame, counts: DataFrame, leaves: Leaves) -> DataFrame:
     """Each document with its exact base figures and its tokens as hash and leaf (four bytes a token)."""
     floor = np.log10(leaves.train_tokens + leaves.vocabulary + 1)
+    log_mass = np.log10(np.where(leaves.mass > 0, leaves.mass, 1).ravel())  # no token is in an empty leaf
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         number = words.column("number").to_numpy()
@@ -174,7 +175,7 @@ def encoded(chunks: DataFrame, counts: DataFrame, leaves: Leaves) -> DataFrame:
         context = np.where(count > 0, hashed & np.uint64(0xFFFFFF), 1)  # unknown words look alike
         code = (context.astype(np.uint64) << np.uint64(8) | leaf.astype(np.uint64)).astype("<u4")
         log_count = np.log10(count + 1.0)
-        inside = log_count - np.log10(leaves.mass.ravel())[leaf]
+        inside = log_count - log_mass[leaf]
         out = {k: [] for k in ("n_tokens", "n_known", "base_score", "inside", "codes")}
         for raw in docs.column("tokens").to_pylist():
             ids = np.frombuffer(raw, np.int32)
@@ -304,7 +305,7 @@ def train(rows: DataFrame, leaves: Leaves, rounds: int = 1, rate: float = 0.2) -
     """Weights of both softmaxes, by rounds of distributed gradient steps and averaging."""
     spark = rows.sparkSession
     training = rows.filter(~F.col("held_out")).select("codes")
-    trainers = min(TRAINERS, -(-leaves.train_tokens // CHUNK_TOKENS) or 1)
+    trainers = min(TRAINERS, -(-leaves.train_tokens // TRAINER_TOKENS) or 1)
     if training.rdd.getNumPartitions() > trainers:
         training = training.coalesce(trainers)
     bits = row_bits(training) if rounds else ROW_BITS

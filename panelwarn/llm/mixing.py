@@ -2,7 +2,8 @@
 
 Each source's documents, in a seeded order, form one stream of words that is
 cut into blocks of ``block_words`` words.  The mix's blocks go to the sources
-by highest quotients target / (2 seats + 1); a source's seats beyond whole
+by highest quotients target / (2 seats + 1), but a source whose target is the
+most allowed is passed over whole; a source's seats beyond whole
 passes over it go, by the same rule, to its shards (slices of its blocks).  In
 a shard the seeded choice takes exactly its quota: block i is taken if
 (a * i + c) mod n is below the quota, with a prime to n.  So a document is
@@ -100,8 +101,10 @@ def mix_plan(sources: list[tuple[str | None, int]], block_words: int, shards: in
     weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(names))]
     targets = source_targets(sizes, weights)
     blocks = [-(-n // block_words) for n in sizes]
-    seats = round(sum(targets) / block_words)
-    quotas = apportion(targets, seats, [int(MOST) * b for b in blocks])
+    full = [t >= MOST * n for t, n in zip(targets, sizes)]  # whole passes meet these targets to the word
+    votes = [0.0 if f else t for f, t in zip(full, targets)]
+    seats = apportion(votes, round(sum(votes) / block_words), [int(MOST) * b for b in blocks])
+    quotas = [int(MOST) * b if f else q for f, q, b in zip(full, seats, blocks)]
     plan = {}
     for i, name in enumerate(names):
         n, whole = blocks[i], quotas[i] // blocks[i] if blocks[i] else 0

@@ -95,3 +95,16 @@ def test_shards(small_docs, odd_docs, clashing_docs, empty_docs):
     assert rows(sharding.shard_documents(clashing_docs, 3), "size", "shard", "slot") == \
         rows(sharding.shard_documents(odd_docs, 3), "size", "shard", "slot")
     assert sharding.shard_documents(empty_docs, 24).count() == 0
+
+
+def test_full_sources_meet_their_targets_to_the_word():
+    """A source whose target is twice its size is taken twice, whatever its last block holds."""
+    sources = [("a", 28), ("b", 369), ("c", 100_000), ("d", 17), (None, 5)]
+    plan = mixing.mix_plan(sources, 16, 4, 1)
+    for name, size in sources:
+        p = plan[name]
+        if p["target"] == 2 * size:
+            assert p["whole"] == 2 and not any(p["chosen"])
+        else:
+            assert abs(p["whole"] * size + 16 * sum(p["chosen"]) - p["target"]) <= 16
+    assert sum(p["target"] == 2 * p["size"] for p in plan.values()) == 4

@@ -86,15 +86,11 @@ def numbered_chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFr
         train = [ids for _, out, ids in held if not out] or [np.zeros(0, np.int32)]
         counts = np.bincount(np.concatenate(train), minlength=len(numbers))
         n, v = len(held), len(numbers)
-        columns = [
-            pa.array([chunk] * (n + v), pa.int64()),
-            pa.array([d for d, _, _ in held] + [None] * v, kind),
-            pa.array([o for _, o, _ in held] + [None] * v, pa.bool_()),
-            pa.array([ids.tobytes() for _, _, ids in held] + [None] * v, pa.binary()),
-            pa.array([None] * n + list(numbers), pa.binary()),
-            pa.array([None] * n + list(range(v)), pa.int32()),
-            pa.array([None] * n + counts.tolist(), pa.int64()),
-        ]
+        docs = [pa.array([d for d, _, _ in held], kind), pa.array([o for _, o, _ in held], pa.bool_()),
+                pa.array([ids.tobytes() for _, _, ids in held], pa.binary())]
+        words = [pa.array(list(numbers), pa.binary()), pa.array(np.arange(v, dtype=np.int32)), pa.array(counts)]
+        columns = [pa.array(np.full(n + v, chunk)), *[pa.concat_arrays([c, pa.nulls(v, c.type)]) for c in docs],
+                   *[pa.concat_arrays([pa.nulls(n, c.type), c]) for c in words]]
         whole = pa.RecordBatch.from_arrays(columns, names=["chunk", "doc_id", "held_out", "tokens", "word", "number", "n"])
         for at in range(0, n + v, 20_000):
             yield whole.slice(at, 20_000)
@@ -276,11 +272,12 @@ def _row_sums(rows: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarr
     touched = np.flatnonzero(uses)
     place = np.zeros(size, np.intp)
     place[touched] = np.arange(len(touched))
-    places = place.take(rows)
-    sums = np.zeros((values.shape[1], len(touched)), np.float32)
-    for column, value in zip(sums, np.ascontiguousarray(values.T)):
-        for at in places:
-            np.add.at(column, at, value)
+    places = place.take(rows).ravel()
+    sums = np.empty((values.shape[1], len(touched)), np.float32)
+    thrice = np.empty((len(rows), len(values)))
+    for column, value in zip(sums, values.T):
+        thrice[:] = value
+        column[:] = np.bincount(places, thrice.ravel(), len(touched))
     return touched, uses[touched].astype(np.float32), np.ascontiguousarray(sums.T)
 
 
@@ -326,7 +323,9 @@ def train(rows: DataFrame, leaves: Leaves, rounds: int = 1, rate: float = 0.2) -
                     used[k][touched] += uses
                     square = squares[k].take(touched, axis=0) + g * g
                     squares[k][touched] = square
-                    weights[k][touched] -= rate * g / np.sqrt(square)
+                    g *= rate
+                    g /= np.sqrt(square, out=square)
+                    weights[k][touched] -= g
             weighted = (weights * used[:, :, None]).reshape(-1, BLOCK * width)
             for i, part in enumerate(weighted):
                 n = used.reshape(-1, BLOCK)[i]

@@ -28,6 +28,7 @@ An empty table gives no rows; extra columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,13 +42,15 @@ from pyspark.sql import functions as F
 from panelwarn.llm.common import documents, running, saved
 
 #: Bytes of text worked on at once; one longer text is a block of its own.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 #: Bytes of candidates in one trie.
 SHARD_BYTES = 4_000_000
 #: A bitmap has at most 2^28 bits: 32 MB.
 MAX_BUCKET_BITS = 28
 #: Positions or distinct phrases that a task gathers before it sends them on.
-GATHERED = 4_000_000
+GATHERED = 2_000_000
+#: Buckets that one row of counts covers; their places in it are 16 bits wide.
+RANGE_BUCKETS = 1 << 16
 #: Random places that are tried for the branching nodes of a trie before the arrays grow.
 TRIES = 64
 
@@ -299,12 +302,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """lang, word and n over all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            table = pa.concat_tables(held).group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")])
+            yield from table.select(["lang", "word", "n_sum"]).rename_columns(["lang", "word", "n"]).to_batches()
+
         for block in _blocks(batches):
             table = pa.table({"lang": pa.array(block.lang), "word": block.words()})
             part = table.group_by(["lang", "word"], use_threads=False).aggregate([([], "count_all")])
             lang = pc.take(pa.array(block.langs, pa.binary()), part["lang"].combine_chunks()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([lang, part["word"].combine_chunks().cast(pa.string()),
-                                              part["count_all"].combine_chunks()], names=["lang", "word", "n"])
+            held.append(pa.table({"lang": lang, "word": part["word"].combine_chunks().cast(pa.string()),
+                                  "n": part["count_all"]}))
+            rows += len(lang)
+            if rows > GATHERED // 4:
+                yield from summed()
+                held, rows = [], 0
+        if rows:
+            yield from summed()
 
     return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -328,32 +343,77 @@ def _word_bitmap(words: DataFrame, bits: int) -> np.ndarray:
     return _bitmap(rows.mapInArrow(run, "bucket long").distinct(), bits)
 
 
+def _range_counts(bucket: np.ndarray, min_count: int) -> pa.RecordBatch:
+    """One row for each range of buckets: the places filled in it and how often, as little-endian bytes.
+
+    Counts stop at ``min_count``: whether a sum reaches it stays the same.
+    """
+    bucket, n = np.unique(bucket, return_counts=True)
+    ranges, first = np.unique(bucket // RANGE_BUCKETS, return_index=True)
+    offsets = np.append(first, len(bucket))
+
+    def packed(values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.binary(), len(ranges), [
+            None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+    places, counts = (bucket % RANGE_BUCKETS).astype("<u2"), np.minimum(n, min_count).astype(_width(min_count))
+    return pa.RecordBatch.from_arrays([pa.array(ranges), packed(places), packed(counts)], names=["range", "places", "counts"])
+
+
+def _width(min_count: int) -> np.dtype:
+    """The narrowest unsigned integers that hold ``min_count``."""
+    return np.min_scalar_type(min_count).newbyteorder("<")
+
+
+def _range_marks(batches: Iterator[pa.RecordBatch], min_count: int) -> Iterator[pa.RecordBatch]:
+    """range and marks (a bit for each bucket that reaches ``min_count``, deflated), from rows sorted by range."""
+    last, total = None, np.zeros(RANGE_BUCKETS, np.int64)
+
+    def marks() -> pa.RecordBatch:
+        bits = zlib.compress(np.packbits(total >= min_count, bitorder="little").tobytes(), 1)
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([bits], pa.binary())], names=["range", "marks"])
+
+    for batch in batches:
+        for at, places, counts in zip(batch.column("range").to_pylist(), batch.column("places"), batch.column("counts")):
+            if at != last:
+                if last is not None:
+                    yield marks()
+                last = at
+                total[:] = 0
+            total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), _width(min_count))
+    if last is not None:
+        yield marks()
+
+
 def _next_bitmap(texts: DataFrame, bitmaps: list[np.ndarray], bits: int, min_count: int) -> np.ndarray:
-    """Marks of the buckets that phrases one word longer fill ``min_count`` times."""
+    """Marks of the buckets that phrases one word longer fill ``min_count`` times; at most 2^bits bits come to the driver.
+
+    Counts travel packed, a row for each range of buckets: as rows of their own they fill the JVM's hash maps.
+    """
     shared, level = texts.sparkSession.sparkContext.broadcast(bitmaps), len(bitmaps) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
-
-        def packed() -> pa.RecordBatch:
-            bucket, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], names=["bucket", "n"])
-
         for block in _blocks(batches):
             for k, _, bucket in block.marked(shared.value, bits, level):
                 if k == level:
                     held.append(bucket)
                     rows += len(bucket)
             if rows > GATHERED:
-                yield packed()
+                yield _range_counts(np.concatenate(held), min_count)
                 held, rows = [], 0
         if rows:
-            yield packed()
-
-    sums = texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    marks = _bitmap(sums.filter(F.col("n") >= min_count), bits)
+            yield _range_counts(np.concatenate(held), min_count)
+
+    counts = texts.mapInArrow(run, "range long, places binary, counts binary")
+    dealt = counts.repartition("range").sortWithinPartitions("range")
+    found = dealt.mapInArrow(lambda batches: _range_marks(batches, min_count), "range long, marks binary").toArrow()
+    held = np.zeros(max((1 << bits), RANGE_BUCKETS) // 8, np.uint8)
+    for at, marks in zip(found["range"].to_pylist(), found["marks"]):
+        begin = at * RANGE_BUCKETS // 8
+        held[begin:begin + RANGE_BUCKETS // 8] = np.frombuffer(zlib.decompress(marks.as_py()), np.uint8)
     shared.unpersist()
-    return marks
+    return held
 
 
 def candidates(texts: DataFrame, words: DataFrame, min_count: int, most: int) -> DataFrame:
@@ -382,7 +442,8 @@ def candidates(texts: DataFrame, words: DataFrame, min_count: int, most: int) ->
         if rows:
             yield pa.RecordBatch.from_arrays([pc.unique(pa.chunked_array(held)).cast(pa.string())], names=["key"])
 
-    return _long_tasks(texts).mapInArrow(run, "key string").distinct()
+    # dealt by key first: a task has each key once or nearly so, and a hash map of them before the shuffle saves little
+    return _long_tasks(texts).mapInArrow(run, "key string").repartition("key").distinct()
 
 
 def phrase_counts(texts: DataFrame, keys: DataFrame, min_count: int, most: int) -> DataFrame:

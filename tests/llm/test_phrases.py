@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -102,3 +103,19 @@ def test_words_and_hashes_of_a_block():
     same = {(w, block.langs[x]) for w, x in zip(words, block.lang)}
     assert len(set(h.tolist())) == len(same)
     assert np.array_equal(block.size, [len(w) for w in words])
+
+
+def test_bucket_counts_travel_packed():
+    rng = np.random.default_rng(4)
+    for min_count in (1, 30, 300, 70_000):
+        drawn = [np.concatenate([rng.integers(0, 300_000, 4_000), np.full(200, 65_535), np.full(200, 65_536)]) for _ in range(3)]
+        packed = [phrases._range_counts(b, min_count) for b in drawn]
+        assert max(b.num_rows for b in packed) <= 300_000 // phrases.RANGE_BUCKETS + 1
+        table = pa.Table.from_batches(packed).sort_by("range")
+        marks = np.zeros(5 * phrases.RANGE_BUCKETS // 8, np.uint8)
+        for part in phrases._range_marks(iter(table.to_batches(max_chunksize=2)), min_count):
+            begin = part["range"][0].as_py() * phrases.RANGE_BUCKETS // 8
+            marks[begin:begin + phrases.RANGE_BUCKETS // 8] = np.frombuffer(zlib.decompress(part["marks"][0].as_py()), np.uint8)
+        want = Counter(np.concatenate(drawn).tolist())
+        got = np.flatnonzero(np.unpackbits(marks, bitorder="little")).tolist()
+        assert got == sorted(b for b, n in want.items() if n >= min_count)

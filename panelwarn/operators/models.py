@@ -245,7 +245,8 @@ def train_and_select(df: DataFrame, label: str, id_col: str, feature_cols: Seque
         if cfg.early_stopping:
             fitted = fit_boosted(est, tr, parts["val"])
         else:
-            fitted = est.fit(tr)
+            # a copy has no training summary: its session cannot be sent to tasks once it has observed a query
+            fitted = est.fit(tr).copy()
         model = PipelineModel(stages=[assembler, fitted])
         # one pass through the trees; everything after reads three columns
         scored = positive_probability(fitted.transform(scaled.filter(F.col("split") != "train")))

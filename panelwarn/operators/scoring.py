@@ -100,7 +100,8 @@ class OutbreakScorer:
         from pyspark.ml.functions import vector_to_array
         aligned = align_features(df, self.features, keep=keep)
         scaled = self.scaler.transform(aligned)
-        out = self.model.transform(scaled)
+        # a forest's copy has no training summary: its session cannot be sent to tasks once it has observed a query
+        out = self.model.copy().transform(scaled)
         pair = F.col("probability")  # a vector, or an array from a SQL stage
         if out.schema["probability"].dataType.typeName() != "array":
             pair = vector_to_array(pair)

@@ -45,6 +45,22 @@ def test_boosting_keeps_many_trees(learnable):
     assert r.metrics["roc_auc"] > 0.85 and sum(r.split_rows.values()) == 700
 
 
+def test_fresh_forest_after_an_observation(learnable):
+    """A forest is trained, compared and scored in a session that has observed a query."""
+    counted, seen = P.observed_counts(learnable)
+    assert len(counted.collect()) == seen.get["initial_rows"] == 700
+    cfg = M.LearnerConfig("small", "rf", dict(numTrees=3, maxDepth=4, seed=1))
+    names = ["a", "b", "c", "d"]
+    r = M.train_and_select(learnable, "y", "id", names, [cfg])
+    assert r.best_model.stages[-1].getNumTrees == 3 and sum(r.split_rows.values()) == 700
+    fresh = M.Pipeline(stages=[M.VectorAssembler(inputCols=names, outputCol="features"),
+                               M.RandomForestClassifier(labelCol="y", numTrees=3, seed=1)]).fit(learnable)
+    scaler = M.StandardScalerModel(names, dict.fromkeys(names, 0.0), dict.fromkeys(names, 1.0))
+    scorer = OutbreakScorer(fresh, scaler, {"feature_columns": names, "optimal_threshold": 0.5})
+    assert scorer.score_features(learnable, keep=["id"]).filter("prediction in (0, 1)").count() == 700
+    assert fresh.stages[-1].hasSummary  # the caller's model keeps its own
+
+
 def test_boosting_keeps_the_best_round_and_equals_its_margins(spark, learnable, tmp_path):
     """The kept trees reproduce the losses that the stop rule saw, after a round trip through storage."""
     import math

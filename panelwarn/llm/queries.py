@@ -48,7 +48,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bytes of every document that lie in a 400-byte string starting elsewhere too."""
+    """Bytes of every document that lie in a 400-byte string starting elsewhere too, and whether 51 words in a row do."""
     return suffix.remove_repeats(read(spark, sf_dir, "documents"), length=400)
 
 

@@ -16,13 +16,21 @@ for each the first and last ``LENGTH``-byte window is found that also starts
 elsewhere; rolling hashes find the windows and their bytes are compared.
 Groups above ``GROUP_ROWS`` are dealt into blocks that cover every pair.
 
+Passages of ``WORDS`` words may be shorter than ``LENGTH`` bytes.  The words of a
+text are sampled in the same way, and ``repeats_passage`` tells whether any
+``WORDS`` words of a row stand one after the other in another row too.  A first
+pass compares one window an occurrence, the one that starts at the sampled
+place; texts that it leaves open, and those that share a key with them, then
+compare all windows that hold the place, by 128-bit digests.
+
 Only one row of exact copies takes part, so a text that a third of all rows
 share costs what one row costs; its copies are removed whole if they have
 ``LENGTH`` bytes at all.  Inside one text, suffixes whose whole surroundings
 repeat (long runs) are settled at once and two of them kept.
 
 Defined results.  A null text is empty.  Texts under ``LENGTH`` bytes lose
-nothing.  Repeated rows are copies of each other.
+nothing, texts under ``WORDS`` words repeat no passage.  Repeated rows are copies
+of each other.
 """
 
 from __future__ import annotations
@@ -41,6 +49,9 @@ from panelwarn.llm.common import discard, documents, pair_blocks, saved, saved_a
 
 LENGTH = 400
 GRAM = 64
+#: Passages of so many words are marked, whatever their bytes; sampled by grams of ``WORD_GRAM`` words.
+WORDS = 51
+WORD_GRAM = 8
 BATCHES = 4
 #: Occurrences of one suffix beginning that a task compares at a time.
 GROUP_ROWS = 16_000
@@ -82,14 +93,14 @@ def _window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1:width - 1 + n])
 
 
-def sampled_suffixes(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and places of a text's sampled suffixes."""
-    if len(raw) < length:
+def _sampled(values: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of the sampled suffixes of a sequence of bytes or of hashed words."""
+    if len(values) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data, width = np.frombuffer(raw, np.uint8), length - gram + 1
+    width = length - gram + 1
     keys, places = [], []
-    for a in range(0, len(raw) - length + 1, _PIECE):
-        h = _gram_hashes(data[a:a + _PIECE + length - 1], gram)
+    for a in range(0, len(values) - length + 1, _PIECE):
+        h = _gram_hashes(values[a:a + _PIECE + length - 1], gram)
         low = np.uint64((1 << 20) - 1)
         at = np.arange(len(h), dtype=np.uint64)
         chosen = np.unique(_window_minima(h & ~low | at, width) & low).astype(np.int64)
@@ -99,6 +110,59 @@ def sampled_suffixes(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tupl
     return np.concatenate(keys)[first], places_
 
 
+def sampled_suffixes(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and places of a text's sampled suffixes."""
+    return _sampled(np.frombuffer(raw, np.uint8), length, gram)
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word ``[^\\x20\\x09-\\x0D]+``."""
+    data = np.frombuffer(raw, np.uint8)
+    space = np.ones(len(data) + 2, bool)
+    space[1:-1] = (data == 32) | ((data >= 9) & (data <= 13))
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        lo = int(starts[a])
+        b = int(np.searchsorted(ends, lo + _PIECE, "right"))
+        if b <= a:  # one word longer than a piece
+            out[a] = int.from_bytes(hashlib.blake2b(raw[lo:ends[a]], digest_size=8).digest(), "little")
+            a += 1
+            continue
+        n = int(ends[b - 1]) - lo
+        up, down = _powers(1 << max(n, 2).bit_length())
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data[lo:lo + n].astype(np.uint64) + np.uint64(1)) * up[:n])])
+        out[a:b] = (sums[ends[a:b] - lo] - sums[starts[a:b] - lo]) * down[starts[a:b] - lo]
+        a = b
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    out ^= out >> np.uint64(29)
+    return out
+
+
+def sampled_words(raw: bytes, words: int = WORDS, gram: int = WORD_GRAM) -> tuple[np.ndarray, np.ndarray]:
+    """The same of its words; of occurrences with the same ``words`` on both sides only the first is kept."""
+    keys, places = _sampled(_word_hashes(raw), words, gram)
+    if len(np.unique(keys)) == len(keys):
+        return keys, places
+    split, back = raw.split(), words - gram
+    keep, seen = np.ones(len(keys), bool), set()
+    _, inverse, count = np.unique(keys, return_inverse=True, return_counts=True)
+    for i in np.flatnonzero(count[inverse] > 2).tolist():
+        p = int(places[i])
+        if p >= back and p + words <= len(split):
+            mark = _digest(split[p - back:p + words])
+            keep[i] = mark not in seen
+            seen.add(mark)
+    return keys[keep], places[keep]
+
+
+def _digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def _settle_runs(raw: bytes, keys: np.ndarray, places: np.ndarray, length: int, gram: int):
     """Keep two of the suffixes whose whole surroundings repeat inside the text, and what these cover."""
     back = length - gram
@@ -246,15 +310,56 @@ def _exact(found: np.ndarray, rows: np.ndarray, group: np.ndarray, field: np.nda
             found[i] = o
 
 
+def _passage_marks(parts: Iterator[pa.RecordBatch], words: int, gram: int, every: bool) -> Iterator[pa.RecordBatch]:
+    """Digests of the windows of ``words`` words that start at a sampled place, or of every one that holds it."""
+    for whole in parts:
+        for at in range(0, whole.num_rows, 256):
+            batch = whole.slice(at, 256)
+            tids, marks = [], []
+            for tid, raw, places in zip(*(batch.column(c).to_pylist() for c in ("tid", "_raw", "words"))):
+                split = raw.split() if places else []
+                last = len(split) - words
+                if every:
+                    starts = {i for p in places for i in range(max(p - words + gram, 0), min(p, last) + 1)}
+                else:
+                    starts = {p for p in places if p <= last}
+                found = {_digest(split[i:i + words]) for i in starts}
+                tids += [tid] * len(found)
+                marks += found
+            yield pa.RecordBatch.from_arrays([pa.array(tids, pa.int64()), pa.array(marks, pa.binary())], names=["tid", "mark"])
+
+
+def _sharing(marks: DataFrame) -> DataFrame:
+    """Texts with a mark that another text has too."""
+    both = marks.groupBy("mark").agg(F.min("tid").alias("_lo"), F.max("tid").alias("_hi")).filter("_lo < _hi").select("mark")
+    return marks.join(both, "mark", "left_semi").select("tid").distinct()
+
+
+def repeated_passages(held: DataFrame, matched: DataFrame, words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
+    """The texts (tid) of which ``words`` words in a row stand in another text; ``matched`` holds sampled places."""
+    def marks(texts: DataFrame, every: bool) -> DataFrame:
+        return saved(texts.select("tid", "_raw", "words").mapInArrow(
+            lambda parts: _passage_marks(parts, words, gram, every), "tid long, mark binary"), "marks")
+
+    hit = saved(_sharing(marks(held, False)), "passages")
+    open_keys = matched.join(hit, "tid", "left_anti").select("key").distinct()
+    rest = matched.join(open_keys, "key", "left_semi").groupBy("tid").agg(F.collect_list("place").alias("words"))
+    return hit.unionByName(_sharing(marks(held.select("tid", "_raw").join(rest, "tid"), True))).distinct()
+
+
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES,
-                   group_rows: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Rows with their digest, the distinct texts, and spans (tid, start, end) repeated elsewhere."""
+                   group_rows: int = GROUP_ROWS, words: int = WORDS,
+                   word_gram: int = WORD_GRAM) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows with their digest, the distinct texts, those with matches, spans (tid, start, end) repeated
+    elsewhere, and the texts (tid) that repeat a passage of another one."""
     hashed = documents(docs, "doc_id", "text").withColumn("_raw", text_bytes()).select(
         "doc_id", F.unhex(F.sha2("_raw", 256)).alias("sha"), "_raw")
 
+    lists = ["keys", "places", "own", "word_keys", "word_places"]
+
     def sample(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            sizes, keys, places, own = [], [], [], []
+            sizes, keys, places, own, word_keys, word_places = [], [], [], [], [], []
             for raw in batch.column("_raw").to_pylist():
                 k, p = sampled_suffixes(raw, length, gram)
                 k, p, o = _settle_runs(raw, k, p, length, gram)
@@ -262,16 +367,19 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
                 keys.append(k)
                 places.append(p)
                 own.append([x for span in o for x in span])
+                k, p = sampled_words(raw, words, word_gram)
+                word_keys.append(k)
+                word_places.append(p)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("sha"), pa.array(sizes, pa.int64()),
-                 *[pa.array(x, pa.list_(pa.int64())) for x in (keys, places, own)]],
-                names=["doc_id", "sha", "n_bytes", "keys", "places", "own"])
+                 *[pa.array(x, pa.list_(pa.int64())) for x in (keys, places, own, word_keys, word_places)]],
+                names=["doc_id", "sha", "n_bytes", *lists])
 
     kind = hashed.schema["doc_id"].dataType.simpleString()
-    rows = saved(hashed.mapInArrow(sample, f"doc_id {kind}, sha binary, n_bytes long, keys array<long>, "
-                                           "places array<long>, own array<long>"), "sampled")
+    rows = saved(hashed.mapInArrow(sample, f"doc_id {kind}, sha binary, n_bytes long, "
+                                   + ", ".join(f"{c} array<long>" for c in lists)), "sampled")
     once = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("keeper"),
-                                   *[F.first(c).alias(c) for c in ("n_bytes", "keys", "places", "own")])
+                                   *[F.first(c).alias(c) for c in ("n_bytes", *lists)])
     texts = saved(once.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
     family, found = SuffixFamily(), None
@@ -284,11 +392,18 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
         "tid", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
     matched = saved(pairs.join(repeated, "key", "left_semi"), "matched")
 
-    listed = matched.groupBy("tid").agg(F.collect_list(F.struct("key", "place")).alias("s")).select(
-        F.col("tid").alias("_tid"), F.col("s.key").alias("keys"), F.col("s.place").alias("places"))
+    twice = texts.select(F.explode(F.array_distinct("word_keys")).alias("key")).groupBy("key").count().filter("count > 1")
+    word_pairs = texts.select("tid", F.explode(F.arrays_zip("word_keys", "word_places")).alias("s")).select(
+        "tid", F.col("s.word_keys").alias("key"), F.col("s.word_places").alias("place"))
+    matched_words = saved(word_pairs.join(twice, "key", "left_semi"), "matched-words")
+
+    both = matched.select("tid", F.struct("key", "place").alias("s"), F.lit(None).cast("long").alias("word")).unionByName(
+        matched_words.select("tid", F.col("place").alias("word")), allowMissingColumns=True)
+    listed = both.groupBy("tid").agg(F.collect_list("s").alias("s"), F.collect_list("word").alias("words")).select(
+        F.col("tid").alias("_tid"), F.col("s.key").alias("keys"), F.col("s.place").alias("places"), "words")
     wanted = texts.select("tid", F.col("sha").alias("_sha"), "keeper", "copies").join(listed, F.col("tid") == F.col("_tid"))
     held = hashed.join(wanted, (F.col("sha") == F.col("_sha")) & F.col("doc_id").eqNullSafe(F.col("keeper")))
-    held = saved(held.select("tid", "copies", "_raw", "keys", "places"), "matched-texts")
+    held = saved(held.select("tid", "copies", "_raw", "keys", "places", "words"), "matched-texts")
     around = held.select("tid", "_raw", "keys", "places").mapInArrow(
         lambda parts: _surroundings(parts, length, gram), "key long, tid long, place long, before int, bytes binary")
     dealt = pair_blocks(around, ["key"], ["tid", "place"], group_rows, counted=matched)
@@ -305,7 +420,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
                 names=["tid", "start", "end"])
 
     spans = dealt.mapInArrow(resolve, "tid long, start long, end long")
-    return rows, texts, held, spans
+    return rows, texts, held, spans, repeated_passages(held, matched_words, words, word_gram)
 
 
 def _cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,21 +446,23 @@ def _lower_hex(c: str) -> Column:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batches: int = BATCHES,
-                   group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
-    rows, texts, held, spans = repeated_spans(docs, length, gram, batches, group_rows)
+                   group_rows: int = GROUP_ROWS, words: int = WORDS, word_gram: int = WORD_GRAM) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and repeats_passage of every row."""
+    rows, texts, held, spans, passages = repeated_spans(docs, length, gram, batches, group_rows, words, word_gram)
     spans = spans.groupBy(F.col("tid").alias("_tid")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     own = texts.select(F.col("tid").alias("_own_tid"), "own")
     once = held.filter("copies = 1").select("tid", "_raw").join(spans, F.col("tid") == F.col("_tid"))
     cut = once.join(own, F.col("tid") == F.col("_own_tid")).select("tid", "_raw", "spans", "own").mapInArrow(
         _cut, "tid long, n_removed long, n_spans long, kept string").withColumnRenamed("tid", "_cut_tid")
-    result = texts.join(cut, F.col("tid") == F.col("_cut_tid"), "left")
+    result = texts.join(cut, F.col("tid") == F.col("_cut_tid"), "left").join(
+        passages.select(F.col("tid").alias("_passage_tid")), F.col("tid") == F.col("_passage_tid"), "left")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= length)
     result = result.select(
         F.col("sha").alias("_sha"),
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("kept", _lower_hex("sha")))
-        .alias("kept_sha256"))
+        .alias("kept_sha256"),
+        (F.col("_passage_tid").isNotNull() | ((F.col("copies") > 1) & (F.size("word_keys") > 0))).alias("repeats_passage"))
     return rows.select("doc_id", "sha", "n_bytes").join(result, F.col("sha") == F.col("_sha")).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats_passage")

@@ -330,9 +330,9 @@ def _passage_marks(parts: Iterator[pa.RecordBatch], words: int, gram: int, every
 
 
 def _sharing(marks: DataFrame) -> DataFrame:
-    """Texts with a mark that another text has too."""
+    """Texts with a mark that another text has too (the marks are stored, so that a frequent one's join can be split)."""
     both = marks.groupBy("mark").agg(F.min("tid").alias("_lo"), F.max("tid").alias("_hi")).filter("_lo < _hi").select("mark")
-    return marks.join(both, "mark", "left_semi").select("tid").distinct()
+    return marks.join(saved(both, "shared-marks"), "mark", "left_semi").select("tid").distinct()
 
 
 def repeated_passages(held: DataFrame, matched: DataFrame, words: int = WORDS, gram: int = WORD_GRAM) -> DataFrame:
@@ -342,7 +342,7 @@ def repeated_passages(held: DataFrame, matched: DataFrame, words: int = WORDS, g
             lambda parts: _passage_marks(parts, words, gram, every), "tid long, mark binary"), "marks")
 
     hit = saved(_sharing(marks(held, False)), "passages")
-    open_keys = matched.join(hit, "tid", "left_anti").select("key").distinct()
+    open_keys = saved(matched.join(hit, "tid", "left_anti").select("key").distinct(), "open-keys")
     rest = matched.join(open_keys, "key", "left_semi").groupBy("tid").agg(F.collect_list("place").alias("words"))
     return hit.unionByName(_sharing(marks(held.select("tid", "_raw").join(rest, "tid"), True))).distinct()
 
@@ -395,7 +395,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, batc
     twice = texts.select(F.explode(F.array_distinct("word_keys")).alias("key")).groupBy("key").count().filter("count > 1")
     word_pairs = texts.select("tid", F.explode(F.arrays_zip("word_keys", "word_places")).alias("s")).select(
         "tid", F.col("s.word_keys").alias("key"), F.col("s.word_places").alias("place"))
-    matched_words = saved(word_pairs.join(twice, "key", "left_semi"), "matched-words")
+    matched_words = saved(word_pairs.join(saved(twice.select("key"), "word-keys"), "key", "left_semi"), "matched-words")
 
     both = matched.select("tid", F.struct("key", "place").alias("s"), F.lit(None).cast("long").alias("word")).unionByName(
         matched_words.select("tid", F.col("place").alias("word")), allowMissingColumns=True)

@@ -1,4 +1,4 @@
-"""Phrase collocation mining (operator 11) with broadcast double-array tries.
+"""Phrase collocation mining (operator 11) with double-array tries.
 
 1. Words are counted per language.  A bitmap over word hashes holds those that
    reach ``min_count``.
@@ -6,18 +6,20 @@
    bitmap before adds to a hash bucket; buckets that reach ``min_count`` make
    the next bitmap.  A phrase that is common enough is never lost (Apriori:
    its parts are at least as common, and a bucket counts at least its phrases).
-3. The distinct phrases at marked positions are the candidates.  They are
-   sorted, cut into shards of at most ``SHARD_BYTES`` and each shard becomes a
-   double-array trie over UTF-8 bytes, which is broadcast.  NumPy advances the
-   states of all word positions of a block at once, byte by byte and word by
-   word, and counts accepting states with ``bincount``; Spark sums the counts of
-   all tasks and shards.  These counts are exact, whatever hashes collide.
+3. The longest marked phrase of every position is kept, with the number of its
+   positions: the phrases that begin one are the candidates, and each stands
+   wherever it begins one.  The longest phrases are sorted and cut into shards
+   of at most ``SHARD_BYTES``; the candidates of each shard become a
+   double-array trie over UTF-8 bytes.  NumPy advances the states of all its
+   longest phrases at once, byte by byte and word by word, and adds up their
+   numbers at accepting states with ``bincount``; Spark sums the counts of all
+   shards.  These counts are exact, whatever hashes collide.
 4. Cuts, scores, containment and the ranking are joins and one ranked window on
    the counted phrases, in decimals where products may pass 64 bits.
 
-Bitmaps have at most 2^``MAX_BUCKET_BITS`` bits and a trie at most 24 bytes for
-each byte of its shard, so both broadcasts are bounded; more candidates mean
-more shards, each one more pass over the texts.
+Bitmaps, which are broadcast, have at most 2^``MAX_BUCKET_BITS`` bits and a trie
+at most 24 bytes for each byte of its shard.  Tasks build the tries, each once,
+and the texts are read as often however many shards there are.
 
 Defined results.  A null text is empty, a null language ``und``.  Repeated rows
 count as often as they stand there.  Ties rank by a, then by the phrase's
@@ -39,16 +41,18 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelwarn.llm.common import documents, running, saved
+from panelwarn.llm.common import documents, saved
 
 #: Bytes of text worked on at once; one longer text is a block of its own.
 BLOCK_BYTES = 2_000_000
-#: Bytes of candidates in one trie.
-SHARD_BYTES = 4_000_000
+#: Bytes of longest phrases whose candidates make one trie.
+SHARD_BYTES = 1_000_000
 #: A bitmap has at most 2^28 bits: 32 MB.
 MAX_BUCKET_BITS = 28
 #: Positions or distinct phrases that a task gathers before it sends them on.
 GATHERED = 2_000_000
+#: Rows that a task sends on at once.
+SENT = 100_000
 #: Buckets that one row of counts covers; their places in it are 16 bits wide.
 RANGE_BUCKETS = 1 << 16
 #: Random places that are tried for the branching nodes of a trie before the arrays grow.
@@ -146,11 +150,11 @@ class Block:
                 at = at[_marks(bitmaps[k - 1], bucket)]
 
     def phrases(self, words: pa.BinaryArray, at: np.ndarray, k: int) -> pa.Array:
-        """Distinct keys (language, line feed, words joined by blanks) of the k-word phrases at some positions."""
+        """Keys (language, line feed, words joined by blanks) of the k-word phrases at some positions."""
         parts = [pc.take(words, pa.array(at + j)) for j in range(k)]
         joined = pc.binary_join_element_wise(*parts, b" ")
         lang = pc.take(pa.array(self.langs, pa.binary()), pa.array(self.lang[at]))
-        return pc.unique(pc.binary_join_element_wise(lang, joined, b"\n"))
+        return pc.binary_join_element_wise(lang, joined, b"\n")
 
 
 def _marks(bitmap: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -259,12 +263,12 @@ class Trie:
             state = after
         return state
 
-    def counts(self, block: Block, most: int) -> np.ndarray:
-        """How often each key stands in the block: all positions advance together, word by word."""
+    def counts(self, block: Block, most: int, weight: np.ndarray) -> np.ndarray:
+        """The sum of the weights of the positions at which each key stands: all advance together, word by word."""
         total = np.zeros(int(self.accept.max(initial=-1)) + 1, np.int64)
         begins = np.array([self.begin(x + b"\n") for x in block.langs] or [-1], np.int32)
         state = begins[block.lang] if len(block) else np.zeros(0, np.int32)
-        word = np.flatnonzero((state >= 0) & block.follows)
+        word = np.flatnonzero((state >= 0) & block.follows & (weight > 0))
         state = state[word]
         for k in range(1, most + 1):
             ended, held = [], []
@@ -281,7 +285,8 @@ class Trie:
             state = np.concatenate([np.zeros(0, np.int32), *ended])
             word = np.concatenate([np.zeros(0, np.int64), *held])
             found = self.accept[state]
-            total += np.bincount(found[found >= 0], minlength=len(total))
+            own = weight[word[found >= 0] - (k - 1)]  # of the first word; sums below 2^53 are exact
+            total += np.bincount(found[found >= 0], weights=own, minlength=len(total)).astype(np.int64)
             if k == most:
                 break
             more = block.follows[word]
@@ -417,7 +422,11 @@ def _next_bitmap(texts: DataFrame, bitmaps: list[np.ndarray], bits: int, min_cou
 
 
 def candidates(texts: DataFrame, words: DataFrame, min_count: int, most: int) -> DataFrame:
-    """key (language, line feed, phrase) of every phrase of 2 to ``most`` words that may reach ``min_count``."""
+    """key (language, line feed, phrase) and n: the longest phrase of 2 to ``most`` words at each position that may reach
+    ``min_count``, and at how many positions it is the longest.
+
+    A phrase that may reach it begins such a key wherever it stands.
+    """
     total = words.agg(F.sum("n")).first()[0] or 0
     bits = min(MAX_BUCKET_BITS, max(16, int(total // 2).bit_length()))
     bitmaps = [_word_bitmap(words.filter(F.col("n") >= min_count), bits)]
@@ -426,58 +435,96 @@ def candidates(texts: DataFrame, words: DataFrame, min_count: int, most: int) ->
     shared = texts.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Array] = []
+        held: list[pa.Table] = []
         rows = known = 0
+
+        def summed() -> pa.Table:
+            table = pa.concat_tables(held).group_by("key", use_threads=False).aggregate([("n", "sum")])
+            return table.select(["key", "n_sum"]).rename_columns(["key", "n"])
+
+        def sent(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from table.cast(pa.schema([("key", pa.string()), ("n", pa.int64())])).to_batches(SENT)
+
         for block in _blocks(batches):
-            words_ = block.words()
+            words_, longest = block.words(), np.zeros(len(block), np.int64)
             for k, at, bucket in block.marked(shared.value, bits, most):
-                held.append(block.phrases(words_, at[_marks(shared.value[k - 1], bucket)], k))
-                rows += len(held[-1])
+                longest[at[_marks(shared.value[k - 1], bucket)]] = k
+            for k in range(2, most + 1):
+                found = pc.value_counts(block.phrases(words_, np.flatnonzero(longest == k), k))
+                held.append(pa.table({"key": found.field("values"), "n": found.field("counts")}))
+                rows += len(found)
             if rows > 2 * known + GATHERED // 4:
-                one = pc.unique(pa.chunked_array(held))
+                one = summed()
                 held, rows, known = [one], len(one), len(one)
                 if known > GATHERED // 2:
-                    yield pa.RecordBatch.from_arrays([one.cast(pa.string())], names=["key"])
+                    yield from sent(one)
                     held, rows, known = [], 0, 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pc.unique(pa.chunked_array(held)).cast(pa.string())], names=["key"])
+            yield from sent(summed())
 
     # dealt by key first: a task has each key once or nearly so, and a hash map of them before the shuffle saves little
-    return _long_tasks(texts).mapInArrow(run, "key string").repartition("key").distinct()
+    return _long_tasks(texts).mapInArrow(run, "key string, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Successive rows with at most ``SHARD_BYTES`` of keys; one longer key is a shard of its own."""
+    held, size = [], 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("key")).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            stop = int(np.searchsorted(ends, before + SHARD_BYTES - size, "right"))
+            if stop <= at and held:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+                continue
+            stop = max(stop, at + 1)
+            held.append(batch.slice(at, stop - at))
+            size += int(ends[stop - 1] - before)
+            at = stop
+    if held:
+        yield pa.Table.from_batches(held)
+
 
+def _shard_counts(shard: pa.Table, min_count: int, most: int) -> pa.RecordBatch:
+    """key and n of a shard's candidates, by their trie; ``shard`` is sorted by key.
 
-def phrase_counts(texts: DataFrame, keys: DataFrame, min_count: int, most: int) -> DataFrame:
+    Left out are those that stay below ``min_count`` whatever other shards hold.  Keys that begin with the same bytes
+    are neighbours, so only what the first or the last one begins with can begin a key of another shard too.
+    """
+    both = pc.split_pattern(shard["key"].combine_chunks(), "\n", max_splits=1, reverse=True).flatten()  # phrases have no line feed
+    even = pa.array(np.arange(0, len(both), 2))
+    block = Block(pc.take(both, even), pc.take(both, pc.add(even, 1)).cast(pa.binary()))
+    first = np.ones(len(block), bool)
+    first[1:] = ~block.follows[:-1]
+    first, words = np.flatnonzero(first), block.words()
+    size = np.diff(first, append=len(block))
+    weight = np.zeros(len(block), np.int64)
+    weight[first] = shard["n"].to_numpy()
+    parts = [block.phrases(words, first[size >= k], k) for k in range(2, most + 1)]
+    keys = pc.unique(pa.chunked_array(parts)).sort()
+    listed = keys.to_pylist()
+    total = Trie(listed).counts(block, most, weight)
+    ends = [shard["key"][i].as_py().encode() for i in (0, -1)]
+    kept = (total >= min_count) | np.array([ends[0].startswith(x) or ends[1].startswith(x) for x in listed])
+    return pa.RecordBatch.from_arrays([keys.filter(pa.array(kept)).cast(pa.string()), pa.array(total[kept])], names=["key", "n"])
+
+
+def phrase_counts(keys: DataFrame, min_count: int, most: int) -> DataFrame:
     """lang, phrase, k and a of the candidates that reach ``min_count``, counted by tries."""
-    spark = texts.sparkSession
-    numbered = saved(running(keys.withColumn("bytes", F.octet_length("key").cast("long")), ["key"], ["bytes"],
-                             "candidates").withColumn("shard", F.floor(F.col("bytes_before") / SHARD_BYTES)), "shards")
-    shards = [r["shard"] for r in numbered.select("shard").distinct().orderBy("shard").collect()]
-    counted = None
-    for shard in shards:
-        own = numbered.filter(F.col("shard") == shard).select("row", F.col("key").cast("binary").alias("key"))
-        table = own.toArrow().sort_by("row")
-        first = table["row"][0].as_py()
-        shared = spark.sparkContext.broadcast(Trie(table["key"].to_pylist()))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first) -> Iterator[pa.RecordBatch]:
-            total = None
-            for block in _blocks(batches):
-                found = shared.value.counts(block, most)
-                total = found if total is None else total + found
-            if total is not None:
-                at = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(at + first), pa.array(total[at])], names=["row", "n"])
-
-        part = _long_tasks(texts).mapInArrow(run, "row long, n long").groupBy("row").agg(F.sum("n").alias("a"))
-        part = saved(part.filter(F.col("a") >= min_count), "phrase-counts")
-        shared.unpersist()
-        counted = part if counted is None else counted.unionByName(part)
-    if counted is None:
-        counted = numbered.select("row", F.col("bytes").alias("a")).limit(0)
-    found = numbered.join(counted, "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard in _shards(batches):
+            yield _shard_counts(shard, min_count, most)
+
+    # no fixed number: adaptive execution joins small neighbouring ranges
+    ordered = keys.repartitionByRange("key").sortWithinPartitions("key")
+    counted = ordered.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("a"))
     phrase = F.substring_index("key", "\n", -1)
     lang = F.expr("substring(key, 1, length(key) - length(substring_index(key, '\n', -1)) - 1)")
-    return found.select(lang.alias("lang"), phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("k"), "a")
+    return counted.filter(F.col("a") >= min_count).select(
+        lang.alias("lang"), phrase.alias("phrase"), F.size(F.split(phrase, " ")).alias("k"), "a")
 
 
 def collocations(docs: DataFrame, min_count: int = 30, most: int = 4, top: int = 2000, share: int = 80) -> DataFrame:
@@ -486,8 +533,7 @@ def collocations(docs: DataFrame, min_count: int = 30, most: int = 4, top: int =
     words = saved(word_counts(texts), "words")
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
     frequent = words.filter(F.col("n") >= min_count)
-    phrases = saved(phrase_counts(texts, saved(candidates(texts, words, min_count, most), "keys"), min_count, most),
-                    "phrases")
+    phrases = saved(phrase_counts(saved(candidates(texts, words, min_count, most), "keys"), min_count, most), "phrases")
 
     parts = phrases.select("lang", "phrase", "a").unionByName(
         frequent.select("lang", F.col("word").alias("phrase"), F.col("n").alias("a")))

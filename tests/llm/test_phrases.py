@@ -73,6 +73,49 @@ def test_many_shards_and_blocks(small_docs, monkeypatch):
     check(small_docs, 30, top=50)
 
 
+def test_texts_are_read_as_often_with_many_shards(small_docs, monkeypatch, tmp_path):
+    plain = phrases._texts
+
+    def noted(docs):
+        out = str(tmp_path / "read")
+
+        def run(batches):
+            for batch in batches:
+                with open(out, "ab") as f:
+                    f.write(b"." * batch.num_rows)
+                yield batch
+
+        return plain(docs).mapInArrow(run, "lang string, raw binary")
+
+    monkeypatch.setattr(phrases, "_texts", noted)
+    read = []
+    for shard_bytes in (4_000_000, 10_000):
+        monkeypatch.setattr(phrases, "SHARD_BYTES", shard_bytes)
+        check(small_docs, 4, top=50)
+        read.append((tmp_path / "read").stat().st_size - sum(read))
+    assert read[0] == read[1] > 0
+
+
+def test_shards_between_phrases_that_begin_alike(spark, monkeypatch):
+    # in byte order "of the\x01 z" stands between "of the" and "of the cat"
+    texts = ["of the", "of the\x01 z", "of the cat sat", "of thea x", "of the cat", "of", "the cat sat up of the", "über of the"]
+    docs = spark.createDataFrame([(t, lang) for lang in ("en", "e n", "a\nb", None) for i, t in enumerate(texts * 2)
+                                  for _ in range(i % 3 + 1)], "text string, lang string")
+    for shard_bytes, min_count in ((1, 2), (1, 7), (40, 5)):
+        monkeypatch.setattr(phrases, "SHARD_BYTES", shard_bytes)
+        assert len(check(docs, min_count)) > 8
+
+
+def test_shards_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(phrases, "SHARD_BYTES", 50)
+    keys = sorted(f"en\n{'x' * (i % 90)} {i}" for i in range(300))
+    table = pa.table({"key": keys, "n": range(300)})
+    shards = list(phrases._shards(iter(table.to_batches(max_chunksize=7))))
+    assert pa.concat_tables(shards).to_pydict() == table.to_pydict()
+    assert all(s.num_rows == 1 or sum(map(len, s["key"].to_pylist())) <= 50 for s in shards)
+    assert len(shards) < 290
+
+
 def test_clashing_columns_and_empty_table(clashing_docs, odd_docs, empty_docs):
     assert rows(phrases.collocations(clashing_docs, 2), *COLUMNS) == rows(phrases.collocations(odd_docs, 2), *COLUMNS)
     assert phrases.collocations(empty_docs).count() == 0

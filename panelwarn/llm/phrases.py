@@ -44,12 +44,12 @@ from pyspark.sql import functions as F
 from panelwarn.llm.common import documents, saved
 
 #: Bytes of text worked on at once; one longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 #: Bytes of longest phrases whose candidates make one trie.
 SHARD_BYTES = 1_000_000
 #: A bitmap has at most 2^28 bits: 32 MB.
 MAX_BUCKET_BITS = 28
-#: Positions or distinct phrases that a task gathers before it sends them on.
+#: Positions that a task gathers before it sends them on; of distinct phrases, an eighth.
 GATHERED = 2_000_000
 #: Rows that a task sends on at once.
 SENT = 100_000
@@ -298,11 +298,6 @@ class Trie:
 # ------------------------------------------------------------------ Spark jobs
 
 
-def _long_tasks(texts: DataFrame) -> DataFrame:
-    """The texts in two tasks a core at most: what a task sends on has each phrase once, so fewer tasks send less."""
-    return texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """lang, word and n over all texts."""
 
@@ -453,17 +448,18 @@ def candidates(texts: DataFrame, words: DataFrame, min_count: int, most: int) ->
                 found = pc.value_counts(block.phrases(words_, np.flatnonzero(longest == k), k))
                 held.append(pa.table({"key": found.field("values"), "n": found.field("counts")}))
                 rows += len(found)
-            if rows > 2 * known + GATHERED // 4:
-                one = summed()
-                held, rows, known = [one], len(one), len(one)
-                if known > GATHERED // 2:
-                    yield from sent(one)
-                    held, rows, known = [], 0, 0
+            if rows > known + GATHERED // 8:
+                held = [summed()]
+                rows = known = len(held[0])
+                if known > GATHERED // 8:
+                    yield from sent(held.pop())
+                    rows = known = 0
+                pa.default_memory_pool().release_unused()  # a worker may stay for long
         if rows:
             yield from sent(summed())
 
     # dealt by key first: a task has each key once or nearly so, and a hash map of them before the shuffle saves little
-    return _long_tasks(texts).mapInArrow(run, "key string, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "key string, n long").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
